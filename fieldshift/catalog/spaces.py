@@ -1 +1,238 @@
-"""Placeholder."""
+"""Vectors, codebook, representatives, neighbours."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldshift.catalog import roles
+from fieldshift.catalog.registry import query, r6, rounded
+from fieldshift.operators import codebook as cb
+from fieldshift.operators import neighbors
+from fieldshift.operators.pairing import pca_project
+from fieldshift.operators.seasons import balanced_sample
+from fieldshift.session import fresh_path, stage
+from fieldshift.sources.tables import read_codebook, write_codebook
+
+
+def _long(df, key, vec="embedding", value="value"):
+    return df.select(*key, F.posexplode(vec).alias("i", value)).withColumn("i", (F.col("i") + 1).cast("long"))
+
+
+@query("feature_stats", "SELECT i, rnd(m) AS mean, rnd(s) AS std FROM fs", "fs")
+def feature_stats(spark, sf):
+    stats = cb.feature_stats(roles.table(spark, sf, "embeddings"))
+    flat = stats.select(F.posexplode(F.arrays_zip("mean", "std")).alias("i", "v")).select("i", "v.*")
+    return rounded(flat.withColumn("i", (F.col("i") + 1).cast("long")), "mean", "std")
+
+
+@query("standardize", "SELECT vec_id, i, rnd(z) AS value FROM sv", "sv")
+def standardize(spark, sf):
+    raw = roles.table(spark, sf, "embeddings")
+    out = cb.standardize(raw, cb.feature_stats(raw))
+    return rounded(_long(out, ["vec_id"]), "value")
+
+
+@query(
+    "l2_normalize",
+    """SELECT vec_id, i, rnd(v) AS value FROM (SELECT vec_id, i, x / CASE WHEN n < 1e-8 THEN 1.0 ELSE n END AS v FROM (
+    SELECT vec_id, i, x, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS n FROM ev) q) z""",
+    "ev",
+)
+def l2_normalize(spark, sf):
+    return rounded(_long(neighbors.l2_normalize(roles.table(spark, sf, "embeddings")), ["vec_id"]), "value")
+
+
+@query("codebook_roundtrip", "SELECT kind, id, i, rnd(c) AS value FROM cb", "cb")
+def codebook_roundtrip(spark, sf):
+    frozen = roles.space(spark, sf)
+    path = fresh_path(spark, "codebook")
+    write_codebook(frozen.stats, frozen.codebook, path)
+    _, codebook = read_codebook(spark, path)
+    return rounded(_long(codebook, ["kind", "id"], "vec"), "value")
+
+
+@query(
+    "assign_codebook",
+    """SELECT vec_id, anchor, rnd(anchor_d) AS anchor_distance, near_unit AS unit, rnd(unit_d) AS unit_distance FROM asg""",
+    "asg",
+)
+def assign_codebook(spark, sf):
+    frozen = roles.space(spark, sf)
+    out = cb.assign_codebook(frozen.vectors, frozen.anchors, "embedding", "anchor", "anchor_distance")
+    out = cb.assign_codebook(out, frozen.units, "embedding", "unit", "unit_distance")
+    out = out.select("vec_id", "anchor", "anchor_distance", "unit", "unit_distance")
+    return rounded(out, "anchor_distance", "unit_distance")
+
+
+@query("anchor_to_unit", "SELECT anchor, unit FROM mp", "mp")
+def anchor_to_unit(spark, sf):
+    return roles.space(spark, sf).mapping()
+
+
+FIT = """WITH f AS (SELECT vec_id, id AS unit, d, exp(-d / 2.0) / sum(exp(-d / 2.0)) OVER (PARTITION BY vec_id) AS fit FROM vd WHERE kind = 'unit')"""
+
+
+@query("fit_scores", FIT + " SELECT vec_id, unit, rnd(d) AS distance, rnd(fit) AS score FROM f", "vd")
+def fit_scores(spark, sf):
+    frozen = roles.space(spark, sf)
+    scores = cb.fit_scores(F.col("embedding"), frozen.units, 2.0)
+    rows = frozen.vectors.select("vec_id", F.explode(scores).alias("s"))
+    return rows.select("vec_id", F.col("s.id").alias("unit"), r6("s.distance").alias("distance"), r6("s.score").alias("score"))
+
+
+@query(
+    "fingerprint",
+    FIT
+    + """, k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY fit DESC, unit) AS r FROM f)
+    SELECT roster_id, CAST(r AS INTEGER) AS rank, k.unit, rnd(fit) AS fit, rnd(d) AS distance FROM roster JOIN k USING (vec_id)
+    WHERE r <= 8""",
+    "vd roster",
+)
+def fingerprint(spark, sf):
+    frozen = roles.space(spark, sf)
+    # one fingerprint per distinct vector, then joined to the rosters that carry it
+    prints = cb.fingerprint(frozen.vectors, frozen.units, key="vec_id")
+    out = roles.roster(spark, sf).select("roster_id", "vec_id").join(prints, "vec_id").drop("vec_id")
+    return rounded(out, "fit", "distance")
+
+
+@query(
+    "representatives_by_mean",
+    """WITH m AS (SELECT label, i, avg(z) AS c FROM sv GROUP BY ALL), d AS (SELECT s.label, s.vec_id, sqrt(sum((s.z - m.c) ** 2)) AS d
+    FROM sv s JOIN m USING (label, i) GROUP BY ALL)
+    SELECT unit, unit_size, representative_id, rnd(b) AS centroid_distance FROM (SELECT label AS unit, count(*) AS unit_size,
+    arg_min(vec_id, (d, vec_id)) AS representative_id, min(d) AS b FROM d GROUP BY label) q""",
+    "sv",
+)
+def representatives_by_mean(spark, sf):
+    rows = roles.space(spark, sf).vectors.withColumnRenamed("label", "unit")
+    return rounded(cb.representatives_by_mean(rows, "vec_id"), "centroid_distance")
+
+
+@query(
+    "representatives_pooled",
+    """SELECT id AS unit, arg_min(vec_id, (d, vec_id)) AS vec_id, min(round(d, 6)) + 0.0 AS distance FROM vd
+    WHERE kind = 'unit' GROUP BY id""",
+    "vd",
+)
+def representatives_pooled(spark, sf):
+    frozen = roles.space(spark, sf)
+    return rounded(cb.representatives_pooled(frozen.vectors, frozen.units, ("vec_id",)), "distance")
+
+
+@query(
+    "representatives_current",
+    """WITH d AS (SELECT mp.unit, f.roster_id, v.d FROM feats f JOIN mp USING (anchor) JOIN vd v ON v.vec_id = f.vec_id
+    AND v.kind = 'unit' AND v.id = mp.unit)
+    SELECT unit, arg_min(roster_id, (round(d, 9), roster_id)) AS representative_id, min(round(d, 6)) + 0.0 AS distance FROM d GROUP BY unit""",
+    "feats mp vd",
+)
+def representatives_current(spark, sf):
+    frozen = roles.space(spark, sf)
+    rows = roles.features(spark, sf, frozen, vectors=True)
+    out = cb.representatives_current(rows, frozen.mapping(), frozen.units, "roster_id")
+    return rounded(out, "distance")
+
+
+@query(
+    "balanced_fit_sample",
+    """SELECT label, vec_id FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || '|7'), vec_id) AS r
+    FROM embeddings) q WHERE r <= 30""",
+)
+def balanced_fit_sample(spark, sf):
+    rows = roles.table(spark, sf, "embeddings").select(F.col("label").alias("season"), "vec_id")
+    return balanced_sample(rows, 30, key="vec_id").withColumnRenamed("season", "label")
+
+
+def _cost(vectors, codebook, kind):
+    """Summed squared distance to the nearest entry, for fitted and label-mean codebooks."""
+    centroids = cb.Centroids.load(codebook, kind)
+    out = cb.assign_codebook(vectors, centroids, "embedding", "entry", "d")
+    return out.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d") * F.col("d")).alias("cost"))
+
+
+@query("fit_units")
+def fit_units(spark, sf):
+    vectors = roles.space(spark, sf).vectors
+    return _cost(vectors, cb.fit_units(vectors, k=24, restarts=3), "unit")
+
+
+@query("fit_anchors")
+def fit_anchors(spark, sf):
+    vectors = roles.space(spark, sf).vectors
+    return _cost(vectors, cb.fit_anchors(vectors, k=128, restarts=1), "anchor")
+
+
+@query("pca_project")
+def pca_project_query(spark, sf):
+    frozen = roles.space(spark, sf)
+    anchors = frozen.codebook.where(F.col("kind") == "anchor")
+    out = pca_project(anchors, frozen.vectors.select("vec_id", F.col("embedding").alias("vec")))
+    return out.select("vec_id", *[F.col("xyz")[i].alias(n) for i, n in enumerate("xyz")])
+
+
+@query("embed_rosters")
+def embed_rosters(spark, sf):
+    from fieldshift.operators.tokens import token_rows
+
+    tokens = token_rows(roles.members(spark, sf), roles.dimension(spark, sf), roles.ROLE_STATS)
+    vectors, _ = cb.embed_rosters(tokens, size=32)
+    return vectors.select("roster_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first"))
+
+
+NEAR = """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    u AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM n),
+    d AS (SELECT a.vec_id AS id, b.vec_id AS neighbor_id, {distance} AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 12), neighbor_id) AS k FROM d)
+    SELECT id, CAST(k AS INTEGER) AS neighbor_rank, neighbor_id, rnd(d) AS distance FROM r WHERE k <= 10"""
+
+
+@query("knn_exact", NEAR.format(distance="1 - list_dot_product(a.v, b.v) / (a.l * b.l)"))
+def knn_exact(spark, sf):
+    raw = roles.table(spark, sf, "embeddings")
+    return rounded(neighbors.knn_exact(raw, 10, "cosine", "vec_id"), "distance")
+
+
+@query("knn_exact_euclidean", NEAR.format(distance="list_distance(a.v, b.v)"))
+def knn_exact_euclidean(spark, sf):
+    raw = roles.table(spark, sf, "embeddings")
+    return rounded(neighbors.knn_exact(raw, 10, "euclidean", "vec_id"), "distance")
+
+
+@query("knn_lsh")
+def knn_lsh(spark, sf):
+    raw = roles.table(spark, sf, "embeddings")
+    near = stage(neighbors.knn_lsh(raw, 10, "cosine", "vec_id", radius=1.2), "knn-lsh")
+    exact = neighbors.knn_exact(raw, 10, "cosine", "vec_id")
+    return neighbors.recall(near, exact)
+
+
+@query(
+    "knn_report",
+    """WITH h AS (SELECT roster_id, string_agg(species, ' | ' ORDER BY slot) AS species FROM member WHERE slot <= 6 GROUP BY roster_id),
+    e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+    d AS (SELECT a.vec_id AS id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 12), neighbor_id) AS k FROM d),
+    t AS (SELECT vec_id, arg_min(species, roster_id) AS species, count(*) AS occ FROM roster JOIN h USING (roster_id) GROUP BY vec_id)
+    SELECT id, CAST(k AS INTEGER) AS neighbor_rank, neighbor_id, q.species AS query_species, n.species AS neighbor_species,
+    n.occ AS neighbor_occurrence_count FROM r JOIN t q ON q.vec_id = id JOIN t n ON n.vec_id = neighbor_id WHERE k <= 5""",
+    "member roster",
+)
+def knn_report(spark, sf):
+    text = (
+        roles.members(spark, sf)
+        .where(F.col("slot") <= 6)
+        .groupBy("roster_id")
+        .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "species"))), lambda s: s["species"]), " | ").alias("species"))
+    )
+    described = (
+        roles.roster(spark, sf)
+        .select("roster_id", "vec_id")
+        .join(text, "roster_id")
+        .groupBy(F.col("vec_id").alias("row_id"))
+        .agg(F.min_by("species", "roster_id").alias("species"), F.count(F.lit(1)).alias("occurrence_count"))
+        .withColumn("roster_hash", F.lit(""))
+    )
+    near = neighbors.knn_exact(roles.table(spark, sf, "embeddings"), 5, "euclidean", "vec_id")
+    out = neighbors.with_neighbor_text(near, described)
+    return out.select("id", "neighbor_rank", "neighbor_id", "query_species", "neighbor_species", "neighbor_occurrence_count")

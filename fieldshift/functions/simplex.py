@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fieldshift.functions.vectors import total
+from fieldshift.functions.vectors import let, total
 
 KL_EPS = 1e-9
 
 
 def alr(p: Column, ref: int) -> Column:
     """Additive log-ratio of an array distribution, reference entry left out."""
-    base = F.log(F.element_at(p, ref + 1))
-    kept = F.filter(F.transform(p, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["i"] != ref)
-    return F.transform(kept, lambda s: F.log(s["x"]) - base)
+    def ratios(logs: Column) -> Column:
+        kept = F.concat(F.slice(logs, 1, ref), F.slice(logs, ref + 2, 1 << 30))
+        return F.transform(kept, lambda x: x - F.element_at(logs, ref + 1))
+
+    return let(F.transform(p, lambda x: F.log(x)), ratios)
 
 
 def inv_alr(y: Column, ref: int) -> Column:
     """Back to the simplex: softmax with a zero at the reference."""
-    full = F.concat(F.slice(y, 1, ref), F.array(F.lit(0.0)), F.slice(y, ref + 1, F.greatest(F.size(y) - ref, F.lit(0))))
-    return softmax(full)
+    return let(
+        y, lambda v: softmax(F.concat(F.slice(v, 1, ref), F.array(F.lit(0.0)), F.slice(v, ref + 1, 1 << 30)))
+    )
 
 
 def softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    size = total(e)
-    return F.transform(e, lambda v: v / size)
+    e = let(x, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda z: F.exp(z - top))))
+    return normalized(e)
+
+
+def normalized(x: Column) -> Column:
+    """Entries over their sum."""
+    return let(x, lambda v: let(total(v), lambda t: F.transform(v, lambda z: z / t)))
 
 
 def kl_bits(p: Column, q: Column, eps: float = KL_EPS) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    Inside a higher-order function an outer expression is evaluated again for
+    every element; binding it to a lambda variable avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double(vec: Column) -> Column:
     return vec.cast("array<double>")
 
@@ -33,9 +42,7 @@ def l2(a: Column, b: Column) -> Column:
 
 def unit_length(a: Column, floor: float = 1e-8) -> Column:
     """Scale to length one; a vector shorter than ``floor`` is left as it is."""
-    size = norm(a)
-    by = F.when(size < floor, F.lit(1.0)).otherwise(size)
-    return F.transform(a, lambda x: x / by)
+    return let(norm(a), lambda n: F.transform(a, lambda x: x / F.when(n < floor, F.lit(1.0)).otherwise(n)))
 
 
 def standardized(a: Column, mean: Column, std: Column) -> Column:

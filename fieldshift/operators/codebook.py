@@ -262,7 +262,8 @@ def representatives_current(
     table = rows.sparkSession.createDataFrame(
         [(int(i), [float(x) for x in v]) for i, v in zip(units.ids, units.matrix)], "unit int, _c array<double>"
     )
-    placed = rows.join(mapping.join(table, "unit"), "anchor")
+    slim = rows.select("anchor", "embedding", *dict.fromkeys([key, *([] if text is None else [text])]))
+    placed = slim.join(mapping.join(table, "unit"), "anchor")
     near = F.struct(l2(as_double(F.col("embedding")), F.col("_c")).alias("d"), F.col(key).alias("k"))
     extra = [] if text is None else [F.min_by(text, near).alias("representative")]
     return (

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import first_k
-from fieldshift.functions.simplex import kl_bits
-from fieldshift.functions.vectors import total
+from fieldshift.functions.simplex import kl_bits, normalized
 from fieldshift.operators.codebook import Centroids, assign_codebook
 
 MIN_SHARE_FOR_PCT = 0.01
@@ -31,8 +30,7 @@ def histogram_arrays(
         F.sequence(F.lit(0), F.lit(size - 1)),
         lambda i: F.coalesce(F.try_element_at("_m", i.cast("int")), F.lit(0.0)) + F.lit(float(smoothing)),
     )
-    raw = gathered.select(*keys, raised.alias("_r")).withColumn("_t", total(F.col("_r")))
-    return raw.select(*keys, F.transform("_r", lambda x: x / F.col("_t")).alias("dist"))
+    return gathered.select(*keys, normalized(raised).alias("dist"))
 
 
 def anchor_histogram(rows: DataFrame, size: int, keys: Sequence[str] = (), smoothing: float = 1.0) -> DataFrame:
@@ -122,7 +120,7 @@ def unit_shift(
 
 def family_of_anchor(rows: DataFrame) -> DataFrame:
     """(anchor, family): the modal family of an anchor's rosters, ties by name."""
-    counts = rows.groupBy("anchor", "family").agg(F.count(F.lit(1)).alias("_n"))
+    counts = rows.where(F.col("family").isNotNull()).groupBy("anchor", "family").agg(F.count(F.lit(1)).alias("_n"))
     return first_k(counts, ["anchor"], [F.col("_n").desc(), F.col("family")], 1).select("anchor", "family")
 
 

@@ -9,6 +9,7 @@ FULL_SIZE = 6
 MAX_MOVES = 4
 SOURCE_WEIGHT = 8.0
 DIGITS = "^[0-9]+$"
+LINE_END = r"\r\n|\n|\r"
 
 # Positions of the fields in a packed member.
 PACKED = {"species": 0, "item": 2, "ability": 3, "moves": 4, "nature": 5, "gender": 7, "level": 10}
@@ -25,9 +26,7 @@ def _level(text: Column) -> Column:
 def parse_packed(packed: Column) -> Column:
     """Packed text to an array of members; absent fields are empty strings."""
 
-    def member(raw: Column) -> Column:
-        fields = F.split(raw, r"\|", -1)
-
+    def member(fields: Column) -> Column:
         def at(name: str) -> Column:
             return _strip(F.coalesce(F.get(fields, F.lit(PACKED[name])), F.lit("")))
 
@@ -43,7 +42,7 @@ def parse_packed(packed: Column) -> Column:
         )
 
     parts = F.filter(F.transform(F.split(packed, "]"), _strip), lambda p: p != "")
-    return F.transform(parts, member)
+    return F.transform(F.transform(parts, lambda p: F.split(p, r"\|", -1)), member)
 
 
 def rosters_of_logs(battles: DataFrame) -> DataFrame:
@@ -52,36 +51,36 @@ def rosters_of_logs(battles: DataFrame) -> DataFrame:
     The lines of a log stay inside its row: a side's last shown team and last
     player win, and so does the last winner line. No line is shuffled.
     """
-    lines = F.filter(F.transform(F.split("log", r"\r\n|\n|\r"), _strip), lambda s: s != "")
-    split = F.transform(lines, lambda s: F.split(F.regexp_replace(s, r"^\|", ""), r"\|", -1))
+    lines = F.filter(F.transform(F.split("log", LINE_END), _strip), lambda s: s != "")
 
     def events(kind: str, least: int) -> Column:
-        return F.filter(split, lambda p: (F.get(p, F.lit(0)) == kind) & (F.size(p) >= least))
+        return F.filter("_parts", lambda p: (F.get(p, F.lit(0)) == kind) & (F.size(p) >= least))
 
-    shown = F.filter(lines, lambda s: s.startswith("|showteam|"))
-    sides = F.transform(
-        shown,
+    shown = F.transform(
+        F.filter("_lines", lambda s: s.startswith("|showteam|")),
         lambda s: F.struct(
             F.regexp_extract(s, r"^\|showteam\|([^|]*)\|", 1).alias("side"),
             F.regexp_extract(s, r"(?s)^\|showteam\|[^|]*\|(.*)$", 1).alias("packed"),
         ),
     )
-    df = battles.select(
+    players = F.transform(
+        events("player", 3),
+        lambda p: F.struct(F.get(p, F.lit(1)).alias("side"), F.get(p, F.lit(2)).alias("player")),
+    )
+    df = battles.select("battle_id", "ts", "season", lines.alias("_lines"))
+    df = df.withColumn("_parts", F.transform("_lines", lambda s: F.split(F.regexp_replace(s, r"^\|", ""), r"\|", -1)))
+    df = df.select(
         "battle_id",
         "ts",
         "season",
-        sides.alias("_sides"),
-        F.transform(
-            events("player", 3),
-            lambda p: F.struct(F.get(p, F.lit(1)).alias("side"), F.get(p, F.lit(2)).alias("player")),
-        ).alias("_players"),
-        F.transform(events("win", 2), lambda p: F.get(p, F.lit(1))).alias("_wins"),
+        shown.alias("_sides"),
+        players.alias("_players"),
+        _last(F.transform(events("win", 2), lambda p: F.get(p, F.lit(1)))).alias("_winner"),
     )
     names = F.array_distinct(F.transform("_sides", lambda s: s["side"]))
     df = df.withColumn("side", F.explode(names))
     df = df.withColumn("player", _last(F.filter("_players", lambda p: p["side"] == F.col("side")))["player"])
     df = df.withColumn("packed", _last(F.filter("_sides", lambda s: s["side"] == F.col("side")))["packed"])
-    df = df.withColumn("_winner", _last(F.col("_wins")))
     known = (F.col("_winner") != "") & (F.col("player") != "")
     return df.select(
         "battle_id",
@@ -113,19 +112,25 @@ def parse_export(text: Column) -> Column:
         hits = F.filter(lines, lambda s: s.rlike(pattern))
         return F.coalesce(take(_last(hits)), F.lit(""))
 
-    def member(block: Column) -> Column:
-        lines = F.filter(F.transform(F.split(block, r"\r\n|\n|\r"), _strip), lambda s: s != "")
+    def parts(lines: Column) -> Column:
         head = F.get(lines, F.lit(0))
-        rest = F.slice(lines, 2, 2147483647)
+        rest = F.slice(lines, 2, 1 << 30)
         left = _strip(F.regexp_extract(head, r"^([^@]*)", 1))
-        gender = F.regexp_extract(left, r"\(([MFN])\)\s*$", 1)
-        named = _strip(F.regexp_replace(left, r"\([MFN]\)\s*$", ""))
+        return F.struct(
+            head.alias("head"),
+            F.regexp_extract(left, r"\(([MFN])\)\s*$", 1).alias("gender"),
+            _strip(F.regexp_replace(left, r"\([MFN]\)\s*$", "")).alias("named"),
+            F.filter(rest, lambda s: s.rlike(r"^-[ \t]")).alias("bullets"),
+            F.filter(rest, lambda s: ~s.rlike(r"^-[ \t]") & (s != "-")).alias("plain"),
+        )
+
+    def member(p: Column) -> Column:
+        head, named, plain, gender = p["head"], p["named"], p["plain"], p["gender"]
         inner = F.regexp_extract(named, r"^.*?\(([^()]+)\)\s*$", 1)
-        plain = F.filter(rest, lambda s: ~s.rlike(r"^-[ \t]") & (s != "-"))
         level = F.filter(
             F.transform(F.filter(plain, lambda s: s.rlike(r"(?i)^level:")), value), lambda v: v.rlike(DIGITS)
         )
-        moves = F.transform(F.filter(rest, lambda s: s.rlike(r"^-[ \t]")), lambda s: _strip(F.substring(s, 2, 1 << 30)))
+        moves = F.transform(p["bullets"], lambda s: _strip(F.substring(s, 2, 1 << 30)))
         return F.struct(
             F.when(inner != "", _strip(inner)).otherwise(named).alias("species"),
             _strip(F.regexp_extract(head, r"^[^@]*@(.*)$", 1)).alias("item"),
@@ -141,7 +146,10 @@ def parse_export(text: Column) -> Column:
         )
 
     blocks = F.filter(F.split(_strip(text), r"\n\s*\n"), lambda b: _strip(b) != "")
-    return F.filter(F.transform(blocks, member), lambda m: m["species"] != "")
+    lines = F.transform(
+        blocks, lambda b: F.filter(F.transform(F.split(b, LINE_END), _strip), lambda s: s != "")
+    )
+    return F.filter(F.transform(F.transform(lines, parts), member), lambda m: m["species"] != "")
 
 
 def placement_weight(placing: Column, source_weight: float = SOURCE_WEIGHT) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import draw, first_k, numbered
-from fieldshift.functions.vectors import as_double, dot, double_array
+from fieldshift.functions.vectors import as_double, dot, double_array, let
 
 SAMPLE_PER_UNIT = 25
 EDGE_THRESHOLD = 0.53
@@ -187,41 +187,31 @@ def packed_samples(samples: DataFrame, unit: str = "unit", vec: str = "embedding
     return samples.groupBy(unit).agg(F.collect_list(as_double(F.col(vec))).alias("field"))
 
 
-def _field_mean(model: PairModel, vec: Column, field: Column) -> Column:
-    wins = F.transform(field, lambda o: model.win_prob(vec, o))
-    return F.aggregate(wins, F.lit(0.0), lambda t, x: t + x) / F.size(field)
-
-
 def expected_winrate(rosters: DataFrame, packed: DataFrame, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
     """(key, unit, win_rate): every roster against every unit's sample.
 
     The samples (units x k vectors) ride along as one scalar value; rosters
     are neither shuffled nor multiplied before the small per-unit result.
     """
-    everything = packed.agg(F.sort_array(F.collect_list(F.struct(unit, "field")))).scalar()
+    def mean(field: Column, win) -> Column:
+        return F.aggregate(field, F.lit(0.0), lambda t, o: t + win(o)) / F.size(field)
+
     if model.gain is None:
         # Linear model: the opponents reduce to their strengths.
-        thin = packed.select(unit, F.transform("field", lambda o: model.strength(o)).alias("field"))
-        everything = thin.agg(F.sort_array(F.collect_list(F.struct(unit, "field")))).scalar()
-        mine = rosters.withColumn("_s", model.strength(F.col("embedding")))
-        rated = F.transform(
-            everything,
-            lambda u: F.struct(
-                u[unit].alias(unit),
-                (
-                    F.aggregate(u["field"], F.lit(0.0), lambda t, o: t + sigmoid(F.col("_s") - o)) / F.size(u["field"])
-                ).alias("win_rate"),
-            ),
-        )
-    else:
-        mine = rosters
-        rated = F.transform(
-            everything,
-            lambda u: F.struct(
-                u[unit].alias(unit), _field_mean(model, F.col("embedding"), u["field"]).alias("win_rate")
-            ),
+        packed = packed.select(unit, F.transform("field", lambda o: model.strength(o)).alias("field"))
+    everything = packed.agg(F.sort_array(F.collect_list(F.struct(unit, "field")))).scalar()
+
+    def against_all(mine: Column) -> Column:
+        def win(other: Column) -> Column:
+            return sigmoid(mine - other) if model.gain is None else model.win_prob(mine, other)
+
+        return F.transform(
+            everything, lambda u: F.struct(u[unit].alias(unit), mean(u["field"], win).alias("win_rate"))
         )
-    return mine.select(key, F.explode(rated).alias("_r")).select(key, f"_r.{unit}", "_r.win_rate")
+
+    vec = as_double(F.col("embedding"))
+    rated = let(vec if model.gain is not None else model.strength(vec), against_all)
+    return rosters.select(key, F.explode(rated).alias("_r")).select(key, f"_r.{unit}", "_r.win_rate")
 
 
 def weighted_winrate(rated: DataFrame, weights: DataFrame, unit: str = "unit", key: str = "roster_id") -> DataFrame:

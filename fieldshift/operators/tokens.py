@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import draw
 from fieldshift.functions.text import canonical_id
+from fieldshift.functions.vectors import let
 from fieldshift.session import stage
 
 # Sizes of an encoded roster and the reserved vocabulary entries.
@@ -44,24 +45,25 @@ def classify_family(
     Abilities and moves are joined without separators and without spaces, so a
     needle may straddle two values; species keep a space between them.
     """
-    text = {
-        "ability": F.replace(
-            F.lower(F.array_join(F.transform(members, lambda m: F.coalesce(m["ability"], F.lit(""))), "")),
-            F.lit(" "),
-            F.lit(""),
-        ),
-        "species": F.lower(F.array_join(F.transform(members, lambda m: m["species"]), " ")),
-        "moves": F.replace(
-            F.lower(F.array_join(F.transform(members, lambda m: F.array_join(m["moves"], " ")), "")),
-            F.lit(" "),
-            F.lit(""),
-        ),
-    }
-    branches = None
-    for label, source, needle in rules:
-        test = F.contains(text[source], F.lit(needle))
-        branches = F.when(test, label) if branches is None else branches.when(test, label)
-    return branches.otherwise(F.lit(default))
+    bare = F.lit(" "), F.lit("")
+    texts = F.struct(
+        F.replace(
+            F.lower(F.array_join(F.transform(members, lambda m: F.coalesce(m["ability"], F.lit(""))), "")), *bare
+        ).alias("ability"),
+        F.lower(F.array_join(F.transform(members, lambda m: m["species"]), " ")).alias("species"),
+        F.replace(
+            F.lower(F.array_join(F.transform(members, lambda m: F.array_join(m["moves"], " ")), "")), *bare
+        ).alias("moves"),
+    )
+
+    def first_match(text: Column) -> Column:
+        branches = None
+        for label, source, needle in rules:
+            test = F.contains(text[source], F.lit(needle))
+            branches = F.when(test, label) if branches is None else branches.when(test, label)
+        return branches.otherwise(F.lit(default))
+
+    return let(texts, first_match)
 
 
 def dimension_lookup(members: DataFrame, dimension: DataFrame, stats: Sequence[str] = STATS) -> DataFrame:

@@ -19,7 +19,8 @@ def last_origin(forecasts: DataFrame) -> DataFrame:
 
 def next_distribution(features: DataFrame, anchors: int, lam: float = GLIDE_LAMBDA) -> DataFrame:
     """(season, anchor, p, p_hat): last distribution and its glide forecast."""
-    return last_origin(fc_glide(weekly_anchor_matrix(features, anchors), [lam]))
+    forecasts = fc_glide(weekly_anchor_matrix(features, anchors), [lam])
+    return last_origin(forecasts).select("season", "anchor", "p", "p_hat")
 
 
 def forecast_shift(

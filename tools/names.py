@@ -1,0 +1,8 @@
+"""Print the query names registered in one catalog module."""
+
+import re
+import sys
+
+for module in sys.argv[1:]:
+    text = open(f"/root/repo/fieldshift/catalog/{module}.py").read()
+    print(" ".join(re.findall(r'@query\(\s*"([a-z_0-9]+)"', text)))
