@@ -176,7 +176,7 @@ AGAINST = """WITH z AS (SELECT f.season, f.period_ix, f.kl AS km, b.kl AS kb FRO
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY period_ix DESC) AS r FROM z),
     n AS (SELECT season, period_ix, count(*) AS n FROM feats JOIN cal USING (season, period) GROUP BY ALL)
     SELECT r.season, CAST(r.period_ix + 1 AS INTEGER) AS period_ix, rnd(km) AS kl_model, rnd(kb) AS kl_persistence,
-    km < kb AS model_beats_persistence, n FROM r JOIN n ON n.season = r.season AND n.period_ix = r.period_ix + 1 WHERE r <= 2""",
+    km < kb - 1e-9 AS model_beats_persistence, n FROM r JOIN n ON n.season = r.season AND n.period_ix = r.period_ix + 1 WHERE r <= 2""",
     "scores feats cal",
 )
 def backtest_rolling(spark, sf):
@@ -189,7 +189,7 @@ def backtest_rolling(spark, sf):
     AGAINST
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY period_ix DESC) AS r FROM z),
     n AS (SELECT season, count(*) AS n FROM feats GROUP BY ALL)
-    SELECT season, rnd(km) AS kl_model, rnd(kb) AS kl_persistence, km < kb AS model_beats_persistence, n
+    SELECT season, rnd(km) AS kl_model, rnd(kb) AS kl_persistence, km < kb - 1e-9 AS model_beats_persistence, n
     FROM r JOIN n USING (season) WHERE r = 1""",
     "scores feats",
 )
@@ -203,19 +203,19 @@ SWEEP = """WITH big AS (SELECT season FROM feats GROUP BY season ORDER BY count(
     USING (season, period_ix)),
     r AS (SELECT f.family, f.cand_ix, f.kl AS km, b.kl AS kb FROM f JOIN f b ON b.family = 'persistence' AND b.season = f.season
     WHERE f.family <> 'persistence'),
-    t AS (SELECT family, cand_ix, avg(km) AS a, avg(kb) AS b, avg(km - kb) AS c, count(*) FILTER (WHERE km - kb < 0) AS beats,
+    t AS (SELECT family, cand_ix, avg(km) AS a, avg(kb) AS b, avg(km - kb) AS c, count(*) FILTER (WHERE km - kb < -1e-9) AS beats,
     count(*) AS folds FROM r GROUP BY ALL)"""
 
 
 @query(
     "parameter_sweep",
     SWEEP
-    + """ SELECT family, cand_ix, rnd(a) AS mean_kl_model, rnd(b) AS mean_kl_persist, rnd(c) AS mean_margin, folds FROM t""",
+    + """ SELECT family, cand_ix, rnd(a) AS mean_kl_model, rnd(b) AS mean_kl_persist, rnd(c) AS mean_margin, beats, folds FROM t""",
     "scores feats",
 )
 def parameter_sweep(spark, sf):
     _, _, scores, sizes = _scores(spark, sf)
-    out = evaluate.parameter_sweep(scores, sizes, 5).drop("label", "beats")
+    out = evaluate.parameter_sweep(scores, sizes, 5).drop("label")
     return rounded(out, "mean_kl_model", "mean_kl_persist", "mean_margin")
 
 
@@ -223,15 +223,15 @@ def parameter_sweep(spark, sf):
     "sweep_summary",
     """WITH r AS (SELECT f.family, f.kl AS km, b.kl AS kb FROM scores f JOIN scores b ON b.family = 'persistence' AND b.season = f.season
     AND b.period_ix = f.period_ix WHERE f.family <> 'persistence'), t AS (SELECT family, avg(km) AS a, avg(kb) AS b, avg(km - kb) AS c,
-    count(*) AS folds FROM r GROUP BY family)
-    SELECT family, rnd(a) AS mean_kl_model, rnd(b) AS mean_kl_persist, rnd(c) AS mean_margin, folds FROM t""",
+    count(*) FILTER (WHERE km - kb < -1e-9) AS beats, count(*) AS folds FROM r GROUP BY family)
+    SELECT family, rnd(a) AS mean_kl_model, rnd(b) AS mean_kl_persist, rnd(c) AS mean_margin, beats, folds FROM t""",
     "scores",
 )
 def sweep_summary(spark, sf):
     _, _, scores, _ = _scores(spark, sf)
     bar = scores.where(F.col("family") == "persistence").select("season", "period_ix", F.col("kl").alias("kl_persistence"))
     runs = scores.where(F.col("family") != "persistence").withColumnRenamed("kl", "kl_model").join(bar, ["season", "period_ix"])
-    out = evaluate.sweep_summary(runs, ["family"]).drop("beats")
+    out = evaluate.sweep_summary(runs, ["family"])
     return rounded(out, "mean_kl_model", "mean_kl_persist", "mean_margin")
 
 

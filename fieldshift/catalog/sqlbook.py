@@ -171,7 +171,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
     "race": (
         "scores chosen",
-        """SELECT s.family, avg(s.kl) AS mean_kl, 100 * avg(CASE WHEN s.kl < b.kl THEN 1.0 ELSE 0.0 END) AS beats_pct
+        """SELECT s.family, avg(s.kl) AS mean_kl, 100 * avg(CASE WHEN s.kl < b.kl - 1e-9 THEN 1.0 ELSE 0.0 END) AS beats_pct
   FROM scores s JOIN chosen USING (family, season, cand_ix)
   JOIN scores b ON b.family = 'persistence' AND b.season = s.season AND b.period_ix = s.period_ix
   WHERE s.family <> 'persistence' GROUP BY s.family

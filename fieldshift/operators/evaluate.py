@@ -24,6 +24,9 @@ from fieldshift.operators.forecast import (
 
 POINT = ("season", "period_ix")
 CAND = list(CANDIDATE)
+# A forecast made from one period equals the last observation up to rounding;
+# a difference this small is a tie, not a win.
+TIE = 1e-9
 
 
 def forecast_points(P: DataFrame) -> DataFrame:
@@ -102,7 +105,7 @@ def horse_race(scores: DataFrame) -> DataFrame:
         .groupBy("family")
         .agg(
             F.avg("kl").alias("mean_kl"),
-            (100.0 * F.avg(F.when(F.col("kl") < F.col("bar"), 1.0).otherwise(0.0))).alias("beats_pct"),
+            (100.0 * F.avg(F.when(F.col("kl") < F.col("bar") - TIE, 1.0).otherwise(0.0))).alias("beats_pct"),
         )
     )
     usual = (
@@ -132,9 +135,12 @@ def best_next_forecast(
     forecasts: DataFrame, scores: DataFrame, latest_season: str, mapping: DataFrame, labels: DataFrame | None = None
 ) -> DataFrame:
     """Shift table of the latest season by the best candidate."""
-    last = forecasts.where(F.col("season") == latest_season)
-    end = last.agg(F.max("period_ix")).scalar()
-    picked = last.where(F.col("period_ix") == end).join(best_candidate(scores), CAND)
+    best = best_candidate(scores).first()
+    # the one chosen candidate becomes a literal filter, which prunes the other families' plans
+    chosen = F.lit(False) if best is None else (F.col("family") == best["family"]) & (F.col("cand_ix") == best["cand_ix"])
+    last = forecasts.where((F.col("season") == latest_season) & chosen)
+    end = F.max("period_ix").over(Window.partitionBy("season"))
+    picked = last.withColumn("_end", end).where(F.col("period_ix") == F.col("_end"))
     return unit_shift(picked, mapping, labels)
 
 
@@ -142,7 +148,7 @@ def _against_persistence(scores: DataFrame, model: str) -> DataFrame:
     bar = scores.where(F.col("family") == "persistence").select(*POINT, F.col("kl").alias("kl_persistence"))
     mine = scores.where(F.col("label") == model).select(*POINT, F.col("kl").alias("kl_model"))
     return mine.join(bar, list(POINT)).withColumn(
-        "model_beats_persistence", F.col("kl_model") < F.col("kl_persistence")
+        "model_beats_persistence", F.col("kl_model") < F.col("kl_persistence") - TIE
     )
 
 
@@ -191,7 +197,7 @@ def sweep_summary(runs: DataFrame, config: Sequence[str]) -> DataFrame:
             F.avg("kl_model").alias("mean_kl_model"),
             F.avg("kl_persistence").alias("mean_kl_persist"),
             F.avg(margin).alias("mean_margin"),
-            F.count_if(margin < 0).alias("beats"),
+            F.count_if(margin < -TIE).alias("beats"),
             F.count(F.lit(1)).alias("folds"),
         )
         .orderBy("mean_margin", *config)
