@@ -1 +1,263 @@
-"""Placeholder."""
+"""Win probability, matrices, ratings and completion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fieldshift.catalog import roles
+from fieldshift.catalog.registry import query, rounded
+from fieldshift.operators import pairing
+from fieldshift.operators.codebook import embed_rosters
+from fieldshift.operators.recommend import recommend_completions, roster_strength
+from fieldshift.operators.tokens import token_rows
+from fieldshift.plans.forecasts import field_state
+from fieldshift.plans.rating import rate_batch
+from fieldshift.session import stage
+
+SCORED = """WITH pr AS (SELECT pairing_id, label, 1 / (1 + exp(b.s - a.s)) AS p FROM pairing JOIN st a ON a.vec_id = vec_a
+    JOIN st b ON b.vec_id = vec_b)"""
+
+
+def _scored(spark, sf):
+    frozen = roles.space(spark, sf)
+    model = roles.mean_difference_model(spark, sf, frozen)
+    return pairing.win_probability(roles.pairing_vectors(spark, sf, frozen), model)
+
+
+@query("win_probability", SCORED + " SELECT pairing_id, label, rnd(p) AS win_prob FROM pr", "pairing st")
+def win_probability(spark, sf):
+    return rounded(_scored(spark, sf).select("pairing_id", "label", "win_prob"), "win_prob")
+
+
+@query(
+    "pairing_metrics",
+    SCORED
+    + """, q AS (SELECT round(p, 9) AS p, label FROM pr), k AS (SELECT p, label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS r FROM q),
+    a AS (SELECT (sum(CASE WHEN label = 1 THEN r END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label))) AS auc FROM k),
+    m AS (SELECT avg(CASE WHEN (p > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END) AS acc, avg(-(label * ln(p) + (1 - label) * ln(1 - p))) AS ll,
+    avg((p - label) ** 2) AS br, avg(label) AS rate FROM q), t AS (
+    SELECT 'model' AS method, auc, acc, ll, br FROM a, m UNION ALL SELECT 'coin flip', 0.5, greatest(rate, 1 - rate), ln(2), 0.25 FROM m)
+    SELECT method, rnd(auc) AS auc, rnd(acc) AS accuracy, rnd(ll) AS log_loss, rnd(br) AS brier FROM t""",
+    "pairing st",
+)
+def pairing_metrics(spark, sf):
+    # probabilities are rounded so that ties mean the same in both engines
+    scored = _scored(spark, sf).select("label", F.round("win_prob", 9).alias("win_prob"))
+    out = pairing.pairing_metrics(stage(scored, "scored"))
+    return rounded(out, "auc", "accuracy", "log_loss", "brier")
+
+
+@query(
+    "train_val_split",
+    """SELECT pairing_id, row_number() OVER (ORDER BY md5(pairing_id || '|0'), pairing_id) <= floor(count(*) OVER () * 0.15::DOUBLE) AS is_val FROM pairing""",
+    "pairing",
+)
+def train_val_split(spark, sf):
+    return pairing.train_val_split(roles.pairings(spark, sf)).select("pairing_id", "is_val")
+
+
+SAMPLES = """WITH sm AS (SELECT unit, roster_id, s FROM (SELECT unit, roster_id, s, row_number() OVER (PARTITION BY unit ORDER BY md5(roster_id || '|0'), roster_id) AS r
+    FROM roster JOIN st USING (vec_id)) q WHERE r <= 25)"""
+
+
+@query("unit_samples", SAMPLES + " SELECT unit, roster_id FROM sm", "roster st")
+def unit_samples(spark, sf):
+    return pairing.unit_samples(roles.roster(spark, sf)).select("unit", "roster_id")
+
+
+def _samples(spark, sf, frozen):
+    """Ids are sampled first; only the sampled rosters fetch a vector."""
+    ids = pairing.unit_samples(roles.roster(spark, sf)).select("unit", "roster_id", "vec_id")
+    return ids.join(frozen.vectors.select("vec_id", "embedding"), "vec_id")
+
+
+@query(
+    "expected_winrate",
+    SAMPLES
+    + """, e AS (SELECT v.vec_id, sm.unit, avg(1 / (1 + exp(sm.s - v.s))) AS w FROM st v CROSS JOIN sm GROUP BY ALL)
+    SELECT roster_id, e.unit, rnd(w) AS win_rate FROM roster JOIN e USING (vec_id)""",
+    "roster st",
+)
+def expected_winrate(spark, sf):
+    frozen = roles.space(spark, sf)
+    model = roles.mean_difference_model(spark, sf, frozen)
+    packed = pairing.packed_samples(_samples(spark, sf, frozen))
+    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), packed, model)
+    return rounded(rated, "win_rate")
+
+
+@query(
+    "weighted_winrate",
+    SAMPLES
+    + """, e AS (SELECT v.vec_id, sm.unit, avg(1 / (1 + exp(sm.s - v.s))) AS w FROM st v CROSS JOIN sm GROUP BY ALL),
+    h AS (SELECT unit, sum(weight) / sum(sum(weight)) OVER () AS share FROM roster GROUP BY unit),
+    o AS (SELECT vec_id, sum(w * share) / sum(share) AS w FROM e JOIN h USING (unit) GROUP BY vec_id)
+    SELECT roster_id, rnd(w) AS win_rate FROM roster JOIN o USING (vec_id)""",
+    "roster st",
+)
+def weighted_winrate(spark, sf):
+    from pyspark.sql import Window
+
+    frozen = roles.space(spark, sf)
+    model = roles.mean_difference_model(spark, sf, frozen)
+    packed = pairing.packed_samples(_samples(spark, sf, frozen))
+    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), packed, model)
+    weights = roles.roster(spark, sf).groupBy("unit").agg(F.sum("weight").alias("w"))
+    shares = weights.select("unit", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
+    return rounded(pairing.weighted_winrate(rated, shares), "win_rate")
+
+
+MATRIX = SAMPLES + """, mx AS (SELECT a.unit AS unit_a, b.unit AS unit_b, CASE WHEN a.unit = b.unit THEN 0.5 ELSE avg(1 / (1 + exp(b.s - a.s))) END AS w
+    FROM sm a CROSS JOIN sm b GROUP BY a.unit, b.unit), sh AS (SELECT unit, sum(weight) / sum(sum(weight)) OVER () AS share FROM roster GROUP BY unit)"""
+
+
+def _matrix(spark, sf):
+    frozen = roles.space(spark, sf)
+    model = roles.mean_difference_model(spark, sf, frozen)
+    return pairing.advantage_matrix(_samples(spark, sf, frozen), model)
+
+
+def _shares(spark, sf):
+    from pyspark.sql import Window
+
+    weights = roles.roster(spark, sf).groupBy("unit").agg(F.sum("weight").alias("w"))
+    return weights.select("unit", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
+
+
+@query("advantage_matrix", MATRIX + " SELECT unit_a, unit_b, rnd(w) AS win_prob FROM mx", "roster st")
+def advantage_matrix(spark, sf):
+    return rounded(_matrix(spark, sf), "win_prob")
+
+
+@query(
+    "advantage_graph",
+    MATRIX
+    + """, nd AS (SELECT unit_a AS unit, sum(share * w) / sum(share) AS f FROM mx JOIN sh ON sh.unit = unit_b WHERE unit_a <> unit_b GROUP BY unit_a)
+    SELECT 'node' AS part, nd.unit AS source, '' AS target, rnd(f) AS value FROM nd
+    UNION ALL SELECT 'edge', unit_a, unit_b, rnd(w) FROM mx WHERE unit_a <> unit_b AND w > 0.501""",
+    "roster st",
+)
+def advantage_graph(spark, sf):
+    matrix = stage(_matrix(spark, sf), "matrix")
+    shares = _shares(spark, sf)
+    nodes = pairing.advantage_nodes(matrix, shares).select(
+        F.lit("node").alias("part"), F.col("unit").alias("source"), F.lit("").alias("target"), F.col("field_winrate").alias("value")
+    )
+    edges = pairing.advantage_edges(matrix, shares, threshold=0.501).select(
+        F.lit("edge").alias("part"), "source", "target", F.col("advantage").alias("value")
+    )
+    return rounded(nodes.unionByName(edges), "value")
+
+
+RATED = """WITH fr AS (SELECT f.*, mp.unit AS core, coalesce(fam.family, 'none') AS family, st.s FROM feats f JOIN mp USING (anchor) JOIN st USING (vec_id)
+    LEFT JOIN fam USING (roster_id)),
+    us AS (SELECT core, s FROM (SELECT core, s, row_number() OVER (PARTITION BY core ORDER BY md5(roster_id || '|0'), roster_id) AS r FROM fr) q WHERE r <= 25),
+    fs2 AS (SELECT family, s FROM (SELECT family, s, row_number() OVER (PARTITION BY family ORDER BY md5(roster_id || '|0'), roster_id) AS r FROM fr) q WHERE r <= 25),
+    ue AS (SELECT v.vec_id, core, avg(1 / (1 + exp(us.s - v.s))) AS w FROM st v CROSS JOIN us GROUP BY ALL),
+    fe AS (SELECT v.vec_id, family, avg(1 / (1 + exp(fs2.s - v.s))) AS w FROM st v CROSS JOIN fs2 GROUP BY ALL),
+    cn AS (SELECT anchor, family, count(*) AS n FROM fr WHERE season = 'y2000' GROUP BY ALL),
+    fa AS (SELECT anchor, arg_min(family, (-n, family)) AS family FROM cn GROUP BY anchor),
+    fsh AS (SELECT family, sum(p) / sum(sum(p)) OVER () AS a, sum(p_hat) / sum(sum(p_hat)) OVER () AS b FROM nxt JOIN fa USING (anchor)
+      WHERE season = 'y2000' GROUP BY family),
+    ush AS (SELECT unit AS core, current_share AS a, predicted_share AS b FROM shift WHERE season = 'y2000' AND current_share >= 0.005),
+    o AS (SELECT vec_id, sum(w * a) / sum(a) AS ua, sum(w * b) / sum(b) AS ub FROM ue JOIN ush USING (core) GROUP BY vec_id),
+    p AS (SELECT vec_id, sum(w * a) / sum(a) AS fa, sum(w * b) / sum(b) AS fb FROM fe JOIN fsh USING (family) GROUP BY vec_id)"""
+
+
+def _field(spark, sf):
+    frozen = roles.space(spark, sf)
+    rows = stage(
+        roles.features(spark, sf, frozen)
+        .join(roles.families(spark, sf), "roster_id", "left")
+        .join(frozen.mapping().withColumnRenamed("unit", "core"), "anchor")
+        .select("roster_id", "vec_id", "season", "period", "anchor", "weight", F.coalesce("family", F.lit("none")).alias("family"), F.col("core").alias("unit")),
+        "field-rows",
+    )
+    vec = frozen.vectors.select("vec_id", "embedding")
+    units = pairing.unit_samples(rows, "unit").join(vec, "vec_id")
+    fams = pairing.unit_samples(rows, "family").join(vec, "vec_id")
+    return frozen, rows, units, fams
+
+
+@query(
+    "rate_rosters",
+    RATED
+    + """ SELECT roster_id, rnd(ua) AS current_by_unit, rnd(ub) AS predicted_by_unit, rnd(fa) AS current_by_family, rnd(fb) AS predicted_by_family
+    FROM roster JOIN o USING (vec_id) JOIN p USING (vec_id)""",
+    "feats mp fam st nxt shift roster",
+)
+def rate_rosters(spark, sf):
+    frozen, rows, units, fams = _field(spark, sf)
+    state = field_state(rows, frozen.mapping(), frozen.size, "y2000")
+    model = roles.mean_difference_model(spark, sf, frozen)
+    out = rate_batch(roles.roster_vectors(spark, sf, frozen), units, fams, state, model)
+    return rounded(out, "current_by_unit", "predicted_by_unit", "current_by_family", "predicted_by_family")
+
+
+@query(
+    "worst_matchups",
+    RATED
+    + """, k AS (SELECT vec_id, family, round(w, 9) AS w, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 9), family) AS r FROM fe),
+    z AS (SELECT *, avg(w) OVER (PARTITION BY vec_id) AS m FROM k WHERE r <= 3)
+    SELECT roster_id, CAST(r AS INTEGER) AS rank, family, rnd(w) AS win_rate, rnd(m) AS worst_mean FROM roster JOIN z USING (vec_id)""",
+    "feats mp fam st nxt shift roster",
+)
+def worst_matchups(spark, sf):
+    frozen, _, _, fams = _field(spark, sf)
+    model = roles.mean_difference_model(spark, sf, frozen)
+    rated = pairing.expected_winrate(
+        roles.roster_vectors(spark, sf, frozen), pairing.packed_samples(fams, "family"), model, "family"
+    )
+    rated = rated.withColumn("win_rate", F.round("win_rate", 9))
+    return rounded(pairing.worst_matchups(rated, 3, "family"), "win_rate", "worst_mean")
+
+
+# --- trained models ---
+
+
+@query("fit_strength")
+def fit_strength(spark, sf):
+    frozen = roles.space(spark, sf)
+    pairs = stage(roles.pairing_vectors(spark, sf, frozen), "pairs")
+    split = pairing.train_val_split(pairs)
+    model = pairing.fit_strength(split.where(~F.col("is_val")))
+    return pairing.pairing_metrics(stage(pairing.win_probability(split.where("is_val"), model), "scored"))
+
+
+@query("fit_interactions")
+def fit_interactions(spark, sf):
+    frozen = roles.space(spark, sf)
+    raw = frozen.vectors.select("vec_id", F.col("embedding").alias("vec"))
+    small = pairing.pca_project(raw, raw, k=8).select("vec_id", F.col("xyz").alias("embedding"))
+    ids = roles.roster(spark, sf).select("roster_id", "vec_id").join(small, "vec_id")
+    pairs = roles.pairings(spark, sf)
+    for side in ("a", "b"):
+        named = ids.select(F.col("roster_id").alias(f"roster_{side}"), F.col("embedding").alias(side))
+        pairs = pairs.join(named, f"roster_{side}")
+    split = pairing.train_val_split(stage(pairs, "pairs"))
+    model = pairing.fit_interactions(split.where(~F.col("is_val")))
+    return pairing.pairing_metrics(stage(pairing.win_probability(split.where("is_val"), model), "scored"))
+
+
+@query("recommend_completions")
+def recommend(spark, sf):
+    """Every roster of fewer than six members, with one item left out of each."""
+    members = stage(roles.members(spark, sf), "members")
+    dim = roles.dimension(spark, sf)
+    rows = stage(token_rows(members, dim, roles.ROLE_STATS), "tokens")
+    won = roles.roster(spark, sf).select("roster_id", "won", "unit")
+    # a token's strength: how far its rosters' win rate lies from one half
+    strengths = stage(
+        rows.join(won.where(F.col("won").isNotNull()), "roster_id")
+        .groupBy("token")
+        .agg((4.0 * (F.avg(F.col("won").cast("double")) - 0.5)).alias("strength")),
+        "strengths",
+    )
+    sampled = pairing.unit_samples(won, "unit").select("roster_id", "unit")
+    opponents = roster_strength(rows.join(sampled, "roster_id"), strengths, ["unit", "roster_id"])
+    fields = opponents.groupBy(F.col("unit").alias("family")).agg(
+        F.sort_array(F.collect_list(F.col("s") / F.col("n"))).alias("field")
+    )
+    open_rosters = members.groupBy("roster_id").count().where(F.col("count") < 6).select("roster_id")
+    unfinished = members.join(open_rosters, "roster_id").withColumn("item", F.when(F.col("slot") > 1, F.col("item")))
+    return recommend_completions(unfinished, dim, strengths, stage(fields, "fields"), members, roles.ROLE_STATS)

@@ -59,9 +59,9 @@ def read_standings(spark, sf):
     "standing_to_roster",
     """WITH d AS (SELECT o_custkey, o_orderkey // 1000 AS c, min(o_orderdate) AS d FROM orders WHERE o_orderkey IN (SELECT roster_id FROM member)
     GROUP BY ALL), m AS (SELECT roster_id, string_agg(species || '/' || moves_text, ',' ORDER BY slot) AS t FROM member GROUP BY roster_id),
-    p AS (SELECT *, floor(o_totalprice / 10000)::INTEGER AS placing FROM orders WHERE o_orderstatus <> 'P')
+    p AS (SELECT *, floor(o_totalprice / 10000)::INTEGER AS rk FROM orders WHERE o_orderstatus <> 'P')
     SELECT CAST(p.o_custkey AS VARCHAR) AS source_id, CAST(o_orderkey AS VARCHAR) AS player, CAST(epoch(d) AS BIGINT) AS ts,
-    (round(8 * CASE WHEN placing > 0 THEN 1 + 1.0 / placing ELSE 1 END, 6) + 0.0)::DOUBLE AS weight, t AS members FROM p
+    (round(8 * CASE WHEN rk > 0 THEN 1 + 1.0 / rk ELSE 1 END, 6) + 0.0)::DOUBLE AS weight, t AS members FROM p
     JOIN d ON d.o_custkey = p.o_custkey AND d.c = o_orderkey // 1000 JOIN m ON roster_id = o_orderkey""",
     "member",
 )
@@ -212,7 +212,7 @@ def extract_pairings(spark, sf):
     c AS (SELECT page_id, CASE WHEN regexp_matches(html, '^\s*<') AND t <> '' THEN t ELSE html END AS t FROM b)
     SELECT page_id, md5(ENTITY_CHAIN) AS digest FROM c""".replace(
         "ENTITY_CHAIN",
-        "replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&#x27;', ''''), '&nbsp;', chr(160)), '&amp;', '&')",
+        "regexp_replace(replace(replace(replace(replace(regexp_replace(t, '&quot;?', '\"', 'g'), '&lt;', '<'), '&gt;', '>'), '&copy;', chr(169)), '&middot;', chr(183)), '&amp;?', '&', 'g')",
     ),
 )
 def extract_html_blocks(spark, sf):
@@ -451,11 +451,7 @@ def encode_tokens(spark, sf):
 )
 def masked_examples(spark, sf):
     out = tokens.masked_examples(_encoded(spark, sf))
-    # the masked cell must hold MASK and nothing else may
-    only = F.filter(F.transform("value_ids", lambda v, i: F.when(v == tokens.MASK_ID, i)), lambda i: i.isNotNull())
-    return out.where((F.size(only) == 1) & (only[0] == F.col("target_at"))).select(
-        "roster_id", "target_at", "target_value_id", "target_kind_id"
-    )
+    return out.select("roster_id", "target_at", "target_value_id", "target_kind_id")
 
 
 # --- what rosters hold ---

@@ -133,7 +133,8 @@ def auc(scored: DataFrame, prob: str = "win_prob", label: str = "label") -> Data
     )
     grid = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
     cuts = scored.agg(F.percentile_approx(prob, grid, F.lit(4096))).scalar()
-    ties = ties.withColumn("_b", F.size(F.filter(cuts, lambda c: c <= F.col("s"))))
+    ties = ties.withColumn("_cuts", cuts)
+    ties = ties.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col("s")))).drop("_cuts")
     below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         ties.groupBy("_b")
@@ -206,12 +207,13 @@ def expected_winrate(rosters: DataFrame, packed: DataFrame, model: PairModel, un
             return sigmoid(mine - other) if model.gain is None else model.win_prob(mine, other)
 
         return F.transform(
-            everything, lambda u: F.struct(u[unit].alias(unit), mean(u["field"], win).alias("win_rate"))
+            "_fields", lambda u: F.struct(u[unit].alias(unit), mean(u["field"], win).alias("win_rate"))
         )
 
     vec = as_double(F.col("embedding"))
     rated = let(vec if model.gain is not None else model.strength(vec), against_all)
-    return rosters.select(key, F.explode(rated).alias("_r")).select(key, f"_r.{unit}", "_r.win_rate")
+    held = rosters.withColumn("_fields", everything)
+    return held.select(key, F.explode(rated).alias("_r")).select(key, f"_r.{unit}", "_r.win_rate")
 
 
 def weighted_winrate(rated: DataFrame, weights: DataFrame, unit: str = "unit", key: str = "roster_id") -> DataFrame:

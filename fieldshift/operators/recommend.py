@@ -121,12 +121,13 @@ def recommend_completions(
         return F.aggregate(wins, F.lit(0.0), lambda t, x: t + x) / F.size(field)
 
     faced = F.transform(
-        everything,
+        "_fields",
         lambda f: F.struct(
             against(f["field"], F.col("s") / F.col("n")).alias("w"), f["family"].alias("family"), f["field"].alias("field")
         ),
     )
-    base = base.withColumn("worst", F.slice(F.array_sort(faced), 1, WORST))
+    base = base.withColumn("_fields", everything)
+    base = base.withColumn("worst", F.slice(F.array_sort(faced), 1, WORST)).drop("_fields")
     base = base.withColumn("base_rate", _mean(F.transform("worst", lambda f: f["w"])))
 
     # a whole further member, from the pool of frequent configurations
@@ -156,9 +157,9 @@ def recommend_completions(
     shapes = members.groupBy("roster_id").agg(
         F.count(F.lit(1)).alias("size"), F.collect_set(bare_id(F.col("species"))).alias("owned")
     )
-    ready = base.join(shapes, "roster_id")
-    fresh = F.slice(F.filter(pool, lambda c: ~F.array_contains(F.col("owned"), c["species_id"])), 1, TRY_MEMBERS)
-    added = ready.where(F.col("size") < TEAM_SIZE).select(
+    ready = base.join(shapes, "roster_id").where(F.col("size") < TEAM_SIZE).withColumn("_pool", pool)
+    fresh = F.slice(F.filter("_pool", lambda c: ~F.array_contains(F.col("owned"), c["species_id"])), 1, TRY_MEMBERS)
+    added = ready.select(
         "roster_id",
         F.lit("member").alias("slot"),
         F.transform(
@@ -188,6 +189,8 @@ def recommend_completions(
         .withColumn("species_id", bare_id(F.col("species")))
         .join(by_kind, "species_id")
         .join(base, "roster_id")
+        .withColumn("_no_item", blank("item"))
+        .withColumn("_no_ability", blank("ability"))
     )
     total, count = F.col("s"), F.col("n")
     have = F.transform("moves", lambda m: bare_id(m))
@@ -206,7 +209,7 @@ def recommend_completions(
                 empty("item"),
                 F.transform(
                     "options_item",
-                    lambda o: option(o["value"], (total - blank("item") + o["worth"]) / count),
+                    lambda o: option(o["value"], (total - F.col("_no_item") + o["worth"]) / count),
                 ),
             ).alias("options"),
         ),
@@ -216,7 +219,7 @@ def recommend_completions(
                 empty("ability"),
                 F.transform(
                     "options_ability",
-                    lambda o: option(o["value"], (total - blank("ability") + o["worth"]) / count),
+                    lambda o: option(o["value"], (total - F.col("_no_ability") + o["worth"]) / count),
                 ),
             ).alias("options"),
         ),

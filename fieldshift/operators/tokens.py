@@ -163,22 +163,24 @@ def masked_examples(encoded: DataFrame, seed: int = 0) -> DataFrame:
 
     The position with the smallest draw wins; rosters without one are dropped.
     """
-    pick = F.array_min(
+    position = F.array_min(
         F.transform(
             "maskable_at", lambda i: F.struct(draw(seed, F.col("roster_id"), i).alias("d"), i.alias("at"))
         )
     )["at"]
-    chosen = encoded.where(F.size("maskable_at") > 0).withColumn("target_at", pick)
-    return chosen.select(
-        "roster_id",
-        "target_at",
-        F.get("value_ids", "target_at").alias("target_value_id"),
-        F.get("kind_ids", "target_at").alias("target_kind_id"),
-        "kind_ids",
-        F.transform(
-            "value_ids", lambda v, i: F.when(i == F.col("target_at"), F.lit(MASK_ID)).otherwise(v)
-        ).alias("value_ids"),
-        "attr_mask",
+
+    def example(at: Column) -> Column:
+        hidden = F.transform("value_ids", lambda v, i: F.when(i == at, F.lit(MASK_ID)).otherwise(v))
+        return F.struct(
+            at.alias("target_at"),
+            F.get("value_ids", at).alias("target_value_id"),
+            F.get("kind_ids", at).alias("target_kind_id"),
+            hidden.alias("value_ids"),
+        )
+
+    chosen = encoded.where(F.size("maskable_at") > 0)
+    return chosen.select("roster_id", let(position, example).alias("_e"), "kind_ids", "attr_mask").select(
+        "roster_id", "_e.*", "kind_ids", "attr_mask"
     )
 
 
