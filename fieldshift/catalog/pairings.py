@@ -81,8 +81,8 @@ def _samples(spark, sf, frozen):
 def expected_winrate(spark, sf):
     frozen = roles.space(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
-    packed = pairing.packed_samples(_samples(spark, sf, frozen))
-    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), packed, model)
+    field = pairing.Field.load(_samples(spark, sf, frozen))
+    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), field, model)
     return rounded(rated, "win_rate")
 
 
@@ -100,8 +100,8 @@ def weighted_winrate(spark, sf):
 
     frozen = roles.space(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
-    packed = pairing.packed_samples(_samples(spark, sf, frozen))
-    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), packed, model)
+    field = pairing.Field.load(_samples(spark, sf, frozen))
+    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), field, model)
     weights = roles.roster(spark, sf).groupBy("unit").agg(F.sum("weight").alias("w"))
     shares = weights.select("unit", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
     return rounded(pairing.weighted_winrate(rated, shares), "win_rate")
@@ -206,7 +206,7 @@ def worst_matchups(spark, sf):
     frozen, _, _, fams = _field(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
     rated = pairing.expected_winrate(
-        roles.roster_vectors(spark, sf, frozen), pairing.packed_samples(fams, "family"), model, "family"
+        roles.roster_vectors(spark, sf, frozen), pairing.Field.load(fams, "family"), model, "family"
     )
     rated = rated.withColumn("win_rate", F.round("win_rate", 9))
     return rounded(pairing.worst_matchups(rated, 3, "family"), "win_rate", "worst_mean")
@@ -255,9 +255,8 @@ def recommend(spark, sf):
     )
     sampled = pairing.unit_samples(won, "unit").select("roster_id", "unit")
     opponents = roster_strength(rows.join(sampled, "roster_id"), strengths, ["unit", "roster_id"])
-    fields = opponents.groupBy(F.col("unit").alias("family")).agg(
-        F.sort_array(F.collect_list(F.col("s") / F.col("n"))).alias("field")
-    )
+    rated = opponents.select(F.col("unit").alias("family"), (F.col("s") / F.col("n")).alias("strength"))
+    field = pairing.Field.load(rated, "family", "strength")
     open_rosters = members.groupBy("roster_id").count().where(F.col("count") < 6).select("roster_id")
     unfinished = members.join(open_rosters, "roster_id").withColumn("item", F.when(F.col("slot") > 1, F.col("item")))
-    return recommend_completions(unfinished, dim, strengths, stage(fields, "fields"), members, roles.ROLE_STATS)
+    return recommend_completions(unfinished, dim, strengths, field, members, roles.ROLE_STATS)

@@ -6,18 +6,21 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldshift.functions.draws import draw, first_k, numbered
-from fieldshift.functions.vectors import as_double, dot, double_array, let
+from fieldshift.functions.vectors import as_double, dot, double_array
 
 SAMPLE_PER_UNIT = 25
 EDGE_THRESHOLD = 0.53
 SCORE_BUCKETS = 256
+MAX_FIELD = 65_536
 
 
 # --- models ---
@@ -183,37 +186,88 @@ def unit_samples(rows: DataFrame, unit: str = "unit", k: int = SAMPLE_PER_UNIT,
     return first_k(rows.where(F.col(unit).isNotNull()), [unit], [draw(seed, F.col(key)), F.col(key)], k)
 
 
-def packed_samples(samples: DataFrame, unit: str = "unit", vec: str = "embedding") -> DataFrame:
-    """(unit, field): each unit's sample as one array of at most k vectors."""
-    return samples.groupBy(unit).agg(F.collect_list(as_double(F.col(vec))).alias("field"))
-
+@dataclass(frozen=True)
+class Field:
+    """Sampled opponents by unit: a model-sized table, loaded once and checked."""
+
+    keys: tuple
+    starts: np.ndarray
+    counts: np.ndarray
+    points: np.ndarray
+
+    @staticmethod
+    def load(samples: DataFrame, unit: str = "unit", value: str = "embedding", max_rows: int = MAX_FIELD) -> Field:
+        rows = samples.select(F.col(unit).alias("u"), F.col(value).alias("v")).limit(max_rows + 1).collect()
+        if not rows:
+            raise ValueError("no sampled opponents")
+        if len(rows) > max_rows:
+            raise ValueError(f"more than {max_rows} sampled opponents; sample fewer per unit")
+        rows.sort(key=lambda r: (r["u"], r["v"]))
+        keys, counts = [], []
+        for r in rows:
+            if not keys or keys[-1] != r["u"]:
+                keys.append(r["u"])
+                counts.append(0)
+            counts[-1] += 1
+        points = np.array([r["v"] for r in rows], dtype=np.float64)
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        return Field(tuple(keys), starts, np.array(counts), points)
+
+    def key_at(self, position: Column) -> Column:
+        return F.get(F.array(*[F.lit(k) for k in self.keys]), position)
+
+
+def _mean_rates(field: Field, logits) -> Column:
+    """Arrow function: array column of mean win probabilities, one per unit of the field."""
+    starts, counts = field.starts, field.counts
+    width, units = int(counts.sum()), len(counts)
+    step = max(1, 4_000_000 // width)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def rates(column: pa.Array) -> pa.Array:
+        n = len(column)
+        if n == 0:
+            return pa.array([], pa.list_(pa.float64()))
+        nested = pa.types.is_list(column.type)
+        flat = (column.flatten() if nested else column).to_numpy(zero_copy_only=False).astype(np.float64)
+        mine = flat.reshape(n, -1) if nested else flat
+        out = np.empty((n, units))
+        for i in range(0, n, step):
+            p = 1.0 / (1.0 + np.exp(-logits(mine[i : i + step])))
+            out[i : i + step] = np.add.reduceat(p, starts, axis=1) / counts
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * units + 1, units), pa.int32()), pa.array(out.ravel()))
+
+    return rates
+
+
+def field_rates(vec: Column, field: Field, model: PairModel) -> Column:
+    """Array of expected win rates of a vector against every unit of the field.
+
+    One matrix product per Arrow batch: rosters are neither shuffled nor
+    multiplied by their opponents.
+    """
+    w = np.array(model.weights)
+    gain = None if model.gain is None else np.array(model.gain)
+    theirs = field.points @ w
+    points = field.points
 
-def expected_winrate(rosters: DataFrame, packed: DataFrame, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
-    """(key, unit, win_rate): every roster against every unit's sample.
+    def logits(mine: np.ndarray) -> np.ndarray:
+        line = (mine @ w)[:, None] - theirs[None, :]
+        return line if gain is None else line + (mine @ gain) @ points.T
 
-    The samples (units x k vectors) ride along as one scalar value; rosters
-    are neither shuffled nor multiplied before the small per-unit result.
-    """
-    def mean(field: Column, win) -> Column:
-        return F.aggregate(field, F.lit(0.0), lambda t, o: t + win(o)) / F.size(field)
+    return _mean_rates(field, logits)(as_double(vec))
 
-    if model.gain is None:
-        # Linear model: the opponents reduce to their strengths.
-        packed = packed.select(unit, F.transform("field", lambda o: model.strength(o)).alias("field"))
-    everything = packed.agg(F.sort_array(F.collect_list(F.struct(unit, "field")))).scalar()
 
-    def against_all(mine: Column) -> Column:
-        def win(other: Column) -> Column:
-            return sigmoid(mine - other) if model.gain is None else model.win_prob(mine, other)
+def strength_rates(strength: Column, field: Field) -> Column:
+    """The same for scalar strengths (the field then holds strengths)."""
+    theirs = field.points
+    return _mean_rates(field, lambda mine: mine[:, None] - theirs[None, :])(strength.cast("double"))
 
-        return F.transform(
-            "_fields", lambda u: F.struct(u[unit].alias(unit), mean(u["field"], win).alias("win_rate"))
-        )
 
-    vec = as_double(F.col("embedding"))
-    rated = let(vec if model.gain is not None else model.strength(vec), against_all)
-    held = rosters.withColumn("_fields", everything)
-    return held.select(key, F.explode(rated).alias("_r")).select(key, f"_r.{unit}", "_r.win_rate")
+def expected_winrate(rosters: DataFrame, field: Field, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
+    """(key, unit, win_rate): every roster against every unit's sample."""
+    rated = rosters.select(key, F.posexplode(field_rates(F.col("embedding"), field, model)).alias("_u", "win_rate"))
+    return rated.select(key, field.key_at(F.col("_u")).alias(unit), "win_rate")
 
 
 def weighted_winrate(rated: DataFrame, weights: DataFrame, unit: str = "unit", key: str = "roster_id") -> DataFrame:
@@ -229,9 +283,9 @@ def advantage_matrix(samples: DataFrame, model: PairModel, unit: str = "unit", k
 
     The result is units x units by definition; the samples are small and bounded.
     """
-    packed = packed_samples(samples, unit)
-    named = samples.withColumnRenamed(unit, "unit_a")
-    rows = expected_winrate(named.withColumn("_k", F.struct("unit_a", key)), packed, model, unit, "_k")
+    field = Field.load(samples, unit)
+    named = samples.withColumnRenamed(unit, "unit_a").withColumn("_k", F.struct("unit_a", key))
+    rows = expected_winrate(named, field, model, unit, "_k")
     means = rows.groupBy(F.col("_k.unit_a").alias("unit_a"), F.col(unit).alias("unit_b")).agg(
         F.avg("win_rate").alias("win_prob")
     )

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import first_k
 from fieldshift.functions.text import UNKNOWN, bare_id, canonical_id
-from fieldshift.operators.pairing import sigmoid
+from fieldshift.operators.pairing import Field, strength_rates
 from fieldshift.operators.tokens import TEAM_SIZE, token_rows
+from fieldshift.session import stage
 
 # How many alternatives of each kind are kept and tried.
 POOL_SIZE = 150
@@ -89,7 +90,7 @@ def recommend_completions(
     members: DataFrame,
     dimension: DataFrame,
     strengths: DataFrame,
-    fields: DataFrame,
+    field: Field,
     corpus: DataFrame,
     stats: tuple[str, ...],
     top: int = TOP_OPTIONS,
@@ -97,8 +98,8 @@ def recommend_completions(
     """Best additions to unfinished rosters against their three worst families.
 
     ``members``: rosters to complete, a row per member (roster_id, slot, species,
-    item, ability, nature, moves). ``strengths`` is (token, strength), ``fields``
-    (family, field) with the sampled opponents' strengths, ``corpus`` the
+    item, ability, nature, moves). ``strengths`` is (token, strength), ``field``
+    holds the sampled opponents' strengths by family, ``corpus`` the
     members of real rosters the options come from.
 
     Options are held in arrays next to the roster, so a batch is neither
@@ -107,29 +108,16 @@ def recommend_completions(
     strongest ones; only those get their win rates computed.
     """
     base = roster_strength(token_rows(members, dimension, stats), strengths, ["roster_id"])
+    rates = strength_rates(F.col("s") / F.col("n"), field)
+    ranked = F.transform(rates, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    base = base.withColumn("worst", F.slice(F.array_sort(ranked), 1, WORST))
+    base = stage(base.withColumn("base_rate", _mean(F.transform("worst", lambda f: f["w"]))), "completion-base")
 
     def blank(kind: str) -> Column:
         """Strength of the token that stands for an empty field."""
         token = F.col("token") == f"{kind}:{UNKNOWN}"
         return F.coalesce(strengths.where(token).agg(F.max("strength")).scalar(), F.lit(0.0))
 
-    # three worst families of every roster
-    everything = fields.agg(F.sort_array(F.collect_list(F.struct("family", "field")))).scalar()
-
-    def against(field: Column, strength: Column) -> Column:
-        wins = F.transform(field, lambda o: sigmoid(strength - o))
-        return F.aggregate(wins, F.lit(0.0), lambda t, x: t + x) / F.size(field)
-
-    faced = F.transform(
-        "_fields",
-        lambda f: F.struct(
-            against(f["field"], F.col("s") / F.col("n")).alias("w"), f["family"].alias("family"), f["field"].alias("field")
-        ),
-    )
-    base = base.withColumn("_fields", everything)
-    base = base.withColumn("worst", F.slice(F.array_sort(faced), 1, WORST)).drop("_fields")
-    base = base.withColumn("base_rate", _mean(F.transform("worst", lambda f: f["w"])))
-
     # a whole further member, from the pool of frequent configurations
     pool_rows = member_pool(corpus).select(
         "species_id", F.xxhash64("species_id", "item_id", "ability_id", "move_ids").alias("roster_id"),
@@ -240,7 +228,8 @@ def recommend_completions(
         F.array_sort(F.transform("options", lambda o: F.struct((-o["v"]).alias("o"), o["label"].alias("label")))), 1, top
     )
     rows = best.select("roster_id", "slot", F.posexplode(ordered).alias("pos", "o"), "worst", "base_rate")
-    rate = _mean(F.transform("worst", lambda f: against(f["field"], -F.col("o.o"))))
+    rows = rows.withColumn("_rates", strength_rates(-F.col("o.o"), field))
+    rate = _mean(F.transform("worst", lambda f: F.get("_rates", f["i"])))
     return rows.select(
         "roster_id",
         "slot",

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from fieldshift.operators import pairing
+from fieldshift.functions.vectors import dot, double_array
+from fieldshift.operators.pairing import Field, PairModel, field_rates
 from fieldshift.plans.forecasts import FieldState
 
 UNIT_MIN_SHARE = 0.005
@@ -15,17 +17,42 @@ def rate_batch(
     unit_samples: DataFrame,
     family_samples: DataFrame,
     state: FieldState,
-    model: pairing.PairModel,
+    model: PairModel,
     unit_min_share: float = UNIT_MIN_SHARE,
 ) -> DataFrame:
-    """Four aggregates per roster: by unit and by family, current and predicted."""
-    units = pairing.expected_winrate(rosters, pairing.packed_samples(unit_samples, "unit"), model, "unit")
-    families = pairing.expected_winrate(rosters, pairing.packed_samples(family_samples, "family"), model, "family")
-    by_unit = pairing.rate_rosters(units, state.unit_shares, "unit", unit_min_share)
-    by_family = pairing.rate_rosters(families, state.family_shares, "family")
-    return by_unit.withColumnsRenamed(
-        {"by_current": "current_by_unit", "by_predicted": "predicted_by_unit"}
-    ).join(
-        by_family.withColumnsRenamed({"by_current": "current_by_family", "by_predicted": "predicted_by_family"}),
+    """Four aggregates per roster: by unit and by family, current and predicted.
+
+    The field and its shares are unit-sized and loaded; the rosters are scored
+    in one pass without a shuffle.
+    """
+    units, families = Field.load(unit_samples, "unit"), Field.load(family_samples, "family")
+    rated = rosters.select(
+        "roster_id",
+        field_rates(F.col("embedding"), units, model).alias("_u"),
+        field_rates(F.col("embedding"), families, model).alias("_f"),
+    )
+    by_unit = _weights(state.unit_shares, "unit", units, unit_min_share)
+    by_family = _weights(state.family_shares, "family", families)
+    return rated.select(
         "roster_id",
+        _average("_u", by_unit["current_share"]).alias("current_by_unit"),
+        _average("_u", by_unit["predicted_share"]).alias("predicted_by_unit"),
+        _average("_f", by_family["current_share"]).alias("current_by_family"),
+        _average("_f", by_family["predicted_share"]).alias("predicted_by_family"),
     )
+
+
+def _weights(shares: DataFrame, unit: str, field: Field, min_share: float = 0.0) -> dict[str, list[float]]:
+    """Shares in the field's unit order, scaled to sum to one; units without a share weigh nothing."""
+    kept = shares.where((F.col("current_share") >= min_share) & F.col(unit).isin(list(field.keys)))
+    held = {r[unit]: r for r in kept.select(unit, "current_share", "predicted_share").collect()}
+    out = {}
+    for name in ("current_share", "predicted_share"):
+        raw = [float(held[k][name]) if k in held else 0.0 for k in field.keys]
+        whole = sum(raw) or 1.0
+        out[name] = [x / whole for x in raw]
+    return out
+
+
+def _average(rates: str, weights: list[float]) -> Column:
+    return dot(F.col(rates), double_array(weights))
