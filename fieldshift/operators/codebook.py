@@ -172,7 +172,7 @@ def fingerprint(
 ) -> DataFrame:
     """The best-fitting units of each new row with fit, distance and representative."""
     ranked = F.slice(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 fit_scores(F.col("embedding"), units, temperature),
                 lambda s: F.struct((-s["score"]).alias("o"), s["id"].alias("unit"), s["distance"].alias("distance")),

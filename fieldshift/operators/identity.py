@@ -19,13 +19,13 @@ def roster_hash(members: Column) -> Column:
             F.struct(
                 m["ability"].alias("ability"),
                 m["item"].alias("item"),
-                F.array_sort(m["moves"]).alias("moves"),
+                F.sort_array(m["moves"]).alias("moves"),
                 m["nature"].alias("nature"),
                 m["species"].alias("species"),
             )
         ),
     )
-    payload = F.concat(F.lit("["), F.array_join(F.array_sort(signature), ","), F.lit("]"))
+    payload = F.concat(F.lit("["), F.array_join(F.sort_array(signature), ","), F.lit("]"))
     return F.substring(F.sha2(payload, 256), 1, HASH_LENGTH)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import first_k
 from fieldshift.functions.text import UNKNOWN, bare_id, canonical_id
+from fieldshift.functions.vectors import let
 from fieldshift.operators.pairing import Field, strength_rates
 from fieldshift.operators.tokens import TEAM_SIZE, token_rows
 from fieldshift.session import stage
@@ -27,7 +28,7 @@ def member_pool(members: DataFrame, size: int = POOL_SIZE) -> DataFrame:
     ``members`` is one row per member with (roster_id, slot) for "first seen".
     Ties in frequency go by the configuration itself.
     """
-    moves = F.array_sort(F.transform("moves", lambda m: bare_id(m)))
+    moves = F.sort_array(F.transform("moves", lambda m: bare_id(m)))
     keyed = members.select(
         bare_id(F.col("species")).alias("species_id"),
         bare_id(F.coalesce("item", F.lit(""))).alias("item_id"),
@@ -110,7 +111,7 @@ def recommend_completions(
     base = roster_strength(token_rows(members, dimension, stats), strengths, ["roster_id"])
     rates = strength_rates(F.col("s") / F.col("n"), field)
     ranked = F.transform(rates, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    base = base.withColumn("worst", F.slice(F.array_sort(ranked), 1, WORST))
+    base = base.withColumn("worst", F.slice(F.sort_array(ranked), 1, WORST))
     base = stage(base.withColumn("base_rate", _mean(F.transform("worst", lambda f: f["w"]))), "completion-base")
 
     def blank(kind: str) -> Column:
@@ -163,10 +164,11 @@ def recommend_completions(
         .withColumn("token", F.concat_ws(":", "kind", canonical_id(F.col("value"))))
         .join(strengths, "token", "left")
         .withColumn("worth", F.coalesce("strength", F.lit(0.0)))
+        .withColumn("value_id", bare_id(F.col("value")))
     )
     by_kind = priced.groupBy("species_id").agg(
         *[
-            F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value", "worth")))).alias(
+            F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value", "value_id", "worth")))).alias(
                 f"options_{k}"
             )
             for k in OPTION_LIMITS
@@ -181,8 +183,11 @@ def recommend_completions(
         .withColumn("_no_ability", blank("ability"))
     )
     total, count = F.col("s"), F.col("n")
-    have = F.transform("moves", lambda m: bare_id(m))
-    open_moves = F.slice(F.filter("options_move", lambda o: ~F.array_contains(have, bare_id(o["value"]))), 1, TRY_MOVES)
+    unused = let(
+        F.transform("moves", lambda m: bare_id(m)),
+        lambda have: F.filter("options_move", lambda o: ~F.array_contains(have, o["value_id"])),
+    )
+    open_moves = F.slice(unused, 1, TRY_MOVES)
 
     def option(value: Column, strength: Column) -> Column:
         return F.struct(strength.alias("v"), value.alias("label"))
@@ -223,9 +228,10 @@ def recommend_completions(
         "roster_id", F.concat_ws(" ", F.col("_k.slot"), F.col("_slot")).alias("slot"), "_k.options", "worst", "base_rate"
     )
 
-    best = added.unionByName(filled).where(F.size("options") > 0)
+    # rows without options vanish in the explode below
+    best = added.unionByName(filled)
     ordered = F.slice(
-        F.array_sort(F.transform("options", lambda o: F.struct((-o["v"]).alias("o"), o["label"].alias("label")))), 1, top
+        F.sort_array(F.transform("options", lambda o: F.struct((-o["v"]).alias("o"), o["label"].alias("label")))), 1, top
     )
     rows = best.select("roster_id", "slot", F.posexplode(ordered).alias("pos", "o"), "worst", "base_rate")
     rows = rows.withColumn("_rates", strength_rates(-F.col("o.o"), field))
