@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldshift.catalog import roles
@@ -21,7 +22,7 @@ SCORED = """WITH pr AS (SELECT pairing_id, label, 1 / (1 + exp(b.s - a.s)) AS p
 def _scored(spark, sf):
     frozen = roles.space(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
-    return pairing.win_probability(roles.pairing_vectors(spark, sf, frozen), model)
+    return pairing.score_pairs(roles.pairings(spark, sf), roles.roster_vectors(spark, sf, frozen), model)
 
 
 @query("win_probability", SCORED + " SELECT pairing_id, label, rnd(p) AS win_prob FROM pr", "pairing st")
@@ -96,15 +97,11 @@ def expected_winrate(spark, sf):
     "roster st",
 )
 def weighted_winrate(spark, sf):
-    from pyspark.sql import Window
-
     frozen = roles.space(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
     field = pairing.Field.load(_samples(spark, sf, frozen))
-    rated = pairing.expected_winrate(roles.roster_vectors(spark, sf, frozen), field, model)
-    weights = roles.roster(spark, sf).groupBy("unit").agg(F.sum("weight").alias("w"))
-    shares = weights.select("unit", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
-    return rounded(pairing.weighted_winrate(rated, shares), "win_rate")
+    weights = pairing.share_weights(_shares(spark, sf), field)
+    return rounded(pairing.weighted_winrate(roles.roster_vectors(spark, sf, frozen), field, weights, model), "win_rate")
 
 
 MATRIX = SAMPLES + """, mx AS (SELECT a.unit AS unit_a, b.unit AS unit_b, CASE WHEN a.unit = b.unit THEN 0.5 ELSE avg(1 / (1 + exp(b.s - a.s))) END AS w
@@ -118,8 +115,6 @@ def _matrix(spark, sf):
 
 
 def _shares(spark, sf):
-    from pyspark.sql import Window
-
     weights = roles.roster(spark, sf).groupBy("unit").agg(F.sum("weight").alias("w"))
     return weights.select("unit", (F.col("w") / F.sum("w").over(Window.partitionBy())).alias("share"))
 
@@ -197,7 +192,7 @@ def rate_rosters(spark, sf):
 @query(
     "worst_matchups",
     RATED
-    + """, k AS (SELECT vec_id, family, round(w, 9) AS w, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 9), family) AS r FROM fe),
+    + """, k AS (SELECT vec_id, family, w, row_number() OVER (PARTITION BY vec_id ORDER BY round(w, 12), family) AS r FROM fe),
     z AS (SELECT *, avg(w) OVER (PARTITION BY vec_id) AS m FROM k WHERE r <= 3)
     SELECT roster_id, CAST(r AS INTEGER) AS rank, family, rnd(w) AS win_rate, rnd(m) AS worst_mean FROM roster JOIN z USING (vec_id)""",
     "feats mp fam st nxt shift roster",
@@ -205,11 +200,9 @@ def rate_rosters(spark, sf):
 def worst_matchups(spark, sf):
     frozen, _, _, fams = _field(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
-    rated = pairing.expected_winrate(
-        roles.roster_vectors(spark, sf, frozen), pairing.Field.load(fams, "family"), model, "family"
-    )
-    rated = rated.withColumn("win_rate", F.round("win_rate", 9))
-    return rounded(pairing.worst_matchups(rated, 3, "family"), "win_rate", "worst_mean")
+    field = pairing.Field.load(fams, "family")
+    out = pairing.worst_matchups(roles.roster_vectors(spark, sf, frozen), field, model, 3, "family")
+    return rounded(out, "win_rate", "worst_mean")
 
 
 # --- trained models ---

@@ -202,7 +202,7 @@ def knn_exact_euclidean(spark, sf):
 @query("knn_lsh")
 def knn_lsh(spark, sf):
     raw = roles.table(spark, sf, "embeddings")
-    near = stage(neighbors.knn_lsh(raw, 10, "cosine", "vec_id", radius=1.2), "knn-lsh")
+    near = stage(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=8), "knn-approx")
     exact = neighbors.knn_exact(raw, 10, "cosine", "vec_id")
     return neighbors.recall(near, exact)
 

@@ -9,11 +9,10 @@ size, so no task ever holds a whole cell.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +51,12 @@ def _block(count_col: str, key: str):
     return F.pmod(F.xxhash64(key), F.greatest(blocks, F.lit(1))).cast("int")
 
 
+def _block_numbers(count_col: str):
+    """0 .. blocks-1 for a cell of the given size."""
+    blocks = F.greatest(F.ceil(F.col(count_col) / F.lit(BLOCK_ROWS)).cast("int"), F.lit(1))
+    return F.sequence(F.lit(0), blocks - 1)
+
+
 def _block_top(k: int):
     """Cogrouped search of one query block against one corpus block."""
 
@@ -87,13 +92,7 @@ def _top_lists(visits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     task = ["cell", "block", "qblock"]
     sizes = stage(visits.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("_q")), "visit-size")
     queries = visits.join(sizes, ["cell", "block"]).withColumn("qblock", _block("_q", "g")).drop("_q")
-    blocks = sizes.select(
-        "cell",
-        "block",
-        F.explode(
-            F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_q") / F.lit(BLOCK_ROWS)).cast("int"), F.lit(1)) - 1)
-        ).alias("qblock"),
-    )
+    blocks = sizes.select("cell", "block", F.explode(_block_numbers("_q")).alias("qblock"))
     spread = corpus.join(blocks, ["cell", "block"])
     found = (
         queries.groupBy(*task)
@@ -104,64 +103,57 @@ def _top_lists(visits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
 
 
-def knn_exact(
-    vectors: DataFrame, k: int = 10, metric: str = "cosine", key: str = "row_id", pivots: int | None = None, seed: int = 7
-) -> DataFrame:
-    """(id, neighbor_rank, neighbor_id, distance): k nearest, self left out, ties by id.
+@dataclass(frozen=True)
+class Cells:
+    """A vector set cut into cells around pivots, and its search structures."""
+
+    space: DataFrame  # id, v, _h: every row in the search space
+    groups: DataFrame  # g, v, _h: distinct vectors
+    member: DataFrame  # g, v, cell: distinct vectors with their cell
+    corpus: DataFrame  # id, v, cell, block: what has to be searched
+    blocks: DataFrame  # cell, block
+    pivots: np.ndarray
+    reaches: np.ndarray  # farthest member per cell, -1 for none
+
+
+def _cells(vectors: DataFrame, k: int, metric: str, key: str, pivots: int | None, seed: int) -> Cells:
+    """Assign distinct vectors to cells.
 
     Identical vectors are searched once. A group of copies keeps only its k+1
     lowest ids in the corpus: no query can need more of them, so nothing is
     lost, and a hot group of copies stays small.
     """
     space = _search_space(vectors, key, metric).withColumn("_h", F.xxhash64("v"))
-    groups = stage(
-        space.groupBy("_h", "v").agg(F.min("id").alias("g")).select("g", "v", "_h"), "knn-groups"
-    )
+    groups = stage(space.groupBy("_h", "v").agg(F.min("id").alias("g")).select("g", "v", "_h"), "knn-groups")
     n = groups.count()
     if n == 0:
         raise ValueError("no vectors to search")
     m = min(pivots or max(1, math.isqrt(n)), MAX_ENTRIES, n)
-    order = [draw(seed, F.col("g")), F.col("g")]
-    pivot_rows = groups.orderBy(*order).limit(m)
-    centres = np.array([r["v"] for r in pivot_rows.select("v").collect()], dtype=np.float64)
-    centres = Centroids(np.arange(len(centres), dtype=np.int32), centres)
-    placed = assign_codebook(groups, centres, "v", "cell", "radius")
+    picked = groups.orderBy(draw(seed, F.col("g")), F.col("g")).limit(m).select("v").collect()
+    centres = Centroids(np.arange(m, dtype=np.int32), np.array([r["v"] for r in picked], dtype=np.float64))
+    placed = stage(assign_codebook(groups, centres, "v", "cell", "radius"), "knn-placed")
     shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("radius").alias("reach"))
     shape = stage(shape, "knn-cells")
-    member = stage(placed.join(shape.select("cell", "_n"), "cell").withColumn("block", _block("_n", "g")), "knn-members")
-
+    member = placed.join(shape.select("cell", "_n"), "cell").withColumn("block", _block("_n", "g"))
     copies = first_k(space.join(groups.select("_h", "v", "g"), ["_h", "v"]).select("g", "id"), ["g"], [F.col("id")], k + 1)
     corpus = member.select("g", "v", "cell", "block").join(copies, "g").select("id", "v", "cell", "block")
-    corpus = stage(corpus, "knn-corpus")
-    blocks = shape.select(
-        "cell",
-        "reach",
-        F.explode(
-            F.sequence(F.lit(0), F.greatest(F.ceil(F.col("_n") / F.lit(BLOCK_ROWS)).cast("int"), F.lit(1)) - 1)
-        ).alias("block"),
-    )
+    blocks = shape.select("cell", F.explode(_block_numbers("_n")).alias("block"))
+    reaches = np.full(m, -1.0)
+    for r in shape.select("cell", "reach").collect():  # one row per pivot at most
+        reaches[r["cell"]] = r["reach"]
+    return Cells(space, groups, placed.select("g", "v", "cell"), stage(corpus, "knn-corpus"), blocks, centres.matrix, reaches)
 
-    # own cell first: the k+1 best so far bound the search radius
-    own = member.select("g", "v", "cell").join(blocks.select("cell", "block"), "cell")
-    first = stage(_top_lists(own, corpus, k + 1), "knn-first")
-    bound = first.groupBy("g").agg(F.when(F.count(F.lit(1)) > k, F.max("d")).alias("bound"))
-
-    # other cells whose nearest possible point is within the bound
-    reach = {int(r["cell"]): float(r["reach"]) for r in shape.select("cell", "reach").limit(MAX_ENTRIES + 1).collect()}
-    reaches = np.array([reach.get(i, -1.0) for i in range(len(centres))])
-    visited = member.select("g", "v", "cell").join(bound, "g")
-    more = visited.mapInPandas(_candidate_cells(centres.matrix, reaches), "g long, v array<double>, cell int")
-    rest = _top_lists(more.join(blocks.select("cell", "block"), "cell"), corpus, k + 1)
 
+def _ranked(cells: Cells, found: DataFrame, k: int, metric: str) -> DataFrame:
+    """Per row of the input its k best, self left out, from lists of k+1 per distinct vector."""
     order = Window.partitionBy("g").orderBy("d", "id")
     lists = (
-        first.unionByName(rest)
-        .withColumn("_r", F.row_number().over(order))
+        found.withColumn("_r", F.row_number().over(order))
         .where(F.col("_r") <= k + 1)
         .groupBy("g")
         .agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
     )
-    rows = space.join(groups.select("_h", "v", "g"), ["_h", "v"]).select("id", "g").join(lists, "g")
+    rows = cells.space.join(cells.groups.select("_h", "v", "g"), ["_h", "v"]).select("id", "g").join(lists, "g")
     near = F.slice(F.filter("near", lambda s: s["id"] != F.col("id")), 1, k)
     out = rows.select("id", F.posexplode(near).alias("pos", "s"))
     distance = F.col("s.d") if metric == "euclidean" else F.col("s.d") * F.col("s.d") / 2.0
@@ -173,24 +165,80 @@ def knn_exact(
     )
 
 
-def _candidate_cells(centres: np.ndarray, reaches: np.ndarray):
-    def cells(batches):
+def knn_exact(
+    vectors: DataFrame, k: int = 10, metric: str = "cosine", key: str = "row_id", pivots: int | None = None, seed: int = 7
+) -> DataFrame:
+    """(id, neighbor_rank, neighbor_id, distance): k nearest, self left out, ties by id."""
+    cells = _cells(vectors, k, metric, key, pivots, seed)
+    # own cell first: the k+1 best so far bound the search radius
+    own = cells.member.join(cells.blocks, "cell")
+    first = stage(_top_lists(own, cells.corpus, k + 1), "knn-first")
+    bound = first.groupBy("g").agg(F.when(F.count(F.lit(1)) > k, F.max("d")).alias("bound"))
+    # then the cells whose nearest possible point lies within the bound
+    visits = cells.member.join(bound, "g").mapInPandas(
+        _cells_within_bound(cells.pivots, cells.reaches), "g long, v array<double>, cell int"
+    )
+    rest = _top_lists(visits.join(cells.blocks, "cell"), cells.corpus, k + 1)
+    return _ranked(cells, first.unionByName(rest), k, metric)
+
+
+def knn_approx(
+    vectors: DataFrame,
+    k: int = 10,
+    metric: str = "cosine",
+    key: str = "row_id",
+    probes: int = 8,
+    pivots: int | None = None,
+    seed: int = 7,
+) -> DataFrame:
+    """Approximate neighbours: only the ``probes`` cells with the nearest pivots are searched.
+
+    Cells are locality-sensitive buckets whose number follows the data's
+    density, so a crowded region gets more of them. Work per row is a few
+    blocks; pairs are never emitted, only each block's k best.
+    """
+    cells = _cells(vectors, k, metric, key, pivots, seed)
+    visits = cells.member.mapInPandas(
+        _nearest_cells(cells.pivots, cells.reaches, probes), "g long, v array<double>, cell int"
+    )
+    return _ranked(cells, _top_lists(visits.join(cells.blocks, "cell"), cells.corpus, k + 1), k, metric)
+
+
+def _pivot_distances(pdf: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
+    points = np.stack(pdf["v"].to_numpy())
+    sq = (points**2).sum(1)[:, None] - 2.0 * points @ centres.T + (centres**2).sum(1)[None, :]
+    return np.sqrt(np.maximum(sq, 0.0))
+
+
+def _visit_rows(pdf: pd.DataFrame, want: np.ndarray) -> pd.DataFrame:
+    row, col = np.nonzero(want)
+    return pd.DataFrame({"g": pdf["g"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": col.astype("int32")})
+
+
+def _cells_within_bound(centres: np.ndarray, reaches: np.ndarray):
+    def visit(batches):
         for pdf in batches:
             if pdf.empty:
                 continue
-            points = np.stack(pdf["v"].to_numpy())
-            sq = (points**2).sum(1)[:, None] - 2.0 * points @ centres.T + (centres**2).sum(1)[None, :]
-            gap = np.sqrt(np.maximum(sq, 0.0)) - reaches[None, :]
+            gap = _pivot_distances(pdf, centres) - reaches[None, :]
             bound = pdf["bound"].fillna(np.inf).to_numpy(dtype=float)
-            slack = 1e-6 + SLACK * np.abs(gap)
-            want = (gap <= bound[:, None] + slack) & (reaches[None, :] >= 0)
+            want = (gap <= bound[:, None] + 1e-6 + SLACK * np.abs(gap)) & (reaches[None, :] >= 0)
             want[np.arange(len(pdf)), pdf["cell"].to_numpy()] = False
-            row, col = np.nonzero(want)
-            yield pd.DataFrame(
-                {"g": pdf["g"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": col.astype("int32")}
-            )
+            yield _visit_rows(pdf, want)
+
+    return visit
+
 
-    return cells
+def _nearest_cells(centres: np.ndarray, reaches: np.ndarray, probes: int):
+    def visit(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            far = np.where(reaches[None, :] >= 0, _pivot_distances(pdf, centres), np.inf)
+            rank = far.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
+            yield _visit_rows(pdf, (rank < probes) & np.isfinite(far))
+
+    return visit
 
 
 def with_neighbor_text(neighbors: DataFrame, rosters: DataFrame) -> DataFrame:
@@ -212,30 +260,6 @@ def with_neighbor_text(neighbors: DataFrame, rosters: DataFrame) -> DataFrame:
     return neighbors.join(query, "id").join(other, "neighbor_id")
 
 
-def knn_lsh(
-    vectors: DataFrame,
-    k: int = 10,
-    metric: str = "cosine",
-    key: str = "row_id",
-    radius: float = 1.0,
-    bucket: float = 2.0,
-    tables: int = 4,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate neighbours: an LSH similarity join of the (normalised) vectors."""
-    ready = _search_space(vectors, key, metric).select("id", array_to_vector("v").alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(ready)
-    pairs = model.approxSimilarityJoin(ready, ready, radius, "d").where(F.col("datasetA.id") != F.col("datasetB.id"))
-    flat = pairs.select(
-        F.col("datasetA.id").alias("id"), F.col("datasetB.id").alias("neighbor_id"), F.col("d").alias("d")
-    )
-    top = first_k(flat, ["id"], [F.col("d"), F.col("neighbor_id")], k, rank="neighbor_rank")
-    distance = F.col("d") if metric == "euclidean" else F.col("d") * F.col("d") / 2.0
-    return top.select("id", "neighbor_rank", "neighbor_id", distance.alias("distance"))
-
-
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of exact neighbour pairs that the approximate result also holds."""
     hit = approximate.select("id", "neighbor_id", F.lit(1).alias("hit"))

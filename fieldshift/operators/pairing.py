@@ -112,6 +112,22 @@ def win_probability(pairs: DataFrame, model: PairModel, a: str = "a", b: str = "
     return pairs.withColumn(out, model.win_prob(F.col(a), F.col(b)))
 
 
+def score_pairs(pairs: DataFrame, rosters: DataFrame, model: PairModel, out: str = "win_prob") -> DataFrame:
+    """Win probability of (roster_a, roster_b) pairs from a roster table.
+
+    With a linear model a roster is reduced to one number before the joins, so
+    the shuffles carry strengths instead of vectors.
+    """
+    linear = model.gain is None
+    value = model.strength(F.col("embedding")) if linear else as_double(F.col("embedding"))
+    slim = rosters.select("roster_id", value.alias("_v"))
+    for side in ("a", "b"):
+        named = slim.select(F.col("roster_id").alias(f"roster_{side}"), F.col("_v").alias(f"_{side}"))
+        pairs = pairs.join(named, f"roster_{side}")
+    prob = sigmoid(F.col("_a") - F.col("_b")) if linear else model.win_prob(F.col("_a"), F.col("_b"))
+    return pairs.withColumn(out, prob).drop("_a", "_b")
+
+
 def train_val_split(pairs: DataFrame, val_frac: float = 0.15, seed: int = 0, key: str = "pairing_id") -> DataFrame:
     """Exactly floor(n * val_frac) seeded validation pairs.
 
@@ -270,12 +286,19 @@ def expected_winrate(rosters: DataFrame, field: Field, model: PairModel, unit: s
     return rated.select(key, field.key_at(F.col("_u")).alias(unit), "win_rate")
 
 
-def weighted_winrate(rated: DataFrame, weights: DataFrame, unit: str = "unit", key: str = "roster_id") -> DataFrame:
-    """Win rate against the whole field, each unit weighted by its share."""
-    joined = rated.join(weights, unit)
-    return joined.groupBy(key).agg(
-        (F.sum(F.col("win_rate") * F.col("share")) / F.nullif(F.sum("share"), F.lit(0.0))).alias("win_rate")
-    )
+def share_weights(shares: DataFrame, field: Field, unit: str = "unit", column: str = "share", min_share: float = 0.0) -> list[float]:
+    """Shares in the field's unit order, scaled to sum to one; a unit without a share weighs nothing."""
+    kept = shares.where((F.col(column) >= min_share) & F.col(unit).isin(list(field.keys)))
+    held = {r[unit]: float(r[column]) for r in kept.select(unit, column).collect()}
+    raw = [held.get(k, 0.0) for k in field.keys]
+    whole = sum(raw) or 1.0
+    return [x / whole for x in raw]
+
+
+def weighted_winrate(rosters: DataFrame, field: Field, weights: Sequence[float], model: PairModel, key: str = "roster_id") -> DataFrame:
+    """Win rate against the whole field, each unit weighted; one pass over the rosters, no shuffle."""
+    rates = field_rates(F.col("embedding"), field, model)
+    return rosters.select(key, rates.alias("_r")).select(key, dot(F.col("_r"), double_array(weights)).alias("win_rate"))
 
 
 def advantage_matrix(samples: DataFrame, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
@@ -318,24 +341,22 @@ def advantage_edges(matrix: DataFrame, shares: DataFrame, min_share: float = 0.0
     )
 
 
-def rate_rosters(rated: DataFrame, shares: DataFrame, unit: str = "unit", min_share: float = 0.0, key: str = "roster_id") -> DataFrame:
-    """Per roster the win rate weighted by current and by predicted share.
+def worst_matchups(
+    rosters: DataFrame, field: Field, model: PairModel, n: int = 3, unit: str = "unit", key: str = "roster_id"
+) -> DataFrame:
+    """The n lowest win rates per roster with their mean, one row per matchup.
 
-    ``shares`` is (unit, current_share, predicted_share); units below
-    ``min_share`` are left out.
+    Rates stay in the roster's row until they are sorted, so nothing is shuffled.
     """
-    kept = shares.where(F.col("current_share") >= min_share)
-    joined = rated.join(kept, unit)
-
-    def average(weight: str) -> Column:
-        return F.coalesce(F.sum(F.col("win_rate") * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0.0)), F.lit(0.0))
-
-    return joined.groupBy(key).agg(
-        average("current_share").alias("by_current"), average("predicted_share").alias("by_predicted")
+    rates = field_rates(F.col("embedding"), field, model)
+    pairs = F.transform("_r", lambda w, i: F.struct(F.round(w, 12).alias("w"), i.alias("i")))
+    low = rosters.select(key, rates.alias("_r")).select(key, F.slice(F.sort_array(pairs), 1, n).alias("_l"))
+    mean = F.aggregate("_l", F.lit(0.0), lambda t, x: t + x["w"]) / F.size("_l")
+    rows = low.select(key, mean.alias("worst_mean"), F.posexplode("_l").alias("_p", "_x"))
+    return rows.select(
+        key,
+        (F.col("_p") + 1).alias("rank"),
+        field.key_at(F.col("_x.i")).alias(unit),
+        F.col("_x.w").alias("win_rate"),
+        "worst_mean",
     )
-
-
-def worst_matchups(rated: DataFrame, n: int = 3, unit: str = "unit", key: str = "roster_id") -> DataFrame:
-    """The n lowest win rates per roster with their mean (one row per matchup)."""
-    worst = first_k(rated, [key], [F.col("win_rate"), F.col(unit)], n, rank="rank")
-    return worst.withColumn("worst_mean", F.avg("win_rate").over(Window.partitionBy(key)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldshift.operators.dists import family_of_anchor, family_shares, unit_shift, weekly_anchor_matrix
 from fieldshift.operators.forecast import GLIDE_LAMBDA, fc_glide
+from fieldshift.session import stage
 
 
 def last_origin(forecasts: DataFrame) -> DataFrame:
@@ -51,5 +52,7 @@ def field_state(
     ``features`` carry a family column besides the anchor.
     """
     rows = features.where(F.col("season") == season)
-    dist = next_distribution(rows, anchors, lam)
-    return FieldState(dist, unit_shift(dist, mapping), family_shares(dist, family_of_anchor(rows)))
+    # both share tables read the same anchors-sized forecast
+    dist = stage(next_distribution(rows, anchors, lam), "next-distribution")
+    shares = stage(unit_shift(dist, mapping), "unit-shares")
+    return FieldState(dist, shares, stage(family_shares(dist, family_of_anchor(rows)), "family-shares"))

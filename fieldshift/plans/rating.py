@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldshift.functions.vectors import dot, double_array
-from fieldshift.operators.pairing import Field, PairModel, field_rates
+from fieldshift.operators.pairing import Field, PairModel, field_rates, share_weights
 from fieldshift.plans.forecasts import FieldState
 
 UNIT_MIN_SHARE = 0.005
@@ -31,28 +31,17 @@ def rate_batch(
         field_rates(F.col("embedding"), units, model).alias("_u"),
         field_rates(F.col("embedding"), families, model).alias("_f"),
     )
-    by_unit = _weights(state.unit_shares, "unit", units, unit_min_share)
-    by_family = _weights(state.family_shares, "family", families)
+    def average(rates: str, shares: DataFrame, unit: str, field: Field, column: str, floor: float = 0.0) -> Column:
+        # the floor is on the current share, whichever share weighs
+        kept = shares.where(F.col("current_share") >= floor)
+        return dot(F.col(rates), double_array(share_weights(kept, field, unit, column)))
+
+    by_unit = ("_u", state.unit_shares, "unit", units)
+    by_family = ("_f", state.family_shares, "family", families)
     return rated.select(
         "roster_id",
-        _average("_u", by_unit["current_share"]).alias("current_by_unit"),
-        _average("_u", by_unit["predicted_share"]).alias("predicted_by_unit"),
-        _average("_f", by_family["current_share"]).alias("current_by_family"),
-        _average("_f", by_family["predicted_share"]).alias("predicted_by_family"),
+        average(*by_unit, "current_share", unit_min_share).alias("current_by_unit"),
+        average(*by_unit, "predicted_share", unit_min_share).alias("predicted_by_unit"),
+        average(*by_family, "current_share").alias("current_by_family"),
+        average(*by_family, "predicted_share").alias("predicted_by_family"),
     )
-
-
-def _weights(shares: DataFrame, unit: str, field: Field, min_share: float = 0.0) -> dict[str, list[float]]:
-    """Shares in the field's unit order, scaled to sum to one; units without a share weigh nothing."""
-    kept = shares.where((F.col("current_share") >= min_share) & F.col(unit).isin(list(field.keys)))
-    held = {r[unit]: r for r in kept.select(unit, "current_share", "predicted_share").collect()}
-    out = {}
-    for name in ("current_share", "predicted_share"):
-        raw = [float(held[k][name]) if k in held else 0.0 for k in field.keys]
-        whole = sum(raw) or 1.0
-        out[name] = [x / whole for x in raw]
-    return out
-
-
-def _average(rates: str, weights: list[float]) -> Column:
-    return dot(F.col(rates), double_array(weights))

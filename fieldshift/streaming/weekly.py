@@ -14,6 +14,7 @@ from fieldshift.operators.forecast import GLIDE_LAMBDA, fc_glide
 from fieldshift.operators.panels import win_rate
 
 MIN_ROWS = 300
+SUMS = "season string, period string, anchor int, weight double, n bigint"
 
 
 def iso_week_window(ts: str):
@@ -53,26 +54,24 @@ def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
 
 
 def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows: int = MIN_ROWS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch step: add the batch's period sums, then forecast anew.
+    """foreachBatch step: add the batch to the period sums, then forecast anew.
 
-    Sums of batch b live in their own folder, so a replayed batch overwrites
-    itself and nothing is counted twice. Forecasts are written per batch; with
-    fewer than ``min_rows`` rows so far none is written and the previous stays.
+    Snapshot b is snapshot b-1 plus batch b, in a folder of its own: a replayed
+    batch overwrites itself, nothing is counted twice, and a step reads one
+    snapshot however many batches went before. With fewer than ``min_rows`` rows
+    so far no forecast is written and the previous one stays.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        (
-            batch.groupBy("season", "period", "anchor")
-            .agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-            .write.mode("overwrite")
-            .parquet(f"{state}/sums/batch={batch_id}")
-        )
-        sums = (
-            spark.read.schema("season string, period string, anchor int, weight double, n bigint, batch bigint")
-            .parquet(f"{state}/sums")
-            .where(F.col("batch") <= batch_id)
-        )
+        key = ["season", "period", "anchor"]
+        sums = batch.groupBy(*key).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+        if batch_id > 0:
+            before = spark.read.schema(SUMS).parquet(f"{state}/sums/batch={batch_id - 1}")
+            sums = sums.unionByName(before).groupBy(*key).agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
+        snapshot = f"{state}/sums/batch={batch_id}"
+        sums.write.mode("overwrite").parquet(snapshot)
+        sums = spark.read.schema(SUMS).parquet(snapshot)
         if (sums.agg(F.sum("n")).first()[0] or 0) < min_rows:
             return
         forecast = fc_glide(weekly_anchor_matrix(sums, anchors), [lam])

@@ -88,14 +88,16 @@ def test_knn_matches_brute_force_with_hot_copies(spark, metric, monkeypatch):
     assert [[got[i][k] for k in range(1, 5)] for i in range(90)] == want
 
 
-def test_knn_small_corpus_and_lsh_recall(spark):
+def test_knn_small_corpus_and_approximate_recall(spark):
     x = np.random.default_rng(2).normal(size=(40, 3))
     exact = neighbors.knn_exact(frame(spark, x), 5, "cosine")
     assert exact.count() == 200
     few = neighbors.knn_exact(frame(spark, x[:3]), 5, "euclidean")
     assert few.count() == 6
-    near = neighbors.knn_lsh(frame(spark, x), 5, "cosine", radius=1.5, bucket=4.0)
+    near = neighbors.knn_approx(frame(spark, x), 5, "cosine", probes=3)
     assert neighbors.recall(near, exact).first()["recall"] > 0.6
+    all_ = neighbors.knn_approx(frame(spark, x), 5, "cosine", probes=99)
+    assert neighbors.recall(all_, exact).first()["recall"] == 1.0
 
 
 def test_unit_length_and_simplex(spark):
