@@ -203,23 +203,20 @@ def mean_difference_model(spark: SparkSession, sf: str, frozen: Space) -> PairMo
 
 def pairings(spark: SparkSession, sf: str) -> DataFrame:
     """Neighbouring orders as the two sides of a battle, the dearer order wins."""
-    orders = table(spark, sf, "orders")
-    side = F.struct(
-        (F.col("o_orderkey") % 2).alias("side"),
-        F.col("o_orderkey").alias("roster"),
-        F.col("o_totalprice").alias("price"),
-        F.col("o_orderstatus").alias("status"),
-    )
-    both = orders.groupBy(F.floor(F.col("o_orderkey") / 2).alias("pairing_id")).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(side).alias("a"), F.max(side).alias("b")
-    )
-    decided = ~((F.col("a.status") == "P") & (F.col("b.status") == "P")) & (F.col("a.price") != F.col("b.price"))
-    return both.where((F.col("_n") == 2) & decided).select(
-        "pairing_id",
-        F.col("a.roster").alias("roster_a"),
-        F.col("b.roster").alias("roster_b"),
-        (F.col("a.price") > F.col("b.price")).cast("int").alias("label"),
+    first = F.col("o_orderkey") % 2 == 0
+
+    def of(side, column: str):
+        return F.max(F.when(side, F.col(column)))
+
+    both = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 2).alias("pairing_id")).agg(
+        of(first, "o_orderkey").alias("roster_a"),
+        of(~first, "o_orderkey").alias("roster_b"),
+        of(first, "o_totalprice").alias("_a"),
+        of(~first, "o_totalprice").alias("_b"),
+        F.count_if(F.col("o_orderstatus") != "P").alias("_decided"),
     )
+    kept = both.where((F.col("_decided") > 0) & (F.col("_a") != F.col("_b")))
+    return kept.select("pairing_id", "roster_a", "roster_b", (F.col("_a") > F.col("_b")).cast("int").alias("label"))
 
 
 def pairing_vectors(spark: SparkSession, sf: str, frozen: Space) -> DataFrame:
