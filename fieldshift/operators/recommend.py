@@ -124,6 +124,7 @@ def recommend_completions(
         "species_id", F.xxhash64("species_id", "item_id", "ability_id", "move_ids").alias("roster_id"),
         F.lit(1).alias("slot"), "member.*", F.col("n").alias("uses"),
     )
+    pool_rows = stage(pool_rows, "completion-pool")  # at most POOL_SIZE rows, read twice
     pool = (
         roster_strength(token_rows(pool_rows, dimension, stats), strengths, ["roster_id"])
         .join(pool_rows.select("roster_id", "species_id", "species", "item", "uses"), "roster_id")

@@ -19,6 +19,9 @@ def local_session(cpus: int | str = "*", app_name: str = "fieldshift") -> SparkS
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # small local files: keep every core busy although partitions hold few bytes
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
+        .config("spark.sql.files.openCostInBytes", "65536")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
