@@ -25,7 +25,7 @@ SYMBOLS = "#*$%&|<>"
 SHOUTS = string.ascii_uppercase + "!"
 WINDOW = 5
 #: Rates (higher is worse) and the slack that keeps a uniformly clean group whole.
-RATES = {"symbol_rate": 0.2, "dup_line_rate": 0.3, "repeat_rate": 0.1, "shout_rate": 0.3}
+RATES = {"symbol_rate": 0.2, "dup_line_rate": 0.3, "shout_rate": 0.3}
 FENCE = 3.0
 MIN_DOCS = 30
 SKETCH_SIZE = 2048
@@ -108,7 +108,6 @@ def measured(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     rates = {
         "symbol_rate": ratio(counts["n_symbols"], n),
         "dup_line_rate": ratio(counts["n_dup_lines"], counts["n_lines"]),
-        "repeat_rate": ratio(counts["n_repeat_words"], n),
         "shout_rate": ratio(counts["n_shouts"], counts["word_chars"]),
     }
     failed = (n < 10) | (100 * counts["n_repeat_words"] > 20 * n)

@@ -92,7 +92,6 @@ rated AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
          coalesce(n_symbols / nullif(n_words, 0)::DOUBLE, 0) AS symbol_rate,
          coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) AS dup_line_rate,
-         coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0) AS repeat_rate,
          coalesce(n_shouts / nullif(word_chars, 0)::DOUBLE, 0) AS shout_rate
   FROM counted),
 cutoffs AS (SELECT g.lang, g.source, {", ".join(_cut(r) for r in quality.RATES)}
