@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldshift.llm import licenses, quality, sentencepieces, sql, substring_dedup, url_filter
+from fieldshift.llm import licenses, quality, sentencepieces, simhash, sql, substring_dedup, url_filter
 from fieldshift.llm.tables import read
 
 
@@ -29,6 +29,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.parse(read(spark, sf_dir, "documents"), texts=False).drop("factors")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -43,5 +48,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op4_substring_dedup, op8_quality_rules, op9_sentencepiece, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op3_url_filter, op4_substring_dedup, op7_simhash_dedup, op8_quality_rules, op9_sentencepiece, op10_license_scan)}
 ORACLES = {"op3_url_filter": sql.URL_FILTER, "op8_quality_rules": sql.QUALITY}
