@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldshift.llm import quality, url_filter
+from fieldshift.llm import line_dedup, quality, url_filter
 
 _RULE = "\n".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'"
@@ -100,3 +100,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} > max_{r}, false)" for r in quality.RATES)}) AS kept
 FROM rated r JOIN cutoffs c ON r.lang IS NOT DISTINCT FROM c.lang AND r.source IS NOT DISTINCT FROM c.source
 """
+
+LINE_DEDUP = f"""
+WITH cut AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line FROM cut),
+word_line AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, place) AS nth
+  FROM line WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+firsts AS MATERIALIZED (SELECT *, strlen(line) AS size, unnest([0, 1, 2]) AS gap FROM word_line
+  WHERE nth = 1 AND strlen(line) >= {line_dedup.MIN_BYTES}),
+near AS (SELECT DISTINCT b.doc_id, b.place FROM firsts a JOIN firsts b
+  ON b.gap = 0 AND abs(a.size - b.size) <= {line_dedup.EDITS} AND a.gap = abs(a.size - b.size)
+  AND (a.doc_id, a.place) < (b.doc_id, b.place) AND levenshtein(a.line, b.line) <= {line_dedup.EDITS}),
+gone AS (SELECT doc_id, place FROM word_line WHERE nth > 1 UNION SELECT doc_id, place FROM near),
+kept AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY place) AS text FROM line l
+  ANTI JOIN gone g ON l.doc_id = g.doc_id AND l.place = g.place GROUP BY l.doc_id),
+n_line AS (SELECT doc_id, count(*) AS n FROM word_line GROUP BY doc_id),
+n_gone AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(n_line.n, 0) AS n_lines, coalesce(n_gone.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN n_line USING (doc_id) LEFT JOIN n_gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
