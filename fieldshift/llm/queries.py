@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldshift.llm import licenses, line_dedup, quality, sentencepieces, simhash, sql, substring_dedup, url_filter
+from fieldshift.llm import embedding_dedup, licenses, line_dedup, quality, sentencepieces, simhash, sql, substring_dedup, url_filter
 from fieldshift.llm.tables import read
 
 
@@ -15,6 +15,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines kept and removed per document: n_lines, n_removed, SHA-256 of the kept text."""
     return line_dedup.digest(read(spark, sf_dir, "documents"))
@@ -53,5 +57,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_url_filter, op4_substring_dedup, op7_simhash_dedup, op8_quality_rules, op9_sentencepiece, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_url_filter, op4_substring_dedup, op7_simhash_dedup, op8_quality_rules, op9_sentencepiece, op10_license_scan)}
 ORACLES = {"op2_line_dedup": sql.LINE_DEDUP, "op3_url_filter": sql.URL_FILTER, "op8_quality_rules": sql.QUALITY}

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def grouped(rows: DataFrame, keys: Sequence[str], row_id: str, size: int = BLOCK) -> DataFrame:
+def grouped(rows: DataFrame, keys: Sequence[str], row_id: str, size: int = BLOCK, attach: DataFrame | None = None) -> DataFrame:
     """Rows sorted by group within partitions; ``__g`` is the group, ``__b`` tells its two blocks apart.
 
     Groups of one row are left out: they hold no pair. Of a hot key, block i
     meets block j >= i once; pairs inside block i are only wanted where i = j
-    (``__same``).
+    (``__same``). ``attach`` adds columns by row once single rows are gone.
     """
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     blocks = F.ceil(F.col("__n") / size).cast("int")
@@ -39,6 +39,8 @@ def grouped(rows: DataFrame, keys: Sequence[str], row_id: str, size: int = BLOCK
         .withColumn("__same", F.col("__i") == F.col("__j"))
         .drop("__n", "__k", "__own", "__other", "__i", "__j")
     )
+    if attach is not None:
+        spread = spread.join(attach, row_id)
     return spread.repartition("__g").sortWithinPartitions("__g", row_id)
 
 
