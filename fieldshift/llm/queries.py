@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldshift.llm import embedding_dedup, licenses, line_dedup, mixing, quality, sentencepieces, simhash, sql, substring_dedup, url_filter
+from fieldshift.llm import embedding_dedup, licenses, line_dedup, maxent, mixing, quality, sentencepieces, simhash, sql, substring_dedup, url_filter
 from fieldshift.llm.tables import read
 
 
@@ -42,6 +42,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(read(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -61,5 +65,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_line_dedup, op3_url_filter, op4_substring_dedup, op5_mixing, op7_simhash_dedup, op8_quality_rules, op9_sentencepiece, op10_license_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup,
+        op2_line_dedup,
+        op3_url_filter,
+        op4_substring_dedup,
+        op5_mixing,
+        op6_lm_scoring,
+        op7_simhash_dedup,
+        op8_quality_rules,
+        op9_sentencepiece,
+        op10_license_scan,
+    )
+}
 ORACLES = {"op2_line_dedup": sql.LINE_DEDUP, "op3_url_filter": sql.URL_FILTER, "op8_quality_rules": sql.QUALITY}
