@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from fieldshift.catalog import QUERIES  # noqa: E402
-from fieldshift.session import local_session  # noqa: E402
+from fieldshift.session import local_session, release, ship  # noqa: E402
 
 HEADLINE = (
     "unit_panel element_panel period_entropy period_novelty panel_lags momentum_test season_windows period_index "
@@ -24,7 +24,9 @@ HEADLINE = (
 def run(spark, name: str, sf: str) -> float:
     start = time.perf_counter()
     QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-    return time.perf_counter() - start
+    took = time.perf_counter() - start
+    release(spark)
+    return took
 
 
 def main() -> None:
@@ -32,6 +34,7 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "fieldshift-bench")
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     spark.read.parquet(f"{sf}/orders.parquet").count()
     times = {}
     for name in names:

@@ -229,17 +229,24 @@ def inv_alr_query(spark, sf):
     u AS (SELECT pos.*, n, before, n - 1 AS others, pos - before AS own,
       ('0x' || substr(md5(row_id || '|0:mask'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS um,
       ('0x' || substr(md5(row_id || '|0:ratio'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS ur,
-      ('0x' || substr(md5(row_id || '|0:budget'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS ub,
-      ('0x' || substr(md5(row_id || '|0:arc'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS ua,
-      ('0x' || substr(md5(row_id || '|0:past'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS up
+      ('0x' || substr(md5(row_id || '|0:budget'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS ub
       FROM pos JOIN per USING (season, period_ix) WHERE period_ix >= 1),
     b AS (SELECT *, [64, 128, 256][floor(ub * 3)::INTEGER + 1] AS budget FROM u),
     c AS (SELECT *, least(round_even(CASE WHEN um < 0.5 THEN 0 ELSE 1 - ur END * others, 0)::BIGINT, budget) AS cur FROM b),
     e AS (SELECT *, CASE WHEN cur + least(budget - cur, before) = 0 THEN least(1, before) ELSE least(budget - cur, before) END AS past FROM c),
-    w AS (SELECT row_id, season, period_ix, before + (own + 1 + (floor(ua * others)::BIGINT + j) % others) % n AS pos FROM (
-      SELECT *, unnest(range(cur)) AS j FROM e) q
-      UNION ALL SELECT row_id, season, period_ix, (floor(up * before)::BIGINT + j * before // past) % before FROM (
-      SELECT *, unnest(range(past)) AS j FROM e) q),
+    want AS (SELECT row_id, season, period_ix, before, own, 'current' AS part, cur AS k, others AS m FROM e WHERE cur > 0
+      UNION ALL SELECT row_id, season, period_ix, before, own, 'past', past, before FROM e WHERE past > 0),
+    f AS (SELECT *, least(k, m - k) AS few FROM want),
+    raw AS (SELECT *, floor(('0x' || substr(md5(row_id || '|0:' || part || '|' || j // 4), (j % 4) * 8 + 1, 8))::UBIGINT::DOUBLE * m
+        / 4294967296.0::DOUBLE)::BIGINT AS i FROM (SELECT *, unnest(range(4 * ((2 * few + 16) // 4 + 1))) AS j FROM f) q
+      UNION ALL SELECT *, j - 1000000 AS i FROM (SELECT *, unnest(range(1000000, 1000000 + least(m, 2 * few))) AS j FROM f) q),
+    once AS (SELECT row_id, part, i, min(j) AS j, any_value(few) AS few FROM raw WHERE few > 0 GROUP BY row_id, part, i),
+    chosen_few AS (SELECT row_id, part, i FROM (SELECT *, row_number() OVER (PARTITION BY row_id, part ORDER BY j) AS r FROM once) q WHERE r <= few),
+    every AS (SELECT row_id, part, unnest(range(m)) AS i FROM f WHERE k > m - k),
+    taken AS (SELECT s.row_id, s.part, s.i FROM chosen_few s JOIN f USING (row_id, part) WHERE k <= m - k
+      UNION ALL SELECT row_id, part, i FROM every ANTI JOIN chosen_few USING (row_id, part, i)),
+    w AS (SELECT f.row_id, f.season, f.period_ix, CASE WHEN f.part = 'past' THEN i ELSE before + i + CASE WHEN i >= own THEN 1 ELSE 0 END END AS pos
+      FROM taken t JOIN f USING (row_id, part)),
     o AS (SELECT w.row_id, w.season, w.period_ix, p.row_id AS context_id, p.period_ix AS pix FROM w JOIN pos p USING (season, pos))
     SELECT row_id, count(*) FILTER (WHERE pix = period_ix) AS n_current, count(*) FILTER (WHERE pix < period_ix) AS n_past,
     CAST(sum(context_id) AS BIGINT) AS context_sum, CAST(min(pix - period_ix) AS BIGINT) AS oldest FROM o GROUP BY row_id""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from fieldshift.catalog import roles
@@ -167,7 +168,7 @@ def best_next_forecast(spark, sf):
 
 
 AGAINST = """WITH z AS (SELECT f.season, f.period_ix, f.kl AS km, b.kl AS kb FROM scores f JOIN scores b ON b.family = 'persistence'
-    AND b.season = f.season AND b.period_ix = f.period_ix WHERE f.family = 'glide_to_anchor' AND f.cand_ix = 3)"""
+    AND b.season = f.season AND b.period_ix = f.period_ix WHERE f.family = 'glide' AND f.cand_ix = 3)"""
 
 
 @query(
@@ -262,13 +263,15 @@ def ensemble_uncertainty(spark, sf):
 
 @query(
     "custom_forecaster",
-    "SELECT season, period_ix, anchor, rnd(p_hat) AS p_hat FROM glide WHERE lam = 0.3",
-    "glide",
+    """SELECT season, period_ix, anchor, rnd(x) AS p_hat FROM (SELECT *, m / sum(m) OVER (PARTITION BY season, period_ix) AS x FROM (
+    SELECT season, period_ix, anchor, median(p) OVER (PARTITION BY season, anchor ORDER BY period_ix
+    ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM pm) q) r""",
+    "pm",
 )
 def custom_forecaster(spark, sf):
-    def blend(history):
-        mixed = 0.7 * history[-1] + 0.3 * history.mean(axis=0)
-        return mixed / mixed.sum()
+    def recent_median(history):
+        middle = np.median(history[-3:], axis=0)
+        return middle / middle.sum()
 
-    out = forecast.custom_forecaster(_P(spark, sf), blend, "blend")
+    out = forecast.custom_forecaster(_P(spark, sf), recent_median, "median")
     return rounded(out.select("season", "period_ix", "anchor", "p_hat"), "p_hat")

@@ -358,7 +358,7 @@ TOKENS = (
     "WITH "
     + DIM
     + r""", mm AS (SELECT m.*, d.t, d.hp, string_split(moves_text, ' ') AS mv FROM member m JOIN dim d
-    ON d.id = lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) WHERE slot <= 6),
+    ON d.id = lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g'))),
     tk AS (SELECT roster_id, slot, unnest(range(6 + len(mv) - 1)) AS pos, unnest(list_concat(
     ['type:' || lower(t), 'base_stat:hp:' || hp, 'item:' || lower(item), 'ability:' || lower(ability), 'nature:' || lower(nature)],
     list_transform(mv, lambda x: 'move:' || x))) AS token FROM mm)"""
@@ -405,19 +405,18 @@ def build_vocab(spark, sf):
 
 
 def _encoded(spark, sf):
-    """The vocabulary is built without moves, so moves are unseen tokens."""
     rows = stage(_tokens(spark, sf), "tokens")
-    vocab, kinds = tokens.stored_vocab(rows.where(F.col("kind") != "move"))
+    vocab, kinds = tokens.stored_vocab(rows)
     return tokens.encode_tokens(rows, vocab, kinds)
 
 
 ENCODED = (
-    TOKENS.replace("tk AS (", "ta AS (")
-    + """, tk AS (SELECT * FROM ta WHERE NOT starts_with(token, 'move:'))"""
+    TOKENS
     + VOCAB
-    + """, en AS (SELECT roster_id, CAST((slot - 1) * 15 + pos AS BIGINT) AS cell, coalesce(id, 2) AS value_id,
-    CASE split_part(token, ':', 1) WHEN 'type' THEN 1 WHEN 'base_stat' THEN 2 WHEN 'item' THEN 3 WHEN 'ability' THEN 4 WHEN 'nature' THEN 5 ELSE 0 END AS kind_id,
-    split_part(token, ':', 1) NOT IN ('type', 'base_stat') AS maskable FROM ta LEFT JOIN vb USING (token))"""
+    + """, en AS (SELECT roster_id, CAST((slot - 1) * (SELECT max(pos) + 1 FROM tk) + pos AS BIGINT) AS cell, coalesce(id, 2) AS value_id,
+    CASE split_part(token, ':', 1) WHEN 'type' THEN 1 WHEN 'base_stat' THEN 2 WHEN 'item' THEN 3 WHEN 'ability' THEN 4 WHEN 'nature' THEN 5
+    WHEN 'move' THEN 6 ELSE 0 END AS kind_id,
+    split_part(token, ':', 1) NOT IN ('type', 'base_stat') AS maskable FROM tk LEFT JOIN vb USING (token))"""
 )
 
 
@@ -445,13 +444,15 @@ def encode_tokens(spark, sf):
 @query(
     "masked_examples",
     ENCODED
-    + """ SELECT roster_id, CAST(cell AS INTEGER) AS target_at, CAST(value_id AS INTEGER) AS target_value_id, CAST(kind_id AS INTEGER) AS target_kind_id FROM (
-    SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY md5(roster_id || '|' || cell || '|0'), cell) AS r FROM en WHERE maskable) q WHERE r = 1""",
+    + """ SELECT roster_id, CAST(cell AS INTEGER) AS target_at, CAST(value_id AS INTEGER) AS target_value_id, CAST(kind_id AS INTEGER) AS target_kind_id,
+    CAST(value_sum - (value_id - 1) * (cell + 1) AS BIGINT) AS hidden_sum FROM (
+    SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY md5(roster_id || '|' || cell || '|0'), cell) AS r FROM (SELECT *, sum(value_id * (cell + 1)) OVER (PARTITION BY roster_id) AS value_sum FROM en) e WHERE maskable) q WHERE r = 1""",
     "member",
 )
 def masked_examples(spark, sf):
     out = tokens.masked_examples(_encoded(spark, sf))
-    return out.select("roster_id", "target_at", "target_value_id", "target_kind_id")
+    hidden = F.aggregate(F.transform("value_ids", lambda v, i: v.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda t, x: t + x)
+    return out.select("roster_id", "target_at", "target_value_id", "target_kind_id", hidden.alias("hidden_sum"))
 
 
 # --- what rosters hold ---

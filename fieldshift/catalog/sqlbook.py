@@ -144,11 +144,11 @@ VIEWS: dict[str, tuple[str, str]] = {
     "cands": (
         "pm glide level vol",
         """SELECT 'persistence' AS family, 0 AS cand_ix, season, period_ix, anchor, p, p AS p_hat FROM pm
-  UNION ALL SELECT 'ucsv_local_level', CAST(list_position([0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0], q) - 1 AS INTEGER),
+  UNION ALL SELECT 'local_level', CAST(list_position([0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0], q) - 1 AS INTEGER),
     season, period_ix, anchor, p, p_hat FROM level
-  UNION ALL SELECT 'ucsv_stoch_vol', CAST((list_position([0.1, 0.5, 1.0, 2.0], q) - 1) * 2 + list_position([0.5, 0.8], g) - 1 AS INTEGER),
+  UNION ALL SELECT 'shared_churn', CAST((list_position([0.1, 0.5, 1.0, 2.0], q) - 1) * 2 + list_position([0.5, 0.8], g) - 1 AS INTEGER),
     season, period_ix, anchor, p, p_hat FROM vol
-  UNION ALL SELECT 'glide_to_anchor', CAST(list_position([0.0, 0.1, 0.2, 0.3, 0.5, 0.8], lam) - 1 AS INTEGER),
+  UNION ALL SELECT 'glide', CAST(list_position([0.0, 0.1, 0.2, 0.3, 0.5, 0.8], lam) - 1 AS INTEGER),
     season, period_ix, anchor, p, p_hat FROM glide
   UNION ALL SELECT 'combination', CAST((list_position([0.2, 0.5, 1.0], q) - 1) * 3 + list_position([0.25, 0.5, 0.75], w) - 1 AS INTEGER),
     season, period_ix, anchor, p, (1 - w) * p + w * p_hat FROM level

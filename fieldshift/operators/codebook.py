@@ -94,9 +94,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    sq = (points**2).sum(axis=1)[:, None] - 2.0 * points @ centres.T + (centres**2).sum(axis=1)[None, :]
-    return np.maximum(sq, 0.0)
+# Cells of a distance block held at once, whatever the batch and the codebook.
+BLOCK_CELLS = 1 << 21
+
+
+def closest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Row of the nearest centre of each point, the first among equals.
+
+    Works in blocks of bounded size; x is nearest to the centre c with the
+    greatest x.c - |c|^2 / 2, so no distance is formed.
+    """
+    half = np.einsum("ij,ij->i", centres, centres) / 2.0
+    best = np.zeros(len(points), dtype=np.int64)
+    width = min(len(centres), 4096)
+    height = max(1, BLOCK_CELLS // width)
+    for top in range(0, len(points), height):
+        part = points[top : top + height]
+        lead = np.full(len(part), -np.inf)
+        for left in range(0, len(centres), width):
+            gain = part @ centres[left : left + width].T - half[left : left + width]
+            at = gain.argmax(axis=1)
+            value = gain[np.arange(len(part)), at]
+            ahead = value > lead
+            lead[ahead] = value[ahead]
+            best[top : top + height][ahead] = left + at[ahead]
+    return best
+
+
+def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Every point's distance to every centre; temporaries stay within ``BLOCK_CELLS``."""
+    out = np.empty((len(points), len(centres)))
+    height = max(1, BLOCK_CELLS // max(1, centres.size))
+    for top in range(0, len(points), height):
+        gap = points[top : top + height, None, :] - centres[None, :, :]
+        out[top : top + height] = np.linalg.norm(gap, axis=2)
+    return out
 
 
 def nearest(vec: Column, centroids: Centroids) -> Column:
@@ -113,7 +145,7 @@ def nearest(vec: Column, centroids: Centroids) -> Column:
         if len(column) == 0:
             return pa.array([], fields)
         points = _matrix(column)
-        best = _squared(points, centres).argmin(axis=1)
+        best = closest(points, centres)
         gap = points - centres[best]
         return pa.StructArray.from_arrays(
             [pa.array(ids[best]), pa.array(np.sqrt((gap**2).sum(axis=1)))], fields=list(fields)
@@ -150,12 +182,11 @@ def fit_scores(vec: Column, centroids: Centroids, temperature: float = 1.0) -> C
         n, k = len(column), len(ids)
         if n == 0:
             return pa.array([], pa.list_(item))
-        dist = np.sqrt(_squared(_matrix(column), centres))
-        logit = -dist / heat
-        e = np.exp(logit - logit.max(axis=1, keepdims=True))
-        prob = e / e.sum(axis=1, keepdims=True)
+        dist = distances(_matrix(column), centres)
+        weight = np.exp((dist.min(axis=1, keepdims=True) - dist) / heat)
+        weight /= weight.sum(axis=1, keepdims=True)
         flat = pa.StructArray.from_arrays(
-            [pa.array(np.tile(ids, n)), pa.array(dist.ravel()), pa.array(prob.ravel())], fields=list(item)
+            [pa.array(np.tile(ids, n)), pa.array(dist.ravel()), pa.array(weight.ravel())], fields=list(item)
         )
         return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k), pa.int32()), flat)
 
@@ -229,9 +260,9 @@ def representatives_pooled(rows: DataFrame, units: Centroids, carry: Sequence[st
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            sq = _squared(_matrix(batch.column("embedding")), centres)
-            best = _first_min(sq, batch.column(carry[0]))
-            dist = np.sqrt(((_matrix(batch.column("embedding"))[best] - centres) ** 2).sum(axis=1))
+            points = _matrix(batch.column("embedding"))
+            best = _nearest_rows(points, centres, batch.column(carry[0]))
+            dist = np.sqrt(((points[best] - centres) ** 2).sum(axis=1))
             take = pa.array(best)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), *[batch.column(c).take(take) for c in carry], pa.array(dist)],
@@ -245,10 +276,10 @@ def representatives_pooled(rows: DataFrame, units: Centroids, carry: Sequence[st
     return best.select("unit", *[F.col(f"_b.{c}").alias(c) for c in carry], F.col("_b.distance").alias("distance"))
 
 
-def _first_min(sq: np.ndarray, key: pa.Array) -> np.ndarray:
-    """Row of the smallest value per column; among equals the smallest key."""
+def _nearest_rows(points: np.ndarray, centres: np.ndarray, key: pa.Array) -> np.ndarray:
+    """Row of the nearest point of each centre; among equals the smallest key."""
     order = np.argsort(np.asarray(key.to_pylist()), kind="stable")
-    return order[sq[order].argmin(axis=0)]
+    return order[closest(centres, points[order])]
 
 
 def representatives_current(
@@ -281,25 +312,31 @@ def representatives_current(
 # --- trained parts ---
 
 
-def embed_rosters(tokens: DataFrame, size: int = 64, seed: int = 7, min_count: int = 1, iterations: int = 1):
+def embed_rosters(
+    tokens: DataFrame, size: int = 64, seed: int = 7, min_count: int = 1, iterations: int = 1, partitions: int | None = None
+):
     """Word2Vec token vectors; a roster is the mean of its tokens' vectors.
 
-    The window covers a whole roster, so context does not depend on member
-    order. Returns (roster vectors, token vectors).
+    Window and sentence length are those of the longest roster, so context does
+    not depend on member order. ``partitions`` is the number of training tasks,
+    by default one per core. Returns (roster vectors, token vectors).
     """
+    spark = tokens.sparkSession
     sentences = tokens.groupBy("roster_id").agg(
         F.transform(
             F.sort_array(F.collect_list(F.struct("slot", "pos", "token"))), lambda t: t["token"]
         ).alias("tokens")
     )
+    sentences = stage(sentences, "sentences")
+    longest = sentences.agg(F.max(F.size("tokens"))).first()[0] or 1
     model = Word2Vec(
         vectorSize=size,
         seed=seed,
         minCount=min_count,
         maxIter=iterations,
-        windowSize=90,
-        maxSentenceLength=90,
-        numPartitions=max(1, min(8, sentences.sparkSession.sparkContext.defaultParallelism)),
+        windowSize=longest,
+        maxSentenceLength=longest,
+        numPartitions=partitions or max(1, spark.sparkContext.defaultParallelism),
         inputCol="tokens",
         outputCol="_v",
     ).fit(sentences)

@@ -78,116 +78,84 @@ def running_mean(P: DataFrame) -> DataFrame:
 
 def fc_glide(P: DataFrame, lambdas: Sequence[float] = (GLIDE_LAMBDA,)) -> DataFrame:
     """Blend of the last distribution and the season's running mean, renormalised."""
-    column = _candidates("glide_to_anchor", [(v,) for v in lambdas], ["lam"], lambda v: f"glide({_text(v)})")
+    column = _candidates("glide", [(v,) for v in lambdas], ["lam"], lambda v: f"glide({_text(v)})")
     df = _with_candidates(running_mean(P), column, ["lam"])
     df = df.withColumn("_b", (1 - F.col("lam")) * F.col("p") + F.col("lam") * F.col("mean_p"))
     return _result(df.withColumn("p_hat", F.col("_b") / F.sum("_b").over(_cell())))
 
 
-def _log_ratio(P: DataFrame, ref: int) -> DataFrame:
-    base = F.max(F.when(F.col("anchor") == ref, F.log("p"))).over(Window.partitionBy(*_CELL))
-    return P.withColumn("_y", F.log("p") - base)
+def _filtered(P: DataFrame, ref: int, family: str, params: Sequence[tuple], label: Callable, levels: Callable) -> DataFrame:
+    """Forecasts of every candidate by a filter over log ratios to the ``ref`` anchor.
 
+    ``levels(y, *params)`` maps the periods-by-anchors matrix to the level after
+    each period; a softmax takes it back to shares. One matrix per season, whose size
+    is that of the calendar times the codebook, and one pass over its periods.
+    """
+    labels = [label(*p) for p in params]
 
-def _softmax_back(df: DataFrame, level: str) -> DataFrame:
-    e = F.exp(F.col(level) - F.max(level).over(_cell()))
-    df = df.withColumn("_e", e)
-    return _result(df.withColumn("p_hat", F.col("_e") / F.sum("_e").over(_cell())))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="period_ix", columns="anchor", values="p").sort_index()
+        shares = wide.to_numpy(dtype=float)
+        logs = np.log(shares)
+        y = logs - logs[:, [wide.columns.get_loc(ref)]]
+        periods, anchors = shares.shape
+        parts = []
+        for i, p in enumerate(params):
+            state = levels(y, *p)
+            weight = np.exp(state - state.max(axis=1, keepdims=True))
+            parts.append(
+                pd.DataFrame(
+                    {
+                        "season": pdf["season"].iloc[0],
+                        "period_ix": np.repeat(wide.index.to_numpy(), anchors),
+                        "anchor": np.tile(wide.columns.to_numpy(), periods),
+                        "p": shares.ravel(),
+                        "family": family,
+                        "cand_ix": i,
+                        "label": labels[i],
+                        "p_hat": (weight / weight.sum(axis=1, keepdims=True)).ravel(),
+                    }
+                )
+            )
+        return pd.concat(parts)
 
+    kind = P.schema["season"].dataType.simpleString()
+    schema = f"season {kind}, period_ix int, anchor int, p double, family string, cand_ix int, label string, p_hat double"
+    return _result(P.select("season", "period_ix", "anchor", "p").groupBy("season").applyInPandas(run, schema))
 
-def _level_states(series: Column, q: Column) -> Column:
-    """Filtered level after each element: observation noise 1, state noise q."""
-    start = F.struct(
-        F.get(series, F.lit(0))["y"].alias("a"),
-        F.lit(1.0).alias("v"),
-        F.array(F.get(series, F.lit(0))["y"]).alias("out"),
-    )
 
-    def step(s: Column, x: Column) -> Column:
-        ahead = s["v"] + q
-        gain = ahead / (ahead + 1.0)
-        level = s["a"] + gain * (x["y"] - s["a"])
-        return F.struct(
-            level.alias("a"), (ahead * (1.0 - gain)).alias("v"), F.concat(s["out"], F.array(level)).alias("out")
-        )
+def _steady_levels(y: np.ndarray, q: float) -> np.ndarray:
+    """Observation noise 1, state noise q: the gains depend on the step alone."""
+    out = y.copy()
+    doubt = 1.0
+    for t in range(1, len(y)):
+        doubt = 1.0 - 1.0 / (1.0 + doubt + q)  # the gain, which is also the doubt left after the step
+        out[t] = doubt * y[t] + (1.0 - doubt) * out[t - 1]
+    return out
 
-    return F.aggregate(F.slice(series, 2, 1 << 30), start, step, lambda s: s["out"])
 
+def _churn_levels(y: np.ndarray, q: float, memory: float) -> np.ndarray:
+    """State noise q times a running churn, the mean squared surprise of all anchors but the reference."""
+    out = y.copy()
+    doubt = churn = 1.0
+    for t in range(1, len(y)):
+        doubt = 1.0 - 1.0 / (1.0 + doubt + q * churn)
+        surprise = y[t] - out[t - 1]
+        out[t] = out[t - 1] + doubt * surprise
+        churn += (1.0 - memory) * (float(surprise @ surprise) / (y.shape[1] - 1) - churn)
+    return out
 
-def fc_local_level(P: DataFrame, ref: int, qs: Sequence[float] = (1.0,)) -> DataFrame:
-    """Kalman local level per anchor in log-ratio space, back through a softmax.
 
-    The reference anchor's series is zero throughout, so it needs no special case.
-    """
-    series = (
-        _log_ratio(P, ref)
-        .groupBy("season", "anchor")
-        .agg(F.sort_array(F.collect_list(F.struct("period_ix", F.col("_y").alias("y"), "p"))).alias("_s"))
-    )
-    column = _candidates("ucsv_local_level", [(q,) for q in qs], ["q"], lambda q: f"local_level({_text(q)})")
-    df = _with_candidates(series, column, ["q"])
-    df = df.withColumn("_z", F.arrays_zip(F.col("_s"), _level_states(F.col("_s"), F.col("q")).alias("a")))
-    df = df.select("season", "anchor", *CANDIDATE, F.explode("_z").alias("_z"))
-    df = df.select(
-        "season", "anchor", *CANDIDATE, "_z._s.period_ix", "_z._s.p", F.col("_z").getField("a").alias("_a")
-    )
-    return _softmax_back(df, "_a")
+def fc_local_level(P: DataFrame, ref: int, qs: Sequence[float] = (1.0,)) -> DataFrame:
+    """Local level per anchor in log-ratio space."""
+    name = lambda q: f"local_level({_text(q)})"
+    return _filtered(P, ref, "local_level", [(q,) for q in qs], name, _steady_levels)
 
 
 def fc_stoch_vol(P: DataFrame, ref: int, params: Sequence[tuple[float, float]] = ((1.0, 0.5),)) -> DataFrame:
-    """Local level whose state noise follows the churn shared by all anchors.
-
-    Q_t = q * vol_t, vol an average of mean squared innovations with memory g.
-    One ordered pass over a season's periods, the anchors held as one array.
-    """
-    rows = (
-        _log_ratio(P, ref)
-        .groupBy(*_CELL)
-        .agg(F.sort_array(F.collect_list(F.struct("anchor", F.col("_y").alias("y"), "p"))).alias("_r"))
-        .groupBy("season")
-        .agg(F.sort_array(F.collect_list(F.struct("period_ix", "_r"))).alias("_s"))
-    )
-    column = _candidates(
-        "ucsv_stoch_vol", params, ["q", "g"], lambda q, g: f"stoch_vol({_text(q)},{_text(g)})"
-    )
-    df = _with_candidates(rows, column, ["q", "g"])
-
-    def values(x: Column) -> Column:
-        return F.transform(x["_r"], lambda c: c["y"])
-
-    first = values(F.get("_s", F.lit(0)))
-    start = F.struct(
-        first.alias("a"), F.lit(1.0).alias("v"), F.lit(1.0).alias("vol"), F.array(first).alias("out")
-    )
-
-    def step(s: Column, x: Column) -> Column:
-        ahead = s["v"] + F.col("q") * s["vol"]
-        gain = ahead / (ahead + 1.0)
-        level = F.zip_with(s["a"], values(x), lambda a, y: a + gain * (y - a))
-        miss = F.aggregate(
-            F.zip_with(s["a"], values(x), lambda a, y: (y - a) * (y - a)), F.lit(0.0), lambda t, e: t + e
-        )
-        vol = F.col("g") * s["vol"] + (1.0 - F.col("g")) * miss / (F.size(s["a"]) - 1)
-        return F.struct(
-            level.alias("a"),
-            (ahead * (1.0 - gain)).alias("v"),
-            vol.alias("vol"),
-            F.concat(s["out"], F.array(level)).alias("out"),
-        )
-
-    states = F.aggregate(F.slice("_s", 2, 1 << 30), start, step, lambda s: s["out"])
-    df = df.withColumn("_z", F.arrays_zip(F.col("_s"), states.alias("a")))
-    df = df.select("season", *CANDIDATE, F.explode("_z").alias("_z"))
-    df = df.select(
-        "season",
-        *CANDIDATE,
-        F.col("_z._s.period_ix").alias("period_ix"),
-        F.explode(F.arrays_zip(F.col("_z._s._r").alias("r"), F.col("_z").getField("a").alias("a"))).alias("_k"),
-    )
-    df = df.select(
-        "season", "period_ix", *CANDIDATE, "_k.r.anchor", "_k.r.p", F.col("_k.a").alias("_a")
-    )
-    return _softmax_back(df, "_a")
+    """Local level whose state noise follows the churn shared by all anchors."""
+    name = lambda q, g: f"stoch_vol({_text(q)},{_text(g)})"
+    return _filtered(P, ref, "shared_churn", list(params), name, _churn_levels)
 
 
 def fc_combination(base: DataFrame, weights: Sequence[float] = (0.5,)) -> DataFrame:
@@ -240,10 +208,11 @@ def custom_forecaster(
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="period_ix", columns="anchor", values="p").sort_index()
-        history = wide.to_numpy(dtype=float)
+        history = wide.to_numpy(dtype=float).copy()
+        history.flags.writeable = False  # fn sees views, not copies
         parts = []
         for i in range(min_history - 1, len(history)):
-            guess = np.asarray(fn(history[: i + 1].copy()), dtype=float)
+            guess = np.asarray(fn(history[: i + 1]), dtype=float)
             parts.append(
                 pd.DataFrame(
                     {

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import draw, first_k
 from fieldshift.functions.vectors import as_double, norm, unit_length
-from fieldshift.operators.codebook import MAX_ENTRIES, Centroids, assign_codebook
+from fieldshift.operators.codebook import BLOCK_CELLS, MAX_ENTRIES, Centroids, assign_codebook
 from fieldshift.session import stage
 
 BLOCK_ROWS = 4096
@@ -204,10 +204,20 @@ def knn_approx(
     return _ranked(cells, _top_lists(visits.join(cells.blocks, "cell"), cells.corpus, k + 1), k, metric)
 
 
-def _pivot_distances(pdf: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
+def _in_parts(batches, cells: int):
+    """Rows in parts whose distances to all cells stay within ``BLOCK_CELLS``."""
+    height = max(1, BLOCK_CELLS // max(1, cells))
+    for pdf in batches:
+        for top in range(0, len(pdf), height):
+            yield pdf.iloc[top : top + height]
+
+
+def _to_pivots(pdf: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Distance of every row to every pivot."""
     points = np.stack(pdf["v"].to_numpy())
-    sq = (points**2).sum(1)[:, None] - 2.0 * points @ centres.T + (centres**2).sum(1)[None, :]
-    return np.sqrt(np.maximum(sq, 0.0))
+    half = np.einsum("ij,ij->i", centres, centres) / 2.0
+    gain = points @ centres.T - half
+    return np.sqrt(np.maximum(np.einsum("ij,ij->i", points, points)[:, None] - 2.0 * gain, 0.0))
 
 
 def _visit_rows(pdf: pd.DataFrame, want: np.ndarray) -> pd.DataFrame:
@@ -217,10 +227,8 @@ def _visit_rows(pdf: pd.DataFrame, want: np.ndarray) -> pd.DataFrame:
 
 def _cells_within_bound(centres: np.ndarray, reaches: np.ndarray):
     def visit(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            gap = _pivot_distances(pdf, centres) - reaches[None, :]
+        for pdf in _in_parts(batches, len(centres)):
+            gap = _to_pivots(pdf, centres) - reaches[None, :]
             bound = pdf["bound"].fillna(np.inf).to_numpy(dtype=float)
             want = (gap <= bound[:, None] + 1e-6 + SLACK * np.abs(gap)) & (reaches[None, :] >= 0)
             want[np.arange(len(pdf)), pdf["cell"].to_numpy()] = False
@@ -231,12 +239,12 @@ def _cells_within_bound(centres: np.ndarray, reaches: np.ndarray):
 
 def _nearest_cells(centres: np.ndarray, reaches: np.ndarray, probes: int):
     def visit(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            far = np.where(reaches[None, :] >= 0, _pivot_distances(pdf, centres), np.inf)
-            rank = far.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable")
-            yield _visit_rows(pdf, (rank < probes) & np.isfinite(far))
+        for pdf in _in_parts(batches, len(centres)):
+            far = np.where(reaches[None, :] >= 0, _to_pivots(pdf, centres), np.inf)
+            first = far.argsort(axis=1, kind="stable")[:, :probes]
+            want = np.zeros(far.shape, bool)
+            np.put_along_axis(want, first, True, axis=1)
+            yield _visit_rows(pdf, want & np.isfinite(far))
 
     return visit
 

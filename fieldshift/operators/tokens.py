@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldshift.functions.draws import draw
+from fieldshift.functions.draws import draw, ranked
 from fieldshift.functions.text import canonical_id
 from fieldshift.functions.vectors import let
 from fieldshift.session import stage
 
-# Sizes of an encoded roster and the reserved vocabulary entries.
+# The usual roster size (no limit unless passed as one) and the reserved vocabulary entries.
 TEAM_SIZE = 6
-ATTR_SIZE = 15
 SPECIALS = ("<PAD>", "<MASK>", "<UNK>", "<PKMN_CLS>", "<TEAM_CLS>")
 PAD_ID, MASK_ID, UNK_ID = 0, 1, 2
 STATS = ("hp", "atk", "def", "spa", "spd", "spe")
@@ -78,7 +77,7 @@ def dimension_lookup(members: DataFrame, dimension: DataFrame, stats: Sequence[s
 
 
 def attribute_tokens(stats: Sequence[str] = STATS) -> Column:
-    """Tokens of one member row (after the lookup): types, stats, item, ability, nature, moves."""
+    """Tokens of one member row (after the lookup): all types, stats, item, ability, nature, all moves."""
 
     def token(kind: str, text: Column, maskable: bool) -> Column:
         return F.struct(F.lit(kind).alias("kind"), text.alias("token"), F.lit(maskable).alias("maskable"))
@@ -86,20 +85,32 @@ def attribute_tokens(stats: Sequence[str] = STATS) -> Column:
     def named(kind: str, value: Column) -> Column:
         return token(kind, F.concat(F.lit(f"{kind}:"), canonical_id(value)), kind != "type")
 
-    types = F.transform(F.slice("types", 1, 2), lambda t: named("type", t))
+    types = F.transform("types", lambda t: named("type", t))
     numbers = [
         token("base_stat", F.concat(F.lit(f"base_stat:{s}:"), F.col(s).cast("int").cast("string")), False)
         for s in stats
     ]
     fixed = [named("item", F.col("item")), named("ability", F.col("ability")), named("nature", F.col("nature"))]
-    moves = F.transform(F.slice("moves", 1, 4), lambda m: named("move", m))
-    return F.slice(F.concat(types, F.array(*numbers), F.array(*fixed), moves), 1, ATTR_SIZE)
+    moves = F.transform("moves", lambda m: named("move", m))
+    return F.concat(types, F.array(*numbers), F.array(*fixed), moves)
 
 
-def token_rows(members: DataFrame, dimension: DataFrame, stats: Sequence[str] = STATS) -> DataFrame:
-    """(roster_id, slot, pos, kind, token, maskable) for the first six members."""
-    ready = dimension_lookup(members.where(F.col("slot") <= TEAM_SIZE), dimension, stats)
-    return ready.select("roster_id", "slot", F.posexplode(attribute_tokens(stats)).alias("pos", "t")).select(
+def token_rows(
+    members: DataFrame,
+    dimension: DataFrame,
+    stats: Sequence[str] = STATS,
+    team_size: int | None = None,
+    attr_size: int | None = None,
+) -> DataFrame:
+    """(roster_id, slot, pos, kind, token, maskable) of every member and attribute.
+
+    ``team_size`` and ``attr_size`` keep the first members and tokens only, for
+    models of a fixed shape.
+    """
+    kept = members if team_size is None else members.where(F.col("slot") <= team_size)
+    tokens = attribute_tokens(stats) if attr_size is None else F.slice(attribute_tokens(stats), 1, attr_size)
+    ready = dimension_lookup(kept, dimension, stats)
+    return ready.select("roster_id", "slot", F.posexplode(tokens).alias("pos", "t")).select(
         "roster_id", "slot", "pos", "t.kind", "t.token", "t.maskable"
     )
 
@@ -107,12 +118,12 @@ def token_rows(members: DataFrame, dimension: DataFrame, stats: Sequence[str] =
 def build_vocab(tokens: DataFrame) -> DataFrame:
     """(token, id): reserved entries first, then tokens by first appearance.
 
-    Appearance is (roster, slot, position). The id window runs over distinct
-    tokens only, a vocabulary-sized table.
+    Appearance is (roster, slot, position). Distinct tokens are numbered inside
+    range partitions and shifted by the partitions before.
     """
     first = tokens.groupBy("token").agg(F.min(F.struct("roster_id", "slot", "pos")).alias("_at"))
-    order = Window.orderBy("_at", "token")
-    learned = first.select("token", (F.row_number().over(order) + len(SPECIALS) - 1).cast("int").alias("id"))
+    numbered = ranked(first, ["_at", "token"], "_rank")
+    learned = numbered.select("token", (F.col("_rank") + len(SPECIALS) - 1).cast("int").alias("id"))
     special = tokens.sparkSession.createDataFrame(list(zip(SPECIALS, range(len(SPECIALS)))), "token string, id int")
     return special.unionByName(learned)
 
@@ -124,28 +135,37 @@ def build_kind_vocab(tokens: DataFrame) -> DataFrame:
     return tokens.sparkSession.createDataFrame([("pad", 0)], "kind string, kind_id int").unionByName(learned)
 
 
-def encode_tokens(tokens: DataFrame, vocab: DataFrame, kinds: DataFrame) -> DataFrame:
-    """Per roster padded flat arrays (6 x 15): kind ids, value ids, mask, maskable positions.
+def encode_tokens(
+    tokens: DataFrame, vocab: DataFrame, kinds: DataFrame, attr_size: int | None = None, team_size: int | None = None
+) -> DataFrame:
+    """Per roster flat arrays of members x attr_size cells: kind ids, value ids, mask, maskable positions.
 
-    Unseen tokens become UNK, unseen kinds padding. A roster has at most 90
-    tokens, so the group is bounded by the encoding itself.
+    ``attr_size`` is the cells of a member, by default as many as the longest
+    member of ``tokens`` has. A roster has the cells of its own members, or of
+    ``team_size`` members (padded) if given. Unseen tokens become UNK, unseen
+    kinds padding. A roster's cells are one row, like the roster itself.
     """
-    size = TEAM_SIZE * ATTR_SIZE
+    if attr_size is None:
+        attr_size = (tokens.agg(F.max("pos")).first()[0] or 0) + 1
     rows = (
         tokens.join(vocab, "token", "left")
         .join(kinds, "kind", "left")
         .select(
             "roster_id",
-            ((F.col("slot") - 1) * ATTR_SIZE + F.col("pos")).cast("int").alias("at"),
+            ((F.col("slot") - 1) * attr_size + F.col("pos")).cast("int").alias("at"),
             F.coalesce("id", F.lit(UNK_ID)).alias("value_id"),
             F.coalesce("kind_id", F.lit(PAD_ID)).alias("kind_id"),
             "maskable",
+            "slot",
         )
     )
     grouped = rows.groupBy("roster_id").agg(
+        F.max("slot").alias("_slots"),
         F.map_from_entries(F.collect_list(F.struct("at", F.struct("value_id", "kind_id", "maskable")))).alias("_m")
     )
-    cells = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.try_element_at("_m", i))
+    slots = F.col("_slots") if team_size is None else F.lit(team_size)
+    last = (slots * attr_size - 1).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at("_m", i))
     filled = grouped.select("roster_id", cells.alias("_c"))
     return filled.select(
         "roster_id",

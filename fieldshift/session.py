@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,6 +28,24 @@ def local_session(cpus: int | str = "*", app_name: str = "fieldshift") -> SparkS
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the session's Python workers, once per Spark context.
+
+    Functions that run on executors import it, and these know nothing of the driver's path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_fieldshift_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="fieldshift-package-")  # the driver serves it to the executors
+    source = os.path.join(folder, "source")
+    shutil.copytree(
+        os.path.join(root, "fieldshift"), os.path.join(source, "fieldshift"), ignore=shutil.ignore_patterns("__pycache__")
+    )
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "fieldshift"), "zip", source))
+    context._fieldshift_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
@@ -46,6 +65,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_STAGED: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged by this session so far; frames read from them can't be used again."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a derived table once and read it back.
 
@@ -55,4 +87,5 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _STAGED.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -153,3 +153,15 @@ def test_word_vectors_do_not_depend_on_member_order(spark):
     rosters, words = cb.embed_rosters(toks, size=8)
     got = {r["roster_id"]: np.array(r["embedding"]) for r in rosters.collect()}
     assert np.allclose(got[98], got[99]) and words.count() == 5
+
+
+def test_context_sets_are_independent_between_targets(spark):
+    """2,000 targets of one period, 64 of 1,999 each: a pair of contexts meets about twice, never often."""
+    df = spark.createDataFrame([(i, "s", i // 2000) for i in range(4000)], "row_id long, season string, period_ix long")
+    sets = contexts.context_sets(df, full_mask_prob=0.0, budgets=(64,), min_prev_periods=1)
+    current = sets.where("is_current").select("row_id", "context_id")
+    other = current.withColumnRenamed("context_id", "other_id")
+    pairs = current.join(other, "row_id").where("context_id < other_id").groupBy("context_id", "other_id").count()
+    assert pairs.agg({"count": "max"}).first()[0] <= 16
+    sizes = sets.groupBy("row_id").count().select("count").distinct().collect()
+    assert [r[0] for r in sizes] == [64]
