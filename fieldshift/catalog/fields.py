@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldshift.catalog import roles
@@ -10,6 +11,7 @@ from fieldshift.functions.simplex import alr, inv_alr
 from fieldshift.operators import contexts, dists
 from fieldshift.operators.codebook import label_reps
 from fieldshift.plans.forecasts import field_state, forecast_shift, next_distribution
+from fieldshift.session import stage
 
 
 @query(
@@ -61,17 +63,24 @@ def anchor_to_unit_distribution(spark, sf):
 @query(
     "shift_table",
     """WITH s AS (SELECT season, unit, sum(p) / sum(sum(p)) OVER (PARTITION BY season) AS share FROM pm JOIN mp USING (anchor)
-    GROUP BY season, unit), a AS (SELECT unit, share FROM s WHERE season = 'y1999'), b AS (SELECT unit, share FROM s WHERE season = 'y2000'),
-    j AS (SELECT unit, coalesce(a.share, 0) AS c, coalesce(b.share, 0) AS n FROM a FULL JOIN b USING (unit)),
-    k AS (SELECT unit, c, n, n - c AS d, CASE WHEN c >= 0.01 THEN (n - c) / c END AS g FROM j)
-    SELECT unit, rnd(c) AS current_share, rnd(n) AS predicted_share, rnd(d) AS delta, rnd(g) AS pct_change FROM k""",
+    GROUP BY season, unit), o AS (SELECT season, lead(season) OVER (ORDER BY season) AS following FROM (SELECT DISTINCT season FROM s) q),
+    a AS (SELECT s.* FROM s JOIN o USING (season) WHERE following IS NOT NULL),
+    b AS (SELECT o.season, unit, share FROM s JOIN o ON s.season = o.following),
+    j AS (SELECT season, unit, coalesce(a.share, 0) AS c, coalesce(b.share, 0) AS n FROM a FULL JOIN b USING (season, unit)),
+    k AS (SELECT season, unit, c, n, n - c AS d, CASE WHEN c >= 0.01 THEN (n - c) / c END AS g FROM j)
+    SELECT season, unit, rnd(c) AS current_share, rnd(n) AS predicted_share, rnd(d) AS delta, rnd(g) AS pct_change FROM k""",
     "pm mp",
 )
 def shift_table(spark, sf):
     frozen = roles.space(spark, sf)
     shares = dists.unit_distribution(roles.weekly_p(spark, sf, frozen), frozen.mapping(), ("season",))
-    by = {s: shares.where(F.col("season") == s).drop("season") for s in ("y1999", "y2000")}
-    out = dists.shift_table(by["y1999"], by["y2000"])
+    shares = stage(shares, "season-shares")
+    # every season against the one that follows
+    order = Window.orderBy("season")
+    seasons = shares.select("season").distinct().withColumn("following", F.lead("season").over(order))
+    seasons = seasons.where(F.col("following").isNotNull())
+    following = seasons.join(shares.withColumnRenamed("season", "following"), "following").drop("following")
+    out = dists.shift_table(shares.join(seasons.select("season"), "season"), following, ["season"])
     return rounded(out, "current_share", "predicted_share", "delta", "pct_change")
 
 
@@ -88,14 +97,14 @@ def forecast_shift_query(spark, sf):
 
 
 REPS = """WITH d AS (SELECT mp.unit, f.roster_id, v.d FROM feats f JOIN mp USING (anchor) JOIN vd v ON v.vec_id = f.vec_id
-    AND v.kind = 'unit' AND v.id = mp.unit WHERE f.source = 'tournament'), l AS (SELECT unit, 'r' || arg_min(roster_id, (round(d, 9), roster_id)) AS rep
+    AND v.kind = 'unit' AND v.id = mp.unit), l AS (SELECT unit, 'r' || arg_min(roster_id, (round(d, 9), roster_id)) AS rep
     FROM d GROUP BY unit)"""
 
 
 def _labels(spark, sf, frozen, rows):
     from fieldshift.operators.codebook import representatives_current
 
-    reps = representatives_current(rows.where(F.col("source") == "tournament"), frozen.mapping(), frozen.units, "roster_id")
+    reps = representatives_current(rows, frozen.mapping(), frozen.units, "roster_id")
     return reps.select("unit", F.concat(F.lit("r"), F.col("representative_id").cast("string")).alias("representative"))
 
 
@@ -112,31 +121,33 @@ def label_reps_query(spark, sf):
 
 @query(
     "risers_fallers",
-    """WITH x AS (SELECT * FROM shift WHERE season = 'y2001' AND current_share >= 0.01)
-    SELECT side, unit, rnd(delta) AS delta FROM (
-    (SELECT 'rising' AS side, unit, delta FROM x ORDER BY delta DESC, unit LIMIT 3) UNION ALL
-    (SELECT 'falling', unit, delta FROM x ORDER BY delta, unit LIMIT 3)) q""",
+    """WITH x AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY delta DESC, unit) AS up,
+    row_number() OVER (PARTITION BY season ORDER BY delta, unit) AS down FROM shift WHERE current_share >= 0.01)
+    SELECT season, side, unit, rnd(delta) AS delta FROM (SELECT season, 'rising' AS side, unit, delta FROM x WHERE up <= 3 UNION ALL
+    SELECT season, 'falling', unit, delta FROM x WHERE down <= 3) q""",
     "shift",
 )
 def risers_fallers(spark, sf):
     frozen = roles.space(spark, sf)
-    shift = forecast_shift(roles.features(spark, sf, frozen), frozen.mapping(), frozen.size).where(F.col("season") == "y2001")
-    return rounded(dists.risers_fallers(shift).select("side", "unit", "delta"), "delta")
+    shift = forecast_shift(roles.features(spark, sf, frozen), frozen.mapping(), frozen.size)
+    out = dists.risers_fallers(shift, keys=["season"])
+    return rounded(out.select("season", "side", "unit", "delta"), "delta")
 
 
 @query(
     "top_shares",
     REPS
-    + """ SELECT s.unit, rnd(s.current_share) AS current_share, rep AS representative FROM shift s JOIN l ON l.unit = s.unit
-    WHERE season = 'y2001' AND rep <> '' ORDER BY s.current_share DESC, s.unit LIMIT 5""",
+    + """, t AS (SELECT s.season, s.unit, s.current_share, rep, row_number() OVER (PARTITION BY season ORDER BY s.current_share DESC, s.unit) AS r
+    FROM shift s JOIN l ON l.unit = s.unit WHERE rep <> '')
+    SELECT season, unit, rnd(current_share) AS current_share, rep AS representative FROM t WHERE r <= 5""",
     "feats mp vd shift",
 )
 def top_shares(spark, sf):
     frozen = roles.space(spark, sf)
     rows = roles.features(spark, sf, frozen, vectors=True)
     shift = forecast_shift(rows, frozen.mapping(), frozen.size, labels=_labels(spark, sf, frozen, rows))
-    top = dists.top_shares(shift.where(F.col("season") == "y2001"))
-    return rounded(top.select("unit", "current_share", "representative"), "current_share")
+    top = dists.top_shares(shift, keys=["season"])
+    return rounded(top.select("season", "unit", "current_share", "representative"), "current_share")
 
 
 FAMS = """WITH c AS (SELECT anchor, family, count(*) AS n FROM feats JOIN fam USING (roster_id) GROUP BY ALL),
@@ -159,16 +170,17 @@ def family_of_anchor(spark, sf):
 
 @query(
     "family_shares",
-    """WITH c AS (SELECT season, anchor, family, count(*) AS n FROM feats JOIN fam USING (roster_id) WHERE season = 'y2000' GROUP BY ALL),
+    """WITH c AS (SELECT season, anchor, family, count(*) AS n FROM feats JOIN fam USING (roster_id) WHERE season = (SELECT arg_max(season, period) FROM feats) GROUP BY ALL),
     fa AS (SELECT anchor, arg_min(family, (-n, family)) AS family FROM c GROUP BY anchor),
     s AS (SELECT family, sum(p) / sum(sum(p)) OVER () AS a, sum(p_hat) / sum(sum(p_hat)) OVER () AS b
-    FROM nxt JOIN fa USING (anchor) WHERE season = 'y2000' GROUP BY family), t AS (SELECT *, b - a AS d FROM s)
+    FROM nxt JOIN fa USING (anchor) WHERE season = (SELECT arg_max(season, period) FROM feats) GROUP BY family), t AS (SELECT *, b - a AS d FROM s)
     SELECT family, rnd(a) AS current_share, rnd(b) AS predicted_share, rnd(d) AS delta FROM t""",
     "feats fam nxt",
 )
 def family_shares(spark, sf):
     frozen = roles.space(spark, sf)
-    state = field_state(_family_rows(spark, sf, frozen), frozen.mapping(), frozen.size, "y2000")
+    rows = stage(_family_rows(spark, sf, frozen), "family-rows")
+    state = field_state(rows, frozen.mapping(), frozen.size, roles.latest_season(rows))
     return rounded(state.family_shares, "current_share", "predicted_share", "delta")
 
 

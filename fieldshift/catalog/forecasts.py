@@ -131,31 +131,56 @@ def _scores(spark, sf):
     return frozen, forecasts, stage(evaluate.score_candidates(forecasts), "scores"), sizes
 
 
-@query("score_candidates", "SELECT family, cand_ix, season, period_ix, rnd(kl) AS kl FROM scores", "scores")
+LABELS = """lb AS (SELECT 'persistence' AS family, 0 AS cand_ix, 'persistence' AS label
+    UNION ALL SELECT 'glide', i - 1, 'glide(' || x || ')' FROM (SELECT generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT ['0', '0.1', '0.2', '0.3', '0.5', '0.8'] AS a))
+    UNION ALL SELECT 'local_level', i - 1, 'local_level(' || x || ')' FROM (SELECT generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT ['0.05', '0.1', '0.2', '0.5', '1', '2', '5'] AS a))
+    UNION ALL SELECT 'shared_churn', (i - 1) * 2 + j - 1, 'stoch_vol(' || x || ',' || ['0.5', '0.8'][j] || ')' FROM (SELECT generate_subscripts(a, 1) AS i, unnest(a) AS x
+      FROM (SELECT ['0.1', '0.5', '1', '2'] AS a)), range(1, 3) t(j)
+    UNION ALL SELECT 'combination', (i - 1) * 3 + j - 1, 'combo(' || ['0.25', '0.5', '0.75'][j] || ',local_level(' || x || '))' FROM (SELECT generate_subscripts(a, 1) AS i, unnest(a) AS x
+      FROM (SELECT ['0.2', '0.5', '1'] AS a)), range(1, 4) t(j))"""
+
+
+@query(
+    "score_candidates",
+    "WITH " + LABELS + " SELECT family, cand_ix, label, season, period_ix, rnd(kl) AS kl FROM scores JOIN lb USING (family, cand_ix)",
+    "scores",
+)
 def score_candidates(spark, sf):
     _, P, ref, _ = _p_and_ref(spark, sf)
     scores = evaluate.score_candidates(evaluate.all_candidates(P, ref))
-    return rounded(scores.drop("label"), "kl")
+    return rounded(scores, "kl")
 
 
-@query("loro_select", "SELECT family, season, cand_ix, rnd(train_kl) AS train_kl FROM chosen", "chosen")
+@query(
+    "loro_select",
+    "WITH " + LABELS + " SELECT family, season, cand_ix, label, rnd(train_kl) AS train_kl FROM chosen JOIN lb USING (family, cand_ix)",
+    "chosen",
+)
 def loro_select(spark, sf):
     _, _, scores, _ = _scores(spark, sf)
-    return rounded(evaluate.loro_select(scores).drop("label"), "train_kl")
+    return rounded(evaluate.loro_select(scores), "train_kl")
 
 
-@query("horse_race", "SELECT family, rnd(mean_kl) AS mean_kl, rnd(beats_pct) AS beats_pct FROM race", "race")
+@query(
+    "horse_race",
+    "WITH "
+    + LABELS
+    + """, n AS (SELECT family, label, count(*) AS n FROM chosen JOIN lb USING (family, cand_ix) WHERE family <> 'persistence' GROUP BY ALL),
+    u AS (SELECT family, arg_min(label, (-n, label)) AS selected FROM n GROUP BY family)
+    SELECT family, rnd(mean_kl) AS mean_kl, rnd(beats_pct) AS beats_pct, coalesce(selected, '-') AS selected FROM race LEFT JOIN u USING (family)""",
+    "race chosen",
+)
 def horse_race(spark, sf):
     _, _, scores, _ = _scores(spark, sf)
-    return rounded(evaluate.horse_race(scores).drop("selected"), "mean_kl", "beats_pct")
+    return rounded(evaluate.horse_race(scores), "mean_kl", "beats_pct")
 
 
 @query(
     "best_next_forecast",
     """WITH win AS (SELECT family FROM race ORDER BY mean_kl, family LIMIT 1), b AS (SELECT family, cand_ix FROM scores JOIN win USING (family)
     WHERE family <> 'persistence' GROUP BY ALL ORDER BY avg(kl), cand_ix LIMIT 1),
-    f AS (SELECT c.anchor, c.p, c.p_hat FROM cands c JOIN b USING (family, cand_ix) WHERE c.season = 'y2001'
-    AND c.period_ix = (SELECT max(period_ix) FROM pm WHERE season = 'y2001')),
+    f AS (SELECT c.anchor, c.p, c.p_hat FROM cands c JOIN b USING (family, cand_ix) WHERE c.season = (SELECT arg_max(season, period) FROM pm)
+    AND c.period_ix = (SELECT max(period_ix) FROM pm WHERE season = (SELECT arg_max(season, period) FROM pm))),
     s AS (SELECT unit, sum(p) / sum(sum(p)) OVER () AS c, sum(p_hat) / sum(sum(p_hat)) OVER () AS n FROM f JOIN mp USING (anchor) GROUP BY unit),
     t AS (SELECT *, n - c AS d FROM s)
     SELECT unit, rnd(c) AS current_share, rnd(n) AS predicted_share, rnd(d) AS delta FROM t""",
@@ -163,7 +188,8 @@ def horse_race(spark, sf):
 )
 def best_next_forecast(spark, sf):
     frozen, forecasts, scores, _ = _scores(spark, sf)
-    out = evaluate.best_next_forecast(forecasts, scores, "y2001", frozen.mapping()).drop("pct_change")
+    latest = roles.latest_season(roles.seasoned(spark, sf))
+    out = evaluate.best_next_forecast(forecasts, scores, latest, frozen.mapping()).drop("pct_change")
     return rounded(out, "current_share", "predicted_share", "delta")
 
 

@@ -12,7 +12,7 @@ from fieldshift.operators.codebook import embed_rosters
 from fieldshift.operators.recommend import recommend_completions, roster_strength
 from fieldshift.operators.tokens import token_rows
 from fieldshift.plans.forecasts import field_state
-from fieldshift.plans.rating import rate_batch
+from fieldshift.plans.rating import rate_batch, rate_details
 from fieldshift.session import stage
 
 SCORED = """WITH pr AS (SELECT pairing_id, label, 1 / (1 + exp(b.s - a.s)) AS p FROM pairing JOIN st a ON a.vec_id = vec_a
@@ -150,11 +150,11 @@ RATED = """WITH fr AS (SELECT f.*, mp.unit AS core, coalesce(fam.family, 'none')
     fs2 AS (SELECT family, s FROM (SELECT family, s, row_number() OVER (PARTITION BY family ORDER BY md5(roster_id || '|0'), roster_id) AS r FROM fr) q WHERE r <= 25),
     ue AS (SELECT v.vec_id, core, avg(1 / (1 + exp(us.s - v.s))) AS w FROM st v CROSS JOIN us GROUP BY ALL),
     fe AS (SELECT v.vec_id, family, avg(1 / (1 + exp(fs2.s - v.s))) AS w FROM st v CROSS JOIN fs2 GROUP BY ALL),
-    cn AS (SELECT anchor, family, count(*) AS n FROM fr WHERE season = 'y2000' GROUP BY ALL),
+    cn AS (SELECT anchor, family, count(*) AS n FROM fr WHERE season = (SELECT arg_max(season, period) FROM feats) GROUP BY ALL),
     fa AS (SELECT anchor, arg_min(family, (-n, family)) AS family FROM cn GROUP BY anchor),
     fsh AS (SELECT family, sum(p) / sum(sum(p)) OVER () AS a, sum(p_hat) / sum(sum(p_hat)) OVER () AS b FROM nxt JOIN fa USING (anchor)
-      WHERE season = 'y2000' GROUP BY family),
-    ush AS (SELECT unit AS core, current_share AS a, predicted_share AS b FROM shift WHERE season = 'y2000' AND current_share >= 0.005),
+      WHERE season = (SELECT arg_max(season, period) FROM feats) GROUP BY family),
+    ush AS (SELECT unit AS core, current_share AS a, predicted_share AS b FROM shift WHERE season = (SELECT arg_max(season, period) FROM feats) AND current_share >= 0.005),
     o AS (SELECT vec_id, sum(w * a) / sum(a) AS ua, sum(w * b) / sum(b) AS ub FROM ue JOIN ush USING (core) GROUP BY vec_id),
     p AS (SELECT vec_id, sum(w * a) / sum(a) AS fa, sum(w * b) / sum(b) AS fb FROM fe JOIN fsh USING (family) GROUP BY vec_id)"""
 
@@ -183,12 +183,26 @@ def _field(spark, sf):
 )
 def rate_rosters(spark, sf):
     frozen, rows, units, fams = _field(spark, sf)
-    state = field_state(rows, frozen.mapping(), frozen.size, "y2000")
+    state = field_state(rows, frozen.mapping(), frozen.size, roles.latest_season(rows))
     model = roles.mean_difference_model(spark, sf, frozen)
     out = rate_batch(roles.roster_vectors(spark, sf, frozen), units, fams, state, model)
     return rounded(out, "current_by_unit", "predicted_by_unit", "current_by_family", "predicted_by_family")
 
 
+@query(
+    "rate_rosters_detail",
+    RATED
+    + """ SELECT roster_id, 'unit' AS kind, CAST(core AS VARCHAR) AS name, rnd(w) AS rate FROM roster JOIN ue USING (vec_id) JOIN ush USING (core)
+    UNION ALL SELECT roster_id, 'family', family, rnd(w) FROM roster JOIN fe USING (vec_id)""",
+    "feats mp fam st nxt shift roster",
+)
+def rate_rosters_detail(spark, sf):
+    frozen, rows, units, fams = _field(spark, sf)
+    state = field_state(rows, frozen.mapping(), frozen.size, roles.latest_season(rows))
+    model = roles.mean_difference_model(spark, sf, frozen)
+    return rounded(rate_details(roles.roster_vectors(spark, sf, frozen), units, fams, state, model), "rate")
+
+
 @query(
     "worst_matchups",
     RATED

@@ -488,12 +488,13 @@ def member_options_query(spark, sf):
 @query(
     "exclude_owned",
     r"""WITH o AS (SELECT DISTINCT roster_id, lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) AS species_id FROM member),
-    c AS (SELECT roster_id, unnest(['brand1', 'brand5', 'brand9']) AS species_id FROM (SELECT DISTINCT roster_id FROM member) q)
+    c AS (SELECT roster_id, s.species_id FROM (SELECT DISTINCT roster_id FROM member) q, (SELECT DISTINCT species_id FROM o) s)
     SELECT roster_id, species_id FROM c ANTI JOIN o USING (roster_id, species_id)""",
     "member",
 )
 def exclude_owned_query(spark, sf):
     held = roles.members(spark, sf).select("roster_id", "species")
-    offered = F.explode(F.array(*[F.lit(s) for s in ("brand1", "brand5", "brand9")]))
-    candidates = held.select("roster_id").distinct().select("roster_id", offered.alias("species_id"))
+    # the species of the whole pool, a bounded list
+    offered = member_pool(roles.members(spark, sf)).agg(F.collect_set("species_id").alias("s")).scalar()
+    candidates = held.select("roster_id").distinct().select("roster_id", F.explode(offered).alias("species_id"))
     return exclude_owned(candidates, held)

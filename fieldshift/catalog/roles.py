@@ -357,3 +357,8 @@ def event_index(spark: SparkSession, sf: str) -> DataFrame:
         "ts",
         "players",
     )
+
+
+def latest_season(rows: DataFrame) -> str:
+    """Season of the latest period among the rows (season, period)."""
+    return rows.agg(F.max_by("season", "period")).first()[0]

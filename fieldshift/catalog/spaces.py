@@ -209,19 +209,18 @@ def knn_lsh(spark, sf):
 
 @query(
     "knn_report",
-    """WITH h AS (SELECT roster_id, string_agg(species, ' | ' ORDER BY slot) AS species FROM member WHERE slot <= 6 GROUP BY roster_id),
+    """WITH h AS (SELECT roster_id, string_agg(species, ' | ' ORDER BY slot) AS species FROM member GROUP BY roster_id),
     e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
     d AS (SELECT a.vec_id AS id, b.vec_id AS neighbor_id, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 12), neighbor_id) AS k FROM d),
-    t AS (SELECT vec_id, arg_min(species, roster_id) AS species, count(*) AS occ FROM roster JOIN h USING (roster_id) GROUP BY vec_id)
-    SELECT id, CAST(k AS INTEGER) AS neighbor_rank, neighbor_id, q.species AS query_species, n.species AS neighbor_species,
+    t AS (SELECT vec_id, arg_min(species, roster_id) AS species, md5(arg_min(species, roster_id)) AS hash, count(*) AS occ FROM roster JOIN h USING (roster_id) GROUP BY vec_id)
+    SELECT id, CAST(k AS INTEGER) AS neighbor_rank, neighbor_id, q.hash AS query_hash, n.hash AS neighbor_hash, q.species AS query_species, n.species AS neighbor_species,
     n.occ AS neighbor_occurrence_count FROM r JOIN t q ON q.vec_id = id JOIN t n ON n.vec_id = neighbor_id WHERE k <= 5""",
     "member roster",
 )
 def knn_report(spark, sf):
     text = (
         roles.members(spark, sf)
-        .where(F.col("slot") <= 6)
         .groupBy("roster_id")
         .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "species"))), lambda s: s["species"]), " | ").alias("species"))
     )
@@ -231,8 +230,8 @@ def knn_report(spark, sf):
         .join(text, "roster_id")
         .groupBy(F.col("vec_id").alias("row_id"))
         .agg(F.min_by("species", "roster_id").alias("species"), F.count(F.lit(1)).alias("occurrence_count"))
-        .withColumn("roster_hash", F.lit(""))
+        .withColumn("roster_hash", F.md5("species"))
     )
     near = neighbors.knn_exact(roles.table(spark, sf, "embeddings"), 5, "euclidean", "vec_id")
     out = neighbors.with_neighbor_text(near, described)
-    return out.select("id", "neighbor_rank", "neighbor_id", "query_species", "neighbor_species", "neighbor_occurrence_count")
+    return out.select("id", "neighbor_rank", "neighbor_id", "query_hash", "neighbor_hash", "query_species", "neighbor_species", "neighbor_occurrence_count")

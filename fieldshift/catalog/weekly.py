@@ -200,13 +200,17 @@ MOMENTUM = """WITH d AS (SELECT delta - avg(delta) OVER (PARTITION BY unit) AS y
     avg(x) AS mx, (regr_syy(y, x) - regr_sxy(y, x) ** 2 / regr_sxx(y, x)) / (count(*) - 2) AS s2 FROM d),
     t AS (SELECT 'intercept' AS term, a AS coef, sqrt(s2 * (1.0 / n + mx ** 2 / sxx)) AS se, r2, n FROM f
     UNION ALL SELECT 'value_lag1', b, sqrt(s2 / sxx), r2, n FROM f), u AS (SELECT *, coef / se AS ts FROM t)
-    SELECT term, rnd(coef) AS coef, rnd(se) AS se, rnd(ts) AS t_stat, rnd(r2) AS r2, n FROM u""",
+    , area AS (SELECT term, sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+      * pow(cos(low + i * (pi() / 2 - low) / 4000), n - 3)) * (pi() / 2 - low) / 12000
+      * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt(pi()) * 2 AS pv
+      FROM (SELECT term, n, atan(abs(ts) / sqrt(n - 2)) AS low FROM u), range(4001) t(i) GROUP BY term, n, low)
+    SELECT term, rnd(coef) AS coef, rnd(se) AS se, rnd(ts) AS t_stat, rnd(pv) AS p_value, rnd(r2) AS r2, n FROM u JOIN area USING (term)""",
     "lagged",
 )
 def ols(spark, sf):
     rows = panels.panel_lags(_panel(spark, sf)).dropna(subset=["value", "value_lag1"])
-    out = stats.ols(rows, "value", ["value_lag1"]).drop("p_value")
-    return rounded(out, "coef", "se", "t_stat", "r2")
+    out = stats.ols(rows, "value", ["value_lag1"], p_values=True)
+    return rounded(out, "coef", "se", "t_stat", "p_value", "r2")
 
 
 @query(

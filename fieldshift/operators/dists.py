@@ -26,6 +26,9 @@ def histogram_arrays(
     sums = rows.groupBy(*keys, "anchor").agg(F.sum(weight.cast("double")).alias("_w"))
     held = F.map_from_entries(F.collect_list(F.struct("anchor", "_w")))
     gathered = sums.groupBy(*keys).agg(held.alias("_m"))
+    outside = F.exists(F.map_keys("_m"), lambda a: (a < 0) | (a >= size))
+    problem = F.raise_error(F.lit(f"an anchor lies outside 0..{size - 1}")).cast(gathered.schema["_m"].dataType)
+    gathered = gathered.withColumn("_m", F.when(outside, problem).otherwise(F.col("_m")))
     raised = F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)),
         lambda i: F.coalesce(F.try_element_at("_m", i.cast("int")), F.lit(0.0)) + F.lit(float(smoothing)),
@@ -136,19 +139,20 @@ def family_shares(dist: DataFrame, families: DataFrame, p: str = "p", p_hat: str
     return shares.withColumn("delta", F.col("predicted_share") - F.col("current_share"))
 
 
-def risers_fallers(shift: DataFrame, n: int = 3, min_share: float = MIN_SHARE_FOR_PCT) -> DataFrame:
-    """The n strongest gains and losses among units with a share worth naming."""
+def risers_fallers(
+    shift: DataFrame, n: int = 3, min_share: float = MIN_SHARE_FOR_PCT, keys: Sequence[str] = ()
+) -> DataFrame:
+    """The n strongest gains and losses among units with a share worth naming, per key."""
     shown = shift.where(F.col("current_share") >= min_share)
-    up = shown.orderBy(F.col("delta").desc(), F.col("unit")).limit(n).withColumn("side", F.lit("rising"))
-    down = shown.orderBy(F.col("delta"), F.col("unit")).limit(n).withColumn("side", F.lit("falling"))
+    up = first_k(shown, keys, [F.col("delta").desc(), F.col("unit")], n).withColumn("side", F.lit("rising"))
+    down = first_k(shown, keys, [F.col("delta"), F.col("unit")], n).withColumn("side", F.lit("falling"))
     return up.unionByName(down)
 
 
-def top_shares(shift: DataFrame, n: int = 5) -> DataFrame:
-    """The n largest current shares among units with a representative."""
-    return (
-        shift.where(F.col("representative") != "").orderBy(F.col("current_share").desc(), F.col("unit")).limit(n)
-    )
+def top_shares(shift: DataFrame, n: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """The n largest current shares among units with a representative, per key."""
+    named = shift.where(F.col("representative") != "")
+    return first_k(named, keys, [F.col("current_share").desc(), F.col("unit")], n)
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FULL_SIZE = 6
-MAX_MOVES = 4
 SOURCE_WEIGHT = 8.0
 DIGITS = "^[0-9]+$"
 LINE_END = r"\r\n|\n|\r"
@@ -112,21 +111,34 @@ def parse_export(text: Column) -> Column:
         hits = F.filter(lines, lambda s: s.rlike(pattern))
         return F.coalesce(take(_last(hits)), F.lit(""))
 
+    def in_last(head: Column) -> Column:
+        """What the parentheses that end a head hold, else nothing."""
+        closed = F.endswith(head, F.lit(")")) & F.contains(head, F.lit("("))
+        held = F.rtrim(F.substring_index(head, "(", -1))
+        held = F.substring(held, F.lit(1), F.char_length(held) - 1)
+        return F.when(closed & ~F.contains(held, F.lit(")")), held).otherwise("")
+
+    def before_last(head: Column) -> Column:
+        return _strip(F.substring(head, F.lit(1), F.char_length(head) - F.char_length(F.substring_index(head, "(", -1)) - 1))
+
+    def gender_of(head: Column) -> Column:
+        return F.when(in_last(head).isin("M", "F", "N"), in_last(head)).otherwise("")
+
     def parts(lines: Column) -> Column:
         head = F.get(lines, F.lit(0))
         rest = F.slice(lines, 2, 1 << 30)
         left = _strip(F.regexp_extract(head, r"^([^@]*)", 1))
         return F.struct(
             head.alias("head"),
-            F.regexp_extract(left, r"\(([MFN])\)\s*$", 1).alias("gender"),
-            _strip(F.regexp_replace(left, r"\([MFN]\)\s*$", "")).alias("named"),
+            gender_of(left).alias("gender"),
+            F.when(gender_of(left) == "", left).otherwise(before_last(left)).alias("named"),
             F.filter(rest, lambda s: s.rlike(r"^-[ \t]")).alias("bullets"),
             F.filter(rest, lambda s: ~s.rlike(r"^-[ \t]") & (s != "-")).alias("plain"),
         )
 
     def member(p: Column) -> Column:
         head, named, plain, gender = p["head"], p["named"], p["plain"], p["gender"]
-        inner = F.regexp_extract(named, r"^.*?\(([^()]+)\)\s*$", 1)
+        inner = in_last(named)
         level = F.filter(
             F.transform(F.filter(plain, lambda s: s.rlike(r"(?i)^level:")), value), lambda v: v.rlike(DIGITS)
         )
@@ -135,7 +147,7 @@ def parse_export(text: Column) -> Column:
             F.when(inner != "", _strip(inner)).otherwise(named).alias("species"),
             _strip(F.regexp_extract(head, r"^[^@]*@(.*)$", 1)).alias("item"),
             last(plain, r"(?i)^ability:", value).alias("ability"),
-            F.slice(moves, 1, MAX_MOVES).alias("moves"),
+            moves.alias("moves"),
             last(
                 F.filter(plain, lambda s: ~s.rlike(r"(?i)^(ability|level):")),
                 r"(?i)nature$",

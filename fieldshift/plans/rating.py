@@ -45,3 +45,24 @@ def rate_batch(
         average(*by_family, "current_share").alias("current_by_family"),
         average(*by_family, "predicted_share").alias("predicted_by_family"),
     )
+
+
+def rate_details(
+    rosters: DataFrame,
+    unit_samples: DataFrame,
+    family_samples: DataFrame,
+    state: FieldState,
+    model: PairModel,
+    unit_min_share: float = UNIT_MIN_SHARE,
+) -> DataFrame:
+    """(roster_id, kind, name, rate): win rate against every family and every unit of a share worth naming."""
+    units, families = Field.load(unit_samples, "unit"), Field.load(family_samples, "family")
+    shown = state.unit_shares.where(F.col("current_share") >= unit_min_share).select(F.col("unit").cast("string").alias("name"))
+
+    def rows(kind: str, field: Field) -> DataFrame:
+        names = F.array(*[F.lit(str(u)) for u in field.keys])
+        rates = F.arrays_zip(names.alias("name"), field_rates(F.col("embedding"), field, model).alias("rate"))
+        zipped = rosters.select("roster_id", F.explode(rates).alias("_r"))
+        return zipped.select("roster_id", F.lit(kind).alias("kind"), F.col("_r.name").alias("name"), F.col("_r.rate").alias("rate"))
+
+    return rows("unit", units).join(shown, "name", "left_semi").unionByName(rows("family", families))
