@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fieldshift.catalog import roles
+from fieldshift.catalog.records import TOKENS
 from fieldshift.catalog.registry import query, rounded
 from fieldshift.operators import pairing
 from fieldshift.operators.codebook import embed_rosters
@@ -222,16 +223,34 @@ def worst_matchups(spark, sf):
 # --- trained models ---
 
 
-@query("fit_strength")
+TRAINED = """SELECT count(*) AS n, CAST(floor(count(*) * 0.15) AS BIGINT) AS n_val, true AS at_optimum, true AS antisymmetric FROM pairing"""
+
+
+def _trained(split, model, crossed: bool, reg: float):
+    """Sizes of the split, whether the gradient vanishes at the model, and whether swapping the sides flips it."""
+    train = split.where(~F.col("is_val"))
+    weights = list(model.weights)
+    if crossed:
+        size = len(weights)
+        weights += [model.gain[i][j] for i in range(size) for j in range(i + 1, size)]
+    norm = pairing.gradient_norm(train, pairing.pair_features(F.col("a"), F.col("b"), crossed), weights, "label", reg)
+    flips = F.abs(model.win_prob(F.col("a"), F.col("b")) + model.win_prob(F.col("b"), F.col("a")) - 1) < 1e-9
+    return split.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("is_val").alias("n_val"),
+        F.lit(norm < 1e-4).alias("at_optimum"),
+        F.min(flips).alias("antisymmetric"),
+    )
+
+
+@query("fit_strength", TRAINED, "pairing")
 def fit_strength(spark, sf):
     frozen = roles.space(spark, sf)
-    pairs = stage(roles.pairing_vectors(spark, sf, frozen), "pairs")
-    split = pairing.train_val_split(pairs)
-    model = pairing.fit_strength(split.where(~F.col("is_val")))
-    return pairing.pairing_metrics(stage(pairing.win_probability(split.where("is_val"), model), "scored"))
+    split = stage(pairing.train_val_split(roles.pairing_vectors(spark, sf, frozen)), "pairs")
+    return _trained(split, pairing.fit_strength(split.where(~F.col("is_val")), reg=1e-3), False, 1e-3)
 
 
-@query("fit_interactions")
+@query("fit_interactions", TRAINED, "pairing")
 def fit_interactions(spark, sf):
     frozen = roles.space(spark, sf)
     raw = frozen.vectors.select("vec_id", F.col("embedding").alias("vec"))
@@ -241,12 +260,50 @@ def fit_interactions(spark, sf):
     for side in ("a", "b"):
         named = ids.select(F.col("roster_id").alias(f"roster_{side}"), F.col("embedding").alias(side))
         pairs = pairs.join(named, f"roster_{side}")
-    split = pairing.train_val_split(stage(pairs, "pairs"))
-    model = pairing.fit_interactions(split.where(~F.col("is_val")))
-    return pairing.pairing_metrics(stage(pairing.win_probability(split.where("is_val"), model), "scored"))
+    split = stage(pairing.train_val_split(pairs), "pairs")
+    return _trained(split, pairing.fit_interactions(split.where(~F.col("is_val"))), True, 1e-3)
+
+
+COMPLETED = (
+    TOKENS
+    + r""", st AS (SELECT token, 4.0::DOUBLE * (avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - 0.5) AS strength
+      FROM tk JOIN roster USING (roster_id) WHERE won IS NOT NULL GROUP BY token),
+    tw AS (SELECT roster_id, slot, token, coalesce(strength, 0) AS w FROM tk LEFT JOIN st USING (token)),
+    ms AS (SELECT roster_id, slot, sum(w) AS s, count(*) AS n FROM tw GROUP BY ALL),
+    whole AS (SELECT roster_id, sum(s) AS s, sum(n) AS n FROM ms GROUP BY roster_id),
+    fld AS (SELECT unit, s / n AS theirs FROM (SELECT roster_id, unit, row_number() OVER (PARTITION BY unit ORDER BY md5(roster_id || '|0'), roster_id) AS r
+      FROM roster) q JOIN whole USING (roster_id) WHERE r <= 25),
+    bs AS (SELECT f.roster_id, f.s - i.w AS s, f.n FROM whole f JOIN sized z USING (roster_id)
+      JOIN (SELECT roster_id, w FROM tw WHERE slot = 1 AND starts_with(token, 'item:')) i USING (roster_id) WHERE n_members < 6),
+    ra AS (SELECT roster_id, unit, avg(1 / (1 + exp(theirs - s / n))) AS w FROM bs, fld GROUP BY ALL),
+    wr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY w, unit) AS r FROM ra) q WHERE r <= 3),
+    base AS (SELECT roster_id, avg(w) AS base_rate FROM wr GROUP BY roster_id),
+    pk AS (SELECT roster_id, slot, species, item, lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) AS species_id, lower(item) AS item_id,
+      lower(ability) AS ability_id, string_split(moves_text, ' ') AS moves FROM member),
+    po AS (SELECT species_id, item_id, ability_id, array_to_string(list_sort(moves), ',') AS move_ids, count(*) AS uses,
+      arg_min(roster_id, (roster_id, slot)) AS roster_id, arg_min(slot, (roster_id, slot)) AS slot, arg_min(species || ' @ ' || item, (roster_id, slot)) AS label
+      FROM pk GROUP BY 1, 2, 3, 4 ORDER BY uses DESC, 1, 2, 3, 4 LIMIT 150),
+    pool AS (SELECT species_id, label, s, n FROM po JOIN ms USING (roster_id, slot)),
+    own AS (SELECT DISTINCT roster_id, species_id FROM pk),
+    vals AS (SELECT species_id, 'item' AS kind, item AS value FROM pk UNION ALL SELECT species_id, 'move', unnest(moves) FROM pk),
+    cnt AS (SELECT species_id, kind, value, count(*) AS n FROM vals GROUP BY ALL),
+    opts AS (SELECT species_id, kind, value, coalesce(strength, 0) AS worth FROM (SELECT *, row_number() OVER (PARTITION BY species_id, kind ORDER BY n DESC, value) AS r
+      FROM cnt) q LEFT JOIN st ON token = kind || ':' || lower(value) WHERE r <= CASE kind WHEN 'item' THEN 6 ELSE 12 END),
+    o AS (SELECT b.roster_id, 'member' AS slot, (b.s + p.s) / (b.n + p.n) AS v, label FROM bs b, pool p
+      WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.roster_id = b.roster_id AND own.species_id = p.species_id)
+      UNION ALL SELECT b.roster_id, 'item on ' || species || ' 1', (b.s + worth) / b.n, value FROM bs b JOIN pk ON pk.roster_id = b.roster_id AND slot = 1
+      JOIN opts ON opts.species_id = pk.species_id AND kind = 'item'
+      UNION ALL SELECT b.roster_id, 'move on ' || species || ' ' || slot, (b.s + worth) / (b.n + 1), value FROM bs b JOIN pk ON pk.roster_id = b.roster_id
+      JOIN opts ON opts.species_id = pk.species_id AND kind = 'move' WHERE len(moves) < 4 AND NOT list_contains(list_transform(moves, lambda m: lower(m)), lower(value))),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY roster_id, slot ORDER BY v DESC, label) AS k FROM o) q WHERE k <= 5),
+    vs AS (SELECT roster_id, v, avg(w) AS rate FROM (SELECT d.roster_id, d.v, wr.unit, avg(1 / (1 + exp(theirs - v))) AS w
+      FROM (SELECT DISTINCT roster_id, v FROM best) d JOIN wr USING (roster_id) JOIN fld ON fld.unit = wr.unit GROUP BY ALL) q GROUP BY ALL),
+    fin AS (SELECT roster_id, slot, CAST(k AS INTEGER) AS rank, label, rate, rate - base_rate AS d FROM best JOIN vs USING (roster_id, v) JOIN base USING (roster_id))
+    SELECT roster_id, slot, rank, label, rnd(rate) AS winrate_vs_worst, rnd(d) AS delta FROM fin"""
+)
 
 
-@query("recommend_completions")
+@query("recommend_completions", COMPLETED, "member sized roster")
 def recommend(spark, sf):
     """Every roster of fewer than six members, with one item left out of each."""
     members = stage(roles.members(spark, sf), "members")
@@ -266,4 +323,5 @@ def recommend(spark, sf):
     field = pairing.Field.load(rated, "family", "strength")
     open_rosters = members.groupBy("roster_id").count().where(F.col("count") < 6).select("roster_id")
     unfinished = members.join(open_rosters, "roster_id").withColumn("item", F.when(F.col("slot") > 1, F.col("item")))
-    return recommend_completions(unfinished, dim, strengths, field, members, roles.ROLE_STATS)
+    out = recommend_completions(unfinished, dim, strengths, field, members, roles.ROLE_STATS)
+    return rounded(out, "winrate_vs_worst", "delta")

@@ -494,7 +494,7 @@ def member_options_query(spark, sf):
 )
 def exclude_owned_query(spark, sf):
     held = roles.members(spark, sf).select("roster_id", "species")
-    # the species of the whole pool, a bounded list
-    offered = member_pool(roles.members(spark, sf)).agg(F.collect_set("species_id").alias("s")).scalar()
+    # every species there is, a short list
+    offered = held.select(canonical_id(F.col("species")).alias("s")).distinct().agg(F.collect_set("s")).scalar()
     candidates = held.select("roster_id").distinct().select("roster_id", F.explode(offered).alias("species_id"))
     return exclude_owned(candidates, held)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldshift.catalog import roles
 from fieldshift.catalog.registry import query, r6, rounded
+from fieldshift.functions.vectors import dot, l2, mean_vector
 from fieldshift.operators import codebook as cb
 from fieldshift.operators import neighbors
 from fieldshift.operators.pairing import pca_project
@@ -144,40 +145,68 @@ def balanced_fit_sample(spark, sf):
     return balanced_sample(rows, 30, key="vec_id").withColumnRenamed("season", "label")
 
 
-def _cost(vectors, codebook, kind):
-    """Summed squared distance to the nearest entry, for fitted and label-mean codebooks."""
+def _fit_report(vectors, codebook, kind):
+    """How good a fitted codebook is: entries used, cost no higher than that of label means, centres the means of their rows."""
     centroids = cb.Centroids.load(codebook, kind)
-    out = cb.assign_codebook(vectors, centroids, "embedding", "entry", "d")
-    return out.groupBy("entry").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d") * F.col("d")).alias("cost"))
+    out = stage(cb.assign_codebook(vectors, centroids, "embedding", "entry", "d"), "assigned")
+    means = out.groupBy("entry").agg(mean_vector(F.col("embedding")).alias("mean"))
+    gap = means.join(codebook.where(F.col("kind") == kind).select(F.col("id").alias("entry"), "vec"), "entry")
+    gap = gap.agg(F.max(l2("mean", "vec"))).first()[0]
+    labels = out.groupBy("label").agg(mean_vector(F.col("embedding")).alias("mean"))
+    near = out.join(labels, "label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.pow(l2("embedding", "mean"), 2)).alias("label_cost"), F.sum(F.col("d") * F.col("d")).alias("cost")
+    )
+    return rounded(
+        near.select(
+            "n",
+            F.lit(len(centroids)).cast("long").alias("entries"),
+            "label_cost",
+            (F.col("cost") <= F.col("label_cost")).alias("not_above_labels"),
+            F.lit(gap < 1e-3).alias("centres_are_means"),
+        ),
+        "label_cost",
+    )
+
+
+FIT = """WITH c AS (SELECT label, i, var_pop(z) * count(*) AS s FROM sv GROUP BY label, i), t AS (SELECT sum(s) AS s FROM c)
+    SELECT (SELECT count(*) FROM embeddings) AS n, CAST(least({k}, (SELECT count(*) FROM embeddings)) AS BIGINT) AS entries,
+    rnd(s) AS label_cost, true AS not_above_labels, true AS centres_are_means FROM t"""
 
 
-@query("fit_units")
+@query("fit_units", FIT.format(k=24), "sv")
 def fit_units(spark, sf):
     vectors = roles.space(spark, sf).vectors
-    return _cost(vectors, cb.fit_units(vectors, k=24, restarts=3), "unit")
+    return _fit_report(vectors, cb.fit_units(vectors, k=24, restarts=3), "unit")
 
 
-@query("fit_anchors")
+@query("fit_anchors", FIT.format(k=128), "sv")
 def fit_anchors(spark, sf):
     vectors = roles.space(spark, sf).vectors
-    return _cost(vectors, cb.fit_anchors(vectors, k=128, restarts=1), "anchor")
+    return _fit_report(vectors, cb.fit_anchors(vectors, k=128, restarts=1), "anchor")
 
 
-@query("pca_project")
+@query("pca_project", "SELECT vec_id, rnd(q) AS square, true AS ordered FROM (SELECT vec_id, sum(z * z) AS q FROM sv GROUP BY vec_id) x", "sv")
 def pca_project_query(spark, sf):
+    """All components of the fitted vectors: they keep every row's length, and come by falling variance."""
     frozen = roles.space(spark, sf)
-    anchors = frozen.codebook.where(F.col("kind") == "anchor")
-    out = pca_project(anchors, frozen.vectors.select("vec_id", F.col("embedding").alias("vec")))
-    return out.select("vec_id", *[F.col("xyz")[i].alias(n) for i, n in enumerate("xyz")])
+    vectors = frozen.vectors.select("vec_id", F.col("embedding").alias("vec"))
+    size = vectors.select(F.max(F.size("vec"))).first()[0]
+    out = stage(pca_project(vectors, vectors, k=size).select("vec_id", "xyz"), "projected")
+    spread = out.agg(*[F.var_pop(F.col("xyz")[i]).alias(f"v{i}") for i in range(size)]).first()
+    falling = all(a >= b - 1e-9 for a, b in zip(spread, spread[1:]))
+    return rounded(out.select("vec_id", dot("xyz", "xyz").alias("square"), F.lit(falling).alias("ordered")), "square")
 
 
-@query("embed_rosters")
+@query("embed_rosters", "SELECT roster_id, 32 AS dim, true AS is_mean FROM (SELECT DISTINCT roster_id FROM member) q", "member")
 def embed_rosters(spark, sf):
+    """Every roster's vector, and whether it is the mean of its tokens' vectors, recomputed by a join."""
     from fieldshift.operators.tokens import token_rows
 
-    tokens = token_rows(roles.members(spark, sf), roles.dimension(spark, sf), roles.ROLE_STATS)
-    vectors, _ = cb.embed_rosters(tokens, size=32)
-    return vectors.select("roster_id", F.size("embedding").alias("dim"), F.col("embedding")[0].alias("first"))
+    tokens = stage(token_rows(roles.members(spark, sf), roles.dimension(spark, sf), roles.ROLE_STATS), "tokens")
+    vectors, words = cb.embed_rosters(tokens, size=32)
+    pooled = tokens.join(words, "token").groupBy("roster_id").agg(mean_vector(F.col("vec")).alias("mean"))
+    both = vectors.join(pooled, "roster_id", "left")
+    return both.select("roster_id", F.size("embedding").alias("dim"), F.coalesce(l2("embedding", "mean") < 1e-5, F.lit(False)).alias("is_mean"))
 
 
 NEAR = """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -199,12 +228,15 @@ def knn_exact_euclidean(spark, sf):
     return rounded(neighbors.knn_exact(raw, 10, "euclidean", "vec_id"), "distance")
 
 
-@query("knn_lsh")
+@query("knn_lsh", "SELECT count(*) * least(10, count(*) - 1) AS pairs, true AS recall_reached, true AS exact_at_all_cells FROM embeddings")
 def knn_lsh(spark, sf):
+    """Recall of eight cells against the exact search, and of all cells, which must miss nothing."""
     raw = roles.table(spark, sf, "embeddings")
-    near = stage(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=8), "knn-approx")
-    exact = neighbors.knn_exact(raw, 10, "cosine", "vec_id")
-    return neighbors.recall(near, exact)
+    exact = stage(neighbors.knn_exact(raw, 10, "cosine", "vec_id"), "knn-exact")
+    some = neighbors.recall(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=8), exact).first()
+    every = neighbors.recall(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=1 << 20), exact).first()
+    row = (some["pairs"], some["recall"] >= 0.9, every["recall"] == 1.0)
+    return spark.createDataFrame([row], "pairs long, recall_reached boolean, exact_at_all_cells boolean")
 
 
 @query(

@@ -353,7 +353,7 @@ def fit_centroids(
     try:
         best = None
         for i in range(restarts):
-            model = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="_p").fit(ready)
+            model = KMeans(k=k, seed=seed + i, maxIter=200, tol=1e-8, featuresCol="features", predictionCol="_p").fit(ready)
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
         rows = [(kind, i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldshift.functions.draws import draw, first_k, numbered
-from fieldshift.functions.vectors import as_double, dot, double_array
+from fieldshift.functions.vectors import as_double, dot, double_array, let, mean_vector
 
 SAMPLE_PER_UNIT = 25
 EDGE_THRESHOLD = 0.53
@@ -57,29 +58,60 @@ def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 
 
+def pair_features(a: Column, b: Column, crossed: bool) -> Column:
+    """a - b and, if asked for, the antisymmetric products a_i b_j - a_j b_i for i < j."""
+
+    def difference() -> Column:
+        return F.zip_with(as_double(a), as_double(b), lambda x, y: x - y)
+
+    if not crossed:
+        return difference()
+
+    @F.arrow_udf("array<double>")
+    def features(left: pa.Array, right: pa.Array) -> pa.Array:
+        if len(left) == 0:
+            return pa.array([], pa.list_(pa.float64()))
+        x = left.flatten().to_numpy(zero_copy_only=False).reshape(len(left), -1)
+        y = right.flatten().to_numpy(zero_copy_only=False).reshape(len(right), -1)
+        i, j = np.triu_indices(x.shape[1], 1)
+        wide = np.concatenate([x - y, x[:, i] * y[:, j] - x[:, j] * y[:, i]], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, wide.size + 1, wide.shape[1]), pa.int32()), pa.array(wide.ravel()))
+
+    return features(as_double(a), as_double(b))
+
+
+def _fit(pairs: DataFrame, features: Column, label: str, reg: float) -> list[float]:
+    """Logistic regression without intercept; a positive ridge makes the optimum unique."""
+    ready = pairs.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
+    model = LogisticRegression(fitIntercept=False, regParam=reg, standardization=False, maxIter=500, tol=1e-10).fit(ready)
+    return [float(x) for x in model.coefficients]
+
+
+def gradient_norm(pairs: DataFrame, features: Column, weights: Sequence[float], label: str, reg: float) -> float:
+    """Length of the gradient of the penalised mean log loss: zero at the optimum."""
+    w = double_array(weights)
+    rows = pairs.select(features.alias("_x"), F.col(label).cast("double").alias("_y"))
+    miss = sigmoid(dot(F.col("_x"), w)) - F.col("_y")
+    terms = let(miss, lambda m: F.transform("_x", lambda x: x * m))
+    mean = np.array(rows.agg(mean_vector(terms).alias("g")).first()["g"])
+    return float(np.linalg.norm(mean + reg * np.array(weights)))
+
+
 def fit_strength(pairs: DataFrame, a: str = "a", b: str = "b", label: str = "label", reg: float = 1e-4) -> PairModel:
     """Bradley-Terry on vectors: logistic regression on a - b without intercept."""
-    diff = F.zip_with(as_double(F.col(a)), as_double(F.col(b)), lambda x, y: x - y)
-    ready = pairs.select(array_to_vector(diff).alias("features"), F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=50).fit(ready)
-    return PairModel(tuple(float(x) for x in model.coefficients))
+    return PairModel(tuple(_fit(pairs, pair_features(F.col(a), F.col(b), False), label, reg)))
 
 
 def fit_interactions(
     pairs: DataFrame, a: str = "a", b: str = "b", label: str = "label", reg: float = 1e-3
 ) -> PairModel:
-    """Adds the antisymmetric products a_i b_j - a_j b_i, still without intercept."""
-    va, vb = as_double(F.col(a)), as_double(F.col(b))
-    size = len(pairs.select(a).limit(1).collect()[0][0])
-    cells = [(i, j) for i in range(size) for j in range(i + 1, size)]
-    crossed = F.array(*[va[i] * vb[j] - va[j] * vb[i] for i, j in cells])
-    features = F.concat(F.zip_with(va, vb, lambda x, y: x - y), crossed)
-    ready = pairs.select(array_to_vector(features).alias("features"), F.col(label).cast("double").alias("label"))
-    model = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=50).fit(ready)
-    coef = [float(x) for x in model.coefficients]
+    """Adds the antisymmetric products, still without intercept."""
+    coef = _fit(pairs, pair_features(F.col(a), F.col(b), True), label, reg)
+    # d + d (d - 1) / 2 coefficients
+    size = int((math.isqrt(8 * len(coef) + 1) - 1) // 2)
     gain = np.zeros((size, size))
-    for (i, j), w in zip(cells, coef[size:]):
-        gain[i, j], gain[j, i] = w, -w
+    gain[np.triu_indices(size, 1)] = coef[size:]
+    gain -= gain.T
     return PairModel(tuple(coef[:size]), tuple(tuple(float(v) for v in row) for row in gain))
 
 
@@ -89,8 +121,6 @@ def pca_project(fit_on: DataFrame, others: DataFrame, k: int = 3, vec: str = "ve
     Vectors are centred on the fitted set; a component's largest loading is
     made positive so that the signs are stable.
     """
-    from fieldshift.functions.vectors import mean_vector
-
     centre = fit_on.agg(mean_vector(F.col(vec)).alias("m")).first()["m"]
     shift = double_array(centre)
 

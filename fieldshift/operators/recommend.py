@@ -12,11 +12,9 @@ from fieldshift.operators.pairing import Field, strength_rates
 from fieldshift.operators.tokens import TEAM_SIZE, token_rows
 from fieldshift.session import stage
 
-# How many alternatives of each kind are kept and tried.
+# How many alternatives of each kind are offered unless the caller says otherwise.
 POOL_SIZE = 150
 OPTION_LIMITS = {"item": 6, "ability": 3, "move": 12}
-TRY_MEMBERS = 120
-TRY_MOVES = 6
 TOP_OPTIONS = 5
 FULL_MOVES = 4
 WORST = 3
@@ -95,6 +93,9 @@ def recommend_completions(
     corpus: DataFrame,
     stats: tuple[str, ...],
     top: int = TOP_OPTIONS,
+    team_size: int = TEAM_SIZE,
+    pool_size: int = POOL_SIZE,
+    limits: dict[str, int] = OPTION_LIMITS,
 ) -> DataFrame:
     """Best additions to unfinished rosters against their three worst families.
 
@@ -120,7 +121,7 @@ def recommend_completions(
         return F.coalesce(strengths.where(token).agg(F.max("strength")).scalar(), F.lit(0.0))
 
     # a whole further member, from the pool of frequent configurations
-    pool_rows = member_pool(corpus).select(
+    pool_rows = member_pool(corpus, pool_size).select(
         "species_id", F.xxhash64("species_id", "item_id", "ability_id", "move_ids").alias("roster_id"),
         F.lit(1).alias("slot"), "member.*", F.col("n").alias("uses"),
     )
@@ -147,8 +148,8 @@ def recommend_completions(
     shapes = members.groupBy("roster_id").agg(
         F.count(F.lit(1)).alias("size"), F.collect_set(bare_id(F.col("species"))).alias("owned")
     )
-    ready = base.join(shapes, "roster_id").where(F.col("size") < TEAM_SIZE).withColumn("_pool", pool)
-    fresh = F.slice(F.filter("_pool", lambda c: ~F.array_contains(F.col("owned"), c["species_id"])), 1, TRY_MEMBERS)
+    ready = base.join(shapes, "roster_id").where(F.col("size") < team_size).withColumn("_pool", pool)
+    fresh = F.filter("_pool", lambda c: ~F.array_contains(F.col("owned"), c["species_id"]))
     added = ready.select(
         "roster_id",
         F.lit("member").alias("slot"),
@@ -161,7 +162,7 @@ def recommend_completions(
 
     # empty item, empty ability, missing move on each member
     priced = (
-        member_options(corpus)
+        member_options(corpus, limits)
         .withColumn("token", F.concat_ws(":", "kind", canonical_id(F.col("value"))))
         .join(strengths, "token", "left")
         .withColumn("worth", F.coalesce("strength", F.lit(0.0)))
@@ -172,12 +173,11 @@ def recommend_completions(
             F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value", "value_id", "worth")))).alias(
                 f"options_{k}"
             )
-            for k in OPTION_LIMITS
+            for k in limits
         ]
     )
     slots = (
-        members.where(F.col("slot") <= TEAM_SIZE)
-        .withColumn("species_id", bare_id(F.col("species")))
+        members.withColumn("species_id", bare_id(F.col("species")))
         .join(by_kind, "species_id")
         .join(base, "roster_id")
         .withColumn("_no_item", blank("item"))
@@ -188,7 +188,6 @@ def recommend_completions(
         F.transform("moves", lambda m: bare_id(m)),
         lambda have: F.filter("options_move", lambda o: ~F.array_contains(have, o["value_id"])),
     )
-    open_moves = F.slice(unused, 1, TRY_MOVES)
 
     def option(value: Column, strength: Column) -> Column:
         return F.struct(strength.alias("v"), value.alias("label"))
@@ -221,7 +220,7 @@ def recommend_completions(
             F.concat(F.lit("move on "), F.col("species")).alias("slot"),
             F.when(
                 F.size("moves") < FULL_MOVES,
-                F.transform(open_moves, lambda o: option(o["value"], (total + o["worth"]) / (count + 1))),
+                F.transform(unused, lambda o: option(o["value"], (total + o["worth"]) / (count + 1))),
             ).alias("options"),
         ),
     )
