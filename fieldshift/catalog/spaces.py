@@ -230,10 +230,10 @@ def knn_exact_euclidean(spark, sf):
 
 @query("knn_lsh", "SELECT count(*) * least(10, count(*) - 1) AS pairs, true AS recall_reached, true AS exact_at_all_cells FROM embeddings")
 def knn_lsh(spark, sf):
-    """Recall of eight cells against the exact search, and of all cells, which must miss nothing."""
+    """Recall of sixteen cells against the exact search, and of all cells, which must miss nothing."""
     raw = roles.table(spark, sf, "embeddings")
     exact = stage(neighbors.knn_exact(raw, 10, "cosine", "vec_id"), "knn-exact")
-    some = neighbors.recall(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=8), exact).first()
+    some = neighbors.recall(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=16), exact).first()
     every = neighbors.recall(neighbors.knn_approx(raw, 10, "cosine", "vec_id", probes=1 << 20), exact).first()
     row = (some["pairs"], some["recall"] >= 0.9, every["recall"] == 1.0)
     return spark.createDataFrame([row], "pairs long, recall_reached boolean, exact_at_all_cells boolean")

@@ -10,11 +10,14 @@ from fieldshift.session import fresh_path
 from fieldshift.streaming import weekly
 
 
-def _landing(df, name):
-    """Write rows as the files of an arriving table and open them as a stream."""
+def _landing(df, name, files=None):
+    """Write rows as the files of an arriving table and open them as a stream; with ``files``, that many, a batch each."""
     path = fresh_path(df.sparkSession, name)
+    reader = df.sparkSession.readStream.schema(df.schema)
+    if files:
+        df, reader = df.repartition(files), reader.option("maxFilesPerTrigger", 1)
     df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+    return reader.parquet(path)
 
 
 @query(
@@ -45,7 +48,7 @@ def stream_period_counts(spark, sf):
 def stream_forecast_refresh(spark, sf):
     frozen = roles.space(spark, sf)
     rows = roles.features(spark, sf, frozen).select("season", "period", "anchor", "weight")
-    stream = _landing(rows, "landing-features")
+    stream = _landing(rows, "landing-features", files=4)
     state, log = fresh_path(spark, "forecast-state"), fresh_path(spark, "forecast-log")
     weekly.start_forecast_refresh(stream, state, log, frozen.size).awaitTermination()
     out = weekly.current_forecast(spark, state).select("season", "period_ix", "anchor", "p_hat")

@@ -53,12 +53,51 @@ def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
+class _Folder:
+    """The state folder, through Spark's own file system access."""
+
+    def __init__(self, spark: SparkSession, state: str):
+        self.state, self.jvm = state, spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path().getFileSystem(conf)
+
+    def _path(self, *parts: str):
+        return self.jvm.org.apache.hadoop.fs.Path("/".join([self.state, *parts]))
+
+    def point(self, batch_id: int) -> None:
+        """Name the batch in force: written aside, then moved into place."""
+        aside, place = self._path("CURRENT.next"), self._path("CURRENT")
+        out = self.fs.create(aside, True)
+        out.writeUTF(str(batch_id))
+        out.close()
+        self.fs.delete(place, False)
+        self.fs.rename(aside, place)
+
+    def current(self) -> int | None:
+        for name in ("CURRENT", "CURRENT.next"):  # the second only if the move was cut short
+            if self.fs.exists(self._path(name)):
+                source = self.fs.open(self._path(name))
+                text = source.readUTF()
+                source.close()
+                return int(text)
+        return None
+
+    def keep(self, kind: str, batches: set) -> None:
+        if not self.fs.exists(self._path(kind)):
+            return
+        for status in self.fs.listStatus(self._path(kind)):
+            name = status.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) not in batches:
+                self.fs.delete(status.getPath(), True)
+
+
 def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows: int = MIN_ROWS) -> Callable[[DataFrame, int], None]:
     """foreachBatch step: add the batch to the period sums, then forecast anew.
 
     Snapshot b is snapshot b-1 plus batch b, in a folder of its own: a replayed
     batch overwrites itself, nothing is counted twice, and a step reads one
-    snapshot however many batches went before. With fewer than ``min_rows`` rows
+    snapshot however many batches went before. ``CURRENT`` names the batch whose
+    forecast holds; snapshots older than the last two are deleted. With fewer than ``min_rows`` rows
     so far no forecast is written and the previous one stays.
     """
 
@@ -72,16 +111,24 @@ def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows:
         snapshot = f"{state}/sums/batch={batch_id}"
         sums.write.mode("overwrite").parquet(snapshot)
         sums = spark.read.schema(SUMS).parquet(snapshot)
+        files = _Folder(spark, state)
+        files.keep("sums", {batch_id, batch_id - 1})
         if (sums.agg(F.sum("n")).first()[0] or 0) < min_rows:
             return
         forecast = fc_glide(weekly_anchor_matrix(sums, anchors), [lam])
         forecast.select("season", "period_ix", "anchor", "p", "p_hat").write.mode("overwrite").parquet(
             f"{state}/forecast/batch={batch_id}"
         )
+        before = files.current()
+        files.point(batch_id)
+        files.keep("forecast", {batch_id, before})
 
     return step
 
 
+FORECAST = "season string, period_ix int, anchor int, p double, p_hat double"
+
+
 def start_forecast_refresh(
     rows: DataFrame, state: str, checkpoint: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows: int = MIN_ROWS
 ) -> StreamingQuery:
@@ -95,8 +142,8 @@ def start_forecast_refresh(
 
 
 def current_forecast(spark: SparkSession, state: str) -> DataFrame:
-    """The forecast of the latest batch that made one."""
-    table = spark.read.schema(
-        "season string, period_ix int, anchor int, p double, p_hat double, batch bigint"
-    ).parquet(f"{state}/forecast")
-    return table.where(F.col("batch") == table.agg(F.max("batch")).scalar()).drop("batch")
+    """The forecast in force; without one yet, no rows."""
+    batch = _Folder(spark, state).current()
+    if batch is None:
+        return spark.createDataFrame([], FORECAST)
+    return spark.read.schema(FORECAST).parquet(f"{state}/forecast/batch={batch}")

@@ -85,3 +85,18 @@ def test_dedupe_keeps_one_row_per_key_across_batches(spark):
     start().awaitTermination()
     drain(spark, start, folder, [(at(0, 3), "b"), (at(0, 4), "c")], schema)
     assert sorted(r[0] for r in spark.read.parquet(out).select("roster_hash").collect()) == ["a", "b", "c"]
+
+
+def test_forecast_pointer(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    assert weekly.current_forecast(spark, state).count() == 0
+    rows = spark.createDataFrame([("s", f"2020-W{w:02d}", a, 1.0) for w in range(1, 5) for a in range(4)], "season string, period string, anchor int, weight double")
+    step = weekly.refresh_step(state, 4, min_rows=1)
+    for batch in range(4):
+        step(rows, batch)
+    folder = tmp_path / "state"
+    assert sorted(p.name for p in (folder / "sums").iterdir()) == ["batch=2", "batch=3"]
+    assert sorted(p.name for p in (folder / "forecast").iterdir()) == ["batch=2", "batch=3"]
+    # a new stream over the old folder: its first batch is in force, not the highest number
+    step(rows.where("anchor < 2"), 0)
+    assert weekly.current_forecast(spark, state).where("anchor = 3 and period_ix = 0").first()["p"] < 0.2
