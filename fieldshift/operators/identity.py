@@ -30,14 +30,14 @@ def roster_hash(members: Column) -> Column:
 
 
 def dedupe_rosters(rosters: DataFrame, seq: str = "seq") -> DataFrame:
-    """One row per distinct roster: the first seen, and how often it occurred."""
+    """One row per distinct roster: the first seen by ``seq`` (unique), and how often it occurred.
+
+    Only hashes and sequence numbers are aggregated; the rosters join their hash's first number.
+    """
+    hashed = rosters.withColumn("roster_hash", roster_hash(F.col("members")))
+    firsts = hashed.groupBy("roster_hash").agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("occurrence_count"))
     fields = [c for c in rosters.columns if c != "roster_hash"]
-    return (
-        rosters.withColumn("roster_hash", roster_hash(F.col("members")))
-        .groupBy("roster_hash")
-        .agg(F.min_by(F.struct(*fields), seq).alias("_row"), F.count(F.lit(1)).alias("occurrence_count"))
-        .select("roster_hash", "_row.*", "occurrence_count")
-    )
+    return hashed.join(firsts, ["roster_hash", seq]).select("roster_hash", *fields, "occurrence_count")
 
 
 def duplicate_row_keys(rosters: DataFrame, seq: str = "seq") -> DataFrame:

@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from fieldshift.functions.draws import draw, first_k, numbered
 from fieldshift.functions.vectors import as_double, dot, double_array, let, mean_vector
+from fieldshift.session import stage
 
 SAMPLE_PER_UNIT = 25
 EDGE_THRESHOLD = 0.53
-SCORE_BUCKETS = 256
 MAX_FIELD = 65_536
 
 
@@ -172,18 +172,15 @@ def train_val_split(pairs: DataFrame, val_frac: float = 0.15, seed: int = 0, key
 def auc(scored: DataFrame, prob: str = "win_prob", label: str = "label") -> DataFrame:
     """Area under the ROC curve by average ranks (ties count one half).
 
-    Equal scores collapse first. Distinct scores are cut at approximate
-    quantiles; each block knows how many negatives lie below it, so no task
-    ranks the whole column. The cut points only steer balance, the value is exact.
+    Equal scores collapse first. Distinct scores are range-partitioned, in as many
+    parts as their volume asks for; each part knows how many negatives lie below it,
+    so no task ranks the whole column.
     """
     is_pos = (F.col(label) == 1).cast("long")
     ties = scored.groupBy(F.col(prob).alias("s")).agg(
         F.sum(is_pos).alias("pos"), F.sum(1 - is_pos).alias("neg")
     )
-    grid = [i / SCORE_BUCKETS for i in range(1, SCORE_BUCKETS)]
-    cuts = scored.agg(F.percentile_approx(prob, grid, F.lit(4096))).scalar()
-    ties = ties.withColumn("_cuts", cuts)
-    ties = ties.withColumn("_b", F.size(F.filter("_cuts", lambda c: c <= F.col("s")))).drop("_cuts")
+    ties = stage(ties.repartitionByRange("s").withColumn("_b", F.spark_partition_id()), "scores")
     below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
         ties.groupBy("_b")

@@ -83,7 +83,7 @@ def test_export(spark):
     got = one(df.select(extract.parse_export(F.col("t"))))
     assert [m["species"] for m in got] == ["Alpha", "Beta", "Gamma"]
     assert got[0]["gender"] == "F" and got[0]["item"] == "Orb" and got[0]["nature"] == "Bold" and got[0]["level"] == 50
-    assert got[0]["moves"] == ["Hit", "Run", "Three", "Four"]
+    assert got[0]["moves"] == ["Hit", "Run", "Three", "Four", "Five"]
     assert got[1]["item"] == "" and got[1]["ability"] == "" and got[2]["gender"] == "M" and got[2]["level"] is None
 
 
@@ -164,7 +164,10 @@ def test_encoding_pads_and_marks_unknown(spark):
     vocab, kinds = tokens.stored_vocab(toks.where("roster_id = 1"))
     assert {r["token"]: r["id"] for r in vocab.collect()}["type:fire"] == 5
     enc = {r["roster_id"]: r for r in tokens.encode_tokens(toks, vocab, kinds).collect()}
-    assert len(enc[1]["value_ids"]) == 90 and enc[1]["value_ids"][14] == 0 and enc[1]["attr_mask"][15]
+    assert len(enc[1]["value_ids"]) == 12 and enc[1]["value_ids"][10] == 0 and enc[1]["attr_mask"][6]
+    assert len(enc[2]["value_ids"]) == 6
+    fixed = {r["roster_id"]: r for r in tokens.encode_tokens(toks, vocab, kinds, attr_size=15, team_size=6).collect()}
+    assert len(fixed[2]["value_ids"]) == 90 and fixed[1]["value_ids"][14] == 0 and fixed[1]["attr_mask"][15]
     assert enc[2]["value_ids"][2] == tokens.UNK_ID
     masked = tokens.masked_examples(tokens.encode_tokens(toks, vocab, kinds)).collect()
     for r in masked:
@@ -185,3 +188,19 @@ def test_codebook_fallback(spark, tmp_path):
     tables.write_codebook(stats, units.withColumn("kind", F.lit("anchor")), str(tmp_path / "bad"))
     with pytest.raises(ValueError):
         tables.read_codebook(spark, str(tmp_path / "bad"))
+
+
+def test_large_rosters_are_encoded_whole(spark):
+    rows = [(1, i, f"S{i}", "Orb", "Blaze", [f"m{k}" for k in range(i)], "Bold") for i in range(1, 14)]
+    members = spark.createDataFrame(
+        rows, "roster_id long, slot int, species string, item string, ability string, moves array<string>, nature string"
+    )
+    dim = spark.createDataFrame([("s13", ["A", "B", "C"], 45)], "id string, types array<string>, hp int")
+    toks = tokens.token_rows(members, dim, ("hp",))
+    assert toks.count() == 13 * 4 + 3 + sum(range(1, 14))
+    vocab, kinds = tokens.stored_vocab(toks)
+    ids = [r["id"] for r in vocab.collect()]
+    assert sorted(ids) == list(range(len(ids)))
+    enc = tokens.encode_tokens(toks, vocab, kinds).first()
+    assert len(enc["value_ids"]) == 13 * 20 and sum(enc["attr_mask"]) == toks.count()
+    assert tokens.token_rows(members, dim, ("hp",), team_size=6, attr_size=15).agg({"slot": "max"}).first()[0] == 6
