@@ -9,9 +9,9 @@ tokens are outcomes of their own, ``WIDTH`` to a class; all other words fall int
 with a softmax over classes, and in head classes one over the class's tokens. In a tail
 class a word has probability (c + 1) / (n + v + 1), c being its training
 count, n and v the class's tokens and distinct words; one share is left for
-unseen words. Features are the previous word, the words two and three back (skips), the pair
-of the two previous words, and class with previous or second-last word; each
-hashes to a row of weights, starting from log unigram probabilities.
+unseen words. Features are the previous word, the word two back (a skip), the
+pair of both, and the class with the previous word; each hashes to a row of weights,
+starting from log unigram probabilities.
 
 Training passes once over all training texts, in ``ROUNDS`` slices. In a round
 every task runs AdaGrad from the current weights over its texts, and the tasks'
@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +46,18 @@ KNOWN = 1 << 18
 KNOWN_BYTES = 64
 REMEMBERED = 400_000
 ROUNDS = 4
-BATCH = 4096
+BATCH = 16_384
+#: Bytes of text whose tokens are worked on at once.
+SLICE = 2 << 20
 RATE = 0.25
 #: Rows of each weight table, and whether they score classes or the tokens of a class.
 SHAPES = {
     "previous": (CONTEXTS, CLASSES),
     "second": (CONTEXTS, CLASSES),
-    "third": (CONTEXTS, CLASSES),
     "pair": (PAIRS, CLASSES),
     "inner_previous": (INNER, WIDTH),
-    "inner_second": (INNER, WIDTH),
 }
-OUTER, INSIDE = tuple(SHAPES)[:4], tuple(SHAPES)[4:]
+OUTER, INSIDE = tuple(SHAPES)[:3], tuple(SHAPES)[3:]
 
 
 def tail_class(word: bytes) -> int:
@@ -111,16 +112,28 @@ class Vocabulary:
 
 
 class Packed(dict):
+    """Packed words of a worker; only known words are remembered, so it is no larger than the vocabulary."""
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
         value = self.vocabulary.pack(word)
-        if len(word) <= KNOWN_BYTES:
+        if value >> 23:
             self[word] = value
         return value
 
 
+_PACKED: list[Packed] = []
+
+
+def packed_words(shared: Broadcast) -> Packed:
+    """The worker's table for a broadcast vocabulary, kept between tasks."""
+    if not _PACKED or _PACKED[0].vocabulary is not shared.value:
+        _PACKED[:] = [Packed(shared.value)]
+    return _PACKED[0]
+
+
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Collects at most ``KNOWN`` words of at most ``KNOWN_BYTES`` bytes, and totals."""
     tail = F.crc32(F.expr("substring(word, -2, 2)")) % TAILS
@@ -161,26 +174,24 @@ class Model:
 
     @staticmethod
     def sequence(words: np.ndarray, context: np.ndarray, lengths: np.ndarray, end: int):
-        """Outcomes, an end after each text, and the three words before each."""
+        """Outcomes, an end after each text, and the two words before each."""
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        padded = np.full(len(words) + 3 * len(lengths), START, np.int64)
-        padded[np.arange(len(words)) + 3 * (doc + 1)] = context
+        padded = np.full(len(words) + 2 * len(lengths), START, np.int64)
+        padded[np.arange(len(words)) + 2 * (doc + 1)] = context
         doc_out = np.repeat(np.arange(len(lengths)), lengths + 1)
         outcome = np.full(len(doc_out), end, np.int64)
         outcome[np.arange(len(words)) + doc] = words
-        g = np.arange(len(doc_out)) + 2 * doc_out
-        return outcome, padded[g + 2], padded[g + 1], padded[g]
+        g = np.arange(len(doc_out)) + doc_out
+        return outcome, padded[g + 1], padded[g]
 
     @staticmethod
-    def rows(outcome, one, two, three) -> dict[str, np.ndarray]:
+    def rows(outcome, one, two) -> dict[str, np.ndarray]:
         group = np.where(outcome < HEAD, outcome // WIDTH, 0)
         return {
             "previous": one,
             "second": two,
-            "third": three,
             "pair": (one * 40503 + two * 2654435761 >> 7) % PAIRS,
             "inner_previous": (group * 2246822519 + one * 3266489917 >> 5) % INNER,
-            "inner_second": (group * 668265263 + two * 374761393 >> 5) % INNER,
         }
 
     @staticmethod
@@ -206,13 +217,13 @@ class Model:
             x += self.weights[k][rows[k][head]]
         return self.softmax(x)[0]
 
-    def log10(self, outcome, one, two, three) -> np.ndarray:
+    def log10(self, outcome, one, two) -> np.ndarray:
         """log10 P(class) and, for head tokens, P(token | class), of each token."""
         out = np.empty(len(outcome))
         for i in range(0, len(outcome), BATCH):
             part = slice(i, i + BATCH)
             o = outcome[part]
-            rows = self.rows(o, one[part], two[part], three[part])
+            rows = self.rows(o, one[part], two[part])
             at = np.where(o < HEAD, o // WIDTH, o - HEAD + HEAD // WIDTH)
             p = self.outer(rows)[np.arange(len(o)), at].astype(np.float64)
             head = np.flatnonzero(o < HEAD)
@@ -220,12 +231,12 @@ class Model:
             out[part] = np.log10(np.maximum(p, 1e-300))
         return out
 
-    def train(self, outcome, one, two, three, squares: dict[str, np.ndarray]) -> None:
+    def train(self, outcome, one, two, squares: dict[str, np.ndarray]) -> None:
         """AdaGrad steps over batches of tokens; a row moves by its mean gradient in the batch."""
         for i in range(0, len(outcome), BATCH):
             part = slice(i, i + BATCH)
             o = outcome[part]
-            rows = self.rows(o, one[part], two[part], three[part])
+            rows = self.rows(o, one[part], two[part])
             at = np.where(o < HEAD, o // WIDTH, o - HEAD + HEAD // WIDTH)
             gradient = self.outer(rows)
             gradient[np.arange(len(o)), at] -= 1
@@ -299,18 +310,16 @@ def averaged(rows: DataFrame) -> np.ndarray:
 
 def _slices(batches, words: Packed, column: int):
     """(record batch, word lists, packed words, lengths) of slices of bounded size."""
-    for part in pieces(batches, "t"):
-        if len(words) > REMEMBERED:
-            words.clear()
+    for part in pieces(batches, "t", SLICE):
         texts = [t.split() for t in part.column(column).to_pylist()]
         lengths = np.array([len(t) for t in texts], np.int64)
         packed = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
         yield part, texts, packed, lengths
 
 
-def fit(docs: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Model trained on every text of ``docs`` once."""
-    model = Model(vocabulary_)
+def fit(docs: DataFrame, shared: Broadcast, rounds: int = ROUNDS) -> Model:
+    """Model trained on every text of ``docs`` once; ``shared`` is the broadcast vocabulary."""
+    model = Model(shared.value)
     sliced = docs.select(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)).alias("round"), as_bytes().alias("t"))
     for r in range(rounds):
         weights = model.weights
@@ -318,10 +327,11 @@ def fit(docs: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Model
         def task(batches):
             from pyspark import TaskContext
 
+            vocabulary_ = shared.value
             own = Model(vocabulary_, {k: w.copy() for k, w in weights.items()})
             squares = {k: np.full(s, 0.1, np.float32) for k, s in SHAPES.items()}
             end, volume = vocabulary_.pack(END) & 2047, 0
-            for _, _, packed, lengths in _slices(batches, Packed(vocabulary_), 0):
+            for _, _, packed, lengths in _slices(batches, packed_words(shared), 0):
                 tokens = own.sequence(packed & 2047, packed >> 11 & 4095, lengths, end)
                 own.train(*tokens, squares)
                 volume += len(tokens[0])
@@ -342,23 +352,24 @@ def fit(docs: DataFrame, vocabulary_: Vocabulary, rounds: int = ROUNDS) -> Model
         rows = sliced.where(F.col("round") == r).select("t").mapInArrow(task, "block int, salt int, volume double, bytes binary")
         flat = averaged(rows)
         if len(flat):
-            model = Model(vocabulary_, Model.unpack(flat))
+            model = Model(shared.value, Model.unpack(flat))
     return model
 
 
-def score(docs: DataFrame, model: Model, vocabulary_: Vocabulary, counts: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Model, shared: Broadcast, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row; null text is empty.
 
     Rows equal in doc_id and text are summed together and parted again.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    log_all = float(np.log10(vocabulary_.tokens + vocabulary_.distinct + 1))
-    log_tail = np.log10(vocabulary_.tail_tokens + vocabulary_.tail_words + 1)
-    log_count = np.log10(vocabulary_.counts + 1.0)
-    end = vocabulary_.pack(END)
 
     def task(batches):
-        at, words = 0, Packed(vocabulary_)
+        vocabulary_ = shared.value
+        log_all = float(np.log10(vocabulary_.tokens + vocabulary_.distinct + 1))
+        log_tail = np.log10(vocabulary_.tail_tokens + vocabulary_.tail_words + 1)
+        log_count = np.log10(vocabulary_.counts + 1.0)
+        end = vocabulary_.pack(END)
+        at, words = 0, packed_words(shared)
         for part, texts, packed, lengths in _slices(batches, words, 2):
             n_docs = len(lengths)
             tokens = model.sequence(packed & 2047, packed >> 11 & 4095, lengths, end & 2047)
@@ -422,8 +433,9 @@ def scored(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     train = docs.where(~held_out())
     counts = word_counts(train)
     words = vocabulary(counts)
-    model = fit(train, words, rounds)
-    out = score(docs, model, words, counts)
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # at most KNOWN words of KNOWN_BYTES bytes
+    model = fit(train, shared, rounds)
+    out = score(docs, model, shared, counts)
     return out.select(
         "doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(words.tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -157,7 +157,7 @@ def test_lm_outcomes_sum_to_one():
     rng = np.random.default_rng(0)
     model.weights = {k: rng.normal(size=w.shape).astype(np.float32) for k, w in model.weights.items()}
     every = np.arange(maxent.HEAD + maxent.TAILS)
-    p = 10 ** model.log10(every, np.full(len(every), 3), np.full(len(every), 7), np.full(len(every), 9))
+    p = 10 ** model.log10(every, np.full(len(every), 3), np.full(len(every), 7))
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
