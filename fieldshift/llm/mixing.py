@@ -34,7 +34,8 @@ MAX_REPEATS = 2
 WEIGHTS = (5.0, 2.0, 1.0)
 SEED = 20
 BUCKET_ROWS = 20_000
-MAX_SOURCES = 1_000_000
+MAX_SOURCES = 100_000
+SLICE = 1 << 20
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -83,7 +84,7 @@ def sized(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*(part.column(i) for i in range(4)), counts], ["__row", "doc_id", "source", "h", "size"])
 
     rows = docs.select("__row", "doc_id", "source", F.xxhash64("text").alias("h"), as_bytes().alias("t"))
-    return stage(mapped(rows, "t", fn, f"__row long, doc_id {kind}, source string, h long, size long"), "sizes")
+    return stage(mapped(rows, "t", fn, f"__row long, doc_id {kind}, source string, h long, size long", SLICE), "sizes")
 
 
 def plan(sizes: DataFrame, weights: Callable[[int], float], budget: float, most: int) -> list[dict]:
@@ -171,7 +172,8 @@ def taken_pieces(
     sources = plan(sizes, weights, budget, most)
     schema = "ix int, __source string, source_size long, target double"
     table = spark.createDataFrame([(s["ix"], s["source"], s["size"], s["target"]) for s in sources], schema)
-    rows = sizes.join(table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
+    # the driver holds this table already, at most MAX_SOURCES rows: no shuffle by source, one of which may be hot
+    rows = sizes.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
     buckets = max(1, -(-sizes.count() // BUCKET_ROWS))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
@@ -187,7 +189,8 @@ def taken_pieces(
     rows = rows.select(
         "__row", "doc_id", "size", "source_size", "target", "ix", "block", (low - F.col("at")).alias("start"), (high - low).alias("words")
     )
-    return rows.join(drawn(spark, sources, most, seed), ["ix", "block"], "left")
+    # both sides are as long as the corpus; the planner can't see how many rows a function makes, so it is told to sort
+    return rows.join(drawn(spark, sources, most, seed).hint("merge"), ["ix", "block"], "left")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
@@ -220,7 +223,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     pieces = taken_pieces(sized(kept), **options).where("passes is not null and words > 0")
     lists = pieces.groupBy("__row").agg(F.collect_list(F.struct("start", "words", "passes")).alias("__pieces"))
     others = [c for c in docs.columns if c != "text"]
-    both = kept.join(lists, "__row").select(as_bytes().alias("__t"), "__pieces", *others)
+    both = kept.join(lists.hint("merge"), "__row").select(as_bytes().alias("__t"), "__pieces", *others)
 
     def fn(part: pa.RecordBatch) -> pa.RecordBatch:
         rows, texts = [], []
@@ -241,7 +244,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         )
 
     schema = ", ".join(["__text string"] + [f"`{c}` {both.schema[c].dataType.simpleString()}" for c in others])
-    out = mapped(both, "__t", fn, schema).withColumnRenamed("__text", "text")
+    out = mapped(both, "__t", fn, schema, SLICE).withColumnRenamed("__text", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -28,7 +28,8 @@ def grouped(rows: DataFrame, keys: Sequence[str], row_id: str, size: int = BLOCK
     blocks = F.ceil(F.col("__n") / size).cast("int")
     own = F.pmod(F.xxhash64(row_id, F.lit(17)), F.col("__k")).cast("int")
     spread = (
-        rows.join(counts, list(keys))
+        # a row per key: never small enough to send around, whatever the planner guesses
+        rows.join(counts.hint("merge"), list(keys))
         .withColumn("__k", blocks)
         .withColumn("__own", own)
         .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
