@@ -62,27 +62,45 @@ def substrings(length: int, edits: int) -> dict[tuple[int, int, int], int]:
     return out
 
 
+def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray, step: int) -> np.ndarray:
+    """How many bytes agree from the places a[i] and b[i] on, going by ``step``, ``limit`` at most."""
+    out = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    ahead = np.arange(64)
+    while len(live):
+        at = out[live][:, None] + ahead
+        left, right = ((x[live][:, None] + step * at).clip(0, len(data) - 1) for x in (a, b))
+        equal = (data[left] == data[right]) & (at < limit[live][:, None])
+        run = np.where(equal.all(axis=1), 64, equal.argmin(axis=1))
+        out[live] += run
+        live = live[run == 64]
+    return out
+
+
 def within(data: np.ndarray, a: np.ndarray, b: np.ndarray, begin: np.ndarray, size: np.ndarray, edits: int) -> np.ndarray:
     """Whether the strings a[i] and b[i] of a flat buffer are within ``edits`` edits.
 
-    Banded bit-parallel dynamic program: bit k of a column stands for the row
-    k - edits below the diagonal; all pairs advance one column per step.
+    Common ends are cut off, then a banded bit-parallel dynamic program runs: bit k of
+    a column stands for the row k - edits below the diagonal; all pairs
+    advance one column per step, and leave when their score is out of reach.
     """
     out = np.zeros(len(a), bool)
-    fits = np.abs(size[a] - size[b]) <= edits
-    fits &= (size[a] > edits) & (size[b] > edits)
-    live = np.flatnonzero(fits)
+    live = np.flatnonzero(np.abs(size[a] - size[b]) <= edits)
+    if not len(live):
+        return out
     m, n = size[a[live]], size[b[live]]
     row0, col0 = begin[a[live]], begin[b[live]]
+    head = _common(data, row0, col0, np.minimum(m, n), 1)
+    tail = _common(data, row0 + m - 1, col0 + n - 1, np.minimum(m, n) - head, -1)
+    row0, col0, m, n = row0 + head, col0 + head, m - head - tail, n - head - tail
     one, width = np.uint64(1), 2 * edits + 1
     full, top = np.uint64((1 << width) - 1), np.uint64(2 * edits)
     plus = np.full(len(live), full & ~np.uint64((1 << edits) - 1), np.uint64)
     minus = np.zeros(len(live), np.uint64)
-    score = np.full(len(live), edits, np.int64)
+    score = np.minimum(edits, m)
     j = 0
     while len(live):
-        ended = n == j
-        ended |= score > 3 * edits
+        ended = (n == j) | (score > 3 * edits)
         if ended.any():
             out[live[ended & (score <= edits)]] = True
             go = ~ended
@@ -94,7 +112,7 @@ def within(data: np.ndarray, a: np.ndarray, b: np.ndarray, begin: np.ndarray, si
         for k in range(width):
             i = j - edits + k
             if i >= 0:
-                equal |= ((data[row0 + np.minimum(i, m - 1)] == letter) & (i < m)).astype(np.uint64) << np.uint64(k)
+                equal |= ((data[(row0 + np.minimum(i, m - 1)).clip(0)] == letter) & (i < m)).astype(np.uint64) << np.uint64(k)
         diagonal = ((((equal & plus) + plus) ^ plus) | equal | minus) & full
         up = (minus | ~(diagonal | plus)) & full
         down = diagonal & plus
