@@ -17,7 +17,7 @@ anchors, so a document is parsed against exactly these.
 3. Per document, factors that continue each other with one source are joined
    greedily. Words under a factor are duplicates, the rest are literals.
 
-Windows are compared by the anchor's 64-bit and their own 40-bit hash, at
+Windows are compared by the anchor's 48-bit and their own 40-bit hash, at
 every place of a factor, its boundaries included.
 """
 
@@ -38,9 +38,11 @@ from fieldshift.llm.tables import as_bytes, binary, mapped
 WINDOW = 13
 GRAM = 6
 CHECK_BYTES = 5
+ANCHOR_BITS = 48
 REMEMBERED = 400_000
 
-_ROWS = "bucket long, doc_id long, place long, n int, checks binary"
+#: checks holds CHECK_BYTES for each window; of settled windows it holds their number in 4 bytes.
+_ROWS = "bucket long, doc_id long, place long, checks binary"
 _FACTORS = "doc_id long, place long, n int, source long"
 
 
@@ -98,7 +100,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def anchored(part: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows of one slice: anchors with their windows' checks, and settled windows (without checks)."""
+    """Rows of one slice: anchors with their windows' checks, and settled windows, under their source."""
     ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
     tags = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.lexsort((tags, ids))
@@ -136,21 +138,17 @@ def anchored(part: pa.RecordBatch) -> pa.RecordBatch:
     open_row = np.add.reduceat(~settled, edge) > 0 if len(edge) else np.zeros(0, bool)
     keep = np.repeat(open_row, per_row)
     data = check[keep].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CHECK_BYTES]
-    rows = [best[edge][open_row].view(np.int64), key[edge][open_row], place[edge][open_row], per_row[open_row]]
+    anchors = (best[edge][open_row] >> np.uint64(64 - ANCHOR_BITS)).view(np.int64)
+    rows = [anchors, key[edge][open_row], place[edge][open_row]]
     checks = binary(data, per_row[open_row] * CHECK_BYTES)
 
     done = np.flatnonzero(settled)
     cut = _runs(at[done] - np.arange(len(done)), doc[done], source[done])
     runs = done[cut]
-    per_run = np.diff(np.r_[cut, len(done)])
-    out = [
-        np.r_[rows[0], source[runs]],
-        np.r_[rows[1], key[runs]],
-        np.r_[rows[2], place[runs]],
-        np.r_[rows[3], per_run].astype(np.int32),
-    ]
-    checks = pa.concat_arrays([checks, pa.nulls(len(runs), pa.binary())])
-    return pa.RecordBatch.from_arrays([*map(pa.array, out), checks], ["bucket", "doc_id", "place", "n", "checks"])
+    per_run = np.diff(np.r_[cut, len(done)]).astype("<i4")
+    out = [np.r_[rows[0], source[runs]], np.r_[rows[1], key[runs]], np.r_[rows[2], place[runs]]]
+    checks = pa.concat_arrays([checks, binary(per_run.view(np.uint8), np.full(len(runs), 4))])
+    return pa.RecordBatch.from_arrays([*map(pa.array, out), checks], ["bucket", "doc_id", "place", "checks"])
 
 
 def _checks(column: pa.Array) -> np.ndarray:
@@ -168,21 +166,21 @@ def parsed(batches):
     """
     last, seen, sources = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
-        settled = pa.compute.is_null(batch.column(4))
+        settled = pa.compute.equal(pa.compute.binary_length(batch.column(3)), 4)
         if pa.compute.any(settled).as_py():
             ready = batch.filter(settled)
-            yield pa.RecordBatch.from_arrays(
-                [ready.column(1), ready.column(2), ready.column(3), ready.column(0)], ["doc_id", "place", "n", "source"]
-            )
+            n = pa.array(np.frombuffer(b"".join(ready.column(3).to_pylist()), "<i4"))
+            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2), n, ready.column(0)], ["doc_id", "place", "n", "source"])
             batch = batch.filter(pa.compute.invert(settled))
         if batch.num_rows == 0:
             continue
-        bucket, doc, place, n = (batch.column(i).to_numpy() for i in range(4))
+        bucket, doc, place = (batch.column(i).to_numpy() for i in range(3))
+        n = pa.compute.binary_length(batch.column(3)).to_numpy() // CHECK_BYTES
         edge = _runs(bucket)
         run = np.repeat(np.arange(len(edge)), np.diff(np.r_[edge, len(bucket)]))
         row = np.repeat(np.arange(len(bucket)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        check = _checks(batch.column(4))
+        check = _checks(batch.column(3))
         key = (run[row].astype(np.uint64) << np.uint64(8 * CHECK_BYTES)) | check
         by = np.argsort(key, kind="stable")
         starts = _runs(key[by])
