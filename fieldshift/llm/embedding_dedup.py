@@ -153,12 +153,14 @@ def _verified(k: int, n: int, threshold: float):
     """class, root and links of the classes that link within each batch of whole groups."""
 
     def fn(batches):
+        tables: dict[int, Tables] = {}
         for batch in whole(batches):
             names = batch.schema.names
             get = lambda c: batch.column(names.index(c)).to_numpy(zero_copy_only=False)
             group, ids, block, same, probing = get("__g"), get("class"), get("__b"), get("__same"), get("probing")
             table, bucket, copies = get("table"), get("bucket"), get("copies")
-            x, dims = {}, np.zeros(len(ids), np.int64)
+            x, dims, codes = {}, np.zeros(len(ids), np.int64), np.zeros((len(ids), n, 1 + k), np.int64)
+            coded = np.zeros(len(ids), bool)  # codes are found once for each row that links at all
             for rows, unit in _matrix(batch.column(names.index("embedding"))):
                 dims[rows] = unit.shape[1]
                 x[unit.shape[1]] = np.zeros((len(ids), unit.shape[1]))
@@ -175,13 +177,14 @@ def _verified(k: int, n: int, threshold: float):
                     if not len(p):
                         continue
                     forest.link(p, q)
-                    tables = Tables(d, k, n)
-                    met = np.unique(np.r_[p, q])
-                    codes = tables.codes(unit[met])
-                    left, right = codes[np.searchsorted(met, p)], codes[np.searchsorted(met, q)]
-                    first = meets(left, right).argmax(axis=1)
+                    new = np.unique(np.r_[p, q])
+                    new = new[~coded[new]]
+                    if len(new):
+                        tables.setdefault(d, Tables(d, k, n))
+                        codes[new], coded[new] = tables[d].codes(unit[new]), True
+                    first = meets(codes[p], codes[q]).argmax(axis=1)
                     at, slot = first // (1 + k) ** 2, first % (1 + k) ** 2 // (1 + k)
-                    here = (at == table[p]) & (left[np.arange(len(p)), at, slot] == bucket[p])
+                    here = (at == table[p]) & (codes[p, at, slot] == bucket[p])
                     np.add.at(links, p[here], copies[q[here]])
                     np.add.at(links, q[here], copies[p[here]])
             rows = np.flatnonzero((links > 0) | (forest.root != np.arange(len(ids))))
