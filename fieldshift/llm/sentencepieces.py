@@ -22,8 +22,9 @@ from fieldshift.llm.tables import as_bytes, mapped
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 LONG = 256
-#: Words that a worker remembers.
-TABLE_SIZE = 300_000
+#: Words that a worker remembers, and bytes of text that it works on at once.
+TABLE_SIZE = 250_000
+SLICE = 1 << 20
 
 
 def load(path: str) -> bytes:
@@ -46,9 +47,10 @@ class WordTable:
             raise ValueError("the model removes or adds whitespace otherwise than assumed")
         self.mark = self.sp.piece_to_id(MARK)
         self.size = size
-        self.words: dict[str, tuple[bytes, str]] = {}
+        # ids of a word that decodes to itself, as nearly all do; else ids and decoded text
+        self.words: dict[str, bytes | tuple[bytes, str]] = {}
 
-    def _segment(self, words: list[str]) -> dict[str, tuple[bytes, str]]:
+    def _segment(self, words: list[str]) -> dict[str, bytes | tuple[bytes, str]]:
         # encode() puts one marker in front, which stands for the word's first marker
         encoded = self.sp.encode([w[1:] for w in words], num_threads=1)
         out = {}
@@ -56,7 +58,8 @@ class WordTable:
             ids = ids or [self.mark]
             # decode() takes one leading marker away
             text = " " + self.sp.decode(ids)
-            out[word] = ",".join(map(str, ids)).encode(), text
+            joined = ",".join(map(str, ids)).encode()
+            out[word] = joined if text == word.replace(MARK, " ") else (joined, text)
         return out
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -72,9 +75,13 @@ class WordTable:
             table.update((w, v) for w, v in found.items() if len(w) <= LONG)
             extra.update((w, v) for w, v in found.items() if len(w) > LONG)
         out = []
-        for words in split:
+        for text, words in zip(texts, split):
             got = [table.get(w) or extra[w] for w in words]
-            out.append((b",".join([g[0] for g in got]), "".join([g[1] for g in got])[1:]))
+            if MARK not in text and tuple not in set(map(type, got)):
+                out.append((b",".join(got), text))
+                continue
+            pairs = [g if g.__class__ is tuple else (g, w.replace(MARK, " ")) for g, w in zip(got, words)]
+            out.append((b",".join([g for g, _ in pairs]), "".join([t for _, t in pairs])[1:]))
         return out
 
 
@@ -105,7 +112,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", key: str
         return pa.RecordBatch.from_arrays([part.column(0), ids, pa.array([d for _, d in got], pa.string())], ["key", "ids", "decoded"])
 
     return mapped(
-        docs.select(F.col(key).alias("key"), as_bytes(text).alias("t")), "t", fn, f"key {schema}, ids array<int>, decoded string"
+        docs.select(F.col(key).alias("key"), as_bytes(text).alias("t")), "t", fn, f"key {schema}, ids array<int>, decoded string", SLICE
     ).withColumnRenamed("key", key)
 
 
@@ -126,4 +133,5 @@ def digests(docs: DataFrame, model_path: str, text: str = "text", key: str = "do
         "t",
         fn,
         f"key {schema}, n_tokens long, ids_sha256 string, decoded_sha256 string",
+        SLICE,
     ).withColumnRenamed("key", key)

@@ -61,12 +61,12 @@ def binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def mapped(
-    df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str
+    df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = SLICE_BYTES
 ) -> DataFrame:
     """``fn`` over slices of bounded text size, in every partition."""
 
     def run(batches):
-        for part in pieces(batches, column):
+        for part in pieces(batches, column, limit):
             yield fn(part)
 
     return df.mapInArrow(run, schema)
