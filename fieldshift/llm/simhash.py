@@ -19,18 +19,17 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldshift.llm.components import components
 from fieldshift.llm.runs import Forest, grouped, lagged, whole
+from fieldshift.llm.shingle_sets import LEAST, SEED, shingles, similar
 from fieldshift.llm.tables import as_bytes, mapped, stage
 
 BITS = 64
 RADIUS = 3
 SHINGLE = 3
-SEED = 42
 #: Fingerprints in the driver's sample, 8 bytes each.
 SAMPLE = 4096
 PARTS = (2, 3, 4)
@@ -40,16 +39,7 @@ ROW_COST = 50.0
 
 def fingerprint(text: bytes, n: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of a text: lower-cased words, n-word shingles with repeats; without words zero."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    body = b" ".join(words)
-    if len(words) <= n:
-        return xxhash.xxh64_intdigest(body, seed)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begin = np.r_[0, ends[:-n]].tolist()
-    hashes = [xxhash.xxh64_intdigest(body[a:b], seed) for a, b in zip(begin, (ends[n - 1 :] - 1).tolist())]
-    values = np.array(hashes, np.uint64)
+    values = shingles(text, n, seed)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(values), 4096):
         octets = values[i : i + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -197,11 +187,11 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, n: int = 5, radius: int = RADIUS) -> DataFrame:
+def keep_first(docs: DataFrame, n: int = 5, least: float = LEAST) -> DataFrame:
     """One row of each group of near duplicates: the smallest doc_id, and of repeated rows the first text.
 
-    Five-word shingles; texts without words are one group.
+    Near duplicates have a similarity of ``least`` or more in their n-word shingles; texts without words are one group.
     """
-    placed = near_duplicates(docs, n, radius).where("doc_id = component_id").select("doc_id").distinct()
+    placed = similar(docs, n, least).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.join(placed, "doc_id", "left_semi")
     return kept.dropDuplicates(["doc_id"])

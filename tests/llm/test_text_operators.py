@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fieldshift.llm import licenses, line_dedup, simhash, substring_dedup
+from fieldshift.llm import licenses, line_dedup, shingle_sets, simhash, substring_dedup
 from tests.llm.conftest import ordered, sha, words_of
 
 
@@ -238,3 +238,40 @@ def test_license_scan(spark, docs):
     assert rows[2][4:6] == ("", "gpl") and rows[3][4:6] == ("gpl", "gpl,mit")
     assert rows[4][5] == "" and rows[5] == rows[6] == (0, 0, None, None, "", "", 0.0) and rows[7][0] == 1
     assert licenses.digest(licenses.scan(docs)).count() == docs.count()
+
+
+def test_keep_first_reaches_shingle_similarity(spark):
+    """Brute force over five-word shingles: linked pairs are similar, and pairs of similarity 0.8 are linked."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 200))]
+        for _ in range(4):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randrange(0, 5)):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if i // 4 == j // 4]
+    alike = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    place = {r["doc_id"]: r["component"] for r in shingle_sets.similar(docs, 5).collect()}
+    linked = sum(place[i] == place[j] for i, j in alike)
+    assert len(alike) > 150 and linked >= 0.99 * len(alike)
+    up = list(range(len(rows)))
+    for i, j in alike:
+        a, b = up[i], up[j]
+        up = [min(a, b) if x in (a, b) else x for x in up]
+    assert all(up[i] == up[j] for i, j in pairs if place[i] == place[j])
+    assert len(set(place.values())) >= len(set(up))
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).collect()}
+    assert kept >= set(up) and len(kept) <= 1.01 * len(set(up))
+
+
+def test_similar_splits_large_groups(spark):
+    """Near copies in number and unlike texts under one candidate root are compared over several blocks."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join([*base[: i % 70], f"x{i}", *base[i % 70 + 1 :]])) for i in range(2500)]
+    docs = spark.createDataFrame([*rows, (9000, " ".join(f"z{i}" for i in range(80))), (9001, ""), (9002, " \n")], "doc_id long, text string")
+    place = {r["doc_id"]: r["component"] for r in shingle_sets.similar(docs, 5).collect()}
+    assert len({place[i] for i in range(2500)}) == 1 and len(set(place.values())) == 3 and place[9001] == place[9002]
