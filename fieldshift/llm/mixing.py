@@ -3,10 +3,11 @@
 Each source's documents form one stream of words, cut into blocks of ``BLOCK``
 words. Targets are source weights' shares of ``budget`` times all words, no
 source above ``max_repeats`` times its size; what is above goes to the others by
-weight. The output is a sequence of shards; each draws how many of its slots
-every source fills: the whole part of the expected count, and a multinomial
-draw of the rest. A source's slots are numbered across shards, and slot q takes
-block ``permutation(q mod n)`` of pass ``q div n``, so every block is used once before
+weight. A source's number of slots is its expected count, rounded, so it comes to its
+target within a block. The output is a sequence of shards of about ``SLOTS``
+slots; a source puts the whole part of its mean in each and deals the rest by a
+multinomial draw. Its slots are numbered across shards, and slot q takes block
+``permutation(q mod n)`` of pass ``q div n``, so every block is used once before
 any is used again, and at most ``max_repeats`` times.
 
 Draws and permutations depend on seed, shard and source only. Sources are
@@ -29,6 +30,7 @@ from fieldshift.llm.tables import as_bytes, mapped, stage
 
 BLOCK = 32
 SLOTS = 4096
+RUN = 1000
 BUDGET = 1.5
 MAX_REPEATS = 2
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -103,44 +105,57 @@ def plan(sizes: DataFrame, weights: Callable[[int], float], budget: float, most:
     ]
 
 
+def totals(sources: list[dict]) -> np.ndarray:
+    """Slots of each source: the expected count, rounded up or down along the running sum of the fractions.
+
+    All together come to the rounded sum. The cap is a whole number of slots, so rounding stays within it.
+    """
+    expected = np.array([s["slots"] for s in sources], np.float64)
+    whole = np.floor(expected + 1e-6)
+    upto = np.floor(np.cumsum(np.maximum(expected - whole, 0.0)) + 0.5)
+    return (whole + np.diff(upto, prepend=0.0)).astype(np.int64)
+
+
+def shard_counts(ix: int, slots: int, shards: int, seed: int):
+    """(first shard, slots of it and the following) per run of ``RUN`` shards; all counts of a source add up to ``slots``.
+
+    The whole part of the mean in every shard, and the rest by a multinomial draw:
+    first over the runs, then inside each run.
+    """
+    whole, rest = divmod(slots, shards)
+    begin = np.arange(0, shards, RUN)
+    width = np.minimum(RUN, shards - begin)
+    extra = np.random.default_rng([seed, ix]).multinomial(rest, width / shards)
+    for f, w, e in zip(begin.tolist(), width.tolist(), extra.tolist()):
+        if whole or e:
+            yield f, whole + np.random.default_rng([seed, ix, f]).multinomial(e, np.full(w, 1 / w))
+
+
 def drawn(spark, sources: list[dict], most: int, seed: int) -> DataFrame:
     """ix, block, passes: the blocks taken, with a bit for each pass that takes them."""
-    expected = np.array([s["slots"] for s in sources])
-    total = float(expected.sum())
-    shards = max(1, int(np.ceil(total / SLOTS)))
-    share = expected / shards
-    whole = np.floor(share + 1e-9)
-    rest = np.maximum(share - whole, 0.0)
+    slots_of = totals(sources)
+    shards = max(1, int(np.ceil(slots_of.sum() / SLOTS)))
 
     def counts(batches):
         for batch in batches:
-            out = []
-            for f in batch.column(0).to_pylist():
-                n = int(np.floor((f + 1) * total / shards + 0.5) - np.floor(f * total / shards + 0.5) - whole.sum())
-                extra = np.zeros(len(whole), np.int64)
-                if n > 0 and rest.sum() > 0:
-                    extra = np.random.default_rng([seed, f]).multinomial(n, rest / rest.sum())
-                got = whole.astype(np.int64) + extra
-                at = np.flatnonzero(got)
-                out.append(np.c_[np.full(len(at), f), at, got[at]])
-            rows = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(3)], ["shard", "ix", "n"])
-
-    drawn_ = stage(spark.range(shards).mapInArrow(counts, "shard long, ix long, n long"), "shards")
-    # first slot number of each (source, shard): runs of shards are summed first
-    drawn_ = drawn_.withColumn("run", F.floor(F.col("shard") / 1000))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)
-    runs = drawn_.groupBy("ix", "run").agg(F.sum("n").alias("sum"))
-    runs = runs.withColumn("base", F.coalesce(F.sum("sum").over(before.partitionBy("ix").orderBy("run")), F.lit(0)))
-    inside = F.coalesce(F.sum("n").over(before.partitionBy("ix", "run").orderBy("shard")), F.lit(0))
-    placed = drawn_.withColumn("inside", inside).join(runs.drop("sum"), ["ix", "run"])
-    placed = placed.select("ix", (F.col("base") + F.col("inside")).alias("first"), "n")
+            for ix in batch.column(0).to_pylist():
+                base = 0
+                for _, n in shard_counts(ix, int(slots_of[ix]), shards, seed):
+                    # first slot number of each (source, shard)
+                    first = base + np.cumsum(n) - n
+                    base += int(n.sum())
+                    at = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), ix)), pa.array(first[at]), pa.array(n[at])], ["ix", "first", "n"]
+                    )
+
+    placed = spark.range(len(sources)).mapInArrow(counts, "ix long, first long, n long")
     blocks = [s["blocks"] for s in sources]
 
     def slots(batches):
         for batch in batches:
             for ix, first, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                q = np.arange(first, min(first + n, most * blocks[ix]))
+                q = np.arange(first, first + n)
                 for e in np.unique(q // blocks[ix]).tolist():
                     block = permuted(q[q // blocks[ix] == e] % blocks[ix], blocks[ix], f"{seed}:{ix}:{e}")
                     yield pa.RecordBatch.from_arrays(

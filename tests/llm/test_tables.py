@@ -120,6 +120,31 @@ def test_mixing(docs, corpus):
     assert +words == +want and mixed.columns == docs.columns
 
 
+def test_small_sources_come_to_their_targets():
+    """Sources far below a slot a shard, at the cap of two passes: each gets its whole total over 980 shards."""
+    sources = [{"slots": 4_000_000.3, "blocks": 4_000_000}] + [{"slots": 2.0 * b, "blocks": b} for b in (1, 5, 20) for _ in range(60)]
+    slots = mixing.totals(sources)
+    assert slots[1:].tolist() == [s["blocks"] * 2 for s in sources[1:]] and slots[0] == 4_000_000
+    for ix, n in enumerate(slots.tolist()):
+        runs = list(mixing.shard_counts(ix, n, 980, 1))
+        assert sum(int(x.sum()) for _, x in runs) == n
+    uneven = mixing.totals([{"slots": 10.4, "blocks": 9}] * 1000)
+    assert uneven.sum() == 10_400 and set(uneven.tolist()) == {10, 11}
+
+
+def test_mixing_many_small_sources(spark):
+    """Every source's taken words come to its target within the words of a slot, over several shards."""
+    rows = [(i, f"s{i % 60}", " ".join(f"w{j}" for j in range(64))) for i in range(600)]
+    rows += [(1000 + i, "large", " ".join(f"w{j}" for j in range(3200))) for i in range(60)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, source string, text string"))
+    source = {r[0]: r[1] for r in rows}
+    taken, target = Counter(), {}
+    for r in got.collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+        target[source[r["doc_id"]]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= mixing.BLOCK for s in target)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
 def test_permutation(n):
     assert sorted(mixing.permuted(np.arange(n), n, "a").tolist()) == list(range(n))
