@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldshift.llm.components import components
 from fieldshift.llm.runs import Forest, grouped, lagged, whole
-from fieldshift.llm.shingle_sets import LEAST, SEED, shingles, similar
+from fieldshift.llm.shingle_sets import LEAST, SEED, node, shingles, similar
 from fieldshift.llm.tables import as_bytes, mapped, stage
 
 BITS = 64
@@ -188,10 +188,13 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
 
 
 def keep_first(docs: DataFrame, n: int = 5, least: float = LEAST) -> DataFrame:
-    """One row of each group of near duplicates: the smallest doc_id, and of repeated rows the first text.
+    """One row of each group of near duplicates: the smallest doc_id (null last), of repeated ids the least text hash.
 
     Near duplicates have a similarity of ``least`` or more in their n-word shingles; texts without words are one group.
+    A row is told by doc_id and text: rows with a null or repeated doc_id go only as copies of another row.
     """
-    placed = similar(docs, n, least).groupBy("component").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.join(placed, "doc_id", "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first")
+    placed = similar(docs, n, least).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__kept"))
+    rows = docs.withColumn("__node", node())
+    kept = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__node"]).drop("__node")

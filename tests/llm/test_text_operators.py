@@ -275,3 +275,11 @@ def test_similar_splits_large_groups(spark):
     docs = spark.createDataFrame([*rows, (9000, " ".join(f"z{i}" for i in range(80))), (9001, ""), (9002, " \n")], "doc_id long, text string")
     place = {r["doc_id"]: r["component"] for r in shingle_sets.similar(docs, 5).collect()}
     assert len({place[i] for i in range(2500)}) == 1 and len(set(place.values())) == 3 and place[9001] == place[9002]
+
+
+def test_keep_first_keeps_rows_with_null_or_repeated_ids(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[3]), (6, texts[3]), (7, texts[4]), (None, texts[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])]
+    assert ordered(simhash.keep_first(docs).collect()) == ordered(want)
