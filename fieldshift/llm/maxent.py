@@ -9,9 +9,9 @@ tokens are outcomes of their own, ``WIDTH`` to a class; all other words fall int
 with a softmax over classes, and in head classes one over the class's tokens. In a tail
 class a word has probability (c + 1) / (n + v + 1), c being its training
 count, n and v the class's tokens and distinct words; one share is left for
-unseen words. Features are the previous word, the word two back (a skip), the
-pair of both, and the class with the previous word; each hashes to a row of weights,
-starting from log unigram probabilities.
+unseen words. Features are the previous word, the words two and three back (skips), the pair
+of the two previous words, and class with previous or second-last word; each
+hashes to a row of weights, starting from log unigram probabilities.
 
 Training passes once over all training texts, in ``ROUNDS`` slices. In a round
 every task runs AdaGrad from the current weights over its texts, and the tasks'
@@ -54,10 +54,12 @@ RATE = 0.25
 SHAPES = {
     "previous": (CONTEXTS, CLASSES),
     "second": (CONTEXTS, CLASSES),
+    "third": (CONTEXTS, CLASSES),
     "pair": (PAIRS, CLASSES),
     "inner_previous": (INNER, WIDTH),
+    "inner_second": (INNER, WIDTH),
 }
-OUTER, INSIDE = tuple(SHAPES)[:3], tuple(SHAPES)[3:]
+OUTER, INSIDE = tuple(SHAPES)[:4], tuple(SHAPES)[4:]
 
 
 def tail_class(word: bytes) -> int:
@@ -174,24 +176,26 @@ class Model:
 
     @staticmethod
     def sequence(words: np.ndarray, context: np.ndarray, lengths: np.ndarray, end: int):
-        """Outcomes, an end after each text, and the two words before each."""
+        """Outcomes, an end after each text, and the three words before each."""
         doc = np.repeat(np.arange(len(lengths)), lengths)
-        padded = np.full(len(words) + 2 * len(lengths), START, np.int64)
-        padded[np.arange(len(words)) + 2 * (doc + 1)] = context
+        padded = np.full(len(words) + 3 * len(lengths), START, np.int64)
+        padded[np.arange(len(words)) + 3 * (doc + 1)] = context
         doc_out = np.repeat(np.arange(len(lengths)), lengths + 1)
         outcome = np.full(len(doc_out), end, np.int64)
         outcome[np.arange(len(words)) + doc] = words
-        g = np.arange(len(doc_out)) + doc_out
-        return outcome, padded[g + 1], padded[g]
+        g = np.arange(len(doc_out)) + 2 * doc_out
+        return outcome, padded[g + 2], padded[g + 1], padded[g]
 
     @staticmethod
-    def rows(outcome, one, two) -> dict[str, np.ndarray]:
+    def rows(outcome, one, two, three) -> dict[str, np.ndarray]:
         group = np.where(outcome < HEAD, outcome // WIDTH, 0)
         return {
             "previous": one,
             "second": two,
+            "third": three,
             "pair": (one * 40503 + two * 2654435761 >> 7) % PAIRS,
             "inner_previous": (group * 2246822519 + one * 3266489917 >> 5) % INNER,
+            "inner_second": (group * 668265263 + two * 374761393 >> 5) % INNER,
         }
 
     @staticmethod
@@ -206,24 +210,28 @@ class Model:
         return x, log_sum
 
     def outer(self, rows: dict[str, np.ndarray]) -> np.ndarray:
-        x = self.weights[OUTER[0]][rows[OUTER[0]]] + self.outer_bias
+        x = self.weights[OUTER[0]].take(rows[OUTER[0]], axis=0)
+        x += self.outer_bias
+        taken = np.empty_like(x)
         for k in OUTER[1:]:
-            x += self.weights[k][rows[k]]
+            x += np.take(self.weights[k], rows[k], axis=0, out=taken, mode="clip")
         return self.softmax(x)[0]
 
     def inner(self, rows: dict[str, np.ndarray], head: np.ndarray, group: np.ndarray) -> np.ndarray:
-        x = self.inner_bias[group]
+        x = self.inner_bias.take(group, axis=0)
+        taken = np.empty_like(x)
         for k in INSIDE:
-            x += self.weights[k][rows[k][head]]
+            x += np.take(self.weights[k], rows[k][head], axis=0, out=taken, mode="clip")
         return self.softmax(x)[0]
 
-    def log10(self, outcome, one, two) -> np.ndarray:
-        """log10 P(class) and, for head tokens, P(token | class), of each token."""
+    def log10(self, outcome, one, two, three=None) -> np.ndarray:
+        """log10 P(class) and, for head tokens, P(token | class), of each token; without ``three`` texts start at ``two``."""
+        three = np.full(len(outcome), START) if three is None else three
         out = np.empty(len(outcome))
         for i in range(0, len(outcome), BATCH):
             part = slice(i, i + BATCH)
             o = outcome[part]
-            rows = self.rows(o, one[part], two[part])
+            rows = self.rows(o, one[part], two[part], three[part])
             at = np.where(o < HEAD, o // WIDTH, o - HEAD + HEAD // WIDTH)
             p = self.outer(rows)[np.arange(len(o)), at].astype(np.float64)
             head = np.flatnonzero(o < HEAD)
@@ -231,12 +239,12 @@ class Model:
             out[part] = np.log10(np.maximum(p, 1e-300))
         return out
 
-    def train(self, outcome, one, two, squares: dict[str, np.ndarray]) -> None:
+    def train(self, outcome, one, two, three, squares: dict[str, np.ndarray]) -> None:
         """AdaGrad steps over batches of tokens; a row moves by its mean gradient in the batch."""
         for i in range(0, len(outcome), BATCH):
             part = slice(i, i + BATCH)
             o = outcome[part]
-            rows = self.rows(o, one[part], two[part])
+            rows = self.rows(o, one[part], two[part], three[part])
             at = np.where(o < HEAD, o // WIDTH, o - HEAD + HEAD // WIDTH)
             gradient = self.outer(rows)
             gradient[np.arange(len(o)), at] -= 1
@@ -254,7 +262,7 @@ class Model:
         sorted_ = row[order]
         start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
         touched = sorted_[start]
-        sums = np.add.reduceat(gradient[order], start, axis=0)
+        sums = np.add.reduceat(gradient.take(order, axis=0), start, axis=0)
         sums /= np.diff(np.r_[start, len(order)]).astype(np.float32)[:, None] ** 0.5
         square = squares[name][touched] + sums * sums
         squares[name][touched] = square

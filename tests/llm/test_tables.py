@@ -186,6 +186,22 @@ def test_lm_outcomes_sum_to_one():
     assert p.sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_uses_all_six_templates():
+    """Words two and three back move the weights: classes by both skips, tokens of a class by the one two back."""
+    words = maxent.Vocabulary([(b"", 9), *((f"w{i}".encode(), 50 - i) for i in range(40))], 1284, 41, {})
+    model = maxent.Model(words)
+    assert len(maxent.SHAPES) == 6
+    squares = {k: np.full(w.shape, 0.1, np.float32) for k, w in model.weights.items()}
+    outcome, *before = model.sequence(np.arange(1, 9), np.arange(1, 9), np.array([5, 3]), 0)
+    assert before[2].tolist() == [maxent.START] * 3 + [1, 2, 3] + [maxent.START] * 3 + [6]
+    model.train(outcome, *before, squares)
+    assert all(np.any(w) for w in model.weights.values())
+    far = [np.full(1, 3), np.full(1, 7)]
+    rng = np.random.default_rng(0)
+    model.weights = {k: rng.normal(size=w.shape).astype(np.float32) for k, w in model.weights.items()}
+    assert model.log10(np.array([5]), *far, np.full(1, 1)) != model.log10(np.array([5]), *far, np.full(1, 2))
+
+
 def test_quality(docs, corpus):
     rows = {(r["doc_id"], r["__q"]["n_words"]): r["__q"] for r in quality.judge(docs).collect()}
     for r in corpus:
