@@ -7,7 +7,7 @@ so no pairs are written; inside a group every pair not linked already is
 compared by its whole shingle sets, so each link is exact. Groups over
 ``BLOCK`` texts are cut into pairs of blocks.
 
-SimHash fingerprints of 64 bits can't find these pairs: see the README.
+SimHash fingerprints within op7's radius miss most of these pairs: see the README.
 """
 
 from __future__ import annotations
