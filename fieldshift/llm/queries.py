@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldshift.llm import embedding_dedup, licenses, line_dedup, maxent, mixing, quality, sentencepieces, simhash, sql, substring_dedup, url_filter
+from fieldshift.llm import embedding_dedup, fill_middle, licenses, line_dedup, maxent, merkle, mixing, quality, sentencepieces, simhash, sql
+from fieldshift.llm import substring_dedup, url_filter
 from fieldshift.llm.tables import read
 
 
@@ -65,6 +66,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(read(spark, sf_dir, "documents")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle.manifest(read(spark, sf_dir, "documents"))
+    root = merkle.folded(F.coalesce("altered_leaf", "leaf"), F.col("path"))
+    proof = F.sha2(merkle.siblings(F.col("path")), 256)
+    checked = rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), root.alias("folded_root"))
+    return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.rewritten(read(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c, 256)
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restored()).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -78,6 +96,8 @@ QUERIES = {
         op8_quality_rules,
         op9_sentencepiece,
         op10_license_scan,
+        op11_merkle_manifest,
+        op13_fill_middle,
     )
 }
-ORACLES = {"op2_line_dedup": sql.LINE_DEDUP, "op3_url_filter": sql.URL_FILTER, "op8_quality_rules": sql.QUALITY}
+ORACLES = {"op2_line_dedup": sql.LINE_DEDUP, "op3_url_filter": sql.URL_FILTER, "op8_quality_rules": sql.QUALITY, "op11_merkle_manifest": sql.MERKLE, "op13_fill_middle": sql.FILL_MIDDLE}

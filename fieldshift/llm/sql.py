@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldshift.llm import line_dedup, quality, url_filter
+from fieldshift.llm import fill_middle, line_dedup, merkle, quality, url_filter
 
 _RULE = "\n".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}|{v}'"
@@ -119,3 +119,73 @@ n_gone AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, coalesce(n_line.n, 0) AS n_lines, coalesce(n_gone.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM documents LEFT JOIN n_line USING (doc_id) LEFT JOIN n_gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_CRC = """list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split({text}, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, x: CASE WHEN (CASE WHEN x < 0 THEN a ELSE xor(a, x) END) % 2 = 1
+      THEN xor((CASE WHEN x < 0 THEN a ELSE xor(a, x) END) >> 1, 3988292384)
+      ELSE (CASE WHEN x < 0 THEN a ELSE xor(a, x) END) >> 1 END)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = [n_chars if f == "n_chars" else f"{f}::VARCHAR" for f in merkle.FIELDS]
+    return "sha256(concat(" + ", ".join(f"coalesce(concat(strlen({f}), ':', {f}), '-')" for f in fields) + "))"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """(g, lvl, r, n, h) of every level over leaves (g, r, n, h)."""
+    return f"""{name} AS (SELECT g, 0 AS lvl, r, n, h FROM {leaves} UNION ALL
+      SELECT g, lvl + 1, r // 2, (n + 1) // 2, h2 FROM
+        (SELECT *, sha256(concat(h, coalesce(lead(h) OVER (PARTITION BY g ORDER BY r), ''))) AS h2 FROM {name} WHERE n > 1) WHERE r % 2 = 0)"""
+
+
+def _path(tree: str, leaves: str) -> str:
+    """(g, r, path) of every leaf: sibling digests with their side, empty for a lone node."""
+    return f"""(SELECT l.g, l.r, coalesce(list(CASE WHEN s.h IS NULL THEN '' WHEN t.r % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY t.lvl)
+        FILTER (t.lvl IS NOT NULL), []::VARCHAR[]) AS path FROM {leaves} l
+      LEFT JOIN {tree} t ON t.g = l.g AND t.n > 1 AND t.r = l.r >> t.lvl
+      LEFT JOIN {tree} s ON s.g = t.g AND s.lvl = t.lvl AND s.r = xor(t.r, 1) GROUP BY l.g, l.r)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, coalesce('v' || lang, 'n') AS g, {_leaf("n_chars::VARCHAR")} AS h,
+         CASE WHEN xor({_CRC.format(text="doc_id::VARCHAR")}, 4294967295) % 7 = 0 AND n_chars IS NOT NULL
+              THEN {_leaf("(n_chars + 1)::VARCHAR")} END AS altered FROM documents),
+leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS r,
+         count(*) OVER (PARTITION BY g) AS n FROM base),
+{_tree("tree", "leaves")},
+tops AS MATERIALIZED (SELECT '' AS g, g AS name, h, row_number() OVER (ORDER BY encode(g)) - 1 AS r, count(*) OVER () AS n FROM tree WHERE n = 1),
+{_tree("crown", "tops")},
+top AS (SELECT h AS root FROM crown WHERE n = 1),
+whole AS (SELECT l.doc_id, l.h AS leaf, l.altered, t.h AS subroot, root, a.path || b.path AS path
+  FROM leaves l JOIN tops t ON t.name = l.g JOIN {_path("tree", "leaves")} a ON a.g = l.g AND a.r = l.r
+  JOIN {_path("crown", "tops")} b ON b.r = t.r, top),
+checked AS (SELECT *, list_reduce([coalesce(altered, leaf)] || path, lambda x, e:
+         CASE WHEN starts_with(e, 'L') THEN sha256(substr(e, 2) || x) ELSE sha256(x || substr(e, 2)) END) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(list_aggregate(list_transform(path, lambda e: substr(e, 2)) || [''], 'string_agg', '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified FROM checked
+"""
+
+_TOKEN = "[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+"
+_DRAWN = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT AS h{i + 1}" for i in range(4))
+
+FILL_MIDDLE = f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS t,
+         sha256(concat('{fill_middle.SEED}:', doc_id::VARCHAR)) AS h FROM documents),
+drawn AS (SELECT *, len(t)::BIGINT AS n, {_DRAWN} FROM cut),
+placed AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {fill_middle.FIM_RATE} THEN 'plain'
+       WHEN h4 % 100 < {fill_middle.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT doc_id, n, form, text, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s FROM placed),
+written AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'spm' THEN concat('<S>', s, '<P>', p, '<M>', m)
+                           ELSE concat('<P>', p, '<S>', s, '<M>', m) END AS output FROM parts),
+parsed AS (SELECT *, string_split(output, '<M>') AS x FROM written)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+         WHEN 'spm' THEN concat(string_split(x[1], '<P>')[2], x[2], string_split(x[1], '<P>')[1][4:])
+         ELSE concat(string_split(x[1], '<S>')[1][4:], x[2], string_split(x[1], '<S>')[2]) END) AS restored_sha256
+FROM parsed
+"""
