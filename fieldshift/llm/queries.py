@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldshift.llm import embedding_dedup, fill_middle, licenses, line_dedup, maxent, merkle, mixing, quality, sentencepieces, simhash, sql
+from fieldshift.llm import embedding_dedup, fill_middle, html_text, licenses, line_dedup, maxent, merkle, mixing, quality, sentencepieces, simhash, sql
 from fieldshift.llm import substring_dedup, url_filter
 from fieldshift.llm.tables import read
 
@@ -74,6 +74,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extracted(read(spark, sf_dir, "pages"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fill_middle.rewritten(read(spark, sf_dir, "documents"))
     sha = lambda c: F.sha2(c, 256)
@@ -97,6 +102,7 @@ QUERIES = {
         op9_sentencepiece,
         op10_license_scan,
         op11_merkle_manifest,
+        op12_html_extract,
         op13_fill_middle,
     )
 }
