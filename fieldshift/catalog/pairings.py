@@ -9,9 +9,8 @@ from fieldshift.catalog import roles
 from fieldshift.catalog.records import TOKENS
 from fieldshift.catalog.registry import query, rounded
 from fieldshift.operators import pairing
-from fieldshift.operators.codebook import embed_rosters
-from fieldshift.operators.recommend import recommend_completions, roster_strength
-from fieldshift.operators.tokens import token_rows
+from fieldshift.operators.codebook import embed_rosters, feature_stats, standardize
+from fieldshift.operators.recommend import Vocabulary, pooled, recommend_completions, roster_sums, token_sums, with_tokens
 from fieldshift.plans.forecasts import field_state
 from fieldshift.plans.rating import rate_batch, rate_details
 from fieldshift.session import stage
@@ -266,62 +265,87 @@ def fit_interactions(spark, sf):
 
 COMPLETED = (
     TOKENS
-    + r""", st AS (SELECT token, 4.0::DOUBLE * (avg(CASE WHEN won THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) - 0.5) AS strength
-      FROM tk JOIN roster USING (roster_id) WHERE won IS NOT NULL GROUP BY token),
-    tw AS (SELECT roster_id, slot, token, coalesce(strength, 0) AS w FROM tk LEFT JOIN st USING (token)),
-    ms AS (SELECT roster_id, slot, sum(w) AS s, count(*) AS n FROM tw GROUP BY ALL),
-    whole AS (SELECT roster_id, sum(s) AS s, sum(n) AS n FROM ms GROUP BY roster_id),
-    fld AS (SELECT unit, s / n AS theirs FROM (SELECT roster_id, unit, row_number() OVER (PARTITION BY unit ORDER BY md5(roster_id || '|0'), roster_id) AS r
-      FROM roster) q JOIN whole USING (roster_id) WHERE r <= 25),
-    bs AS (SELECT f.roster_id, f.s - i.w AS s, f.n FROM whole f JOIN sized z USING (roster_id)
-      JOIN (SELECT roster_id, w FROM tw WHERE slot = 1 AND starts_with(token, 'item:')) i USING (roster_id) WHERE n_members < 6),
-    ra AS (SELECT roster_id, unit, avg(1 / (1 + exp(theirs - s / n))) AS w FROM bs, fld GROUP BY ALL),
-    wr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY w, unit) AS r FROM ra) q WHERE r <= 3),
-    base AS (SELECT roster_id, avg(w) AS base_rate FROM wr GROUP BY roster_id),
-    pk AS (SELECT roster_id, slot, species, item, lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) AS species_id, lower(item) AS item_id,
-      lower(ability) AS ability_id, string_split(moves_text, ' ') AS moves FROM member),
-    po AS (SELECT species_id, item_id, ability_id, array_to_string(list_sort(moves), ',') AS move_ids, count(*) AS uses,
+    + r""", tv AS (SELECT token, i, ('0x' || substr(md5(token || '|' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE - 0.5 AS v
+      FROM (SELECT DISTINCT token FROM tk) q CROSS JOIN range(8) d(i)),
+    ms AS (SELECT roster_id, slot, i, sum(v) AS s, count(*) AS n FROM tk JOIN tv USING (token) GROUP BY ALL),
+    rs AS (SELECT roster_id, i, sum(s) AS s, sum(n) AS n FROM ms GROUP BY ALL),
+    fr AS (SELECT i, avg(s / n) AS m, CASE WHEN stddev_pop(s / n) < 1e-8 THEN 1.0::DOUBLE ELSE stddev_pop(s / n) END AS sd FROM rs GROUP BY i),
+    z AS MATERIALIZED (SELECT roster_id, i, (s / n - m) / sd AS z FROM rs JOIN fr USING (i)),
+    pz AS MATERIALIZED (SELECT pairing_id, a.i, a.z AS za, b.z AS zb, CASE WHEN label = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sg
+      FROM pairing JOIN z a ON a.roster_id = roster_a JOIN z b ON b.roster_id = roster_b AND b.i = a.i),
+    w AS (SELECT i, 2 * avg(sg * (za - zb)) AS w FROM pz GROUP BY i),
+    h AS (SELECT a.i, b.i AS j, 2 * avg(a.sg * (a.za * b.zb - b.za * a.zb)) AS g FROM pz a JOIN pz b USING (pairing_id) GROUP BY a.i, b.i),
+    fld AS (SELECT unit, q.roster_id AS opp, i, z FROM (SELECT roster_id, unit, row_number() OVER (PARTITION BY unit ORDER BY md5(roster_id || '|0'), roster_id) AS r
+      FROM roster) q JOIN z USING (roster_id) WHERE r <= 25),
+    gy AS (SELECT opp, h.i, sum(g * z) AS gy FROM fld JOIN h ON h.j = fld.i GROUP BY opp, h.i),
+    c AS (SELECT opp, unit, i, (w + gy) / sd AS c, m, w * z AS wz FROM fld JOIN gy USING (opp, i) JOIN w USING (i) JOIN fr USING (i)),
+    k AS (SELECT opp, unit, -sum(wz) - sum(m * c) AS k FROM c GROUP BY ALL),
+    gone AS (SELECT roster_id, token FROM tk JOIN sized USING (roster_id) WHERE n_members < 6 AND ((slot = 1 AND starts_with(token, 'item:'))
+      OR (slot = 2 AND starts_with(token, 'ability:')))),
+    gs AS (SELECT roster_id, i, sum(v) AS v FROM gone JOIN tv USING (token) GROUP BY ALL),
+    sp AS MATERIALIZED (SELECT rs.roster_id, opp, unit, sum((rs.s - gs.v) * c) AS sp, any_value(rs.n) AS n FROM rs JOIN gs USING (roster_id, i)
+      JOIN c USING (i) GROUP BY rs.roster_id, opp, unit),
+    ra AS (SELECT roster_id, sp.unit, avg(1 / (1 + exp(-(sp / n + k)))) AS w FROM sp JOIN k USING (opp) GROUP BY ALL),
+    wr AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY roster_id ORDER BY round(w, 12), unit) AS wi FROM ra) q WHERE wi <= 3),
+    pk AS (SELECT roster_id, slot, species, item, ability, lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) AS species_id,
+      string_split(moves_text, ' ') AS moves FROM member),
+    po AS (SELECT species_id, lower(item) AS item_id, lower(ability) AS ability_id, array_to_string(list_sort(moves), ',') AS move_ids, count(*) AS uses,
       arg_min(roster_id, (roster_id, slot)) AS roster_id, arg_min(slot, (roster_id, slot)) AS slot, arg_min(species || ' @ ' || item, (roster_id, slot)) AS label
       FROM pk GROUP BY 1, 2, 3, 4 ORDER BY uses DESC, 1, 2, 3, 4 LIMIT 150),
-    pool AS (SELECT species_id, label, s, n FROM po JOIN ms USING (roster_id, slot)),
+    pool AS (SELECT *, row_number() OVER (ORDER BY uses DESC, species_id, item_id, ability_id, move_ids) AS place FROM po),
     own AS (SELECT DISTINCT roster_id, species_id FROM pk),
-    vals AS (SELECT species_id, 'item' AS kind, item AS value FROM pk UNION ALL SELECT species_id, 'move', unnest(moves) FROM pk),
-    cnt AS (SELECT species_id, kind, value, count(*) AS n FROM vals GROUP BY ALL),
-    opts AS (SELECT species_id, kind, value, coalesce(strength, 0) AS worth FROM (SELECT *, row_number() OVER (PARTITION BY species_id, kind ORDER BY n DESC, value) AS r
-      FROM cnt) q LEFT JOIN st ON token = kind || ':' || lower(value) WHERE r <= CASE kind WHEN 'item' THEN 6 ELSE 12 END),
-    o AS (SELECT b.roster_id, 'member' AS slot, (b.s + p.s) / (b.n + p.n) AS v, label FROM bs b, pool p
-      WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.roster_id = b.roster_id AND own.species_id = p.species_id)
-      UNION ALL SELECT b.roster_id, 'item on ' || species || ' 1', (b.s + worth) / b.n, value FROM bs b JOIN pk ON pk.roster_id = b.roster_id AND slot = 1
-      JOIN opts ON opts.species_id = pk.species_id AND kind = 'item'
-      UNION ALL SELECT b.roster_id, 'move on ' || species || ' ' || slot, (b.s + worth) / (b.n + 1), value FROM bs b JOIN pk ON pk.roster_id = b.roster_id
-      JOIN opts ON opts.species_id = pk.species_id AND kind = 'move' WHERE len(moves) < 4 AND NOT list_contains(list_transform(moves, lambda m: lower(m)), lower(value))),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY roster_id, slot ORDER BY v DESC, label) AS k FROM o) q WHERE k <= 5),
-    vs AS (SELECT roster_id, v, avg(w) AS rate FROM (SELECT d.roster_id, d.v, wr.unit, avg(1 / (1 + exp(theirs - v))) AS w
-      FROM (SELECT DISTINCT roster_id, v FROM best) d JOIN wr USING (roster_id) JOIN fld ON fld.unit = wr.unit GROUP BY ALL) q GROUP BY ALL),
-    fin AS (SELECT roster_id, slot, CAST(k AS INTEGER) AS rank, label, rate, rate - base_rate AS d FROM best JOIN vs USING (roster_id, v) JOIN base USING (roster_id))
-    SELECT roster_id, slot, rank, label, rnd(rate) AS winrate_vs_worst, rnd(d) AS delta FROM fin"""
+    bs AS (SELECT DISTINCT roster_id FROM gone),
+    vals AS (SELECT species_id, 'item' AS kind, item AS value FROM pk UNION ALL SELECT species_id, 'ability', ability FROM pk
+      UNION ALL SELECT species_id, 'move', unnest(moves) FROM pk),
+    opts AS (SELECT species_id, kind, value, r, kind || ':' || lower(value) AS ck FROM (SELECT *, row_number() OVER (PARTITION BY species_id, kind ORDER BY n DESC, value) AS r
+      FROM (SELECT species_id, kind, value, count(*) AS n FROM vals GROUP BY ALL) q0) q WHERE r <= CASE kind WHEN 'item' THEN 6 WHEN 'ability' THEN 3 ELSE 12 END),
+    o AS (SELECT roster_id, 'member' AS slot, label, ck, added FROM (SELECT bs.roster_id, label, 'p' || place AS ck, row_number() OVER (PARTITION BY bs.roster_id ORDER BY place) AS r,
+        (SELECT max(n) FROM ms WHERE ms.roster_id = pool.roster_id AND ms.slot = pool.slot) AS added
+      FROM bs, pool WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.roster_id = bs.roster_id AND own.species_id = pool.species_id)) q WHERE r <= 120
+      UNION ALL SELECT bs.roster_id, 'item on ' || species || ' 1', value, ck, 0 FROM bs JOIN pk ON pk.roster_id = bs.roster_id AND slot = 1 JOIN opts USING (species_id) WHERE kind = 'item'
+      UNION ALL SELECT bs.roster_id, 'ability on ' || species || ' 2', value, ck, 0 FROM bs JOIN pk ON pk.roster_id = bs.roster_id AND slot = 2 JOIN opts USING (species_id) WHERE kind = 'ability'
+      UNION ALL SELECT roster_id, slot, value, ck, 1 FROM (SELECT bs.roster_id, 'move on ' || species || ' ' || slot AS slot, value, ck,
+        row_number() OVER (PARTITION BY bs.roster_id, slot ORDER BY r) AS nth FROM bs JOIN pk ON pk.roster_id = bs.roster_id JOIN opts USING (species_id)
+        WHERE kind = 'move' AND len(moves) < 4 AND NOT list_contains(list_transform(moves, lambda x: lower(x)), lower(value))) q WHERE nth <= 6),
+    cv AS (SELECT 'p' || place AS ck, i, s AS v FROM pool JOIN ms USING (roster_id, slot) UNION ALL SELECT token, i, v FROM tv),
+    tc AS MATERIALIZED (SELECT ck, opp, sum(v * c) AS t FROM cv JOIN c USING (i) GROUP BY ALL),
+    rate AS (SELECT o.roster_id, o.slot, o.label, o.ck, wi, wr.unit, any_value(wr.w) AS base, avg(1 / (1 + exp(-((sp + t) / (n + added) + k)))) AS w
+      FROM o JOIN wr USING (roster_id) JOIN sp ON sp.roster_id = o.roster_id AND sp.unit = wr.unit JOIN tc ON tc.ck = o.ck AND tc.opp = sp.opp JOIN k ON k.opp = sp.opp GROUP BY ALL),
+    tot AS (SELECT roster_id, slot, label, ck, avg(w) AS rate, avg(base) AS base, max(CASE WHEN wi = 1 THEN unit END) AS family_1, max(CASE WHEN wi = 2 THEN unit END) AS family_2,
+      max(CASE WHEN wi = 3 THEN unit END) AS family_3, max(CASE WHEN wi = 1 THEN w END) AS r1, max(CASE WHEN wi = 2 THEN w END) AS r2, max(CASE WHEN wi = 3 THEN w END) AS r3
+      FROM rate GROUP BY ALL),
+    best AS (SELECT *, rate - base AS d, row_number() OVER (PARTITION BY roster_id, slot ORDER BY round(rate, 12) DESC, label) AS kk FROM tot)
+    SELECT roster_id, slot, CAST(kk AS INTEGER) AS rank, label, rnd(rate) AS winrate_vs_worst, rnd(d) AS delta,
+      family_1, family_2, family_3, rnd(r1) AS rate_1, rnd(r2) AS rate_2, rnd(r3) AS rate_3 FROM best WHERE kk <= 5"""
 )
 
 
-@query("recommend_completions", COMPLETED, "member sized roster")
+@query("recommend_completions", COMPLETED, "member sized roster pairing")
 def recommend(spark, sf):
-    """Every roster of fewer than six members, with one item left out of each."""
-    members = stage(roles.members(spark, sf), "members")
-    dim = roles.dimension(spark, sf)
-    rows = stage(token_rows(members, dim, roles.ROLE_STATS), "tokens")
-    won = roles.roster(spark, sf).select("roster_id", "won", "unit")
-    # a token's strength: how far its rosters' win rate lies from one half
-    strengths = stage(
-        rows.join(won.where(F.col("won").isNotNull()), "roster_id")
-        .groupBy("token")
-        .agg((4.0 * (F.avg(F.col("won").cast("double")) - 0.5)).alias("strength")),
-        "strengths",
+    """Every roster of fewer than six members, with one item and one ability left out."""
+    dim = stage(roles.dimension(spark, sf), "dimension")
+    rows = stage(with_tokens(roles.members(spark, sf), dim, roles.ROLE_STATS), "members")
+    members = rows.drop("tokens")
+    vectors = stage(roles.token_vectors(rows), "token-vectors")
+    whole = roster_sums(token_sums(rows, vectors, Vocabulary.load(vectors)), 8).select("roster_id", pooled(F.col("s"), F.col("n")).alias("embedding"))
+    whole = stage(whole, "pooled")
+    frame = stage(feature_stats(whole), "frame")
+    rosters = standardize(whole, frame)
+    pairs = roles.pairings(spark, sf)
+    for side in ("a", "b"):
+        pairs = pairs.join(rosters.select(F.col("roster_id").alias(f"roster_{side}"), F.col("embedding").alias(side)), f"roster_{side}")
+    model = pairing.first_step_model(pairs)
+    sampled = pairing.unit_samples(roles.roster(spark, sf)).select("roster_id", F.col("unit").alias("family"))
+    field = pairing.Field.load(sampled.join(rosters, "roster_id"), "family")
+    unfinished = (
+        members.join(members.groupBy("roster_id").count().where(F.col("count") < 6).select("roster_id"), "roster_id")
+        .withColumn("item", F.when(F.col("slot") != 1, F.col("item")))
+        .withColumn("ability", F.when(F.col("slot") != 2, F.col("ability")))
     )
-    sampled = pairing.unit_samples(won, "unit").select("roster_id", "unit")
-    opponents = roster_strength(rows.join(sampled, "roster_id"), strengths, ["unit", "roster_id"])
-    rated = opponents.select(F.col("unit").alias("family"), (F.col("s") / F.col("n")).alias("strength"))
-    field = pairing.Field.load(rated, "family", "strength")
-    open_rosters = members.groupBy("roster_id").count().where(F.col("count") < 6).select("roster_id")
-    unfinished = members.join(open_rosters, "roster_id").withColumn("item", F.when(F.col("slot") > 1, F.col("item")))
-    out = recommend_completions(unfinished, dim, strengths, field, members, roles.ROLE_STATS)
-    return rounded(out, "winrate_vs_worst", "delta")
+    out = recommend_completions(unfinished, dim, vectors, frame, model, field, members, roles.ROLE_STATS)
+    wide = out.select(
+        "roster_id", "slot", "rank", "label", "winrate_vs_worst", "delta",
+        *[F.get("per_family", F.lit(i))["family"].alias(f"family_{i + 1}") for i in range(3)],
+        *[F.get("per_family", F.lit(i))["rate"].alias(f"rate_{i + 1}") for i in range(3)],
+    )
+    return rounded(wide, "winrate_vs_worst", "delta", "rate_1", "rate_2", "rate_3")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldshift.functions.draws import draw, uniform
 from fieldshift.functions.periods import iso_period
 from fieldshift.functions.vectors import mean_vector
 from fieldshift.operators import codebook as cb
@@ -116,6 +117,12 @@ def dimension(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def token_vectors(rows: DataFrame, size: int = 8) -> DataFrame:
+    """(token, vec): a seeded random vector per distinct token of the members."""
+    seeded = F.array(*[uniform(draw(i, F.col("token"))) - 0.5 for i in range(size)])
+    return rows.select(F.explode("tokens").alias("token")).distinct().select("token", seeded.alias("vec"))
+
+
 def families(spark: SparkSession, sf: str) -> DataFrame:
     return member_lists(spark, sf).select("roster_id", classify_family(F.col("members"), RULES).alias("family"))
 

@@ -1,9 +1,18 @@
-"""Exact k nearest neighbours by pruned cells, and an approximate join.
+"""Exact k nearest neighbours by pruned cells, and approximate ones by random-projection order.
 
-Exact search: distinct vectors are assigned to cells around sampled pivots. A
-query first searches its own cell, which bounds its k-th distance, then only
-the cells that can hold something nearer. Cells are cut into blocks of bounded
-size, so no task ever holds a whole cell.
+Distinct vectors are packed into blocks of bounded bytes, one row per block,
+and searched block against block with one matrix product. What decides which
+blocks meet carries ids only.
+
+Exact search: cells around sampled pivots, cut into blocks. A query first
+searches its own block, which bounds its k-th distance; then the nearest cells,
+which tighten the bound; then only the cells that can still hold something
+nearer.
+
+Approximate search: each table orders the vectors by a code of random
+projections, and a block meets its neighbours in that order, so the work is
+linear in the rows and no bucket can grow hot. Tables are added until the
+recall on sampled queries, searched exactly against all rows, is reached.
 """
 
 from __future__ import annotations
@@ -12,17 +21,21 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import draw, first_k
 from fieldshift.functions.vectors import as_double, norm, unit_length
-from fieldshift.operators.codebook import BLOCK_CELLS, MAX_ENTRIES, Centroids, assign_codebook
+from fieldshift.operators.codebook import BLOCK_CELLS, Centroids, assign_codebook
 from fieldshift.session import stage
 
-BLOCK_ROWS = 4096
+#: Bytes of vectors in a block, of all pivots, and of the sampled queries of a recall estimate.
+BLOCK_BYTES, PIVOT_BYTES, SAMPLE_BYTES = 512 << 10, 32 << 20, 8 << 20
+#: Cells a query searches before its bound is tightened.
+NEAR_CELLS = 4
 SLACK = 1e-9
+HITS = "g long, id long, d double"
 
 
 def l2_normalize(vectors: DataFrame, vec: str = "embedding", out: str = "embedding") -> DataFrame:
@@ -45,208 +58,308 @@ def _search_space(vectors: DataFrame, key: str, metric: str) -> DataFrame:
     return vectors.select(F.col(key).alias("id"), F.concat(unit_length(raw), F.array(flag)).alias("v"))
 
 
-def _block(count_col: str, key: str):
-    """Block number of a row: as many blocks as keep a cell's block near BLOCK_ROWS."""
-    blocks = F.ceil(F.col(count_col) / F.lit(BLOCK_ROWS)).cast("int")
-    return F.pmod(F.xxhash64(key), F.greatest(blocks, F.lit(1))).cast("int")
+@dataclass(frozen=True)
+class Groups:
+    """The distinct vectors of a table in the search space of a metric."""
 
+    space: DataFrame  # id, v, _h: every row
+    groups: DataFrame  # g, v, _h: distinct vectors, named by their lowest id
+    count: int
+    width: int
 
-def _block_numbers(count_col: str):
-    """0 .. blocks-1 for a cell of the given size."""
-    blocks = F.greatest(F.ceil(F.col(count_col) / F.lit(BLOCK_ROWS)).cast("int"), F.lit(1))
-    return F.sequence(F.lit(0), blocks - 1)
+    @property
+    def block_rows(self) -> int:
+        return max(1, BLOCK_BYTES // (8 * max(1, self.width)))
 
 
-def _block_top(k: int):
-    """Cogrouped search of one query block against one corpus block."""
+def _groups(vectors: DataFrame, key: str, metric: str) -> Groups:
+    space = _search_space(vectors, key, metric).withColumn("_h", F.xxhash64("v"))
+    groups = stage(space.groupBy("_h", "v").agg(F.min("id").alias("g")).select("g", "v", "_h"), "knn-groups")
+    shape = groups.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w")).first()
+    if not shape["n"]:
+        raise ValueError("no vectors to search")
+    return Groups(space, groups, shape["n"], shape["w"])
+
+
+def _packed(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ids, points): the rows (g, v) of every block in one row, by ascending id."""
+    listed = F.sort_array(F.collect_list(F.struct("g", "v")))
+    packed = rows.groupBy(*keys).agg(listed.alias("_l"))
+    return packed.select(*keys, F.transform("_l", lambda x: x["g"]).alias("ids"), F.flatten(F.transform("_l", lambda x: x["v"])).alias("points"))
+
+
+def _best(queries: np.ndarray, names: np.ndarray, bounds: np.ndarray, base: np.ndarray, ids: np.ndarray, keep: int):
+    """(g, id, d) of the ``keep`` nearest of every query, none beyond its bound."""
+    squares = np.einsum("ij,ij->i", base, base)
+    keep = min(keep, len(ids))
+    out = []
+    step = max(1, BLOCK_CELLS // max(1, len(ids)))
+    for top in range(0, len(queries), step):
+        part, bound = queries[top : top + step], bounds[top : top + step]
+        own = np.einsum("ij,ij->i", part, part)
+        sq = own[:, None] - 2.0 * part @ base.T + squares[None, :]
+        kth = np.partition(sq, keep - 1, axis=1)[:, keep - 1]
+        limit = np.minimum(kth, bound * bound)
+        row, col = np.nonzero(sq <= (limit + 1e-9 * (1.0 + np.abs(limit) + own))[:, None])
+        d = np.sqrt(((part[row] - base[col]) ** 2).sum(axis=1))
+        order = np.lexsort((ids[col], d, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        order = order[(place < keep) & (d[order] <= bound[row[order]])]
+        out.append((names[top + row[order]], ids[col[order]], d[order]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _list(column: pa.Array, row: int, kind) -> np.ndarray:
+    values = column[row].values
+    return np.zeros(0, kind) if values is None else values.to_numpy(zero_copy_only=False).astype(kind, copy=False)
+
+
+def _search(keep: int, width: int):
+    """Arrow pass over pairs of blocks: (ids, points) of the queries, (ids, points) of each block that they search.
+
+    ``want`` names the queries of the block that search and their bounds; without
+    it all do, unbounded.
+    """
 
-    def search(queries: pd.DataFrame, corpus: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or corpus.empty:
-            return pd.DataFrame({"g": [], "id": [], "d": []}).astype({"g": "int64", "id": "int64", "d": "float64"})
-        corpus = corpus.sort_values("id")
-        ids = corpus["id"].to_numpy()
-        base = np.stack(corpus["v"].to_numpy())
-        points = np.stack(queries["v"].to_numpy())
-        keep = min(k, len(ids))
-        out = []
-        step = max(1, 4_000_000 // len(ids))
-        for start in range(0, len(points), step):
-            part = points[start : start + step]
-            sq = (part**2).sum(1)[:, None] - 2.0 * part @ base.T + (base**2).sum(1)[None, :]
-            kth = np.partition(sq, keep - 1, axis=1)[:, keep - 1]
-            row, col = np.nonzero(sq <= kth[:, None] + 1e-9 * (1.0 + np.abs(kth[:, None])))
-            d = np.sqrt(((part[row] - base[col]) ** 2).sum(1))
-            hits = pd.DataFrame({"g": queries["g"].to_numpy()[start + row], "id": ids[col], "d": d})
-            out.append(hits.sort_values(["g", "d", "id"]).groupby("g", sort=False).head(keep))
-        return pd.concat(out)
+    def run(batches):
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            others = [n[len("points") :] for n in col if n.startswith("points_")]
+            for i in range(batch.num_rows):
+                names = _list(col["ids"], i, np.int64)
+                queries = _list(col["points"], i, np.float64).reshape(len(names), width)
+                bounds = np.full(len(names), np.inf)
+                if "want" in col:
+                    wanted = col["want"][i].values
+                    at = np.searchsorted(names, wanted.field("g").to_numpy(zero_copy_only=False))
+                    bounds = wanted.field("bound").to_numpy(zero_copy_only=False)
+                    names, queries = names[at], queries[at]
+                ids = np.concatenate([_list(col[f"ids{o}"], i, np.int64) for o in others])
+                base = np.concatenate([_list(col[f"points{o}"], i, np.float64) for o in others]).reshape(len(ids), width)
+                g, hit, d = _best(queries, names, bounds, base, ids, keep)
+                yield pa.record_batch([pa.array(g), pa.array(hit), pa.array(d)], names=["g", "id", "d"])
 
-    return search
+    return run
 
 
-def _top_lists(visits: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """k best (d, id) per query group over the visited corpus blocks.
+def _named(packed: DataFrame, end: str, **keys: str) -> DataFrame:
+    return packed.select(*[F.col(c).alias(n) for n, c in keys.items()], F.col("ids").alias(f"ids{end}"), F.col("points").alias(f"points{end}"))
 
-    ``visits`` is (g, v, cell, block); the query side is itself blocked, so a
-    task sees at most one block of each side.
-    """
-    task = ["cell", "block", "qblock"]
-    sizes = stage(visits.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("_q")), "visit-size")
-    queries = visits.join(sizes, ["cell", "block"]).withColumn("qblock", _block("_q", "g")).drop("_q")
-    blocks = sizes.select("cell", "block", F.explode(_block_numbers("_q")).alias("qblock"))
-    spread = corpus.join(blocks, ["cell", "block"])
-    found = (
-        queries.groupBy(*task)
-        .cogroup(spread.groupBy(*task))
-        .applyInPandas(_block_top(k), "g long, id long, d double")
-    )
-    order = Window.partitionBy("g").orderBy("d", "id")
-    return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
 
+def _top(found: DataFrame, keep: int) -> DataFrame:
+    return first_k(found, ["g"], [F.col("d"), F.col("id")], keep)
 
-@dataclass(frozen=True)
-class Cells:
-    """A vector set cut into cells around pivots, and its search structures."""
 
-    space: DataFrame  # id, v, _h: every row in the search space
-    groups: DataFrame  # g, v, _h: distinct vectors
-    member: DataFrame  # g, v, cell: distinct vectors with their cell
-    corpus: DataFrame  # id, v, cell, block: what has to be searched
-    blocks: DataFrame  # cell, block
-    pivots: np.ndarray
-    reaches: np.ndarray  # farthest member per cell, -1 for none
+def _bounds(found: DataFrame, k: int) -> DataFrame:
+    """(g, bound): distance of the k-th other vector found so far, infinite with fewer."""
+    return _top(found, k + 1).groupBy("g").agg(F.when(F.count(F.lit(1)) > k, F.max("d")).otherwise(F.lit(float("inf"))).alias("bound"))
 
 
-def _cells(vectors: DataFrame, k: int, metric: str, key: str, pivots: int | None, seed: int) -> Cells:
-    """Assign distinct vectors to cells.
+def _ranked(space: Groups, found: DataFrame, k: int, metric: str) -> DataFrame:
+    """Per row of the input its k best, self left out, from the k+1 best distinct vectors of its own.
 
-    Identical vectors are searched once. A group of copies keeps only its k+1
-    lowest ids in the corpus: no query can need more of them, so nothing is
-    lost, and a hot group of copies stays small.
+    A group of copies keeps its k+1 lowest ids: no query can need more of them,
+    so nothing is lost, and a hot group of copies stays small.
     """
-    space = _search_space(vectors, key, metric).withColumn("_h", F.xxhash64("v"))
-    groups = stage(space.groupBy("_h", "v").agg(F.min("id").alias("g")).select("g", "v", "_h"), "knn-groups")
-    n = groups.count()
-    if n == 0:
-        raise ValueError("no vectors to search")
-    m = min(pivots or max(1, math.isqrt(n)), MAX_ENTRIES, n)
-    picked = groups.orderBy(draw(seed, F.col("g")), F.col("g")).limit(m).select("v").collect()
-    centres = Centroids(np.arange(m, dtype=np.int32), np.array([r["v"] for r in picked], dtype=np.float64))
-    placed = stage(assign_codebook(groups, centres, "v", "cell", "radius"), "knn-placed")
-    shape = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("radius").alias("reach"))
-    shape = stage(shape, "knn-cells")
-    member = placed.join(shape.select("cell", "_n"), "cell").withColumn("block", _block("_n", "g"))
-    copies = first_k(space.join(groups.select("_h", "v", "g"), ["_h", "v"]).select("g", "id"), ["g"], [F.col("id")], k + 1)
-    corpus = member.select("g", "v", "cell", "block").join(copies, "g").select("id", "v", "cell", "block")
-    blocks = shape.select("cell", F.explode(_block_numbers("_n")).alias("block"))
-    reaches = np.full(m, -1.0)
-    for r in shape.select("cell", "reach").collect():  # one row per pivot at most
-        reaches[r["cell"]] = r["reach"]
-    return Cells(space, groups, placed.select("g", "v", "cell"), stage(corpus, "knn-corpus"), blocks, centres.matrix, reaches)
-
-
-def _ranked(cells: Cells, found: DataFrame, k: int, metric: str) -> DataFrame:
-    """Per row of the input its k best, self left out, from lists of k+1 per distinct vector."""
-    order = Window.partitionBy("g").orderBy("d", "id")
-    lists = (
-        found.withColumn("_r", F.row_number().over(order))
-        .where(F.col("_r") <= k + 1)
-        .groupBy("g")
-        .agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
-    )
-    rows = cells.space.join(cells.groups.select("_h", "v", "g"), ["_h", "v"]).select("id", "g").join(lists, "g")
+    named = space.space.join(space.groups.select("_h", "v", "g"), ["_h", "v"]).select("id", "g")
+    copies = first_k(named, ["g"], [F.col("id")], k + 1).groupBy("g").agg(F.collect_list("id").alias("_c"))
+    nearest = _top(found, k + 1).join(copies.withColumnRenamed("g", "id"), "id").select("g", "d", F.explode("_c").alias("id"))
+    lists = _top(nearest, k + 1).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("d", "id"))).alias("near"))
     near = F.slice(F.filter("near", lambda s: s["id"] != F.col("id")), 1, k)
-    out = rows.select("id", F.posexplode(near).alias("pos", "s"))
+    out = named.join(lists, "g").select("id", F.posexplode(near).alias("pos", "s"))
     distance = F.col("s.d") if metric == "euclidean" else F.col("s.d") * F.col("s.d") / 2.0
-    return out.select(
-        "id",
-        (F.col("pos") + 1).alias("neighbor_rank"),
-        F.col("s.id").alias("neighbor_id"),
-        distance.alias("distance"),
-    )
+    return out.select("id", (F.col("pos") + 1).alias("neighbor_rank"), F.col("s.id").alias("neighbor_id"), distance.alias("distance"))
+
+
+# --- exact ---
+
+
+def _visits(centres: np.ndarray, reaches: np.ndarray):
+    """Arrow pass: (g, cell, block, other, gap, nth) per cell that may hold something within a query's bound."""
+
+    def run(batches):
+        for batch in batches:
+            height = max(1, BLOCK_CELLS // max(1, len(centres)))
+            for top in range(0, batch.num_rows, height):
+                part = batch.slice(top, height)
+                rows = part.num_rows
+                points = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+                bound = part.column("bound").to_numpy(zero_copy_only=False)
+                half = np.einsum("ij,ij->i", centres, centres) / 2.0
+                square = np.einsum("ij,ij->i", points, points)[:, None] - 2.0 * (points @ centres.T - half)
+                gap = np.maximum(np.sqrt(np.maximum(square, 0.0)) - reaches[None, :], 0.0)
+                own = part.column("cell").to_numpy(zero_copy_only=False)
+                gap[np.arange(rows), own] = 0.0
+                want = (gap <= bound[:, None] + 1e-6 + SLACK * gap) & (reaches[None, :] >= 0)
+                nth = np.empty(gap.shape, np.int32)
+                order = np.where(want, gap, np.inf).argsort(axis=1, kind="stable")
+                np.put_along_axis(nth, order, np.arange(gap.shape[1], dtype=np.int32)[None, :], axis=1)
+                row, other = np.nonzero(want)
+                back = pa.array(row)
+                yield pa.record_batch(
+                    [
+                        part.column("g").take(back),
+                        part.column("cell").take(back),
+                        part.column("block").take(back),
+                        pa.array(other.astype(np.int32)),
+                        pa.array(gap[row, other]),
+                        pa.array(nth[row, other]),
+                    ],
+                    names=["g", "cell", "block", "other", "gap", "nth"],
+                )
+
+    return run
+
+
+def _pairs(visits: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(cell, block, other, other_block, want): pairs of blocks to search and the queries that do, without vectors."""
+    wanted = F.sort_array(F.collect_list(F.struct("g", "bound")))
+    grouped = visits.groupBy("cell", "block", "other").agg(wanted.alias("want"))
+    searched = blocks.select(F.col("cell").alias("other"), F.col("block").alias("other_block"))
+    paired = grouped.join(searched, "other")
+    return paired.where((F.col("cell") != F.col("other")) | (F.col("block") != F.col("other_block")))
 
 
 def knn_exact(
     vectors: DataFrame, k: int = 10, metric: str = "cosine", key: str = "row_id", pivots: int | None = None, seed: int = 7
 ) -> DataFrame:
     """(id, neighbor_rank, neighbor_id, distance): k nearest, self left out, ties by id."""
-    cells = _cells(vectors, k, metric, key, pivots, seed)
-    # own cell first: the k+1 best so far bound the search radius
-    own = cells.member.join(cells.blocks, "cell")
-    first = stage(_top_lists(own, cells.corpus, k + 1), "knn-first")
-    bound = first.groupBy("g").agg(F.when(F.count(F.lit(1)) > k, F.max("d")).alias("bound"))
-    # then the cells whose nearest possible point lies within the bound
-    visits = cells.member.join(bound, "g").mapInPandas(
-        _cells_within_bound(cells.pivots, cells.reaches), "g long, v array<double>, cell int"
+    space = _groups(vectors, key, metric)
+    most = max(1, PIVOT_BYTES // (8 * max(1, space.width)))
+    m = min(pivots or max(1, math.isqrt(space.count)), space.count, most)
+    picked = space.groups.orderBy(draw(seed, F.col("g")), F.col("g")).limit(m).select("v").collect()
+    centres = Centroids(np.arange(m, dtype=np.int32), np.array([r["v"] for r in picked], dtype=np.float64))
+    placed = stage(assign_codebook(space.groups, centres, "v", "cell", "radius"), "knn-placed")
+    shape = stage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("radius").alias("reach")), "knn-cells")
+    reaches = np.full(m, -1.0)
+    for r in shape.select("cell", "reach").collect():  # one row per pivot at most
+        reaches[r["cell"]] = r["reach"]
+    count = F.ceil(F.col("_n") / space.block_rows).cast("int")
+    member = placed.join(shape.select("cell", "_n"), "cell").select("g", "v", "cell", F.pmod(F.xxhash64("g"), count).cast("int").alias("block"))
+    packed = stage(_packed(member, "cell", "block"), "knn-blocks")
+    blocks = stage(packed.select("cell", "block"), "knn-block-names")
+
+    def searched(visits: DataFrame, name: str) -> DataFrame:
+        pairs = _pairs(visits, blocks)
+        both = pairs.join(packed, ["cell", "block"]).join(_named(packed, "_other", other="cell", other_block="block"), ["other", "other_block"])
+        return stage(both.select("want", "ids", "points", "ids_other", "points_other").mapInArrow(_search(k + 1, space.width), HITS), name)
+
+    own = packed.select("ids", "points", F.col("ids").alias("ids_own"), F.col("points").alias("points_own"))
+    found = stage(own.mapInArrow(_search(k + 1, space.width), HITS), "knn-own")
+    bounded = member.join(_bounds(found, k), "g")
+    visits = stage(
+        bounded.mapInArrow(_visits(centres.matrix, reaches), "g long, cell int, block int, other int, gap double, nth int"), "knn-visits"
     )
-    rest = _top_lists(visits.join(cells.blocks, "cell"), cells.corpus, k + 1)
-    return _ranked(cells, first.unionByName(rest), k, metric)
+    for first in (True, False):
+        part = visits.where(F.col("nth") < NEAR_CELLS if first else F.col("nth") >= NEAR_CELLS)
+        part = part.join(_bounds(found, k), "g").where(F.col("gap") <= F.col("bound") + 1e-6 + SLACK * F.col("gap"))
+        found = found.unionByName(searched(part.select("g", "cell", "block", "other", "bound"), "knn-near" if first else "knn-rest"))
+    return _ranked(space, found, k, metric)
 
 
-def knn_approx(
-    vectors: DataFrame,
-    k: int = 10,
-    metric: str = "cosine",
-    key: str = "row_id",
-    probes: int = 8,
-    pivots: int | None = None,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate neighbours: only the ``probes`` cells with the nearest pivots are searched.
+# --- approximate ---
 
-    Cells are locality-sensitive buckets whose number follows the data's
-    density, so a crowded region gets more of them. Work per row is a few
-    blocks; pairs are never emitted, only each block's k best.
-    """
-    cells = _cells(vectors, k, metric, key, pivots, seed)
-    visits = cells.member.mapInPandas(
-        _nearest_cells(cells.pivots, cells.reaches, probes), "g long, v array<double>, cell int"
-    )
-    return _ranked(cells, _top_lists(visits.join(cells.blocks, "cell"), cells.corpus, k + 1), k, metric)
 
+def _codes(planes: np.ndarray, middles: np.ndarray, first: int):
+    """Arrow pass: (t, code, g, v) per table: bits tell on which side of the middle a random projection lies."""
+    tables, bits, width = planes.shape
+    weight = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            points = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            for t in range(tables):
+                code = ((points @ planes[t].T) > middles[t]) @ weight
+                table = pa.array(np.full(batch.num_rows, first + t, np.int32))
+                yield pa.record_batch([table, pa.array(code), batch.column("g"), batch.column("v")], names=["t", "code", "g", "v"])
 
-def _in_parts(batches, cells: int):
-    """Rows in parts whose distances to all cells stay within ``BLOCK_CELLS``."""
-    height = max(1, BLOCK_CELLS // max(1, cells))
-    for pdf in batches:
-        for top in range(0, len(pdf), height):
-            yield pdf.iloc[top : top + height]
+    return run
 
 
-def _to_pivots(pdf: pd.DataFrame, centres: np.ndarray) -> np.ndarray:
-    """Distance of every row to every pivot."""
-    points = np.stack(pdf["v"].to_numpy())
-    half = np.einsum("ij,ij->i", centres, centres) / 2.0
-    gain = points @ centres.T - half
-    return np.sqrt(np.maximum(np.einsum("ij,ij->i", points, points)[:, None] - 2.0 * gain, 0.0))
+def _sampled(space: Groups, k: int, seed: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of sampled queries, as many as ``SAMPLE_BYTES`` hold."""
+    rows = min(size, max(1, SAMPLE_BYTES // (8 * max(1, space.width))))
+    got = space.groups.orderBy(draw(f"recall-{seed}", F.col("g")), F.col("g")).limit(rows).select("g", "v").collect()
+    return np.array([r["g"] for r in got], np.int64), np.array([r["v"] for r in got], np.float64)
 
 
-def _visit_rows(pdf: pd.DataFrame, want: np.ndarray) -> pd.DataFrame:
-    row, col = np.nonzero(want)
-    return pd.DataFrame({"g": pdf["g"].to_numpy()[row], "v": pdf["v"].to_numpy()[row], "cell": col.astype("int32")})
+def _exact_for(space: Groups, names: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(g, id, d): the k+1 nearest of a few queries among all vectors, in one scan."""
+    width = space.width
 
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("g").to_numpy(zero_copy_only=False)
+            base = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), width)
+            g, hit, d = _best(queries, names, np.full(len(names), np.inf), base, ids, k + 1)
+            yield pa.record_batch([pa.array(g), pa.array(hit), pa.array(d)], names=["g", "id", "d"])
 
-def _cells_within_bound(centres: np.ndarray, reaches: np.ndarray):
-    def visit(batches):
-        for pdf in _in_parts(batches, len(centres)):
-            gap = _to_pivots(pdf, centres) - reaches[None, :]
-            bound = pdf["bound"].fillna(np.inf).to_numpy(dtype=float)
-            want = (gap <= bound[:, None] + 1e-6 + SLACK * np.abs(gap)) & (reaches[None, :] >= 0)
-            want[np.arange(len(pdf)), pdf["cell"].to_numpy()] = False
-            yield _visit_rows(pdf, want)
+    return _top(space.groups.select("g", "v").mapInArrow(run, HITS), k + 1)
 
-    return visit
 
+def _table_hits(space: Groups, planes: np.ndarray, middles: np.ndarray, first: int, k: int) -> DataFrame:
+    """Hits of each block among itself and its neighbours in every table's order."""
+    rows = space.groups.select("g", "v").mapInArrow(_codes(planes, middles, first), "t int, code long, g long, v array<double>")
+    dealt = stage(rows.repartitionByRange("t", "code", "g").withColumn("part", F.spark_partition_id()), "knn-order")
+    place = F.row_number().over(Window.partitionBy("part", "t").orderBy("code", "g")) - 1
+    blocked = dealt.withColumn("block", F.floor(place / space.block_rows).cast("int"))
+    packed = _packed(blocked, "part", "t", "block")
+    along = Window.partitionBy("part", "t").orderBy("block")
+    sides = [
+        f(c, 1).over(along).alias(f"{c}_{end}") for end, f in (("before", F.lag), ("after", F.lead)) for c in ("ids", "points")
+    ]
+    met = packed.select("ids", "points", F.col("ids").alias("ids_own"), F.col("points").alias("points_own"), *sides)
+    return met.mapInArrow(_search(k + 1, space.width), HITS)
 
-def _nearest_cells(centres: np.ndarray, reaches: np.ndarray, probes: int):
-    def visit(batches):
-        for pdf in _in_parts(batches, len(centres)):
-            far = np.where(reaches[None, :] >= 0, _to_pivots(pdf, centres), np.inf)
-            first = far.argsort(axis=1, kind="stable")[:, :probes]
-            want = np.zeros(far.shape, bool)
-            np.put_along_axis(want, first, True, axis=1)
-            yield _visit_rows(pdf, want & np.isfinite(far))
 
-    return visit
+@dataclass(frozen=True)
+class Approximate:
+    """Result of the approximate search, with the recall of its sample."""
+
+    neighbors: DataFrame
+    recall: float
+    sampled: int
+    tables: int
+
+
+def knn_approx(
+    vectors: DataFrame,
+    k: int = 10,
+    metric: str = "cosine",
+    key: str = "row_id",
+    recall: float = 0.9,
+    sample: int = 256,
+    step: int = 4,
+    most: int = 64,
+    seed: int = 7,
+) -> Approximate:
+    """Approximate neighbours by random-projection order.
+
+    ``step`` tables at a time are added until sampled queries, searched exactly
+    against all rows, find ``recall`` of their neighbours; more than ``most``
+    tables raise, since then the data has no order to use and ``knn_exact`` is
+    the way. A table costs one range partition of the distinct vectors and
+    three block products per block, whatever the data's density.
+    """
+    space = _groups(vectors, key, metric)
+    names, queries = _sampled(space, k, seed, sample)
+    exact = stage(_exact_for(space, names, queries, k).select("g", "id"), "knn-sample").where(F.col("g") != F.col("id"))
+    pairs = exact.count()
+    rng = np.random.default_rng(seed)
+    # deep enough that a code names less than a block, were the rows spread evenly
+    bits = min(48, 8 + max(1, math.ceil(math.log2(1 + space.count / space.block_rows))))
+    found, tables, reached = None, 0, 0.0
+    while True:
+        planes = rng.normal(size=(step, bits, space.width))
+        middles = np.array([np.median(queries @ p.T, axis=0) for p in planes])
+        hits = _top(_table_hits(space, planes, middles, tables, k).distinct(), k + 1)
+        found = stage(hits if found is None else _top(found.unionByName(hits).distinct(), k + 1), "knn-found")
+        tables += step
+        reached = exact.join(found.select("g", "id"), ["g", "id"]).count() / pairs if pairs else 1.0
+        if reached >= recall:
+            return Approximate(_ranked(space, found, k, metric), reached, len(names), tables)
+        if tables >= most:
+            raise ValueError(f"recall {reached:.3f} after {tables} tables")
 
 
 def with_neighbor_text(neighbors: DataFrame, rosters: DataFrame) -> DataFrame:

@@ -106,13 +106,30 @@ def fit_interactions(
     pairs: DataFrame, a: str = "a", b: str = "b", label: str = "label", reg: float = 1e-3
 ) -> PairModel:
     """Adds the antisymmetric products, still without intercept."""
-    coef = _fit(pairs, pair_features(F.col(a), F.col(b), True), label, reg)
-    # d + d (d - 1) / 2 coefficients
+    return _model(_fit(pairs, pair_features(F.col(a), F.col(b), True), label, reg), True)
+
+
+def _model(coef: Sequence[float], crossed: bool) -> PairModel:
+    """Model of d weights, followed by the d (d - 1) / 2 of the products if ``crossed``."""
+    if not crossed:
+        return PairModel(tuple(float(x) for x in coef))
     size = int((math.isqrt(8 * len(coef) + 1) - 1) // 2)
     gain = np.zeros((size, size))
     gain[np.triu_indices(size, 1)] = coef[size:]
     gain -= gain.T
-    return PairModel(tuple(coef[:size]), tuple(tuple(float(v) for v in row) for row in gain))
+    return PairModel(tuple(float(x) for x in coef[:size]), tuple(tuple(float(v) for v in row) for row in gain))
+
+
+def first_step_model(pairs: DataFrame, a: str = "a", b: str = "b", label: str = "label", crossed: bool = True, rate: float = 4.0) -> PairModel:
+    """The first gradient step of the same regression, from zero weights: one mean over the pairs, no iteration.
+
+    At zero the gradient of the log loss is minus half the mean of the features,
+    signed by the outcome.
+    """
+    sign = F.when(F.col(label) == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+    ready = pairs.select(pair_features(F.col(a), F.col(b), crossed).alias("_x"), sign.alias("_s"))
+    mean = ready.agg(mean_vector(F.transform("_x", lambda x: x * F.col("_s"))).alias("m")).first()["m"]
+    return _model([0.5 * rate * x for x in mean], crossed)
 
 
 def pca_project(fit_on: DataFrame, others: DataFrame, k: int = 3, vec: str = "vec") -> DataFrame:
@@ -301,12 +318,6 @@ def field_rates(vec: Column, field: Field, model: PairModel) -> Column:
     return _mean_rates(field, logits)(as_double(vec))
 
 
-def strength_rates(strength: Column, field: Field) -> Column:
-    """The same for scalar strengths (the field then holds strengths)."""
-    theirs = field.points
-    return _mean_rates(field, lambda mine: mine[:, None] - theirs[None, :])(strength.cast("double"))
-
-
 def expected_winrate(rosters: DataFrame, field: Field, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
     """(key, unit, win_rate): every roster against every unit's sample."""
     rated = rosters.select(key, F.posexplode(field_rates(F.col("embedding"), field, model)).alias("_u", "win_rate"))

@@ -2,22 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldshift.functions.draws import first_k
 from fieldshift.functions.text import UNKNOWN, bare_id, canonical_id
-from fieldshift.functions.vectors import let
-from fieldshift.operators.pairing import Field, strength_rates
-from fieldshift.operators.tokens import TEAM_SIZE, token_rows
+from fieldshift.functions.vectors import as_double, double_array, let
+from fieldshift.operators.pairing import Field, PairModel, field_rates
+from fieldshift.operators.tokens import TEAM_SIZE, attribute_tokens, dimension_lookup
 from fieldshift.session import stage
 
 # How many alternatives of each kind are offered unless the caller says otherwise.
 POOL_SIZE = 150
 OPTION_LIMITS = {"item": 6, "ability": 3, "move": 12}
+#: How many of these are scored once what the roster holds is left out.
+OFFERS = {"member": 120, "item": 6, "ability": 3, "move": 6}
 TOP_OPTIONS = 5
 FULL_MOVES = 4
 WORST = 3
+# A token table up to this size travels with the tasks; a larger one is joined.
+VOCABULARY_BYTES = 64 << 20
+# Rows whose candidates are scored at once.
+POOL_ROWS, OPTION_ROWS = 64, 2048
+# Win rates in single precision lie well within this of the exact ones; what may be among the best is scored again exactly.
+SCREEN = 1e-4
+PER_FAMILY = "array<struct<family:string,base:double,rate:double>>"
 
 
 def member_pool(members: DataFrame, size: int = POOL_SIZE) -> DataFrame:
@@ -75,176 +92,317 @@ def exclude_owned(candidates: DataFrame, members: DataFrame) -> DataFrame:
     return candidates.join(owned, ["roster_id", "species_id"], "left_anti")
 
 
-def roster_strength(tokens: DataFrame, strengths: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, s, n): summed token strength and token count.
+@dataclass(frozen=True)
+class Vocabulary:
+    """Tokens with their vectors, held by the driver."""
+
+    tokens: pa.Array
+    matrix: np.ndarray
+
+    @staticmethod
+    def load(vectors: DataFrame, max_bytes: int = VOCABULARY_BYTES) -> Vocabulary | None:
+        """The table (token, vec), or None if it is larger than ``max_bytes``."""
+        size = F.octet_length("token") + 8 * F.size("vec") + 16
+        if (vectors.agg(F.sum(size)).first()[0] or 0) > max_bytes:
+            return None
+        rows = sorted(vectors.select("token", as_double(F.col("vec")).alias("vec")).collect())
+        return Vocabulary(pa.array([r["token"] for r in rows], pa.string()), np.array([r["vec"] for r in rows], np.float64))
+
+    def summed(self, tokens: Column) -> Column:
+        """Sum of the vectors of a token array; unknown tokens add nothing."""
+        known, matrix = self.tokens, np.vstack([self.matrix, np.zeros((1, self.matrix.shape[1]))])
+        width = matrix.shape[1]
+
+        @F.arrow_udf("array<double>")
+        def sums(column: pa.Array) -> pa.Array:
+            flat = column.flatten()
+            at = pc.fill_null(pc.index_in(flat, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+            out = np.zeros((len(column), width))
+            some = np.flatnonzero(lengths)
+            if len(some):
+                out[some] = np.add.reduceat(matrix[at], (np.cumsum(lengths) - lengths)[some], axis=0)
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, width), pa.int32()), pa.array(out.ravel()))
+
+        return sums(tokens)
+
+
+def vector_sum(vec: str, width: int) -> Column:
+    """Aggregate: element-wise sum of an array column; short arrays are summed as columns, which stay in generated code."""
+    if width <= 32:
+        return F.array(*[F.sum(F.get(vec, F.lit(i))) for i in range(width)])
+    return vector_to_array(Summarizer.sum(array_to_vector(vec)))
+
+
+def with_tokens(members: DataFrame, dimension: DataFrame, stats: Sequence[str]) -> DataFrame:
+    """Members with their attribute tokens in one array."""
+    ready = dimension_lookup(members, dimension, stats)
+    return ready.select(*members.columns, F.transform(attribute_tokens(stats), lambda t: t["token"]).alias("tokens"))
+
+
+def token_sums(members: DataFrame, vectors: DataFrame, held: Vocabulary | None = None) -> DataFrame:
+    """Members (``with_tokens``) with ``s``, the sum of their tokens' vectors, and ``n``, the number of tokens.
 
-    Mean pooling and a linear model make a roster's strength the mean of its
-    tokens' strengths, so adding or swapping a token is an update of two numbers.
+    Mean pooling makes a roster's vector the quotient of the sums over its
+    members, so a changed member or token is an update of one vector and one
+    number. With a vocabulary ``held`` by the driver tokens are looked up inside
+    the member's row; without, they are joined by token.
     """
-    known = tokens.join(strengths, "token", "left")
-    return known.groupBy(*keys).agg(F.sum(F.coalesce("strength", F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("n"))
+    kept = [c for c in members.columns if c != "tokens"]
+    ready = members.withColumn("n", F.size("tokens"))
+    if held is not None:
+        return ready.select(*kept, "n", held.summed(F.col("tokens")).alias("s"))
+    ready = stage(ready, "member-tokens")
+    width = vectors.select(F.size("vec")).first()[0]
+    rows = ready.select("roster_id", "slot", F.explode("tokens").alias("token")).join(vectors.select("token", as_double(F.col("vec")).alias("vec")), "token")
+    sums = rows.groupBy("roster_id", "slot").agg(vector_sum("vec", width).alias("s"))
+    none = F.array_repeat(F.lit(0.0), width)
+    return ready.select(*kept, "n").join(sums, ["roster_id", "slot"], "left").withColumn("s", F.coalesce("s", none))
+
+
+def roster_sums(member_sums: DataFrame, width: int) -> DataFrame:
+    """(roster_id, s, n) over a roster's members."""
+    return member_sums.groupBy("roster_id").agg(vector_sum("s", width).alias("s"), F.sum("n").alias("n"))
+
+
+def pooled(total: Column, count: Column) -> Column:
+    """Mean token vector of a roster."""
+    return F.transform(total, lambda x: x / count)
 
 
 def recommend_completions(
     members: DataFrame,
     dimension: DataFrame,
-    strengths: DataFrame,
+    vectors: DataFrame,
+    frame: DataFrame,
+    model: PairModel,
     field: Field,
     corpus: DataFrame,
-    stats: tuple[str, ...],
+    stats: Sequence[str],
     top: int = TOP_OPTIONS,
     team_size: int = TEAM_SIZE,
     pool_size: int = POOL_SIZE,
     limits: dict[str, int] = OPTION_LIMITS,
+    offers: dict[str, int] = OFFERS,
+    full_moves: int = FULL_MOVES,
+    max_bytes: int = VOCABULARY_BYTES,
 ) -> DataFrame:
     """Best additions to unfinished rosters against their three worst families.
 
     ``members``: rosters to complete, a row per member (roster_id, slot, species,
-    item, ability, nature, moves). ``strengths`` is (token, strength), ``field``
-    holds the sampled opponents' strengths by family, ``corpus`` the
-    members of real rosters the options come from.
-
-    Options are held in arrays next to the roster, so a batch is neither
-    crossed with the pool nor shuffled by candidate. Win probability grows with
-    strength for every opponent, so the best options by mean win rate are the
-    strongest ones; only those get their win rates computed.
+    item, ability, nature, moves). ``vectors`` is (token, vec), ``frame`` the
+    mean and std of pooled vectors (``feature_stats``), ``model`` any pair model
+    on standardised vectors, ``field`` the sampled opponents by family,
+    ``corpus`` the members of real rosters the options come from.
+
+    Every candidate is scored by the model on the re-pooled vector. The logit of
+    a roster x against opponent y is x.(w + G y) - w.y, linear in x, so a
+    roster is projected on its opponents once and a candidate adds its own
+    projection: one Arrow pass, in which a roster's row meets the pool, and a
+    slot's row the options of its species. Rosters are grouped once and neither
+    crossed with the pool nor shuffled by candidate. Returns (roster_id, slot,
+    rank, label, winrate_vs_worst, delta, per_family: family, base, rate); a
+    family is named by the text of its key.
     """
-    base = roster_strength(token_rows(members, dimension, stats), strengths, ["roster_id"])
-    rates = strength_rates(F.col("s") / F.col("n"), field)
-    ranked = F.transform(rates, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    base = base.withColumn("worst", F.slice(F.sort_array(ranked), 1, WORST))
-    base = stage(base.withColumn("base_rate", _mean(F.transform("worst", lambda f: f["w"]))), "completion-base")
-
-    def blank(kind: str) -> Column:
-        """Strength of the token that stands for an empty field."""
-        token = F.col("token") == f"{kind}:{UNKNOWN}"
-        return F.coalesce(strengths.where(token).agg(F.max("strength")).scalar(), F.lit(0.0))
-
-    # a whole further member, from the pool of frequent configurations
-    pool_rows = member_pool(corpus, pool_size).select(
-        "species_id", F.xxhash64("species_id", "item_id", "ability_id", "move_ids").alias("roster_id"),
-        F.lit(1).alias("slot"), "member.*", F.col("n").alias("uses"),
-    )
-    pool_rows = stage(pool_rows, "completion-pool")  # at most POOL_SIZE rows, read twice
-    pool = (
-        roster_strength(token_rows(pool_rows, dimension, stats), strengths, ["roster_id"])
-        .join(pool_rows.select("roster_id", "species_id", "species", "item", "uses"), "roster_id")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        (-F.col("uses")).alias("o"),
-                        "roster_id",
-                        "species_id",
-                        F.concat_ws(" @ ", "species", "item").alias("label"),
-                        "s",
-                        "n",
-                    )
-                )
-            )
-        )
-        .scalar()
-    )
-    shapes = members.groupBy("roster_id").agg(
-        F.count(F.lit(1)).alias("size"), F.collect_set(bare_id(F.col("species"))).alias("owned")
-    )
-    ready = base.join(shapes, "roster_id").where(F.col("size") < team_size).withColumn("_pool", pool)
-    fresh = F.filter("_pool", lambda c: ~F.array_contains(F.col("owned"), c["species_id"]))
-    added = ready.select(
-        "roster_id",
-        F.lit("member").alias("slot"),
-        F.transform(
-            fresh, lambda c: F.struct(((F.col("s") + c["s"]) / (F.col("n") + c["n"])).alias("v"), c["label"].alias("label"))
-        ).alias("options"),
-        "worst",
-        "base_rate",
-    )
+    shape = frame.select("mean", "std").first()
+    mean, std = (np.array(shape[c], np.float64) for c in ("mean", "std"))
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    species_id = bare_id(F.col("species"))
+    have = F.transform("moves", lambda m: bare_id(m))
 
-    # empty item, empty ability, missing move on each member
-    priced = (
-        member_options(corpus, limits)
-        .withColumn("token", F.concat_ws(":", "kind", canonical_id(F.col("value"))))
-        .join(strengths, "token", "left")
-        .withColumn("worth", F.coalesce("strength", F.lit(0.0)))
-        .withColumn("value_id", bare_id(F.col("value")))
-    )
-    by_kind = priced.groupBy("species_id").agg(
-        *[
-            F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.struct("rank", "value", "value_id", "worth")))).alias(
-                f"options_{k}"
-            )
-            for k in limits
-        ]
-    )
-    slots = (
-        members.withColumn("species_id", bare_id(F.col("species")))
-        .join(by_kind, "species_id")
-        .join(base, "roster_id")
-        .withColumn("_no_item", blank("item"))
-        .withColumn("_no_ability", blank("ability"))
-    )
-    total, count = F.col("s"), F.col("n")
-    unused = let(
-        F.transform("moves", lambda m: bare_id(m)),
-        lambda have: F.filter("options_move", lambda o: ~F.array_contains(have, o["value_id"])),
-    )
+    def slot(kind: str, missing: Column, known: Column | None = None) -> Column:
+        where = F.concat_ws(" ", F.lit(f"{kind} on"), "species", F.col("slot").cast("string"))
+        held = F.lit(None).cast("array<string>") if known is None else known
+        return F.when(missing, F.struct(F.lit(kind).alias("kind"), where.alias("slot"), species_id.alias("species_id"), held.alias("have")))
 
-    def option(value: Column, strength: Column) -> Column:
-        return F.struct(strength.alias("v"), value.alias("label"))
-
-    def empty(kind: str) -> Column:
-        return (F.coalesce(kind, F.lit("")) == "")
-
-    kinds = F.array(
-        F.struct(
-            F.concat(F.lit("item on "), F.col("species")).alias("slot"),
-            F.when(
-                empty("item"),
-                F.transform(
-                    "options_item",
-                    lambda o: option(o["value"], (total - F.col("_no_item") + o["worth"]) / count),
-                ),
-            ).alias("options"),
-        ),
-        F.struct(
-            F.concat(F.lit("ability on "), F.col("species")).alias("slot"),
-            F.when(
-                empty("ability"),
-                F.transform(
-                    "options_ability",
-                    lambda o: option(o["value"], (total - F.col("_no_ability") + o["worth"]) / count),
-                ),
-            ).alias("options"),
-        ),
-        F.struct(
-            F.concat(F.lit("move on "), F.col("species")).alias("slot"),
-            F.when(
-                F.size("moves") < FULL_MOVES,
-                F.transform(unused, lambda o: option(o["value"], (total + o["worth"]) / (count + 1))),
-            ).alias("options"),
-        ),
+    gaps = F.array(
+        slot("item", empty(F.col("item"))), slot("ability", empty(F.col("ability"))), slot("move", F.size("moves") < full_moves, have)
     )
-    filled = slots.select("roster_id", F.col("slot").alias("_slot"), F.explode(kinds).alias("_k"), "worst", "base_rate").select(
-        "roster_id", F.concat_ws(" ", F.col("_k.slot"), F.col("_slot")).alias("slot"), "_k.options", "worst", "base_rate"
+    held = Vocabulary.load(vectors, max_bytes)
+    summed = token_sums(with_tokens(members, dimension, stats), vectors, held)
+    rows = summed.select("roster_id", species_id.alias("species_id"), "s", "n", F.filter(gaps, lambda g: g.isNotNull()).alias("gaps"))
+    whole = rows.groupBy("roster_id").agg(
+        vector_sum("s", len(mean)).alias("s"),
+        F.sum("n").alias("n"),
+        F.count(F.lit(1)).alias("size"),
+        F.collect_set("species_id").alias("owned"),
+        F.sort_array(F.flatten(F.collect_list("gaps"))).alias("gaps"),
     )
+    none = F.lit(None).cast("string")
+    further = F.array(F.struct(F.lit("member").alias("kind"), F.lit("member").alias("slot"), none.alias("species_id"), F.lit(None).cast("array<string>").alias("have")))
+    whole = whole.withColumn("gaps", F.when(F.col("size") < team_size, F.concat("gaps", further)).otherwise(F.col("gaps")))
 
-    # rows without options vanish in the explode below
-    best = added.unionByName(filled)
-    ordered = F.slice(
-        F.sort_array(F.transform("options", lambda o: F.struct((-o["v"]).alias("o"), o["label"].alias("label")))), 1, top
-    )
-    rows = best.select("roster_id", "slot", F.posexplode(ordered).alias("pos", "o"), "worst", "base_rate")
-    rows = rows.withColumn("_rates", strength_rates(-F.col("o.o"), field))
-    rate = _mean(F.transform("worst", lambda f: F.get("_rates", f["i"])))
-    return rows.select(
-        "roster_id",
-        "slot",
-        (F.col("pos") + 1).alias("rank"),
-        F.col("o.label").alias("label"),
-        rate.alias("winrate_vs_worst"),
-        (rate - F.col("base_rate")).alias("delta"),
-    )
+    z = F.zip_with(F.zip_with(pooled(F.col("s"), F.col("n")), double_array(mean), lambda x, m: x - m), double_array(std), lambda x, d: x / d)
+    rated = whole.where(F.size("gaps") > 0).withColumn("_r", field_rates(z, field, model))
+    lowest = F.sort_array(F.transform("_r", lambda w, i: F.struct(F.round(w, 12).alias("w"), i.alias("i"))))
+    rated = rated.withColumn("_w", F.slice(lowest, 1, WORST))
+    opened = rated.select(
+        "roster_id", "s", "n", F.transform("_w", lambda x: x["i"]).alias("worst"), F.transform("_w", lambda x: F.get("_r", x["i"])).alias("base"),
+        "owned", F.explode("gaps").alias("g"),
+    ).select("*", F.col("g.kind").alias("kind"), F.col("g.species_id").alias("species_id"))
+    offered = opened.join(_options(corpus, vectors, limits, len(mean)), ["species_id", "kind"], "left")
+    free = F.filter("options", lambda o: F.col("g.have").isNull() | ~F.array_contains("g.have", o["value_id"]))
+    most = F.element_at(F.create_map(*[x for k, v in offers.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+    offered = offered.where((F.col("kind") == "member") | (F.size("options") > 0)).withColumn("options", F.slice(free, F.lit(1), most))
+    ready = offered.select(
+        "roster_id", F.col("g.slot").alias("slot"), "s", "n", "worst", "base", "owned", F.col("kind"),
+        F.transform("options", lambda o: o["label"]).alias("labels"),
+        F.transform("options", lambda o: o["vec"]).alias("vecs"),
+    )
+    pool = _pool(corpus, dimension, vectors, stats, pool_size, held)
+    kind = dict(members.dtypes)["roster_id"]
+    schema = f"roster_id {kind}, slot string, rank int, label string, winrate_vs_worst double, delta double, per_family {PER_FAMILY}"
+    return ready.mapInArrow(_scorer(field, model, mean, std, pool, top, offers["member"]), schema)
+
+
+def _options(corpus: DataFrame, vectors: DataFrame, limits: dict[str, int], width: int) -> DataFrame:
+    """(species_id, kind, options) in rank order: label, value_id and what filling the gap adds to the token sum."""
+    blanks = {f"{k}:{UNKNOWN}" for k in limits if k != "move"}  # a missing move has no token
+    held = {r["token"]: r["vec"] for r in vectors.where(F.col("token").isin(sorted(blanks))).collect()}
+    zero = [0.0] * width
+    less = None
+    for k in limits:
+        vec = double_array(held.get(f"{k}:{UNKNOWN}", zero))
+        less = F.when(F.col("kind") == k, vec) if less is None else less.when(F.col("kind") == k, vec)
+    ranked = member_options(corpus, limits).withColumn("token", F.concat_ws(":", "kind", canonical_id(F.col("value"))))
+    known = ranked.join(vectors.select("token", as_double(F.col("vec")).alias("vec")), "token", "left")
+    change = F.zip_with(F.coalesce("vec", double_array(zero)), less, lambda a, b: a - b)
+    listed = F.sort_array(F.collect_list(F.struct("rank", F.col("value").alias("label"), bare_id(F.col("value")).alias("value_id"), change.alias("vec"))))
+    return stage(known.groupBy("species_id", "kind").agg(listed.alias("options")), "completion-options")
+
+
+@dataclass(frozen=True)
+class _Pool:
+    """Frequent members in order of frequency: at most ``pool_size`` rows."""
+
+    species: list[str]
+    labels: list[str]
+    sums: np.ndarray
+    counts: np.ndarray
+
+
+def _pool(corpus: DataFrame, dimension: DataFrame, vectors: DataFrame, stats: Sequence[str], size: int, held: Vocabulary | None) -> _Pool:
+    key = ["species_id", "item_id", "ability_id", "move_ids"]
+    # configurations are unique, so their hash serves as the row key of the sums
+    rows = member_pool(corpus, size).select(*key, F.xxhash64(*key).alias("roster_id"), F.lit(1).alias("slot"), "member.*", F.col("n").alias("uses"))
+    rows = token_sums(with_tokens(stage(rows, "completion-pool"), dimension, stats), vectors, held)
+    label = F.concat_ws(" @ ", "species", "item")
+    got = rows.orderBy(F.col("uses").desc(), *key).select("species_id", label.alias("label"), "s", "n").collect()
+    return _Pool([r[0] for r in got], [r[1] for r in got], np.array([r[2] for r in got], np.float64), np.array([r[3] for r in got], np.float64))
+
+
+def _scorer(field: Field, model: PairModel, mean: np.ndarray, std: np.ndarray, pool: _Pool, top: int, most: int):
+    """Arrow pass: the ``top`` candidates of every slot with their win rates against the slot's worst families."""
+    weights = np.array(model.weights)
+    turned = weights[:, None] + (0.0 if model.gain is None else np.array(model.gain) @ field.points.T)
+    turned = np.broadcast_to(turned, (len(weights), len(field.points))) / std[:, None]
+    constant = -(field.points @ weights) - mean @ turned
+    blocks = [slice(int(a), int(a + c)) for a, c in zip(field.starts, field.counts)]
+    # the pool in the order of its labels, so that a stable sort by win rate breaks ties by label
+    by_label = np.array(sorted(range(len(pool.labels)), key=lambda i: pool.labels[i]), dtype=int)
+    names, species = np.unique(np.array(pool.species, dtype=object), return_inverse=True) if pool.species else (np.array([], object), np.array([], int))
+    names, pool_labels = pa.array(names, pa.string()), np.array(pool.labels, dtype=object)[by_label]
+    families = pa.array([str(k) for k in field.keys], pa.string())
+    pool_gain = (pool.sums.reshape(len(pool.labels), -1) @ turned if pool.labels else np.zeros((0, turned.shape[1])))[by_label]
+    pool_counts = pool.counts[by_label]
+
+    def numbers(column: pa.Array, rows: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+    turned32, constant32 = turned.astype(np.float32), constant.astype(np.float32)
+    pool_gain32 = pool_gain.astype(np.float32)
+
+    def won(total: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Mean win rate for projected sums (..., opponents), which are overwritten."""
+        total /= size[..., None]
+        total += shift
+        np.exp(np.negative(total, out=total), out=total)
+        total += 1.0
+        return np.reciprocal(total, out=total).mean(axis=-1)
+
+    def exact(row: np.ndarray, gain: np.ndarray, size: np.ndarray, mine: np.ndarray, worst: np.ndarray) -> np.ndarray:
+        """Win rates of candidates (their row, projection and token count) against the row's worst families."""
+        rates = np.empty((len(row), worst.shape[1]))
+        for f in np.unique(worst):
+            held, k = np.nonzero(worst[row] == f)
+            among = blocks[f]
+            rates[held, k] = won(mine[row[held], among] + gain[held, among], size[held], constant[among])
+        return rates
+
+    def ordered(row: np.ndarray, value: np.ndarray, name_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ``top`` candidates of every row and their places, ties by label."""
+        order = np.lexsort((name_rank, -np.round(value, 12), row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        return order[place < top], place[place < top]
+
+    def batch(part: pa.RecordBatch, row, place, labels, worst, base, rates) -> pa.RecordBatch:
+        back, value = pa.array(row), rates.mean(axis=1)
+        fields = [families.take(pa.array(worst[row].ravel())), pa.array(base[row].ravel()), pa.array(rates.ravel())]
+        each = pa.StructArray.from_arrays(fields, ["family", "base", "rate"])
+        ends = pa.array(np.arange(0, rates.size + 1, rates.shape[1]), pa.int32())
+        return pa.record_batch(
+            [
+                part.column("roster_id").take(back), part.column("slot").take(back), pa.array(place + 1, pa.int32()), pa.array(labels, pa.string()),
+                pa.array(value), pa.array(value - base[row].mean(axis=1)), pa.ListArray.from_arrays(ends, each),
+            ],
+            names=["roster_id", "slot", "rank", "label", "winrate_vs_worst", "delta", "per_family"],
+        )
+
+    def members(part: pa.RecordBatch) -> pa.RecordBatch:
+        """The first ``most`` members of the pool whose species the roster lacks.
+
+        All rows meet the whole pool at once in single precision; only what may
+        be among the best is scored exactly.
+        """
+        height, width = part.num_rows, len(pool_labels)
+        count = part.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
+        worst, base = numbers(part.column("worst"), height), numbers(part.column("base"), height)
+        sums = numbers(part.column("s"), height)
+        owned = np.zeros((height, len(names) + 1), bool)
+        sizes = pc.list_value_length(part.column("owned")).to_numpy(zero_copy_only=False)
+        at = pc.fill_null(pc.index_in(part.column("owned").flatten(), value_set=names), len(names)).to_numpy(zero_copy_only=False)
+        owned[np.repeat(np.arange(height), sizes), at] = True
+        fresh = ~owned[:, species]
+        fresh &= np.cumsum(fresh, axis=1) <= most
+        fresh = fresh[:, by_label]
+        size = (count[:, None] + pool_counts[None, :]).astype(np.float32)
+        mine = sums.astype(np.float32) @ turned32
+        rough = np.zeros((height, width), np.float32)
+        for f in np.unique(worst):
+            row = np.flatnonzero((worst == f).any(axis=1))
+            among = blocks[f]
+            rough[row] += won(mine[row, None, among] + pool_gain32[None, :, among], size[row], constant32[among])
+        rough = np.where(fresh, rough / worst.shape[1], -np.inf)
+        least = np.partition(rough, max(0, width - top), axis=1)[:, max(0, width - top)]
+        row, pick = np.nonzero(fresh & (rough >= least[:, None] - 2 * SCREEN))
+        rates = exact(row, pool_gain[pick], count[row] + pool_counts[pick], sums @ turned, worst)
+        best, place = ordered(row, rates.mean(axis=1), pick)
+        return batch(part, row[best], place, pool_labels[pick[best]], worst, base, rates[best])
+
+    def options(part: pa.RecordBatch) -> pa.RecordBatch:
+        height = part.num_rows
+        count = part.column("n").to_numpy(zero_copy_only=False).astype(np.float64)
+        worst, base = numbers(part.column("worst"), height), numbers(part.column("base"), height)
+        mine = numbers(part.column("s"), height) @ turned
+        lengths = pc.list_value_length(part.column("labels")).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(height), lengths)
+        gain = part.column("vecs").flatten().flatten().to_numpy(zero_copy_only=False).reshape(len(row), -1) @ turned
+        moves = np.array(pc.equal(part.column("kind"), "move").to_numpy(zero_copy_only=False), np.float64)
+        size = (count + moves)[row]  # an item or ability takes the place of a blank token
+        labels = np.array(part.column("labels").flatten().to_pylist(), dtype=object)
+        rates = exact(row, gain, size, mine, worst)
+        best, place = ordered(row, rates.mean(axis=1), np.unique(labels, return_inverse=True)[1])
+        return batch(part, row[best], place, labels[best], worst, base, rates[best])
 
+    def run(batches):
+        for whole in batches:
+            adds = pc.equal(whole.column("kind"), "member")
+            for part, score, step in ((whole.filter(adds), members, POOL_ROWS), (whole.filter(pc.invert(adds)), options, OPTION_ROWS)):
+                for start in range(0, part.num_rows, step):
+                    piece = part.slice(start, step)
+                    if score is options and not pc.sum(pc.list_value_length(piece.column("labels"))).as_py():
+                        continue
+                    if score is options or len(pool_labels):
+                        yield score(piece)
 
-def _mean(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / F.size(values)
+    return run

@@ -84,7 +84,8 @@ def test_field_rates_matrix_and_graph(spark):
 
 
 def test_completion_matches_brute_force(spark):
-    """Every addition is re-scored from scratch on a small corpus."""
+    """Every addition is re-pooled and re-scored from scratch by a fitted interaction model, with and without a held vocabulary."""
+    from fieldshift.operators.codebook import feature_stats
     from fieldshift.operators.recommend import recommend_completions
 
     rng = np.random.default_rng(6)
@@ -92,41 +93,88 @@ def test_completion_matches_brute_force(spark):
     rows = []
     for r in range(20):
         for slot, i in enumerate(rng.choice(9, size=6, replace=False)):
-            rows.append((r, slot + 1, names[i], f"it{rng.integers(3)}", "ab", [f"m{k}" for k in rng.choice(6, size=4, replace=False)], "n"))
+            moves = [f"m{k}" for k in rng.choice(8, size=4, replace=False)]
+            rows.append((r, slot + 1, names[i], f"it{rng.integers(3)}", f"ab{rng.integers(2)}", moves, "n"))
     schema = "roster_id long, slot int, species string, item string, ability string, moves array<string>, nature string"
     corpus = spark.createDataFrame(rows, schema)
-    mine = [(100, 1, "s0", "", "ab", ["m0", "m1", "m2", "m3"], "n"), (100, 2, "s1", "it0", "ab", ["m5"], "n")]
+    mine = [(100, 1, "s0", "", "ab0", ["m0", "m1", "m2", "m3"], "n"), (100, 2, "s1", "it0", None, ["m5"], "n")]
+    mine += [(101, i + 1, f"s{i + 2}", "it1", "ab1", ["m0", "m1", "m2", "m7"], "n") for i in range(6)]
     dim = spark.createDataFrame([(n, [], 1) for n in names], "id string, types array<string>, hp int")
-    words = ["base_stat:hp:1", "ability:ab", "nature:n", "item:unknown"] + [f"item:it{i}" for i in range(3)] + [f"move:m{i}" for i in range(6)]
-    s = {w: float(rng.normal()) for w in words}
-    strengths = spark.createDataFrame(list(s.items()), "token string, strength double")
-    opp = spark.createDataFrame([(f"f{i % 4}", float(rng.normal() * 0.3)) for i in range(24)], "family string, strength double")
-    field = pairing.Field.load(opp, "family", "strength")
-    got = recommend_completions(spark.createDataFrame(mine, schema), dim, strengths, field, corpus, ("hp",)).collect()
-
-    def score(team):
+    words = ["base_stat:hp:1", "ability:ab0", "ability:ab1", "nature:n", "item:unknown"] + [f"item:it{i}" for i in range(3)] + [f"move:m{i}" for i in range(8)]
+    vec = {w: rng.normal(size=3) for w in words}
+    vectors = spark.createDataFrame([(w, v.tolist()) for w, v in vec.items()], "token string, vec array<double>")
+
+    def pooled(team):
         toks = []
         for _, _, _, item, ability, moves, nature in team:
-            toks += ["base_stat:hp:1", f"item:{item or 'unknown'}", f"ability:{ability}", f"nature:{nature}"] + [f"move:{m}" for m in moves]
-        return np.mean([s[t] for t in toks])
+            toks += ["base_stat:hp:1", f"item:{item or 'unknown'}", f"ability:{ability or 'unknown'}", f"nature:{nature}"] + [f"move:{m}" for m in moves]
+        return np.sum([vec.get(t, np.zeros(3)) for t in toks], axis=0) / len(toks)
 
+    teams = {}
+    for row in rows:
+        teams.setdefault(row[0], []).append(row)
+    raw = np.array([pooled(t) for t in teams.values()])
+    mean, std = raw.mean(axis=0), raw.std(axis=0)
+    frame = feature_stats(spark.createDataFrame([(v.tolist(),) for v in raw], "embedding array<double>"))
+    z = (raw - mean) / std
+    truth = z @ np.array([0.5, -0.3, 0.2]) + z[:, 0] * z[:, 1]
+    games = [(z[i].tolist(), z[j].tolist(), int(truth[i] + rng.normal() > truth[j])) for i in range(20) for j in range(20) if i != j]
+    model = pairing.fit_interactions(spark.createDataFrame(games, "a array<double>, b array<double>, label int"))
+    w, gain = np.array(model.weights), np.array(model.gain)
+    assert np.abs(gain).max() > 0.01
+    opp = spark.createDataFrame([(f"f{i % 4}", rng.normal(size=3).tolist()) for i in range(24)], "family string, embedding array<double>")
+    field = pairing.Field.load(opp, "family")
     fams = {}
     for r in opp.collect():
-        fams.setdefault(r[0], []).append(r[1])
-    rate = lambda v, f: np.mean([1 / (1 + np.exp(o - v)) for o in fams[f]])
-    base = score(mine)
-    worst = sorted(fams, key=lambda f: rate(base, f))[:3]
-    mean = lambda v: np.mean([rate(v, f) for f in worst])
+        fams.setdefault(r[0], []).append(np.array(r[1]))
+
+    def rate(team, f):
+        x = (pooled(team) - mean) / std
+        return np.mean([1 / (1 + np.exp(-(w @ (x - y) + x @ gain @ y))) for y in fams[f]])
+
+    target = spark.createDataFrame(mine, schema)
+    got = recommend_completions(target, dim, vectors, frame, model, field, corpus, ("hp",)).collect()
+    joined = recommend_completions(target, dim, vectors, frame, model, field, corpus, ("hp",), max_bytes=0).collect()
+    key = lambda r: (r["roster_id"], r["slot"], r["rank"])
+    for one, two in zip(sorted(got, key=key), sorted(joined, key=key), strict=True):
+        assert key(one) == key(two) and one["winrate_vs_worst"] == pytest.approx(two["winrate_vs_worst"], abs=1e-12)
+    team = mine[:2]
+    worst = sorted(fams, key=lambda f: rate(team, f))[:3]
+    mean_rate = lambda t: np.mean([rate(t, f) for f in worst])
+    base = mean_rate(team)
     counts = {}
     for row in rows:
         counts.setdefault((row[2], row[3], row[4], tuple(sorted(row[5]))), []).append(row)
     pool = [v[0] for k, v in sorted(counts.items(), key=lambda kv: (-len(kv[1]), kv[0]))[:150]]
-    options = sorted((mean(score(mine + [m])) for m in pool if m[2] not in ("s0", "s1")), reverse=True)[:5]
+    options = sorted((mean_rate(team + [m]) for m in pool if m[2] not in ("s0", "s1")), reverse=True)[:5]
     added = sorted((r["rank"], r["winrate_vs_worst"]) for r in got if r["slot"] == "member")
     assert [v for _, v in added] == pytest.approx(options, abs=1e-9)
-    items = {r["label"]: r for r in got if r["slot"].startswith("item on s0")}
-    for label, r in items.items():
-        v = mean(score([mine[0][:3] + (label,) + mine[0][4:], mine[1]]))
-        assert r["winrate_vs_worst"] == pytest.approx(v) and r["delta"] == pytest.approx(v - mean(base))
-    moves = {r["label"] for r in got if r["slot"].startswith("move on s1")}
-    assert moves and "m5" not in moves and not any(r["slot"].startswith("move on s0") for r in got)
+    tried = {"item on s0 1": lambda o: [(*mine[0][:3], o, *mine[0][4:]), mine[1]], "ability on s1 2": lambda o: [mine[0], (*mine[1][:4], o, *mine[1][5:])]}
+    tried["move on s1 2"] = lambda o: [mine[0], (*mine[1][:5], mine[1][5] + [o], "n")]
+    for slot, changed in tried.items():
+        held = [r for r in got if r["slot"] == slot]
+        assert held and [r["rank"] for r in sorted(held, key=key)] == list(range(1, len(held) + 1))
+        for r in held:
+            v = mean_rate(changed(r["label"]))
+            assert r["winrate_vs_worst"] == pytest.approx(v, abs=1e-9) and r["delta"] == pytest.approx(v - base, abs=1e-9)
+            assert [x["family"] for x in r["per_family"]] == worst
+            assert [x["rate"] for x in r["per_family"]] == pytest.approx([rate(changed(r["label"]), f) for f in worst], abs=1e-9)
+            assert [x["base"] for x in r["per_family"]] == pytest.approx([rate(team, f) for f in worst], abs=1e-9)
+    assert "m5" not in {r["label"] for r in got if r["slot"] == "move on s1 2"}
+    assert {r["slot"] for r in got} == {"member", *tried} and {r["roster_id"] for r in got} == {100}
+    more = recommend_completions(target, dim, vectors, frame, model, field, corpus, ("hp",), full_moves=5).collect()
+    assert "move on s0 1" in {r["slot"] for r in more}
+
+
+def test_first_step_model_is_the_gradient_at_zero(spark):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(40, 3)), rng.normal(size=(40, 3))
+    y = rng.integers(0, 2, 40)
+    pairs = spark.createDataFrame([(a[i].tolist(), b[i].tolist(), int(y[i])) for i in range(40)], "a array<double>, b array<double>, label int")
+    model = pairing.first_step_model(pairs, rate=2.0)
+    sign = np.where(y == 1, 1.0, -1.0)
+    assert np.allclose(model.weights, (sign[:, None] * (a - b)).mean(axis=0))
+    gain = np.einsum("n,ni,nj->ij", sign, a, b) / 40
+    assert np.allclose(np.array(model.gain), gain - gain.T)
+
+

@@ -77,7 +77,10 @@ def brute(x, k, metric):
 
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_knn_matches_brute_force_with_hot_copies(spark, metric, monkeypatch):
-    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 8 * 8 * 5)  # some eight vectors a block
+    staged = {}
+    keep = neighbors.stage
+    monkeypatch.setattr(neighbors, "stage", lambda df, name: staged.setdefault(name, df.columns) and keep(df, name))
     rng = np.random.default_rng(1)
     x = rng.normal(size=(90, 5))
     x[30:60] = x[0]  # a third of all rows are copies of one vector
@@ -86,6 +89,27 @@ def test_knn_matches_brute_force_with_hot_copies(spark, metric, monkeypatch):
         got.setdefault(r["id"], {})[r["neighbor_rank"]] = r["neighbor_id"]
     want = brute(x, 4, metric)
     assert [[got[i][k] for k in range(1, 5)] for i in range(90)] == want
+    assert staged["knn-visits"] == ["g", "cell", "block", "other", "gap", "nth"]  # ids only, no vector
+
+
+def test_knn_visits_shrink_and_pivots_are_bounded(spark, monkeypatch):
+    """Clustered data: most cells are never visited; a small byte limit for pivots leaves the result as it is."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20, 4))[rng.integers(0, 20, 400)] * 20 + rng.normal(size=(400, 4)) * 0.1
+    visits = {}
+    keep = neighbors.stage
+
+    def counted(df, name):
+        out = keep(df, name)
+        visits[name] = visits.get(name, 0) + (out.count() if name == "knn-visits" else 0)
+        return out
+
+    monkeypatch.setattr(neighbors, "stage", counted)
+    first = sorted(map(tuple, neighbors.knn_exact(frame(spark, x), 3, "euclidean").collect()))
+    assert visits["knn-visits"] < 400 * 20 / 3
+    monkeypatch.setattr(neighbors, "PIVOT_BYTES", 8 * 4 * 3)
+    again = sorted(map(tuple, neighbors.knn_exact(frame(spark, x), 3, "euclidean").collect()))
+    assert [r[:3] for r in first] == [r[:3] for r in again]
 
 
 def test_knn_small_corpus_and_approximate_recall(spark):
@@ -94,10 +118,21 @@ def test_knn_small_corpus_and_approximate_recall(spark):
     assert exact.count() == 200
     few = neighbors.knn_exact(frame(spark, x[:3]), 5, "euclidean")
     assert few.count() == 6
-    near = neighbors.knn_approx(frame(spark, x), 5, "cosine", probes=3)
-    assert neighbors.recall(near, exact).first()["recall"] > 0.6
-    all_ = neighbors.knn_approx(frame(spark, x), 5, "cosine", probes=99)
-    assert neighbors.recall(all_, exact).first()["recall"] == 1.0
+
+
+def test_knn_approx_reaches_its_recall_and_reports_it(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 8 * 9 * 40)  # some forty of 1,200 vectors a block
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))[rng.integers(0, 60, 1200)] + rng.normal(size=(1200, 8)) * 0.3
+    x[:300] = x[0]  # copies are searched once and never crowd a block
+    df = frame(spark, x)
+    out = neighbors.knn_approx(df, 5, "cosine", sample=100)
+    exact = neighbors.knn_exact(df, 5, "cosine")
+    measured = neighbors.recall(out.neighbors, exact).first()["recall"]
+    assert out.recall >= 0.9 and measured >= 0.85 and out.sampled == 100
+    assert out.neighbors.count() == 6000
+    with pytest.raises(ValueError):
+        neighbors.knn_approx(df, 5, "cosine", recall=1.01, step=2, most=2)
 
 
 def test_unit_length_and_simplex(spark):
