@@ -11,11 +11,11 @@ from fieldshift.streaming import weekly
 
 
 def _landing(df, name, files=None):
-    """Write rows as the files of an arriving table and open them as a stream; with ``files``, that many, a batch each."""
+    """Write rows as the files of an arriving table and open them as a stream; with ``files``, that many by period, a batch each."""
     path = fresh_path(df.sparkSession, name)
     reader = df.sparkSession.readStream.schema(df.schema)
     if files:
-        df, reader = df.repartition(files), reader.option("maxFilesPerTrigger", 1)
+        df, reader = df.repartitionByRange(files, "period", F.xxhash64(*df.columns)), reader.option("maxFilesPerTrigger", 1)
     df.write.parquet(path)
     return reader.parquet(path)
 
@@ -42,15 +42,16 @@ def stream_period_counts(spark, sf):
 
 @query(
     "stream_forecast_refresh",
-    "SELECT season, period_ix, anchor, rnd(p_hat) AS p_hat FROM glide WHERE lam = 0.3",
-    "glide",
+    """SELECT season, period_ix, anchor, rnd(p_hat) AS p_hat FROM glide WHERE lam = 0.3
+    AND season IN (SELECT season FROM feats GROUP BY season HAVING count(*) >= 20)""",
+    "glide feats",
 )
 def stream_forecast_refresh(spark, sf):
     frozen = roles.space(spark, sf)
     rows = roles.features(spark, sf, frozen).select("season", "period", "anchor", "weight")
     stream = _landing(rows, "landing-features", files=4)
     state, log = fresh_path(spark, "forecast-state"), fresh_path(spark, "forecast-log")
-    weekly.start_forecast_refresh(stream, state, log, frozen.size).awaitTermination()
+    weekly.start_forecast_refresh(stream, state, log, frozen.size, min_rows=20).awaitTermination()
     out = weekly.current_forecast(spark, state).select("season", "period_ix", "anchor", "p_hat")
     return rounded(out, "p_hat")
 

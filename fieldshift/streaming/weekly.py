@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,75 +54,120 @@ def start_append(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
     )
 
 
-class _Folder:
-    """The state folder, through Spark's own file system access."""
+class _Manifest:
+    """Which batch's files hold for every season, and which held before; one small file beside the state.
+
+    ``{kind: {season: [batch, rows, batch before, rows before]}}`` for the kinds
+    ``sums`` and ``forecast``: as large as the calendar.
+    """
 
     def __init__(self, spark: SparkSession, state: str):
         self.state, self.jvm = state, spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self._path().getFileSystem(conf)
+        self.fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
         return self.jvm.org.apache.hadoop.fs.Path("/".join([self.state, *parts]))
 
-    def point(self, batch_id: int) -> None:
-        """Name the batch in force: written aside, then moved into place."""
+    def save(self, held: dict) -> None:
+        """Written aside, then moved into place."""
         aside, place = self._path("CURRENT.next"), self._path("CURRENT")
         out = self.fs.create(aside, True)
-        out.writeUTF(str(batch_id))
+        out.write(bytearray(json.dumps(held).encode()))
         out.close()
         self.fs.delete(place, False)
         self.fs.rename(aside, place)
 
-    def current(self) -> int | None:
+    def load(self) -> dict:
         for name in ("CURRENT", "CURRENT.next"):  # the second only if the move was cut short
             if self.fs.exists(self._path(name)):
                 source = self.fs.open(self._path(name))
-                text = source.readUTF()
+                text = self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
                 source.close()
-                return int(text)
-        return None
+                return json.loads(text)
+        return {"sums": {}, "forecast": {}}
 
-    def keep(self, kind: str, batches: set) -> None:
-        if not self.fs.exists(self._path(kind)):
-            return
-        for status in self.fs.listStatus(self._path(kind)):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and int(name[6:]) not in batches:
-                self.fs.delete(status.getPath(), True)
+    def prune(self, kind: str, seasons: dict) -> None:
+        """Delete files of these seasons that are neither in force nor the ones before."""
+        for folder in self.fs.listStatus(self._path(kind)) if self.fs.exists(self._path(kind)) else []:
+            season = self.jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(folder.getPath().getName())[len("season=") :]
+            if season not in seasons:
+                continue
+            for status in self.fs.listStatus(folder.getPath()):
+                name = status.getPath().getName()
+                if name.startswith("batch=") and int(name[6:]) not in (seasons[season][0], seasons[season][2]):
+                    self.fs.delete(status.getPath(), True)
 
 
-def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows: int = MIN_ROWS) -> Callable[[DataFrame, int], None]:
-    """foreachBatch step: add the batch to the period sums, then forecast anew.
+def _versions(spark: SparkSession, path: str, schema: str, batches: dict[str, int]) -> DataFrame:
+    """Rows of these seasons' files of these batches; other files are not read."""
+    wanted = F.lit(False)
+    for season, batch in batches.items():
+        wanted = wanted | ((F.col("season") == season) & (F.col("batch") == batch))
+    table = spark.read.schema(f"{schema}, batch int").parquet(path)
+    return table.where(wanted).drop("batch")
+
+
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    """A file set per season and batch; those of other seasons and batches stay as they are."""
+    ready = df.withColumn("batch", F.lit(batch_id)).repartition("season")
+    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "batch").parquet(path)
+
 
-    Snapshot b is snapshot b-1 plus batch b, in a folder of its own: a replayed
-    batch overwrites itself, nothing is counted twice, and a step reads one
-    snapshot however many batches went before. ``CURRENT`` names the batch whose
-    forecast holds; snapshots older than the last two are deleted. With fewer than ``min_rows`` rows
-    so far no forecast is written and the previous one stays.
+def _moved(entry: list | None, batch_id: int, rows: int) -> list:
+    """Manifest entry of a season after a batch; a replayed batch takes the place of itself."""
+    before = _base(entry, batch_id)
+    return [batch_id, rows, before[0], before[1]] if before else [batch_id, rows, None, 0]
+
+
+def _base(entry: list | None, batch_id: int) -> list | None:
+    """(batch, rows) a season had before a batch."""
+    for at in (0, 2):
+        if entry and entry[at] is not None and entry[at] < batch_id:
+            return entry[at : at + 2]
+    return None
+
+
+def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows: int = MIN_ROWS) -> Callable[[DataFrame, int], None]:
+    """foreachBatch step: add the batch to the sums of the seasons it touches, and forecast these anew.
+
+    Sums and forecasts lie in a folder per season and batch. A step reads and
+    writes the touched seasons only; version b of a season is its version before
+    b plus batch b, so a replayed batch overwrites itself and nothing is counted
+    twice. The manifest names the versions in force and is replaced last. Of a
+    touched season the versions in force and before stay. A season with fewer than
+    ``min_rows`` rows so far has no forecast. Batch 0 starts anew: a new stream
+    over an old folder inherits nothing. Rows without a season are left out.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = ["season", "period", "anchor"]
-        sums = batch.groupBy(*key).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-        if batch_id > 0:
-            before = spark.read.schema(SUMS).parquet(f"{state}/sums/batch={batch_id - 1}")
+        arrived_path = f"{state}/arrived"
+        arrived = batch.where(F.col("season").isNotNull()).groupBy(*key).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
+        arrived.write.mode("overwrite").parquet(arrived_path)
+        arrived = spark.read.schema(SUMS).parquet(arrived_path)
+        touched = {r["season"]: r["n"] for r in arrived.groupBy("season").agg(F.sum("n").alias("n")).collect()}
+        files = _Manifest(spark, state)
+        held = files.load() if batch_id > 0 else {"sums": {}, "forecast": {}}
+        bases = {s: b for s in touched if (b := _base(held["sums"].get(s), batch_id))}
+        sums = arrived
+        if bases:
+            before = _versions(spark, f"{state}/sums", SUMS, {s: b[0] for s, b in bases.items()})
             sums = sums.unionByName(before).groupBy(*key).agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
-        snapshot = f"{state}/sums/batch={batch_id}"
-        sums.write.mode("overwrite").parquet(snapshot)
-        sums = spark.read.schema(SUMS).parquet(snapshot)
-        files = _Folder(spark, state)
-        files.keep("sums", {batch_id, batch_id - 1})
-        if (sums.agg(F.sum("n")).first()[0] or 0) < min_rows:
-            return
-        forecast = fc_glide(weekly_anchor_matrix(sums, anchors), [lam])
-        forecast.select("season", "period_ix", "anchor", "p", "p_hat").write.mode("overwrite").parquet(
-            f"{state}/forecast/batch={batch_id}"
-        )
-        before = files.current()
-        files.point(batch_id)
-        files.keep("forecast", {batch_id, before})
+        if touched:
+            _write(sums, f"{state}/sums", batch_id)
+        for season, n in touched.items():
+            rows = n + (bases[season][1] if season in bases else 0)
+            held["sums"][season] = _moved(held["sums"].get(season), batch_id, rows)
+        ready = {s: batch_id for s in touched if held["sums"][s][1] >= min_rows}
+        if ready:
+            matrix = weekly_anchor_matrix(_versions(spark, f"{state}/sums", SUMS, ready), anchors)
+            _write(fc_glide(matrix, [lam]).select("season", "period_ix", "anchor", "p", "p_hat"), f"{state}/forecast", batch_id)
+            for season in ready:
+                held["forecast"][season] = _moved(held["forecast"].get(season), batch_id, held["sums"][season][1])
+        files.save(held)
+        files.prune("sums", {s: held["sums"][s] for s in touched})
+        files.prune("forecast", {s: held["forecast"][s] for s in ready})
 
     return step
 
@@ -142,8 +188,8 @@ def start_forecast_refresh(
 
 
 def current_forecast(spark: SparkSession, state: str) -> DataFrame:
-    """The forecast in force; without one yet, no rows."""
-    batch = _Folder(spark, state).current()
-    if batch is None:
+    """The forecasts in force; without one yet, no rows."""
+    held = _Manifest(spark, state).load()["forecast"]
+    if not held:
         return spark.createDataFrame([], FORECAST)
-    return spark.read.schema(FORECAST).parquet(f"{state}/forecast/batch={batch}")
+    return _versions(spark, f"{state}/forecast", FORECAST, {s: v[0] for s, v in held.items()})

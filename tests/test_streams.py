@@ -87,16 +87,34 @@ def test_dedupe_keeps_one_row_per_key_across_batches(spark):
     assert sorted(r[0] for r in spark.read.parquet(out).select("roster_hash").collect()) == ["a", "b", "c"]
 
 
-def test_forecast_pointer(spark, tmp_path):
+def test_only_touched_seasons_change(spark, tmp_path):
     state = f"file://{tmp_path}/state"
     assert weekly.current_forecast(spark, state).count() == 0
-    rows = spark.createDataFrame([("s", f"2020-W{w:02d}", a, 1.0) for w in range(1, 5) for a in range(4)], "season string, period string, anchor int, weight double")
-    step = weekly.refresh_step(state, 4, min_rows=1)
-    for batch in range(4):
-        step(rows, batch)
-    folder = tmp_path / "state"
-    assert sorted(p.name for p in (folder / "sums").iterdir()) == ["batch=2", "batch=3"]
-    assert sorted(p.name for p in (folder / "forecast").iterdir()) == ["batch=2", "batch=3"]
-    # a new stream over the old folder: its first batch is in force, not the highest number
-    step(rows.where("anchor < 2"), 0)
-    assert weekly.current_forecast(spark, state).where("anchor = 3 and period_ix = 0").first()["p"] < 0.2
+
+    def rows(season, weight=1.0):
+        return [(season, f"2020-W{w:02d}", a, weight) for w in range(1, 5) for a in range(4)]
+
+    def files(kind, season):
+        return {p: (p.stat().st_mtime_ns, p.stat().st_size) for p in (tmp_path / "state" / kind / f"season={season}").rglob("*.parquet")}
+
+    step = weekly.refresh_step(state, 4, min_rows=17)
+    step(spark.createDataFrame(rows("a") * 2 + rows("b:1") * 2 + [(None, "2020-W01", 1, 9.0)], FEATURES), 0)
+    step(spark.createDataFrame(rows("c"), FEATURES), 1)  # too few rows for a forecast
+    before = {(k, s): files(k, s) for k in ("sums", "forecast") for s in ("a", "b%3A1", "c")}
+    assert before["forecast", "a"] and before["sums", "c"] and not before["forecast", "c"]
+    changed = [("a", "2020-W05", 2, 7.0)]
+    for batch in (2, 2):  # once more as a replay
+        step(spark.createDataFrame(changed, FEATURES), batch)
+        for kind in ("sums", "forecast"):
+            assert files(kind, "b%3A1") == before[kind, "b%3A1"] and files(kind, "c") == before[kind, "c"]
+            assert set(files(kind, "a")) > set(before[kind, "a"])  # the version before stays
+    step(spark.createDataFrame(rows("c"), FEATURES), 3)
+    step(spark.createDataFrame(changed, FEATURES), 4)
+    assert sorted(p.name for p in (tmp_path / "state" / "sums" / "season=a").iterdir()) == ["batch=2", "batch=4"]
+    whole = spark.createDataFrame(rows("a") * 2 + rows("b:1") * 2 + rows("c") * 2 + changed * 2, FEATURES)
+    want = forecast.fc_glide(dists.weekly_anchor_matrix(whole, 4), [0.3]).select("season", "period_ix", "anchor", "p_hat")
+    near = lambda df: {(r[0], r[1], r[2]): round(r[3], 12) for r in df.collect()}
+    assert near(weekly.current_forecast(spark, state).select("season", "period_ix", "anchor", "p_hat")) == near(want)
+    # a new stream over the old folder starts anew
+    step(spark.createDataFrame(rows("c") * 2, FEATURES), 0)
+    assert {r[0] for r in weekly.current_forecast(spark, state).select("season").distinct().collect()} == {"c"}
