@@ -13,10 +13,8 @@ from pyspark.sql import functions as F
 
 from fieldshift.session import stage
 
-# row_number() <= k is cut inside each map task up to this k by Spark itself
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-MAP_SIDE_LIMIT = 1000
-SALTS = 64
+# Hex digits of a draw that a threshold is found on: 65,536 bins a group.
+BIN_DIGITS = 4
 
 
 def draw(seed: int | str, *cols: Column) -> Column:
@@ -28,34 +26,35 @@ def uniform(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def first_k(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    k: int,
-    rank: str | None = None,
-    salt_by: Column | None = None,
-) -> DataFrame:
-    """First k rows of each group.
-
-    Up to ``MAP_SIDE_LIMIT`` Spark cuts each group inside the map tasks. Beyond
-    it pass ``salt_by`` (a row key): groups are cut per salt first, so the last
-    window never sees more than ``SALTS * k`` rows of one group.
-    """
+def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str | None = None) -> DataFrame:
+    """First k rows of each group, for small k: Spark cuts each group to k rows inside the map tasks."""
     out = rank or "_rank"
-    if k > MAP_SIDE_LIMIT and salt_by is not None:
-        local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
-            .withColumn("_local", F.row_number().over(local))
-            .where(F.col("_local") <= k)
-            .drop("_salt", "_local")
-        )
     df = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     df = df.where(F.col(out) <= k)
     return df if rank else df.drop(out)
 
 
+def lowest_draws(df: DataFrame, keys: Sequence[str], drawn: Column, tie: str, k: int) -> DataFrame:
+    """The k rows of each group with the smallest draws, ties by the row key ``tie``, for any k.
+
+    A first scan counts rows by the leading digits of their draws, added up
+    before the shuffle; the bin in which a group reaches k rows is its threshold.
+    A second scan keeps rows up to it, so only k rows and what shares the last
+    bin are sorted, never the group. A group with fewer rows is kept whole.
+    """
+    ready = df.withColumn("_d", drawn).withColumn("_b", F.substring("_d", 1, BIN_DIGITS))
+    names = {c: f"_k{i}" for i, c in enumerate(keys)}
+    counts = ready.groupBy(*[F.col(c).alias(n) for c, n in names.items()], "_b").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.partitionBy(*names.values()).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).where(F.col("_below") < k)
+    ends = stage(reached.groupBy(*names.values()).agg(F.max("_b").alias("_end")), "draw-threshold")  # a row per group
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    near = ready.join(ends, same).where(F.col("_b") <= F.col("_end")).select(*df.columns, "_d")
+    return first_k(near, keys, [F.col("_d"), F.col(tie)], k).drop("_d")
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],

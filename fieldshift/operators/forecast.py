@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldshift.functions.draws import draw, first_k
+from fieldshift.functions.draws import draw, lowest_draws
 
 # The candidate grid.
 LEVEL_Q = (0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0)
@@ -254,8 +254,7 @@ def ensemble_uncertainty(
     from fieldshift.operators.dists import unit_distribution
 
     copies = recent.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    order = [F.md5(F.concat_ws("|", F.col(key).cast("string"), F.col("replicate").cast("string"), F.lit(str(seed)))), F.col(key)]
-    drawn = first_k(copies, ["season", "replicate", "period_ix"], order, per_period, salt_by=F.col(key))
+    drawn = lowest_draws(copies, ["season", "replicate", "period_ix"], draw(seed, F.col(key), F.col("replicate")), key, per_period)
     dist = fc_decayed_persistence(drawn, size, decay, smoothing, keys=("season", "replicate"))
     shares = unit_distribution(dist, mapping, ("season", "replicate"))
     return shares.groupBy("season", "unit").agg(

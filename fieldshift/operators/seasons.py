@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldshift.functions.draws import draw, first_k
+from fieldshift.functions.draws import draw, first_k, lowest_draws
 from fieldshift.functions.text import mentions_any
 from fieldshift.session import stage
 
@@ -98,14 +98,12 @@ def recent_slice(
     )
     if not per_period:
         return recent
-    order = [draw(seed, F.col(key)), F.col(key)]
-    return first_k(recent, [*keys, "period_ix"], order, per_period, salt_by=F.col(key))
+    return lowest_draws(recent, [*keys, "period_ix"], draw(seed, F.col(key)), key, per_period)
 
 
 def balanced_sample(rows: DataFrame, per_season: int = 3500, seed: int = 7, key: str = "row_id") -> DataFrame:
     """At most k seeded rows per season."""
-    order = [draw(seed, F.col(key)), F.col(key)]
-    return first_k(rows, ["season"], order, per_season, salt_by=F.col(key))
+    return lowest_draws(rows, ["season"], draw(seed, F.col(key)), key, per_season)
 
 
 def balance_seasons(rows: DataFrame, mode: str = "equal") -> DataFrame:

@@ -141,3 +141,23 @@ def test_balance_modes(spark):
     assert total["sqrt"]["b"] / total["sqrt"]["a"] == pytest.approx(2.0)
     assert total["none"] == {"a": 3.0, "b": 12.0}
     assert math.isclose(sum(total["sqrt"].values()), 15.0)
+
+
+def test_lowest_draws_cuts_before_it_sorts(spark):
+    """Same rows as a full ranking, null groups included; only rows up to the threshold reach the window."""
+    from pyspark.sql import Window
+
+    from fieldshift.functions.draws import draw, lowest_draws
+
+    rows = spark.range(3000).selectExpr("id AS row_id", "CASE WHEN id % 7 = 0 THEN NULL WHEN id % 3 = 0 THEN 'a' ELSE 'b' END AS season")
+    few = spark.createDataFrame([(9000, "c")], "row_id long, season string")
+    df = rows.union(few)
+    for k in (1, 40, 5000):
+        ranked = df.withColumn("r", F.row_number().over(Window.partitionBy("season").orderBy(draw(3, F.col("row_id")), "row_id")))
+        want = {tuple(r) for r in ranked.where(F.col("r") <= k).select("row_id", "season").collect()}
+        got = lowest_draws(df, ["season"], draw(3, F.col("row_id")), "row_id", k)
+        assert got.columns == ["row_id", "season"]
+        assert {tuple(r) for r in got.collect()} == want
+    # copies of one row are all kept apart by nothing but their place
+    copies = lowest_draws(df.where("row_id = 1").unionAll(df.where("row_id = 1")), ["season"], draw(3, F.col("row_id")), "row_id", 1)
+    assert copies.count() == 1
