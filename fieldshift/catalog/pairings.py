@@ -100,8 +100,8 @@ def weighted_winrate(spark, sf):
     frozen = roles.space(spark, sf)
     model = roles.mean_difference_model(spark, sf, frozen)
     field = pairing.Field.load(_samples(spark, sf, frozen))
-    weights = pairing.share_weights(_shares(spark, sf), field)
-    return rounded(pairing.weighted_winrate(roles.roster_vectors(spark, sf, frozen), field, weights, model), "win_rate")
+    out = pairing.weighted_rates(roles.roster_vectors(spark, sf, frozen), field, _shares(spark, sf), {"win_rate": "share"}, model)
+    return rounded(out, "win_rate")
 
 
 MATRIX = SAMPLES + """, mx AS (SELECT a.unit AS unit_a, b.unit AS unit_b, CASE WHEN a.unit = b.unit THEN 0.5 ELSE avg(1 / (1 + exp(b.s - a.s))) END AS w

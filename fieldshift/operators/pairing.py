@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,7 +22,12 @@ from fieldshift.session import stage
 
 SAMPLE_PER_UNIT = 25
 EDGE_THRESHOLD = 0.53
-MAX_FIELD = 65_536
+# A field of up to so many bytes is held by the driver; a larger one is a table of blocks.
+FIELD_BYTES = 32 << 20
+# Logits formed at once.
+FIELD_CELLS = 1 << 20
+# Bytes of a block of rosters and of a block of opponents that meet in one row.
+ROSTER_BLOCK, OPPONENT_BLOCK = 256 << 10, 1 << 20
 
 
 # --- models ---
@@ -248,7 +254,7 @@ def unit_samples(rows: DataFrame, unit: str = "unit", k: int = SAMPLE_PER_UNIT,
 
 @dataclass(frozen=True)
 class Field:
-    """Sampled opponents by unit: a model-sized table, loaded once and checked."""
+    """Sampled opponents by unit, held by the driver."""
 
     keys: tuple
     starts: np.ndarray
@@ -256,20 +262,23 @@ class Field:
     points: np.ndarray
 
     @staticmethod
-    def load(samples: DataFrame, unit: str = "unit", value: str = "embedding", max_rows: int = MAX_FIELD) -> Field:
-        rows = samples.select(F.col(unit).alias("u"), F.col(value).alias("v")).limit(max_rows + 1).collect()
-        if not rows:
+    def load(samples: DataFrame, unit: str = "unit", value: str = "embedding", max_bytes: int | None = None) -> Field | FieldTable:
+        """The field of the samples; beyond ``max_bytes`` as a table that no one holds whole."""
+        limit = FIELD_BYTES if max_bytes is None else max_bytes
+        samples = samples.select(F.col(unit).alias("u"), as_double(F.col(value)).alias("v"))
+        size = samples.agg(F.count(F.lit(1)).alias("n"), F.sum(8 * F.size("v") + 32).alias("b")).first()
+        if not size["n"]:
             raise ValueError("no sampled opponents")
-        if len(rows) > max_rows:
-            raise ValueError(f"more than {max_rows} sampled opponents; sample fewer per unit")
-        rows.sort(key=lambda r: (r["u"], r["v"]))
+        if size["b"] > limit:
+            return FieldTable.packed(samples)
+        rows = sorted(((r["u"], r["v"]) for r in samples.collect()))
         keys, counts = [], []
-        for r in rows:
-            if not keys or keys[-1] != r["u"]:
-                keys.append(r["u"])
+        for u, _ in rows:
+            if not keys or keys[-1] != u:
+                keys.append(u)
                 counts.append(0)
             counts[-1] += 1
-        points = np.array([r["v"] for r in rows], dtype=np.float64)
+        points = np.array([v for _, v in rows], dtype=np.float64)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
         return Field(tuple(keys), starts, np.array(counts), points)
 
@@ -277,11 +286,106 @@ class Field:
         return F.get(F.array(*[F.lit(k) for k in self.keys]), position)
 
 
+@dataclass(frozen=True)
+class FieldTable:
+    """A field of any size: rows of blocks (block, units, counts, points), opponents of one unit side by side."""
+
+    blocks: DataFrame
+    numbers: tuple[int, ...]
+    unit_type: str
+
+    @staticmethod
+    def packed(samples: DataFrame) -> FieldTable:
+        """``samples`` (u, v), range-partitioned by unit and cut into blocks of ``OPPONENT_BLOCK`` bytes."""
+        kind = dict(samples.dtypes)["u"]
+        dealt = samples.repartitionByRange("u", F.xxhash64("v")).sortWithinPartitions("u", "v")
+
+        def run(batches):
+            for batch in batches:
+                width = _width(batch.column("v"))
+                step = max(1, OPPONENT_BLOCK // (8 * width))
+                for top in range(0, batch.num_rows, step):
+                    part = batch.slice(top, step)
+                    runs = pc.run_end_encode(part.column("u"))
+                    ends = runs.run_ends.to_numpy(zero_copy_only=False)
+                    counts = pa.array(np.diff(np.r_[0, ends]), pa.int64())
+                    yield pa.record_batch(
+                        [_one(runs.values), _one(counts), _one(part.column("v").flatten())], names=["units", "counts", "points"]
+                    )
+
+        rows = dealt.mapInArrow(run, f"units array<{kind}>, counts array<bigint>, points array<double>")
+        blocks = stage(rows.withColumn("block", F.monotonically_increasing_id()), "field-blocks")
+        return FieldTable(blocks, tuple(r["block"] for r in blocks.select("block").collect()), kind)
+
+
+def _width(vectors: pa.Array) -> int:
+    return max(1, len(vectors.flatten()) // max(1, len(vectors)))
+
+
+def _one(values: pa.Array) -> pa.Array:
+    """A list array of one row that holds all values."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _table_rates(rosters: DataFrame, field: FieldTable, model: PairModel, unit: str, key: str) -> DataFrame:
+    """(key, unit, win_rate) against a field table by partial sums.
+
+    Rosters are packed into blocks where they lie; each block meets each block
+    of opponents, dealt over salts so that a task holds one pair at a time, and
+    leaves a sum per (roster, unit), which are then added up. Work is rosters x
+    opponents, as the result asks; no row of either side is paired on its own.
+    """
+    weights = np.array(model.weights)
+    gain = None if model.gain is None else np.array(model.gain)
+    slim = rosters.select(F.col(key).alias("k"), as_double(F.col("embedding")).alias("v"))
+    kind = slim.schema["k"].dataType.simpleString()
+
+    def pack(batches):
+        for batch in batches:
+            step = max(1, ROSTER_BLOCK // (8 * _width(batch.column("v"))))
+            for top in range(0, batch.num_rows, step):
+                part = batch.slice(top, step)
+                yield pa.record_batch([_one(part.column("k")), _one(part.column("v").flatten())], names=["ks", "mine"])
+
+    # as many (block, salt) tasks as shuffles have: a block of opponents is copied no further
+    salts = -(-int(rosters.sparkSession.conf.get("spark.sql.shuffle.partitions")) // len(field.numbers))
+    packed = slim.mapInArrow(pack, f"ks array<{kind}>, mine array<double>")
+    packed = packed.withColumn("salt", (F.monotonically_increasing_id() % salts).cast("int"))
+    packed = packed.withColumn("block", F.explode(F.array(*[F.lit(b) for b in field.numbers])))
+    opponents = field.blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+    def score(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys, units = batch.column("ks")[i].values, batch.column("units")[i].values
+                counts = batch.column("counts")[i].values.to_numpy(zero_copy_only=False)
+                mine = batch.column("mine")[i].values.to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+                theirs = batch.column("points")[i].values.to_numpy(zero_copy_only=False).reshape(int(counts.sum()), -1)
+                turned = mine @ gain if gain is not None else None
+                starts, sums = np.cumsum(counts) - counts, np.empty((len(keys), len(counts)))
+                step = max(1, FIELD_CELLS // len(theirs))
+                for top in range(0, len(keys), step):
+                    rows = slice(top, top + step)
+                    logit = (mine[rows] @ weights)[:, None] - (theirs @ weights)[None, :]
+                    if turned is not None:
+                        logit = logit + turned[rows] @ theirs.T
+                    sums[rows] = np.add.reduceat(1.0 / (1.0 + np.exp(-logit)), starts, axis=1)
+                row, col = np.divmod(np.arange(sums.size), len(counts))
+                yield pa.record_batch(
+                    [keys.take(pa.array(row)), units.take(pa.array(col)), pa.array(sums.ravel()), pa.array(counts[col])], names=["k", "u", "s", "n"]
+                )
+
+    met = packed.join(opponents, ["block", "salt"]).select("ks", "mine", "units", "counts", "points")
+    sums = met.mapInArrow(score, f"k {kind}, u {field.unit_type}, s double, n bigint")
+    rates = sums.groupBy("k", "u").agg((F.sum("s") / F.sum("n")).alias("win_rate"))
+    return rates.select(F.col("k").alias(key), F.col("u").alias(unit), "win_rate")
+
+
 def _mean_rates(field: Field, logits) -> Column:
     """Arrow function: array column of mean win probabilities, one per unit of the field."""
     starts, counts = field.starts, field.counts
     width, units = int(counts.sum()), len(counts)
-    step = max(1, 4_000_000 // width)
+    step = max(1, FIELD_CELLS // width)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def rates(column: pa.Array) -> pa.Array:
@@ -318,8 +422,12 @@ def field_rates(vec: Column, field: Field, model: PairModel) -> Column:
     return _mean_rates(field, logits)(as_double(vec))
 
 
-def expected_winrate(rosters: DataFrame, field: Field, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
+def expected_winrate(
+    rosters: DataFrame, field: Field | FieldTable, model: PairModel, unit: str = "unit", key: str = "roster_id"
+) -> DataFrame:
     """(key, unit, win_rate): every roster against every unit's sample."""
+    if isinstance(field, FieldTable):
+        return _table_rates(rosters, field, model, unit, key)
     rated = rosters.select(key, F.posexplode(field_rates(F.col("embedding"), field, model)).alias("_u", "win_rate"))
     return rated.select(key, field.key_at(F.col("_u")).alias(unit), "win_rate")
 
@@ -333,16 +441,35 @@ def share_weights(shares: DataFrame, field: Field, unit: str = "unit", column: s
     return [x / whole for x in raw]
 
 
-def weighted_winrate(rosters: DataFrame, field: Field, weights: Sequence[float], model: PairModel, key: str = "roster_id") -> DataFrame:
-    """Win rate against the whole field, each unit weighted; one pass over the rosters, no shuffle."""
-    rates = field_rates(F.col("embedding"), field, model)
-    return rosters.select(key, rates.alias("_r")).select(key, dot(F.col("_r"), double_array(weights)).alias("win_rate"))
+def weighted_rates(
+    rosters: DataFrame,
+    field: Field | FieldTable,
+    shares: DataFrame,
+    columns: dict[str, str],
+    model: PairModel,
+    unit: str = "unit",
+    key: str = "roster_id",
+) -> DataFrame:
+    """(key, one column per entry of ``columns``): win rate against the whole field, units weighted by a share column.
+
+    Shares are scaled to sum to one over the field's units. With a held field it
+    is one pass over the rosters without a shuffle; with a table the rates are
+    joined to the shares.
+    """
+    if isinstance(field, FieldTable):
+        met = _table_rates(rosters, field, model, unit, key).join(shares.select(unit, *set(columns.values())), unit)
+        # as with a held field: no unit with a share, no win
+        rate = lambda c: F.coalesce(F.sum(F.col(c) * F.col("win_rate")) / F.nullif(F.sum(c), F.lit(0.0)), F.lit(0.0))
+        found = met.groupBy(key).agg(*[rate(c).alias(out) for out, c in columns.items()])
+        return rosters.select(key).join(found, key, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+    rated = rosters.select(key, field_rates(F.col("embedding"), field, model).alias("_r"))
+    return rated.select(key, *[dot(F.col("_r"), double_array(share_weights(shares, field, unit, c))).alias(out) for out, c in columns.items()])
 
 
 def advantage_matrix(samples: DataFrame, model: PairModel, unit: str = "unit", key: str = "roster_id") -> DataFrame:
     """(unit_a, unit_b, win_prob) for every ordered pair of units, diagonal 1/2.
 
-    The result is units x units by definition; the samples are small and bounded.
+    The result is units x units by definition.
     """
     field = Field.load(samples, unit)
     named = samples.withColumnRenamed(unit, "unit_a").withColumn("_k", F.struct("unit_a", key))
@@ -380,12 +507,18 @@ def advantage_edges(matrix: DataFrame, shares: DataFrame, min_share: float = 0.0
 
 
 def worst_matchups(
-    rosters: DataFrame, field: Field, model: PairModel, n: int = 3, unit: str = "unit", key: str = "roster_id"
+    rosters: DataFrame, field: Field | FieldTable, model: PairModel, n: int = 3, unit: str = "unit", key: str = "roster_id"
 ) -> DataFrame:
     """The n lowest win rates per roster with their mean, one row per matchup.
 
-    Rates stay in the roster's row until they are sorted, so nothing is shuffled.
+    With a held field rates stay in the roster's row until they are sorted, so
+    nothing is shuffled; with a table each roster's rates are cut to n.
     """
+    if isinstance(field, FieldTable):
+        rows = _table_rates(rosters, field, model, unit, key).withColumn("win_rate", F.round("win_rate", 12))
+        low = first_k(rows, [key], [F.col("win_rate"), F.col(unit)], n, rank="rank")
+        mean = F.avg("win_rate").over(Window.partitionBy(key))
+        return low.select(key, "rank", unit, "win_rate", mean.alias("worst_mean"))
     rates = field_rates(F.col("embedding"), field, model)
     pairs = F.transform("_r", lambda w, i: F.struct(F.round(w, 12).alias("w"), i.alias("i")))
     low = rosters.select(key, rates.alias("_r")).select(key, F.slice(F.sort_array(pairs), 1, n).alias("_l"))

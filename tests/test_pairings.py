@@ -79,8 +79,49 @@ def test_field_rates_matrix_and_graph(spark):
     assert nodes["u"] == pytest.approx((0.3 * M["u", "v"] + 0.2 * M["u", "w"]) / 0.5)
     edges = {(r["source"], r["target"]) for r in pairing.advantage_edges(matrix, shares).collect()}
     assert edges == {k for k, v in M.items() if v > 0.53 and k[0] != k[1]}
+
+
+def _worlds(spark, n, opponents, units, width=4):
+    rng = np.random.default_rng(9)
+    mine = [(i, rng.normal(size=width).tolist()) for i in range(n)]
+    theirs = [(f"u{i % units:05d}", rng.normal(size=width).tolist()) for i in range(opponents)]
+    gain = rng.normal(size=(width, width))
+    model = pairing.PairModel(tuple(rng.normal(size=width)), tuple(map(tuple, gain - gain.T)))
+    field = spark.createDataFrame(theirs, "unit string, embedding array<double>")
+    return spark.createDataFrame(mine, "roster_id long, embedding array<double>"), field, model, mine, theirs
+
+
+def test_field_of_a_hundred_thousand_opponents(spark, monkeypatch):
+    """More opponents than the driver may hold: partial sums over blocks, equal to numpy."""
+    monkeypatch.setattr(pairing, "FIELD_BYTES", 1 << 20)
+    monkeypatch.setattr(pairing, "ROSTER_BLOCK", 8 * 4 * 16)
+    rosters, samples, model, mine, theirs = _worlds(spark, 40, 100_000, 700)
+    field = pairing.Field.load(samples)
+    assert isinstance(field, pairing.FieldTable) and len(field.numbers) >= 3
+    got = {(r[0], r[1]): r[2] for r in pairing.expected_winrate(rosters, field, model).collect()}
+    assert len(got) == 40 * 700
+    points = np.array([v for _, v in theirs])
+    w, gain = np.array(model.weights), np.array(model.gain)
+    for i, x in mine[::7]:
+        p = 1 / (1 + np.exp(-((np.array(x) @ w) - points @ w + (np.array(x) @ gain) @ points.T)))
+        for u in (0, 13, 699):
+            assert got[i, f"u{u:05d}"] == pytest.approx(p[u::700].mean(), abs=1e-12)
+
+
+def test_field_table_agrees_with_held_field(spark):
+    rosters, samples, model, _, _ = _worlds(spark, 30, 200, 7)
+    held, table = pairing.Field.load(samples), pairing.Field.load(samples, max_bytes=100)
+    shares = spark.createDataFrame([(f"u{i:05d}", 0.1 * i, 0.3) for i in range(9)], "unit string, now double, next double")
+    near = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for f in (
+        lambda x: pairing.expected_winrate(rosters, x, model),
+        lambda x: pairing.worst_matchups(rosters, x, model, 3),
+        lambda x: pairing.weighted_rates(rosters, x, shares, {"a": "now", "b": "next"}, model),
+        lambda x: pairing.weighted_rates(rosters, x, shares.where("unit = 'none'"), {"a": "now"}, model),
+    ):
+        assert near(f(held)) == near(f(table))
     with pytest.raises(ValueError):
-        pairing.Field.load(df, max_rows=5)
+        pairing.Field.load(samples.limit(0))
 
 
 def test_completion_matches_brute_force(spark):
