@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from fieldshift.catalog import roles
 from fieldshift.catalog.registry import query, rounded
+from fieldshift.catalog.sqlbook import MEDIANS
 from fieldshift.operators import evaluate, forecast
 from fieldshift.operators.dists import weekly_anchor_matrix
 from fieldshift.operators.seasons import recent_slice, with_period_index
 from fieldshift.session import stage
 
 
-def _p_and_ref(spark, sf):
+def _p_and_ref(spark, sf, with_counts=False):
     """Weekly matrix (staged: the forecasters read it several times) and the log-ratio reference."""
     frozen = roles.space(spark, sf)
     counts = stage(
@@ -29,7 +30,8 @@ def _p_and_ref(spark, sf):
     )
     sizes = counts.groupBy("season", "period").agg(F.sum("rows").alias("n"))
     sizes = sizes.join(P.select("season", "period", "period_ix").distinct(), ["season", "period"])
-    return frozen, P, ref, sizes.select("season", "period_ix", "n")
+    out = frozen, P, ref, sizes.select("season", "period_ix", "n")
+    return (*out, counts) if with_counts else out
 
 
 def _P(spark, sf):
@@ -225,6 +227,66 @@ def backtest_season_out(spark, sf):
     return rounded(evaluate.backtest_season_out(scores, sizes, "glide(0.3)"), "kl_model", "kl_persistence")
 
 
+# --- a user's forecaster beside the built-in ones ---
+
+
+def _recent_median(history, window):
+    middle = np.median(history[-window:], axis=0)
+    return middle / middle.sum()
+
+
+def _scores_with_median(spark, sf):
+    _, P, ref, sizes = _p_and_ref(spark, sf)
+    custom = forecast.Forecasters().add("median", _recent_median, [(w,) for w in MEDIANS])
+    return stage(evaluate.score_candidates(evaluate.all_candidates(P, ref, custom=custom)), "scores"), sizes
+
+
+@query(
+    "horse_race_custom",
+    "WITH "
+    + LABELS
+    + """, lc AS (SELECT * FROM lb UNION ALL SELECT 'median', i - 1, 'median(' || x || ')' FROM (SELECT generate_subscripts(a, 1) AS i, unnest(a) AS x FROM (SELECT ['2', '3', '5'] AS a))),
+    n AS (SELECT family, label, count(*) AS n FROM chosen_m JOIN lc USING (family, cand_ix) WHERE family <> 'persistence' GROUP BY ALL),
+    u AS (SELECT family, arg_min(label, (-n, label)) AS selected FROM n GROUP BY family)
+    SELECT family, rnd(mean_kl) AS mean_kl, rnd(beats_pct) AS beats_pct, coalesce(selected, '-') AS selected FROM race_m LEFT JOIN u USING (family)""",
+    "race_m chosen_m",
+)
+def horse_race_custom(spark, sf):
+    scores, _ = _scores_with_median(spark, sf)
+    return rounded(evaluate.horse_race(scores), "mean_kl", "beats_pct")
+
+
+AGAINST_MEDIAN = AGAINST.replace("scores", "scores_m").replace("'glide' AND f.cand_ix = 3", "'median' AND f.cand_ix = 1")
+
+
+@query(
+    "backtest_rolling_custom",
+    AGAINST_MEDIAN
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY period_ix DESC) AS r FROM z),
+    n AS (SELECT season, period_ix, count(*) AS n FROM feats JOIN cal USING (season, period) GROUP BY ALL)
+    SELECT r.season, CAST(r.period_ix + 1 AS INTEGER) AS period_ix, rnd(km) AS kl_model, rnd(kb) AS kl_persistence,
+    km < kb - 1e-9 AS model_beats_persistence, n FROM r JOIN n ON n.season = r.season AND n.period_ix = r.period_ix + 1 WHERE r <= 2""",
+    "scores_m feats cal",
+)
+def backtest_rolling_custom(spark, sf):
+    scores, sizes = _scores_with_median(spark, sf)
+    return rounded(evaluate.backtest_rolling(scores, sizes, "median(3)"), "kl_model", "kl_persistence")
+
+
+@query(
+    "backtest_season_out_custom",
+    AGAINST_MEDIAN
+    + """, r AS (SELECT *, row_number() OVER (PARTITION BY season ORDER BY period_ix DESC) AS r FROM z),
+    n AS (SELECT season, count(*) AS n FROM feats GROUP BY ALL)
+    SELECT season, rnd(km) AS kl_model, rnd(kb) AS kl_persistence, km < kb - 1e-9 AS model_beats_persistence, n
+    FROM r JOIN n USING (season) WHERE r = 1""",
+    "scores_m feats",
+)
+def backtest_season_out_custom(spark, sf):
+    scores, sizes = _scores_with_median(spark, sf)
+    return rounded(evaluate.backtest_season_out(scores, sizes, "median(3)"), "kl_model", "kl_persistence")
+
+
 SWEEP = """WITH big AS (SELECT season FROM feats GROUP BY season ORDER BY count(*) DESC, season LIMIT 5),
     f AS (SELECT s.* FROM scores s JOIN big USING (season) JOIN (SELECT season, max(period_ix) AS period_ix FROM scores GROUP BY season) e
     USING (season, period_ix)),
@@ -236,12 +298,15 @@ SWEEP = """WITH big AS (SELECT season FROM feats GROUP BY season ORDER BY count(
 
 @query(
     "parameter_sweep",
-    SWEEP
+    SWEEP.replace("scores", "scores_d")
     + """ SELECT family, cand_ix, rnd(a) AS mean_kl_model, rnd(b) AS mean_kl_persist, rnd(c) AS mean_margin, beats, folds FROM t""",
-    "scores feats",
+    "scores_d feats",
 )
 def parameter_sweep(spark, sf):
-    _, _, scores, sizes = _scores(spark, sf)
+    """The forecaster grids of the race, and decay and smoothing of discounted sums."""
+    _, P, ref, sizes, counts = _p_and_ref(spark, sf, True)
+    forecasts = evaluate.all_candidates(P, ref).unionByName(forecast.fc_discounted(P, counts))
+    scores = stage(evaluate.score_candidates(forecasts), "scores")
     out = evaluate.parameter_sweep(scores, sizes, 5).drop("label")
     return rounded(out, "mean_kl_model", "mean_kl_persist", "mean_margin")
 

@@ -217,6 +217,28 @@ VIEWS: dict[str, tuple[str, str]] = {
     ),
 }
 
+#: Windows of the median forecaster, and (decay, smoothing) of the discounted sums.
+MEDIANS = (2, 3, 5)
+_MEDIAN = " UNION ALL ".join(
+    f"""SELECT 'median' AS family, {i} AS cand_ix, season, period_ix, anchor, p, m / sum(m) OVER (PARTITION BY season, period_ix) AS p_hat FROM (
+  SELECT *, median(p) OVER (PARTITION BY season, anchor ORDER BY period_ix ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS m FROM pm) q{i}"""
+    for i, w in enumerate(MEDIANS)
+)
+_DISCOUNTED = """SELECT 'discounted' AS family, cand_ix, season, period_ix, anchor, p,
+  (coalesce(m, 0) + smoothing) / sum(coalesce(m, 0) + smoothing) OVER (PARTITION BY season, period_ix, cand_ix) AS p_hat FROM pm
+  CROSS JOIN (SELECT i * 3 + j AS cand_ix, ([0.3, 0.7, 1.5][i + 1])::DOUBLE AS decay, ([0.5, 1, 5][j + 1])::DOUBLE AS smoothing FROM range(3) a(i), range(3) b(j)) g
+  LEFT JOIN (SELECT c.season, c.period_ix, w.anchor, d.decay, sum(w.w * exp(d.decay * (w.period_ix - c.period_ix - 1))) AS m FROM cal c
+    JOIN (SELECT season, period_ix, anchor, sum(weight) AS w FROM feats JOIN cal USING (season, period) GROUP BY ALL) w
+      ON w.season = c.season AND w.period_ix <= c.period_ix
+    CROSS JOIN (SELECT unnest([0.3, 0.7, 1.5])::DOUBLE AS decay) d GROUP BY ALL) z USING (season, period_ix, anchor, decay)"""
+for _end, _more, _needs in (("m", _MEDIAN, "pm"), ("d", _DISCOUNTED, "pm feats cal")):
+    VIEWS[f"cands_{_end}"] = (f"cands {_needs}", f"SELECT * FROM cands UNION ALL {_more}")
+    for _name in ("scores", "chosen", "race"):
+        _uses, _text = VIEWS[_name]
+        for _part in ("cands", "scores", "chosen"):
+            _uses, _text = (re.sub(rf"\b{_part}\b", f"{_part}_{_end}", x) for x in (_uses, _text))
+        VIEWS[f"{_name}_{_end}"] = (_uses, _text)
+
 
 def with_views(statement: str, names: list[str]) -> str:
     """Prefix the statement with the views it uses, needed ones first."""

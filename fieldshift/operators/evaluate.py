@@ -15,7 +15,9 @@ from fieldshift.operators.forecast import (
     LEVEL_Q,
     MIX_PARAMS,
     VOL_PARAMS,
+    Forecasters,
     fc_combination,
+    fc_custom,
     fc_glide,
     fc_local_level,
     fc_persistence,
@@ -42,8 +44,12 @@ def all_candidates(
     vol: Sequence[tuple[float, float]] = VOL_PARAMS,
     lambdas: Sequence[float] = GLIDE_LAMBDAS,
     mix: Sequence[tuple[float, float]] = MIX_PARAMS,
+    custom: Forecasters | None = None,
 ) -> DataFrame:
-    """Persistence and the four families over their grids, each in one pass."""
+    """Persistence, the four families over their grids and the user's forecasters, each in one pass.
+
+    What comes out is scored, selected, raced and back-tested alike, whoever made it.
+    """
     base = fc_local_level(P, ref, list(dict.fromkeys(q for q, _ in mix)))
     frames = [
         fc_persistence(P),
@@ -51,6 +57,7 @@ def all_candidates(
         fc_stoch_vol(P, ref, vol),
         fc_glide(P, lambdas),
         fc_combination(base, list(dict.fromkeys(w for _, w in mix))),
+        *([fc_custom(P, custom)] if custom else []),
     ]
     out = frames[0]
     for frame in frames[1:]:

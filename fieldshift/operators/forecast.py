@@ -9,7 +9,8 @@ windows below stay small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ VOL_PARAMS = tuple((q, g) for q in (0.1, 0.5, 1.0, 2.0) for g in (0.5, 0.8))
 GLIDE_LAMBDAS = (0.0, 0.1, 0.2, 0.3, 0.5, 0.8)
 MIX_PARAMS = tuple((q, w) for q in (0.2, 0.5, 1.0) for w in (0.25, 0.5, 0.75))
 GLIDE_LAMBDA = 0.3
+# (decay, smoothing) of discounted sums in the parameter sweep.
+DISCOUNTS = tuple((d, s) for d in (0.3, 0.7, 1.5) for s in (0.5, 1.0, 5.0))
 
 CANDIDATE = ("family", "cand_ix", "label")
 _CELL = ("season", "period_ix")
@@ -197,42 +200,134 @@ def fc_decayed_persistence(
     return flat.withColumn("log_p", F.log("p"))
 
 
-def custom_forecaster(
-    P: DataFrame, fn: Callable[[np.ndarray], np.ndarray], label: str = "custom", family: str = "custom", min_history: int = 1
-) -> DataFrame:
-    """Run ``fn(history[W, K]) -> next[K]`` at every origin of every season.
+def fc_discounted(P: DataFrame, counts: DataFrame, params: Sequence[tuple[float, float]] = DISCOUNTS) -> DataFrame:
+    """Decayed persistence of every (decay, smoothing) pair at every origin.
 
-    A season is a periods-by-anchors matrix, bounded by the calendar and the
-    codebook, so one group is small however many rosters stand behind it.
+    ``counts`` is (season, period, anchor, weight). One scan over a season's
+    periods carries the exponentially discounted sums of all decays, m <- (m + w)
+    exp(-decay); smoothing is added where a forecast is read off.
     """
+    masses = counts.groupBy("season", "period", "anchor").agg(F.sum("weight").alias("w"))
+    ready = P.join(masses, ["season", "period", "anchor"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+    decays = sorted({d for d, _ in params})
+    labels = [f"discounted({_text(d)},{_text(s)})" for d, s in params]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="period_ix", columns="anchor", values="p").sort_index()
-        history = wide.to_numpy(dtype=float).copy()
-        history.flags.writeable = False  # fn sees views, not copies
+        wide = pdf.pivot(index="period_ix", columns="anchor", values=["p", "w"]).sort_index()
+        shares, weights = wide["p"].to_numpy(dtype=float), wide["w"].to_numpy(dtype=float)
+        periods, anchors = shares.shape
+        fade = np.exp(-np.array(decays))[:, None]
+        carried, states = np.zeros((len(decays), anchors)), np.empty((len(decays), periods, anchors))
+        for t in range(periods):
+            carried = (carried + weights[t]) * fade
+            states[:, t] = carried
         parts = []
-        for i in range(min_history - 1, len(history)):
-            guess = np.asarray(fn(history[: i + 1]), dtype=float)
+        for i, (decay, smoothing) in enumerate(params):
+            mass = states[decays.index(decay)] + smoothing
             parts.append(
                 pd.DataFrame(
                     {
                         "season": pdf["season"].iloc[0],
-                        "period_ix": wide.index[i],
-                        "anchor": wide.columns.to_numpy(),
-                        "p": history[i],
-                        "p_hat": guess,
+                        "period_ix": np.repeat(wide.index.to_numpy(), anchors),
+                        "anchor": np.tile(wide["p"].columns.to_numpy(), periods),
+                        "p": shares.ravel(),
+                        "family": "discounted",
+                        "cand_ix": i,
+                        "label": labels[i],
+                        "p_hat": (mass / mass.sum(axis=1, keepdims=True)).ravel(),
                     }
                 )
             )
-        return pd.concat(parts) if parts else pdf.head(0).assign(p_hat=0.0)
+        return pd.concat(parts)
 
     kind = P.schema["season"].dataType.simpleString()
-    out = P.select("season", "period_ix", "anchor", "p").groupBy("season").applyInPandas(
-        run, f"season {kind}, period_ix int, anchor int, p double, p_hat double"
-    )
-    return _result(
-        out.withColumn("family", F.lit(family)).withColumn("cand_ix", F.lit(0)).withColumn("label", F.lit(label))
-    )
+    schema = f"season {kind}, period_ix int, anchor int, p double, family string, cand_ix int, label string, p_hat double"
+    return _result(ready.select("season", "period_ix", "anchor", "p", "w").groupBy("season").applyInPandas(run, schema))
+
+
+# --- forecasters of the user ---
+
+
+@dataclass(frozen=True)
+class Forecaster:
+    """A family of candidates: ``fn(history[W, K], *params) -> next[K]`` for every tuple of ``params``."""
+
+    family: str
+    fn: Callable[..., np.ndarray]
+    params: tuple[tuple, ...] = ((),)
+    min_history: int = 1
+
+    def label(self, params: tuple) -> str:
+        return f"{self.family}({','.join(_text(x) for x in params)})" if params else self.family
+
+
+class Forecasters:
+    """Registry of a user's forecasters, to be raced beside the built-in ones (``evaluate.all_candidates``)."""
+
+    BUILT_IN = frozenset(("persistence", "local_level", "shared_churn", "glide", "combination", "discounted"))
+
+    def __init__(self) -> None:
+        self._held: dict[str, Forecaster] = {}
+
+    def add(self, family: str, fn: Callable[..., np.ndarray], params: Sequence[tuple] = ((),), min_history: int = 1) -> Forecasters:
+        if family in self._held or family in self.BUILT_IN:
+            raise ValueError(f"the family {family} is taken")
+        self._held[family] = Forecaster(family, fn, tuple(tuple(p) for p in params), min_history)
+        return self
+
+    def __iter__(self):
+        return iter(self._held.values())
+
+    def __len__(self) -> int:
+        return len(self._held)
+
+
+def fc_custom(P: DataFrame, forecasters: Iterable[Forecaster]) -> DataFrame:
+    """Forecasts of every candidate of these forecasters at every origin with enough history, one pass over a season for all.
+
+    A season is a periods-by-anchors matrix, bounded by the calendar and the
+    codebook, so one group is small however many rosters stand behind it. A
+    forecast of another length than the anchors raises.
+    """
+    held = tuple(forecasters)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot(index="period_ix", columns="anchor", values="p").sort_index()
+        history = wide.to_numpy(dtype=float).copy()
+        history.flags.writeable = False  # fn sees views, not copies
+        parts = [pdf.head(0).assign(family="", cand_ix=0, label="", p_hat=0.0)]
+        for one in held:
+            for cand_ix, params in enumerate(one.params):
+                for i in range(one.min_history - 1, len(history)):
+                    guess = np.asarray(one.fn(history[: i + 1], *params), dtype=float)
+                    if guess.shape != (history.shape[1],):
+                        raise ValueError(f"{one.family} forecast {guess.shape} for {history.shape[1]} anchors")
+                    parts.append(
+                        pd.DataFrame(
+                            {
+                                "season": pdf["season"].iloc[0],
+                                "period_ix": wide.index[i],
+                                "anchor": wide.columns.to_numpy(),
+                                "p": history[i],
+                                "family": one.family,
+                                "cand_ix": cand_ix,
+                                "label": one.label(params),
+                                "p_hat": guess,
+                            }
+                        )
+                    )
+        return pd.concat(parts)
+
+    kind = P.schema["season"].dataType.simpleString()
+    schema = f"season {kind}, period_ix int, anchor int, p double, family string, cand_ix int, label string, p_hat double"
+    return _result(P.select("season", "period_ix", "anchor", "p").groupBy("season").applyInPandas(run, schema))
+
+
+def custom_forecaster(
+    P: DataFrame, fn: Callable[[np.ndarray], np.ndarray], label: str = "custom", family: str = "custom", min_history: int = 1
+) -> DataFrame:
+    """``fn(history[W, K]) -> next[K]`` at every origin of every season."""
+    return fc_custom(P, [Forecaster(family, fn, ((),), min_history)]).withColumn("label", F.lit(label))
 
 
 def ensemble_uncertainty(

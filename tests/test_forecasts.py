@@ -152,3 +152,46 @@ def test_decayed_persistence(spark):
     got = [r["p"] for r in forecast.fc_decayed_persistence(rows, 3, decay=0.5).orderBy("anchor").collect()]
     raw = np.array([np.exp(-1.0) + 1, 2 * np.exp(-0.5) + 1, 1.0])
     assert got == pytest.approx(list(raw / raw.sum()))
+
+
+def _small_matrix(spark, weeks=6, anchors=3, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = [("s", f"w{t:02d}", a, float(rng.integers(0, 5))) for t in range(weeks) for a in range(anchors)]
+    counts = spark.createDataFrame(rows, "season string, period string, anchor int, weight double")
+    return counts, dists.weekly_anchor_matrix(counts, anchors), np.array([r[3] for r in rows]).reshape(weeks, anchors)
+
+
+def test_discounted_sums_of_all_pairs_in_one_scan(spark):
+    counts, P, w = _small_matrix(spark)
+    params = [(0.4, 1.0), (0.4, 3.0), (1.2, 0.5)]
+    got = {(r["cand_ix"], r["period_ix"], r["anchor"]): r["p_hat"] for r in forecast.fc_discounted(P, counts, params).collect()}
+    assert len(got) == 3 * 6 * 3
+    for i, (decay, smoothing) in enumerate(params):
+        for t in range(6):
+            mass = sum(w[s] * np.exp(decay * (s - t - 1)) for s in range(t + 1)) + smoothing
+            for a in range(3):
+                assert got[i, t, a] == pytest.approx(mass[a] / mass.sum(), abs=1e-12)
+
+
+def test_custom_forecasters_race_beside_the_built_in_ones(spark):
+    counts, P, _ = _small_matrix(spark, weeks=7)
+    two = P.unionByName(P.withColumn("season", F.lit("t")))
+    mean = lambda history, n: history[-n:].mean(axis=0)
+    held = forecast.Forecasters().add("mean", mean, [(2,), (4,)]).add("last", lambda h: h[-1], min_history=3)
+    assert len(held) == 2
+    out = evaluate.all_candidates(two, 0, custom=held)
+    last = out.where("family = 'last'")
+    assert last.where("period_ix < 2").count() == 0 and last.where("abs(p - p_hat) > 1e-15").count() == 0
+    assert {r[0] for r in out.where("family = 'mean'").select("label").distinct().collect()} == {"mean(2)", "mean(4)"}
+    scores = evaluate.score_candidates(out)
+    race = {r["family"]: r for r in evaluate.horse_race(scores).collect()}
+    assert {"mean", "last", "glide", "persistence"} <= set(race) and race["last"]["beats_pct"] == 0.0
+    sizes = two.select("season", "period_ix").distinct().withColumn("n", F.lit(1))
+    assert evaluate.backtest_rolling(scores, sizes, "mean(2)").count() == 4
+    assert evaluate.backtest_season_out(scores, sizes, "mean(4)").count() == 2
+    with pytest.raises(ValueError):
+        held.add("glide", mean)
+    with pytest.raises(ValueError):
+        held.add("mean", mean)
+    with pytest.raises(Exception, match="anchors"):
+        forecast.fc_custom(P, forecast.Forecasters().add("short", lambda h: h[-1][:2])).collect()
