@@ -52,6 +52,26 @@ def codebook_roundtrip(spark, sf):
     return rounded(_long(codebook, ["kind", "id"], "vec"), "value")
 
 
+@query(
+    "codebook_archive",
+    """SELECT kind, id, i, rnd(c) AS value FROM cb UNION ALL SELECT 'mean', 0, i, rnd(m) FROM fs UNION ALL SELECT 'std', 0, i, rnd(s) FROM fs
+    UNION ALL SELECT 'anchor of units', id, i, rnd(c) FROM cb WHERE kind = 'unit'""",
+    "cb fs",
+)
+def codebook_archive(spark, sf):
+    """Statistics and centroids through an archive of arrays; a second archive without anchors falls back to its units."""
+    frozen = roles.space(spark, sf)
+    path, partial = (fresh_path(spark, name) + ".npz" for name in ("codebook", "units"))
+    write_codebook(frozen.stats, frozen.codebook, path)
+    write_codebook(frozen.stats, frozen.codebook.where(F.col("kind") == "unit"), partial)
+    stats, codebook = read_codebook(spark, path)
+    _, fallback = read_codebook(spark, partial)
+    rows = codebook.unionByName(fallback.where(F.col("kind") == "anchor").withColumn("kind", F.lit("anchor of units")))
+    for name in ("mean", "std"):
+        rows = rows.unionByName(stats.select(F.lit(name).alias("kind"), F.lit(0).alias("id"), F.col(name).alias("vec")))
+    return rounded(_long(rows, ["kind", "id"], "vec"), "value")
+
+
 @query(
     "assign_codebook",
     """SELECT vec_id, anchor, rnd(anchor_d) AS anchor_distance, near_unit AS unit, rnd(unit_d) AS unit_distance FROM asg""",

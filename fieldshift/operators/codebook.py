@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 from fieldshift.functions.vectors import as_double, double_array, l2, mean_vector, standardized
 from fieldshift.session import stage
 
+if TYPE_CHECKING:
+    from fieldshift.operators.large_codebook import CodebookTable
+
 STD_FLOOR = 1e-8
-# A codebook is a model, not data: loading refuses anything larger than this.
-MAX_ENTRIES = 65_536
+# Centroids of up to so many bytes are held by the driver; more lie in a table (``large_codebook``).
+CODEBOOK_BYTES = 64 << 20
 
 
 # --- feature statistics ---
@@ -60,14 +64,24 @@ class Centroids:
     matrix: np.ndarray
 
     @staticmethod
-    def load_all(codebook: DataFrame, max_entries: int = MAX_ENTRIES) -> dict[str, Centroids]:
+    def load_all(codebook: DataFrame, max_bytes: int = CODEBOOK_BYTES) -> dict[str, Centroids]:
         """Every kind of entry, in one read."""
-        rows = codebook.select("kind", "id", "vec").limit(max_entries + 1).collect()
-        if len(rows) > max_entries:
-            raise ValueError(f"more than {max_entries} codebook entries")
+        rows = Centroids._checked(codebook.select("kind", "id", "vec"), max_bytes)
         kinds = sorted({r["kind"] for r in rows})
         return {k: Centroids._of([r for r in rows if r["kind"] == k]) for k in kinds}
 
+    @staticmethod
+    def _checked(entries: DataFrame, max_bytes: int) -> list:
+        """The rows, unless they hold more than ``max_bytes``: read up to there, no further."""
+        shape = entries.select(F.size("vec")).first()
+        if shape is None:
+            return []
+        most = max_bytes // (8 * max(1, shape[0]) + 8)
+        rows = entries.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {max_bytes} bytes of codebook entries; load_codebook makes a table of them")
+        return rows
+
     @staticmethod
     def _of(rows) -> Centroids:
         rows = sorted(rows, key=lambda r: r["id"])
@@ -77,12 +91,10 @@ class Centroids:
         )
 
     @staticmethod
-    def load(codebook: DataFrame, kind: str, max_entries: int = MAX_ENTRIES) -> Centroids:
-        rows = codebook.where(F.col("kind") == kind).select("id", "vec").limit(max_entries + 1).collect()
+    def load(codebook: DataFrame, kind: str, max_bytes: int = CODEBOOK_BYTES) -> Centroids:
+        rows = Centroids._checked(codebook.where(F.col("kind") == kind).select("id", "vec"), max_bytes)
         if not rows:
             raise ValueError(f"the codebook has no '{kind}' entries")
-        if len(rows) > max_entries:
-            raise ValueError(f"more than {max_entries} '{kind}' entries")
         return Centroids._of(rows)
 
     def __len__(self) -> int:
@@ -155,9 +167,13 @@ def nearest(vec: Column, centroids: Centroids) -> Column:
 
 
 def assign_codebook(
-    vectors: DataFrame, centroids: Centroids, vec: str = "embedding", out: str = "unit", distance: str | None = None
+    vectors: DataFrame, centroids: Centroids | CodebookTable, vec: str = "embedding", out: str = "unit", distance: str | None = None
 ) -> DataFrame:
     """Nearest centroid id of every row (standardised vectors). NULL vectors are left out."""
+    if not isinstance(centroids, Centroids):
+        from fieldshift.operators.large_codebook import assign_table
+
+        return assign_table(vectors, centroids, vec, out, distance)
     found = vectors.where(F.col(vec).isNotNull()).withColumn("_near", nearest(F.col(vec), centroids))
     found = found.withColumn(out, F.col("_near.id"))
     if distance:
@@ -165,7 +181,7 @@ def assign_codebook(
     return found.drop("_near")
 
 
-def anchor_to_unit(codebook: DataFrame, units: Centroids) -> DataFrame:
+def anchor_to_unit(codebook: DataFrame, units: Centroids | CodebookTable) -> DataFrame:
     """(anchor, unit): nearest unit centroid of every anchor centroid."""
     anchors = codebook.where(F.col("kind") == "anchor").select(F.col("id").alias("anchor"), "vec")
     return assign_codebook(anchors, units, "vec", "unit").select("anchor", "unit")
@@ -195,13 +211,18 @@ def fit_scores(vec: Column, centroids: Centroids, temperature: float = 1.0) -> C
 
 def fingerprint(
     vectors: DataFrame,
-    units: Centroids,
+    units: Centroids | CodebookTable,
     labels: DataFrame | None = None,
     key: str = "roster_id",
     top: int = 8,
     temperature: float = 2.0,
 ) -> DataFrame:
     """The best-fitting units of each new row with fit, distance and representative."""
+    if not isinstance(units, Centroids):
+        from fieldshift.operators.large_codebook import fit_table
+
+        rows = fit_table(vectors, units, key, top, temperature)
+        return rows if labels is None else label_reps(rows, labels)
     ranked = F.slice(
         F.sort_array(
             F.transform(

@@ -189,7 +189,7 @@ def _visits(centres: np.ndarray, reaches: np.ndarray):
                 square = np.einsum("ij,ij->i", points, points)[:, None] - 2.0 * (points @ centres.T - half)
                 gap = np.maximum(np.sqrt(np.maximum(square, 0.0)) - reaches[None, :], 0.0)
                 own = part.column("cell").to_numpy(zero_copy_only=False)
-                gap[np.arange(rows), own] = 0.0
+                gap[np.arange(rows), own] = -1.0  # the own cell before all others
                 want = (gap <= bound[:, None] + 1e-6 + SLACK * gap) & (reaches[None, :] >= 0)
                 nth = np.empty(gap.shape, np.int32)
                 order = np.where(want, gap, np.inf).argsort(axis=1, kind="stable")
@@ -211,13 +211,51 @@ def _visits(centres: np.ndarray, reaches: np.ndarray):
     return run
 
 
-def _pairs(visits: DataFrame, blocks: DataFrame) -> DataFrame:
+def _pairs(visits: DataFrame, blocks: DataFrame, skip_own: bool = True) -> DataFrame:
     """(cell, block, other, other_block, want): pairs of blocks to search and the queries that do, without vectors."""
     wanted = F.sort_array(F.collect_list(F.struct("g", "bound")))
     grouped = visits.groupBy("cell", "block", "other").agg(wanted.alias("want"))
     searched = blocks.select(F.col("cell").alias("other"), F.col("block").alias("other_block"))
     paired = grouped.join(searched, "other")
-    return paired.where((F.col("cell") != F.col("other")) | (F.col("block") != F.col("other_block")))
+    return paired.where((F.col("cell") != F.col("other")) | (F.col("block") != F.col("other_block"))) if skip_own else paired
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Vectors in cells around pivots taken from them, cut into blocks."""
+
+    member: DataFrame  # g, v, cell, block
+    packed: DataFrame  # cell, block, ids, points
+    blocks: DataFrame  # cell, block
+    pivots: Centroids
+    reaches: np.ndarray  # distance of a cell's farthest member, -1 for none
+    width: int
+
+
+def _in_blocks(placed: DataFrame, shape: DataFrame, rows: int) -> DataFrame:
+    """(g, v, cell, block, ...): as many blocks a cell as keep one near ``rows`` rows."""
+    count = F.ceil(F.col("_n") / rows).cast("int")
+    return placed.join(shape.select("cell", "_n"), "cell").withColumn("block", F.pmod(F.xxhash64("g"), count).cast("int")).drop("_n")
+
+
+def cells_of(vectors: DataFrame, count: int, width: int, pivots: int | None, seed: int, name: str) -> Cells:
+    """Cells of distinct ``vectors`` (g, v), around as many pivots as the root of their count, or as ``PIVOT_BYTES`` hold."""
+    rows, most = max(1, BLOCK_BYTES // (8 * max(1, width))), max(1, PIVOT_BYTES // (8 * max(1, width)))
+    m = min(pivots or max(1, math.isqrt(count)), count, most)
+    picked = vectors.orderBy(draw(seed, F.col("g")), F.col("g")).limit(m).select("v").collect()
+    centres = Centroids(np.arange(m, dtype=np.int32), np.array([r["v"] for r in picked], dtype=np.float64))
+    placed = stage(assign_codebook(vectors, centres, "v", "cell", "radius"), f"{name}-placed")
+    shape = stage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("radius").alias("reach")), f"{name}-cells")
+    reaches = np.full(m, -1.0)
+    for r in shape.select("cell", "reach").collect():  # one row per pivot at most
+        reaches[r["cell"]] = r["reach"]
+    member = _in_blocks(placed, shape, rows).select("g", "v", "cell", "block")
+    packed = stage(_packed(member, "cell", "block"), f"{name}-blocks")
+    blocks = stage(packed.select("cell", "block"), f"{name}-block-names")
+    return Cells(member, packed, blocks, centres, reaches, width)
+
+
+VISIT = "g long, cell int, block int, other int, gap double, nth int"
 
 
 def knn_exact(
@@ -225,19 +263,8 @@ def knn_exact(
 ) -> DataFrame:
     """(id, neighbor_rank, neighbor_id, distance): k nearest, self left out, ties by id."""
     space = _groups(vectors, key, metric)
-    most = max(1, PIVOT_BYTES // (8 * max(1, space.width)))
-    m = min(pivots or max(1, math.isqrt(space.count)), space.count, most)
-    picked = space.groups.orderBy(draw(seed, F.col("g")), F.col("g")).limit(m).select("v").collect()
-    centres = Centroids(np.arange(m, dtype=np.int32), np.array([r["v"] for r in picked], dtype=np.float64))
-    placed = stage(assign_codebook(space.groups, centres, "v", "cell", "radius"), "knn-placed")
-    shape = stage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"), F.max("radius").alias("reach")), "knn-cells")
-    reaches = np.full(m, -1.0)
-    for r in shape.select("cell", "reach").collect():  # one row per pivot at most
-        reaches[r["cell"]] = r["reach"]
-    count = F.ceil(F.col("_n") / space.block_rows).cast("int")
-    member = placed.join(shape.select("cell", "_n"), "cell").select("g", "v", "cell", F.pmod(F.xxhash64("g"), count).cast("int").alias("block"))
-    packed = stage(_packed(member, "cell", "block"), "knn-blocks")
-    blocks = stage(packed.select("cell", "block"), "knn-block-names")
+    cells = cells_of(space.groups.select("g", "v"), space.count, space.width, pivots, seed, "knn")
+    member, packed, blocks = cells.member, cells.packed, cells.blocks
 
     def searched(visits: DataFrame, name: str) -> DataFrame:
         pairs = _pairs(visits, blocks)
@@ -248,7 +275,7 @@ def knn_exact(
     found = stage(own.mapInArrow(_search(k + 1, space.width), HITS), "knn-own")
     bounded = member.join(_bounds(found, k), "g")
     visits = stage(
-        bounded.mapInArrow(_visits(centres.matrix, reaches), "g long, cell int, block int, other int, gap double, nth int"), "knn-visits"
+        bounded.mapInArrow(_visits(cells.pivots.matrix, cells.reaches), VISIT), "knn-visits"
     )
     for first in (True, False):
         part = visits.where(F.col("nth") < NEAR_CELLS if first else F.col("nth") >= NEAR_CELLS)

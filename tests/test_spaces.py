@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldshift.functions.draws import draw, first_k, numbered
+from fieldshift.functions.draws import draw, first_k, lowest_draws, numbered
 from fieldshift.functions.simplex import alr, inv_alr, softmax
 from fieldshift.functions.vectors import unit_length
 from fieldshift.operators import codebook as cb
@@ -27,7 +28,7 @@ def test_nearest_breaks_ties_low_and_keeps_distance(spark):
     got = cb.assign_codebook(frame(spark, [[1, 0], [0, 1], [5, 0]]), units, distance="d").orderBy("row_id").collect()
     assert [(r["unit"], round(r["d"], 6)) for r in got] == [(1, 1.0), (3, 1.0), (1, 3.0)]
     with pytest.raises(ValueError):
-        cb.Centroids.load(book, "unit", max_entries=1)
+        cb.Centroids.load(book, "unit", max_bytes=8)
 
 
 def test_fit_scores_and_fingerprint(spark):
@@ -149,7 +150,7 @@ def test_numbered_and_first_k_match_plain_windows(spark):
     plain = df.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("d", "id")))
     mine = numbered(df.repartition(5), ["g"], [F.substring("d", 1, 2)], [F.col("d"), F.col("id")], "n")
     assert plain.select("id", "n").exceptAll(mine.select("id", F.col("n").cast("int"))).count() == 0
-    cut = first_k(df, ["g"], [F.col("d"), F.col("id")], 1200, salt_by=F.col("id"))
+    cut = lowest_draws(df, ["g"], F.col("d"), "id", 1200)
     assert cut.select("id").exceptAll(plain.where("n <= 1200").select("id")).count() == 0
     assert cut.count() == plain.where("n <= 1200").count()
 
@@ -200,3 +201,80 @@ def test_context_sets_are_independent_between_targets(spark):
     assert pairs.agg({"count": "max"}).first()[0] <= 16
     sizes = sets.groupBy("row_id").count().select("count").distinct().collect()
     assert [r[0] for r in sizes] == [64]
+
+
+def test_arrays_written_and_read_back(spark, tmp_path):
+    from fieldshift.sources import arrays
+    from fieldshift.sources.tables import read_codebook, write_codebook
+
+    rng = np.random.default_rng(7)
+    wide, flat = rng.normal(size=(9000, 3)), rng.normal(size=5)
+    np.savez_compressed(tmp_path / "a.npz", wide=wide, flat=flat.astype(np.float32), cube=np.arange(24).reshape(2, 3, 4), one=np.float64(4), text=np.array(["x"]), obj=np.array([{}], dtype=object))
+    np.savez(tmp_path / "b.npz", flat=flat, none=np.zeros((0, 2)))
+    rows = arrays.read_arrays(spark, f"file://{tmp_path}/*.npz").collect()
+    held = {}
+    for r in rows:
+        held.setdefault((r["path"][-5:], r["name"]), {})[r["row"]] = r["values"]
+    assert set(held) == {("a.npz", "wide"), ("a.npz", "flat"), ("a.npz", "cube"), ("a.npz", "one"), ("b.npz", "flat")}
+    assert (np.array([held["a.npz", "wide"][i] for i in range(9000)]) == wide).all()
+    assert held["b.npz", "flat"] == {0: flat.tolist()} and held["a.npz", "one"] == {0: [4.0]}
+    assert held["a.npz", "cube"][1] == [float(x) for x in range(12, 24)]
+    with pytest.raises(Exception, match="numeric|pickle"):
+        arrays.read_arrays(spark, f"file://{tmp_path}/a.npz", ["obj"]).collect()
+    stats = spark.createDataFrame([([1.0, 2.0], [3.0, 4.0])], "mean array<double>, std array<double>")
+    kinds = [("unit", i, [float(i), -1.0]) for i in range(3)] + [("anchor", i, [0.5 * i, 2.0]) for i in range(5)]
+    kinds += [(f"other{i}", 0, [0.0, 0.0]) for i in range(12)]  # many kinds hide none
+    book = spark.createDataFrame(kinds, "kind string, id int, vec array<double>")
+    near = lambda df: sorted(map(tuple, df.select("kind", "id", "vec").collect()))
+    path = f"file://{tmp_path}/book.npz"
+    write_codebook(stats, book, path)
+    with np.load(tmp_path / "book.npz") as archive:
+        assert archive["feature_mean"].shape == (2,) and archive["anchor_centroids"].shape == (5, 2)
+    back = read_codebook(spark, path)
+    assert near(back[1]) == sorted(kinds[:8]) and tuple(back[0].first()) == ([1.0, 2.0], [3.0, 4.0])
+    write_codebook(stats, book, f"file://{tmp_path}/tables")
+    assert near(read_codebook(spark, f"file://{tmp_path}/tables")[1]) == sorted(kinds)
+    write_codebook(stats, book.where("kind = 'unit'"), path)
+    assert near(read_codebook(spark, path)[1].where("kind = 'anchor'")) == sorted(("anchor", k[1], k[2]) for k in kinds[:3])
+    write_codebook(stats, book.where("kind = 'anchor'"), path)
+    with pytest.raises(ValueError, match="unit"):
+        read_codebook(spark, path)
+    with pytest.raises(ValueError, match="bytes"):
+        arrays.write_arrays(spark.createDataFrame([("a", 0, [1.0])], "name string, row int, values array<double>"), path, max_bytes=10)
+
+
+def test_codebook_of_two_hundred_thousand_entries(spark):
+    """More entries than are held: assignments equal brute force, ties to the lowest id, most cells unvisited."""
+    from fieldshift.operators.large_codebook import CodebookTable, load_codebook
+
+    rng = np.random.default_rng(8)
+    hubs = rng.normal(size=(300, 4)) * 10
+    centres = hubs[rng.integers(0, 300, 200_000)] + rng.normal(size=(200_000, 4))
+    centres[150_000] = centres[5]  # an equal entry with a higher id
+    x = hubs[rng.integers(0, 300, 400)] + rng.normal(size=(400, 4))
+    x[0], x[1:100] = centres[5], x[300]  # a tie, and copies
+    vec = pa.ListArray.from_arrays(pa.array(np.arange(0, 800_001, 4), pa.int32()), pa.array(centres.ravel()))
+    book = spark.createDataFrame(pa.table({"kind": ["unit"] * 200_000, "id": pa.array(np.arange(200_000), pa.int32()), "vec": vec})).repartition(8)
+    table = load_codebook(book, "unit", max_bytes=1 << 20)
+    assert isinstance(table, CodebookTable)
+    rows = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)] + [(999, None, "y")], "row_id long, embedding array<double>, g string")
+    out = cb.assign_codebook(rows, table, "embedding", "unit", "d")
+    assert out.columns == ["row_id", "embedding", "g", "unit", "d"]
+    got = {r["row_id"]: (r["unit"], r["d"]) for r in out.collect()}
+    assert len(got) == 400
+    for i, v in enumerate(x):
+        d = np.sqrt(((centres - v) ** 2).sum(axis=1))
+        assert got[i][0] == int(d.argmin()) and got[i][1] == pytest.approx(d.min(), abs=1e-9)
+    assert got[0] == (5, 0.0)
+
+
+def test_fingerprint_of_a_large_codebook_equals_the_held_one(spark, monkeypatch):
+    from fieldshift.operators.large_codebook import load_codebook
+
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 8 * 3 * 10)
+    rng = np.random.default_rng(9)
+    book = spark.createDataFrame([("unit", i, rng.normal(size=3).tolist()) for i in range(90)], "kind string, id int, vec array<double>")
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(40)], "roster_id long, embedding array<double>")
+    near = lambda df: sorted((r[0], r[1], r[2], round(r[3], 10), round(r[4], 10)) for r in df.collect())
+    table = load_codebook(book, "unit", max_bytes=100)
+    assert near(cb.fingerprint(rows, table, top=5)) == near(cb.fingerprint(rows, cb.Centroids.load(book, "unit"), top=5))
