@@ -1,17 +1,20 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A template is the set T of its words. A block is a window of ``2 * n`` words of
-a document at a multiple of n, n being the template's word count, so any n + 1
-consecutive words lie inside one block. The join returns every (block,
-template) with ``|block & T| >= need``, need = ceil(threshold * |T|):
+A template is the set T of its words. A window is ``2 * n`` consecutive words of
+a document at any place (a shorter document is one window), n being the
+template's word count. The join finds every (window, template) with
+``|window & T| >= need``, need = ceil(threshold * |T|), and returns runs of
+consecutive windows as one block:
 
 * words are ordered by their count in all documents, rarest first;
-* prefix filter: a matching block holds one of T's ``|T| - need + 1`` rarest words,
-  so only windows around these are looked at;
-* length filter: the block must hold ``need`` distinct template words;
-* positional filter: from a shared word at place i of the ordered T and j of
-  the ordered block, at most ``1 + min(|T| - i - 1, |block| - j - 1)`` words can
-  still be shared; a candidate below need is dropped before it is counted.
+* prefix filter: a matching window holds one of T's ``|T| - need + 1`` rarest
+  words, so only the windows around these are looked at, overlapping ones in one
+  range;
+* length filter: a range must hold ``need`` distinct template words;
+* positional filter: let i be the least place in the ordered T of a word of the
+  range, and j its place in the range's ordered words: at most
+  ``1 + min(|T| - i - 1, |range| - j - 1)`` words can be shared;
+* what is left is slid over by one word with running counts.
 
 Templates are a bounded parameter and travel with the tasks; documents are
 read twice (counts, join) and never shuffled.
@@ -90,35 +93,67 @@ class TemplateIndex:
         self.length = [len(words) for words, _ in split]
         self.ordered = [sorted({self.rank[w] for w in words}) for words, _ in split]
         self.need = [max(1, math.ceil(threshold * len(t) - 1e-9)) for t in self.ordered]
+        self.places = [{universe[r]: i for i, r in enumerate(ranks)} for ranks in self.ordered]
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}
         for k, ranks in enumerate(self.ordered):
             for i, rank in enumerate(ranks[: len(ranks) - self.need[k] + 1]):
                 self.prefix.setdefault(universe[rank], []).append((k, i))
 
-    def blocks(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        """Every matching (template, first word of the block, containment)."""
+    def blocks(self, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """Every run of matching windows: (template, first word, number of words, best containment)."""
         if self.prefix.keys().isdisjoint(words):
             return []
-        candidates: dict[tuple[int, int], set[int]] = {}
+        seen: dict[int, list[int]] = {}
         for at, word in enumerate(words):
-            for k, i in self.prefix.get(word, ()):
-                n = self.length[k]
-                for start in {at // n * n, max(0, at // n - 1) * n}:
-                    candidates.setdefault((k, start), set()).add(i)
+            for k, _ in self.prefix.get(word, ()):
+                if not seen.get(k) or seen[k][-1] != at:
+                    seen.setdefault(k, []).append(at)
         found = []
-        for (k, start), places in sorted(candidates.items()):
-            template, need = self.ordered[k], self.need[k]
-            block = sorted({self.rank[w] for w in words[start : start + 2 * self.length[k]] if w in self.rank})
-            if len(block) < need:
-                continue
-            i = min(places)
-            if 1 + min(len(template) - i - 1, len(block) - block.index(template[i]) - 1) < need:
-                continue
-            shared = len(set(block).intersection(template))
-            if shared >= need:
-                found.append((k, start, shared / len(template)))
+        for k in sorted(seen):
+            width = 2 * self.length[k]
+            last = max(0, len(words) - width)
+            ranges: list[list[int]] = []
+            for at in seen[k]:
+                low, high = max(0, at - width + 1), min(at, last)
+                if ranges and low <= ranges[-1][1] + 1:
+                    ranges[-1][1] = high
+                else:
+                    ranges.append([low, high])
+            for low, high in ranges:
+                found += self._slid(k, words[low : high + width], low, high, width)
         return found
 
+    def _slid(self, k: int, words: list[bytes], low: int, high: int, width: int) -> list[tuple[int, int, int, float]]:
+        """Runs among the windows that start at ``low`` to ``high``; ``words`` are those the windows cover."""
+        template, need = self.places[k], self.need[k]
+        ordered = sorted({self.rank[w] for w in words if w in self.rank})
+        held = [template.get(w, -1) for w in words]
+        present = {i for i in held if i >= 0}
+        if len(present) < need:
+            return []
+        i = min(present)
+        if 1 + min(len(template) - i - 1, len(ordered) - ordered.index(self.ordered[k][i]) - 1) < need:
+            return []
+        counts, shared, found = [0] * len(template), 0, []
+        for at, i in enumerate(held):
+            if i >= 0:
+                counts[i] += 1
+                shared += counts[i] == 1
+            if at >= width:
+                gone = held[at - width]
+                if gone >= 0:
+                    counts[gone] -= 1
+                    shared -= counts[gone] == 0
+            start = low + max(0, at - width + 1)
+            if shared < need or (at < width - 1 and at < len(held) - 1):
+                continue
+            end = min(low + len(held), start + width)
+            if found and start <= found[-1][1] + 1:
+                found[-1][1:] = [start, end, max(found[-1][3], shared)]
+            else:
+                found.append([start, start, end, shared])
+        return [(k, first, end - first, best / len(template)) for first, _, end, best in found]
+
 
 def phrase_places(words: list[bytes], phrases: Mapping[str, str]) -> list[tuple[int, str]]:
     """(first word, label) of each place where a phrase stands."""
@@ -144,7 +179,7 @@ def scan(
     key: str = "doc_id",
 ) -> DataFrame:
     """One row per input row: key, n_words, phrases array<struct<word, label>>,
-    blocks array<struct<label, word, n_words, containment>> (all matching blocks).
+    blocks array<struct<label, word, n_words, containment>> (all runs of matching windows).
 
     Null and empty texts have no words, phrases or blocks.
     """
@@ -165,8 +200,8 @@ def scan(
             found.append([{"word": w, "label": label} for w, label in phrase_places(words, places)])
             blocks.append(
                 [
-                    {"label": index.labels[k], "word": at, "n_words": 2 * index.length[k], "containment": share}
-                    for k, at, share in index.blocks(words)
+                    {"label": index.labels[k], "word": at, "n_words": n, "containment": share}
+                    for k, at, n, share in index.blocks(words)
                 ]
             )
         return pa.RecordBatch.from_arrays(

@@ -205,16 +205,53 @@ def test_thresholds_add_up():
 
 
 def license_blocks_by_hand(words, threshold):
+    """All windows at every word, one after the other; runs of matching ones joined."""
     found = set()
     for template, label in licenses.TEMPLATES.items():
-        t = licenses.words_of(template.encode())
-        for start in range(0, len(words), len(t)):
-            share = len(set(words[start : start + 2 * len(t)]) & set(t)) / len(set(t))
+        t = set(licenses.words_of(template.encode()))
+        width = 2 * len(licenses.words_of(template.encode()))
+        run = None
+        for start in range(max(0, len(words) - width) + 1):
+            share = len(set(words[start : start + width]) & t) / len(t)
+            end = min(len(words), start + width)
             if share >= threshold:
-                found.add((label, start, share))
+                run = (run[0], end, max(run[2], share)) if run else (start, end, share)
+            elif run:
+                found.add((label, run[0], run[1] - run[0], run[2]))
+                run = None
+        if run:
+            found.add((label, run[0], run[1] - run[0], run[2]))
     return found
 
 
+def test_license_windows_at_every_offset():
+    """An altered notice is found whatever stands before it; random windows equal brute force."""
+    rng = random.Random(12)
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {}, 0.8)
+    blocks = lambda words: {(index.labels[k], at, n, share) for k, at, n, share in index.blocks(words)}
+    notice = "licensed under the terms of the apache software license version 2 0".split()
+    for before in range(0, 40):
+        words = [w.encode() for w in [f"x{i}" for i in range(before)] + notice + ["y"] * (before % 5)]
+        assert "apache" in {b[0] for b in blocks(words)}
+        assert blocks(words) == license_blocks_by_hand(words, 0.8)
+    pool = sorted({w for t in licenses.TEMPLATES for w in licenses.words_of(t.encode())}) + [b"x", b"y"]
+    whole = [licenses.words_of(t.encode()) for t in licenses.TEMPLATES]
+    hits = 0
+    for _ in range(300):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            part = list(rng.choice(whole))
+            for _ in range(rng.randint(0, 4)):
+                part.insert(rng.randrange(len(part) + 1), rng.choice(pool))
+            if part and rng.random() < 0.5:
+                part.pop(rng.randrange(len(part)))
+            words += part + [rng.choice(pool) for _ in range(rng.randint(0, 30))]
+        index = licenses.TemplateIndex(licenses.TEMPLATES, {w: rng.randrange(50) for w in pool}, 0.8)
+        assert blocks(words) == license_blocks_by_hand(words, 0.8)
+        hits += len(blocks(words))
+    assert hits > 100
+
+
 def test_license_scan(spark, docs):
     texts = [
         "Intro words. All Rights Reserved. all rights\nreserved and CC-BY 4.0, cc by cc by",
@@ -230,7 +267,7 @@ def test_license_scan(spark, docs):
     scan = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     for i, text in enumerate(texts):
         words = licenses.words_of((text or "").encode())
-        got = {(b["label"], b["word"], b["containment"]) for b in scan[i]["blocks"]}
+        got = {(b["label"], b["word"], b["n_words"], b["containment"]) for b in scan[i]["blocks"]}
         assert got == license_blocks_by_hand(words, 0.8)
     rows = {r["doc_id"]: tuple(r)[1:] for r in licenses.digest(licenses.scan(df)).collect()}
     assert rows[0] == (17, 5, 2, 15, "cc-by,reserved", "cc-by,reserved", 1.0)
