@@ -47,6 +47,8 @@ KNOWN_BYTES = 64
 REMEMBERED = 400_000
 ROUNDS = 4
 BATCH = 16_384
+#: Tokens scored at once: what they need stays in a core's cache.
+PART = 4096
 #: Bytes of text whose tokens are worked on at once.
 SLICE = 2 << 20
 RATE = 0.25
@@ -224,19 +226,30 @@ class Model:
             x += np.take(self.weights[k], rows[k][head], axis=0, out=taken, mode="clip")
         return self.softmax(x)[0]
 
+    def logs(self, tables: tuple[str, ...], rows: dict[str, np.ndarray], bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Natural logarithm of the probability of place ``at`` of every row; no other is normalised."""
+        x = self.weights[tables[0]].take(rows[tables[0]], axis=0)
+        x += bias
+        taken = np.empty_like(x)
+        for k in tables[1:]:
+            x += np.take(self.weights[k], rows[k], axis=0, out=taken, mode="clip")
+        x -= x.max(axis=1, keepdims=True)
+        picked = x[np.arange(len(at)), at].astype(np.float64)
+        return picked - np.log(np.exp(x, out=x).sum(axis=1))
+
     def log10(self, outcome, one, two, three=None) -> np.ndarray:
         """log10 P(class) and, for head tokens, P(token | class), of each token; without ``three`` texts start at ``two``."""
         three = np.full(len(outcome), START) if three is None else three
         out = np.empty(len(outcome))
-        for i in range(0, len(outcome), BATCH):
-            part = slice(i, i + BATCH)
+        for i in range(0, len(outcome), PART):
+            part = slice(i, i + PART)
             o = outcome[part]
             rows = self.rows(o, one[part], two[part], three[part])
             at = np.where(o < HEAD, o // WIDTH, o - HEAD + HEAD // WIDTH)
-            p = self.outer(rows)[np.arange(len(o)), at].astype(np.float64)
+            log = self.logs(OUTER, rows, self.outer_bias, at)
             head = np.flatnonzero(o < HEAD)
-            p[head] *= self.inner(rows, head, at[head])[np.arange(len(head)), o[head] % WIDTH]
-            out[part] = np.log10(np.maximum(p, 1e-300))
+            log[head] += self.logs(INSIDE, {k: rows[k][head] for k in INSIDE}, self.inner_bias.take(at[head], axis=0), o[head] % WIDTH)
+            out[part] = np.maximum(log / np.log(10.0), -300.0)
         return out
 
     def train(self, outcome, one, two, three, squares: dict[str, np.ndarray]) -> None:
