@@ -9,7 +9,7 @@ from fieldshift.catalog import roles
 from fieldshift.catalog.records import TOKENS
 from fieldshift.catalog.registry import query, rounded
 from fieldshift.operators import pairing
-from fieldshift.operators.codebook import embed_rosters, feature_stats, standardize
+from fieldshift.operators.codebook import feature_stats, standardize
 from fieldshift.operators.recommend import Vocabulary, pooled, recommend_completions, roster_sums, token_sums, with_tokens
 from fieldshift.plans.forecasts import field_state
 from fieldshift.plans.rating import rate_batch, rate_details

@@ -487,14 +487,17 @@ def member_options_query(spark, sf):
 
 @query(
     "exclude_owned",
-    r"""WITH o AS (SELECT DISTINCT roster_id, lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) AS species_id FROM member),
-    c AS (SELECT roster_id, s.species_id FROM (SELECT DISTINCT roster_id FROM member) q, (SELECT DISTINCT species_id FROM o) s)
+    r"""WITH m AS (SELECT roster_id, lower(regexp_replace(species, '[^\p{L}\p{N}]', '', 'g')) AS species_id, lower(item) AS item_id,
+    lower(ability) AS ability_id, array_to_string(list_sort(string_split(lower(moves_text), ' ')), ',') AS move_ids FROM member),
+    pool AS (SELECT DISTINCT species_id FROM (SELECT species_id, count(*) AS n FROM m GROUP BY species_id, item_id, ability_id, move_ids
+      ORDER BY n DESC, species_id, item_id, ability_id, move_ids LIMIT 12) q),
+    o AS (SELECT DISTINCT roster_id, species_id FROM m), c AS (SELECT roster_id, species_id FROM (SELECT DISTINCT roster_id FROM m) q, pool)
     SELECT roster_id, species_id FROM c ANTI JOIN o USING (roster_id, species_id)""",
     "member",
 )
 def exclude_owned_query(spark, sf):
-    held = roles.members(spark, sf).select("roster_id", "species")
-    # every species there is, a short list
-    offered = held.select(canonical_id(F.col("species")).alias("s")).distinct().agg(F.collect_set("s")).scalar()
+    """Species of the twelve most frequent configurations, offered to every roster that lacks them."""
+    held = roles.members(spark, sf)
+    offered = stage(member_pool(held, 12).select("species_id").distinct(), "offered").agg(F.collect_set("species_id")).scalar()
     candidates = held.select("roster_id").distinct().select("roster_id", F.explode(offered).alias("species_id"))
-    return exclude_owned(candidates, held)
+    return exclude_owned(candidates, held.select("roster_id", "species"))

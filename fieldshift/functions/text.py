@@ -6,6 +6,7 @@ import html
 from collections.abc import Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,11 @@ def mentions_any(text: Column, keywords: Sequence[str] | Column) -> Column:
 @F.arrow_udf(T.StringType())
 def unescape(text: pa.Array) -> pa.Array:
     """Character references (named and numeric) to characters."""
-    return pa.array([None if t is None else html.unescape(t) for t in text.to_pylist()], pa.string())
+    held = pc.fill_null(pc.match_substring(text, "&"), False)
+    if not pc.any(held).as_py():
+        return text
+    changed = pa.array([html.unescape(t) for t in text.filter(held).to_pylist()], pa.string())
+    return pc.replace_with_mask(text, held, changed)
 
 
 def html_blocks(html_text: Column, tag: str) -> Column:

@@ -8,7 +8,6 @@ from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -22,6 +21,8 @@ if TYPE_CHECKING:
     from fieldshift.operators.large_codebook import CodebookTable
 
 STD_FLOOR = 1e-8
+# Rows per entry that a fit starts from.
+SEED_ROWS_PER_ENTRY = 40
 # Centroids of up to so many bytes are held by the driver; more lie in a table (``large_codebook``).
 CODEBOOK_BYTES = 64 << 20
 
@@ -366,20 +367,83 @@ def embed_rosters(
     return rosters, words
 
 
+def seeded_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k centres from a sample by squared distance to those picked before."""
+    rng = np.random.default_rng(seed)
+    picked = [int(rng.integers(len(sample)))]
+    gap = ((sample - sample[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < k:
+        whole = gap.sum()
+        at = int(rng.choice(len(sample), p=gap / whole)) if whole > 0 else int(rng.integers(len(sample)))
+        picked.append(at)
+        gap = np.minimum(gap, ((sample - sample[at]) ** 2).sum(axis=1))
+    return sample[picked]
+
+
+def centre_sums(rows: DataFrame, centres: np.ndarray) -> list:
+    """One scan for all restarts: (restart, entry, sum, n, cost) of the rows nearest each of ``centres`` (restarts, k, width).
+
+    A task adds up what it reads and sends one row per restart and entry.
+    """
+    restarts, k, width = centres.shape
+
+    def run(batches):
+        sums, counts, costs = np.zeros((restarts, k, width)), np.zeros((restarts, k), np.int64), np.zeros((restarts, k))
+        for batch in batches:
+            points = _matrix(batch.column("v"))
+            for r in range(restarts):
+                best = closest(points, centres[r])
+                order = np.argsort(best, kind="stable")
+                found, starts = np.unique(best[order], return_index=True)
+                sums[r, found] += np.add.reduceat(points[order], starts, axis=0)
+                counts[r] += np.bincount(best, minlength=k)
+                costs[r] += np.bincount(best, ((points - centres[r][best]) ** 2).sum(axis=1), k)
+        held = np.argwhere(counts > 0)
+        if len(held):
+            r, i = held.T
+            ends = pa.array(np.arange(0, len(held) * width + 1, width), pa.int32())
+            yield pa.record_batch(
+                [pa.array(r, pa.int32()), pa.array(i, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(sums[r, i].ravel())), pa.array(counts[r, i]), pa.array(costs[r, i])],
+                names=["r", "id", "s", "n", "cost"],
+            )
+
+    parts = rows.mapInArrow(run, "r int, id int, s array<double>, n long, cost double")
+    total = vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")
+    return parts.groupBy("r", "id").agg(total, F.sum("n").alias("n"), F.sum("cost").alias("cost")).collect()
+
+
 def fit_centroids(
-    vectors: DataFrame, k: int, kind: str, seed: int = 7, restarts: int = 10, vec: str = "embedding"
+    vectors: DataFrame, k: int, kind: str, seed: int = 7, restarts: int = 10, vec: str = "embedding", passes: int = 200, tol: float = 1e-8
 ) -> DataFrame:
-    """k-means codebook (kind, id, vec): the restart with the lowest cost wins."""
-    ready = vectors.select(array_to_vector(as_double(F.col(vec))).alias("features")).persist()
+    """k-means codebook (kind, id, vec): the restart with the lowest cost wins.
+
+    All restarts move in the same scans, and one that has settled leaves them.
+    They start from ``SEED_ROWS_PER_ENTRY * k`` rows, those with the smallest
+    hashes of their vectors; every scan reads all rows.
+    """
+    ready = vectors.where(F.col(vec).isNotNull()).select(as_double(F.col(vec)).alias("v")).persist()
     try:
-        best = None
-        for i in range(restarts):
-            model = KMeans(k=k, seed=seed + i, maxIter=200, tol=1e-8, featuresCol="features", predictionCol="_p").fit(ready)
-            if best is None or model.summary.trainingCost < best.summary.trainingCost:
-                best = model
-        rows = [(kind, i, [float(x) for x in c]) for i, c in enumerate(best.clusterCenters())]
+        sample = ready.orderBy(F.xxhash64("v"), "v").limit(SEED_ROWS_PER_ENTRY * k).collect()
+        if not sample:
+            raise ValueError("no vectors to fit")
+        sample = np.array([r["v"] for r in sample], np.float64)
+        centres = np.array([seeded_centres(sample, k, seed + i) for i in range(restarts)])
+        cost, active = np.full(restarts, np.inf), np.arange(restarts)
+        for _ in range(passes):
+            moved = centres[active].copy()  # an entry without rows stays where it is
+            cost[active] = 0.0
+            for r in centre_sums(ready, centres[active]):
+                moved[r["r"], r["id"]] = np.array(r["s"]) / r["n"]
+                cost[active[r["r"]]] += r["cost"]
+            step = np.sqrt(((moved - centres[active]) ** 2).sum(axis=2)).max(axis=1)
+            centres[active] = moved
+            active = active[step > tol]
+            if not len(active):
+                break
     finally:
         ready.unpersist()
+    best = centres[int(cost.argmin())]
+    rows = [(kind, i, [float(x) for x in c]) for i, c in enumerate(best)]
     return vectors.sparkSession.createDataFrame(rows, "kind string, id int, vec array<double>")
 
 

@@ -32,12 +32,12 @@ def roster_hash(members: Column) -> Column:
 def dedupe_rosters(rosters: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per distinct roster: the first seen by ``seq`` (unique), and how often it occurred.
 
-    Only hashes and sequence numbers are aggregated; the rosters join their hash's first number.
+    A roster is hashed once; only hashes and sequence numbers are aggregated, and each hash's first number fetches its roster.
     """
-    hashed = rosters.withColumn("roster_hash", roster_hash(F.col("members")))
-    firsts = hashed.groupBy("roster_hash").agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("occurrence_count"))
     fields = [c for c in rosters.columns if c != "roster_hash"]
-    return hashed.join(firsts, ["roster_hash", seq]).select("roster_hash", *fields, "occurrence_count")
+    hashed = rosters.select(seq, roster_hash(F.col("members")).alias("roster_hash"))
+    firsts = hashed.groupBy("roster_hash").agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("occurrence_count"))
+    return rosters.select(*fields).join(firsts, seq).select("roster_hash", *fields, "occurrence_count")
 
 
 def duplicate_row_keys(rosters: DataFrame, seq: str = "seq") -> DataFrame:

@@ -142,10 +142,8 @@ def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows:
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = ["season", "period", "anchor"]
-        arrived_path = f"{state}/arrived"
         arrived = batch.where(F.col("season").isNotNull()).groupBy(*key).agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
-        arrived.write.mode("overwrite").parquet(arrived_path)
-        arrived = spark.read.schema(SUMS).parquet(arrived_path)
+        arrived = arrived.persist()  # read twice; what is lost is summed again
         touched = {r["season"]: r["n"] for r in arrived.groupBy("season").agg(F.sum("n").alias("n")).collect()}
         files = _Manifest(spark, state)
         held = files.load() if batch_id > 0 else {"sums": {}, "forecast": {}}
@@ -156,6 +154,7 @@ def refresh_step(state: str, anchors: int, lam: float = GLIDE_LAMBDA, min_rows:
             sums = sums.unionByName(before).groupBy(*key).agg(F.sum("weight").alias("weight"), F.sum("n").alias("n"))
         if touched:
             _write(sums, f"{state}/sums", batch_id)
+        arrived.unpersist()
         for season, n in touched.items():
             rows = n + (bases[season][1] if season in bases else 0)
             held["sums"][season] = _moved(held["sums"].get(season), batch_id, rows)

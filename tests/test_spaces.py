@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fieldshift.functions.draws import draw, first_k, lowest_draws, numbered
+from fieldshift.functions.draws import draw, lowest_draws, numbered
 from fieldshift.functions.simplex import alr, inv_alr, softmax
 from fieldshift.functions.vectors import unit_length
 from fieldshift.operators import codebook as cb
@@ -182,6 +182,37 @@ def test_trained_codebook_is_no_worse_than_label_means(spark):
     assert cb.fit_anchors(df.limit(5), k=128, restarts=1).count() == 5
 
 
+def test_restarts_share_their_scans(spark, monkeypatch):
+    """Each restart ends where it would end alone; together they scan as often as the slowest, not as often as all."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 3))
+    df = frame(spark, x).repartition(4).persist()
+    scans = []
+    whole = cb.centre_sums
+    monkeypatch.setattr(cb, "centre_sums", lambda rows, centres: scans.append(len(centres)) or whole(rows, centres))
+
+    def lloyd(centres):
+        for n in range(1, 300):
+            best = ((x.astype(np.float32)[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+            moved = np.array([x.astype(np.float32)[best == i].mean(0) if (best == i).any() else centres[i] for i in range(len(centres))], float)
+            if np.abs(moved - centres).max() < 1e-9:
+                return centres, n
+            centres = moved
+
+    alone, counts = [], []
+    for i in range(4):
+        alone.append(cb.Centroids.load(cb.fit_centroids(df, 6, "unit", seed=7 + i, restarts=1), "unit").matrix)
+        counts.append(len(scans))
+        scans.clear()
+    book = cb.Centroids.load(cb.fit_centroids(df, 6, "unit", seed=7, restarts=4), "unit").matrix
+    assert len(scans) == max(counts) < sum(counts) and sum(scans) == sum(counts)
+    cost = lambda c: ((x.astype(np.float32)[:, None] - c[None]) ** 2).sum(-1).min(1).sum()
+    costs = [cost(c) for c in alone]
+    assert np.allclose(book, alone[int(np.argmin(costs))])
+    for c in alone:
+        assert np.allclose(lloyd(c)[0], c, atol=1e-6)  # settled
+
+
 def test_word_vectors_do_not_depend_on_member_order(spark):
     base = [(r, s, 0, f"t{(r * 7 + s) % 5}") for r in range(30) for s in range(3)]
     twin = [(99, 0, 0, "t1"), (99, 1, 0, "t2"), (98, 0, 0, "t2"), (98, 1, 0, "t1")]
