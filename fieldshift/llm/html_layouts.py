@@ -42,6 +42,11 @@ def by_markup(page: list[Block]) -> np.ndarray | None:
     return np.array(found, np.float32) if told else None
 
 
+def unnamed(page: list[Block]) -> np.ndarray:
+    """1 for blocks that stand in no element named as something else than main text."""
+    return np.array([float(not any(set(e) & ASIDE or "header" in e for e in b.path)) for b in page], np.float32)
+
+
 def _words(rng: Random, pool: list[str], low: int, high: int) -> str:
     words = rng.choice(pool).split() or ["x"]
     n, at = rng.randint(low, high), rng.randrange(len(words))

@@ -9,9 +9,9 @@ numbers. Every page is then labelled where it is read, without a shuffle.
 
 Defined cases: null or empty html, and pages without main text, give the empty
 string; text that stands in no element is a block like any other; a page cut
-off anywhere is read to its end; repeated rows are repeated; a corpus in which
-no page tells its main part raises, since there is nothing to learn from; an
-empty table gives no rows; columns other than key and html pass if named in
+off anywhere is read to its end; repeated rows are repeated; if no sampled page
+tells its main part there is nothing to learn from, and every block counts that
+stands in no element named as something else; an empty table gives no rows; columns other than key and html pass if named in
 ``keep``.
 """
 
@@ -53,15 +53,16 @@ def _windows(page: tuple, label: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
     return [(tuple(part[i : i + WINDOW] for part in page), label[i : i + WINDOW]) for i in cut]
 
 
-def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> dict[str, np.ndarray]:
+def fit(pages: list[str], layouts: int = LAYOUTS, seed: int = 11) -> dict[str, np.ndarray] | None:
+    """Model of the labelled pages and their layouts; None without any."""
     ready = [w for page, label in examples(pages, layouts, seed) for w in _windows(html_lstm.features(page), label)]
     if not ready:
-        raise ValueError("no page tells its main part by its markup")
+        return None
     return html_lstm.fit([r[0] for r in ready], [r[1] for r in ready], seed=seed)
 
 
 def train(pages: DataFrame, key: str = "page_id", html: str = "html", size: int = TRAIN_PAGES, seed: int = 11) -> dict[str, np.ndarray] | None:
-    """Model fitted on ``size`` pages in one task; None for an empty table."""
+    """Model fitted on ``size`` pages in one task; None if none of them tells its main part."""
     picked = pages.select(F.xxhash64(F.col(key).cast("string"), as_bytes(html)).alias("_o"), as_bytes(html).alias("_h"))
     picked = picked.orderBy("_o").limit(size)
 
@@ -75,9 +76,9 @@ def train(pages: DataFrame, key: str = "page_id", html: str = "html", size: int
     return pickle.loads(found[0]["model"]) if found else None
 
 
-def main_texts(model: dict[str, np.ndarray], pages: list[str]) -> list[str]:
+def main_texts(model: dict[str, np.ndarray] | None, pages: list[str]) -> list[str]:
     read = [blocks(p) for p in pages]
-    scored = html_lstm.scores(model, read)
+    scored = [html_layouts.unnamed(page) for page in read] if model is None else html_lstm.scores(model, read)
     return ["\n".join(b.text for b, s in zip(page, score) if s > 0) for page, score in zip(read, scored)]
 
 

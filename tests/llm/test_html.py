@@ -119,3 +119,7 @@ def test_operator(spark, pages):
     heading = lambda page: html.unescape(re.search(r"<h1>(.*?)</h1>", page)[1])
     assert all(by_id[i].startswith(" ".join(heading(pages[i]).split())) for i in range(60))
     assert html_text.extracted(df.limit(0)).count() == 0
+    # no page tells its main part: nothing to learn from
+    plain = [(1, "u", None), (2, "u", ""), (3, None, "<nav>menu</nav><p>a &amp; b</p><div class='ad'>c</div>d")]
+    rows = html_text.extracted(spark.createDataFrame(plain, "page_id long, url string, html string")).collect()
+    assert sorted((r[0], r[2]) for r in rows) == [(1, ""), (2, ""), (3, "a & b\nd")]
