@@ -1,6 +1,6 @@
 """LM scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-A token is a word or the end of its text. The ``HEAD`` most frequent training
+A token is a word, A-Z lower-cased, or the end of its text. The ``HEAD`` most frequent training
 tokens are outcomes of their own, ``WIDTH`` to a class; all other words fall into
 ``TAILS`` classes by a hash of their last two bytes. The model is
 
@@ -83,7 +83,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for part in pieces(batches, "t"):
             for text in part.column(0).to_pylist():
-                total.update(text.split())
+                total.update(text.lower().split())
                 total[END] += 1
             if len(total) > REMEMBERED:
                 yield flush()
@@ -139,7 +139,7 @@ def packed_words(shared: Broadcast) -> Packed:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Collects at most ``KNOWN`` words of at most ``KNOWN_BYTES`` bytes, and totals."""
+    """Collects at most ``KNOWN`` words of at most ``KNOWN_BYTES`` bytes, the end, and totals."""
     tail = F.crc32(F.expr("substring(word, -2, 2)")) % TAILS
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     short = counts.where(F.length("word") <= KNOWN_BYTES)
@@ -150,9 +150,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if taken + row["v"] > KNOWN:
             break
         least, taken = row["bin"], taken + row["v"]
-    known = []
-    if least is not None:
-        known = [(bytes(r["word"]), r["n"]) for r in short.where(F.floor(F.log2("n") * 8) >= least).collect()]
+    # the end is no word of a text, so its count can't be joined in: it is known however rare
+    kept = F.length("word") == 0 if least is None else (F.length("word") == 0) | (F.floor(F.log2("n") * 8) >= least)
+    known = [(bytes(r["word"]), r["n"]) for r in short.where(kept).collect()]
     heads = {w for w, _ in sorted(known, key=lambda x: (-x[1], x[0]))[:HEAD]}
     groups = counts.groupBy(tail.alias("g")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     tails = {r["g"]: [r["n"], r["v"]] for r in groups}
@@ -332,7 +332,7 @@ def averaged(rows: DataFrame) -> np.ndarray:
 def _slices(batches, words: Packed, column: int):
     """(record batch, word lists, packed words, lengths) of slices of bounded size."""
     for part in pieces(batches, "t", SLICE):
-        texts = [t.split() for t in part.column(column).to_pylist()]
+        texts = [t.lower().split() for t in part.column(column).to_pylist()]
         lengths = np.array([len(t) for t in texts], np.int64)
         packed = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
         yield part, texts, packed, lengths

@@ -168,6 +168,25 @@ def test_lm_base_and_held_out_gain(docs, corpus):
     assert maxent.scored(docs, rounds=1).count() == len(corpus)
 
 
+def test_lm_lowers_ascii_letters_and_knows_the_end(spark, monkeypatch):
+    """Words differ by other letters' case alone; the end counts even where more words than are known are as frequent."""
+    texts = ["The the THE É", "the é A", None, "Ab aB \u0130"]
+    rows = [(i, t) for i, t in enumerate(texts * 4)]
+    lower = lambda t: [*(t or "").encode().lower().split(), b""]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter(w for i, t in rows if not held(i) for w in lower(t))
+    n, v = sum(counts.values()), len(counts)
+    for known in (maxent.KNOWN, 0):
+        monkeypatch.setattr(maxent, "KNOWN", known)
+        got = {r["doc_id"]: r for r in maxent.scored(spark.createDataFrame(rows, "doc_id long, text string"), rounds=1).collect()}
+        assert len(got) == len(rows)
+        for i, t in rows:
+            want = [counts[w] for w in lower(t)]
+            r = got[i]
+            assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(want), sum(c > 0 for c in want), n)
+            assert r["base_score"] == pytest.approx(sum(math.log10((c + 1) / (n + v + 1)) for c in want))
+
+
 def test_lm_learns_order(spark):
     """Words that follow each other always are worth more than their frequency."""
     cycle = "alpha beta gamma delta epsilon zeta eta theta".split()
