@@ -7,7 +7,8 @@ so no pairs are written; inside a group every pair not linked already is
 compared by its whole shingle sets, so each link is exact. Groups over
 ``BLOCK`` texts are cut into pairs of blocks.
 
-SimHash fingerprints within op7's radius miss most of these pairs: see the README.
+SimHash fingerprints within op7's radius miss most of these pairs (see the README): the pairs
+that they find are compared here too, and the keys add the rest.
 """
 
 from __future__ import annotations
@@ -113,8 +114,11 @@ def _verified(batches, least: float):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def similar(docs: DataFrame, n: int, least: float = LEAST) -> DataFrame:
-    """doc_id, node, component of every row: texts linked by a similarity of ``least`` or more share a component."""
+def similar(docs: DataFrame, n: int, least: float = LEAST, also: DataFrame | None = None) -> DataFrame:
+    """doc_id, node, component of every row: texts linked by a similarity of ``least`` or more share a component.
+
+    ``also`` holds further pairs of nodes (u, v) to compare, as found by fingerprints.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def keyed(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,6 +131,8 @@ def similar(docs: DataFrame, n: int, least: float = LEAST) -> DataFrame:
     placed = rows.select("node", F.explode("keys").alias("key")).distinct()
     ends = placed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w")).where("v != w").drop("w")
     met = placed.join(ends.hint("merge"), "key").select(F.col("node").alias("u"), "v")
+    if also is not None:
+        met = met.unionByName(also.select("u", "v"))
     candidates = stage(components(met).select(F.col("u").alias("node"), "root"), "candidates")
 
     def listed(batches):

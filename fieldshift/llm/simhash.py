@@ -190,11 +190,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE, radius: int = RADIUS) ->
 def keep_first(docs: DataFrame, n: int = 5, least: float = LEAST) -> DataFrame:
     """One row of each group of near duplicates: the smallest doc_id (null last), of repeated ids the least text hash.
 
-    Near duplicates have a similarity of ``least`` or more in their n-word shingles; texts without words are one group.
+    Texts meet by their fingerprints, within ``RADIUS`` bits; an exact check keeps the links with a similarity of ``least``
+    or more in their n-word shingles, and shingle keys add the links of that similarity whose fingerprints lie further apart.
+    Texts without words are one group.
     A row is told by doc_id and text: rows with a null or repeated doc_id go only as copies of another row.
     """
+    met = near_duplicates(docs.select(node().alias("doc_id"), "text"), n)
+    met = met.select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")).where("u != v").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("first")
-    placed = similar(docs, n, least).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__kept"))
+    placed = similar(docs, n, least, met).groupBy("component").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.node").alias("__kept"))
     rows = docs.withColumn("__node", node())
     kept = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__kept")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__node"]).drop("__node")

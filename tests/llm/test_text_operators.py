@@ -320,3 +320,13 @@ def test_keep_first_keeps_rows_with_null_or_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4])]
     assert ordered(simhash.keep_first(docs).collect()) == ordered(want)
+
+
+def test_keep_first_links_by_fingerprints(spark):
+    """Texts that repeat a passage have near fingerprints and few shingles in common: no shingle key meets, fingerprints do."""
+    passage = " ".join(f"p{i}" for i in range(7))
+    tails = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcd"]
+    rows = [(i, " ".join([passage] * 60 + [t])) for i, t in enumerate(tails)] + [(9, " ".join(f"z{i}" for i in range(30)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_first(docs, least=0.05).collect()} == {0, 9}
+    assert simhash.keep_first(docs).count() == 5  # linked texts of lower similarity stay
