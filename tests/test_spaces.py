@@ -136,6 +136,38 @@ def test_knn_approx_reaches_its_recall_and_reports_it(spark, monkeypatch):
         neighbors.knn_approx(df, 5, "cosine", recall=1.01, step=2, most=2)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_knn_of_some_rows_among_all(spark, metric, monkeypatch):
+    """Queries against all rows, in many blocks and with copies, as by brute force; a null flag is no query."""
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 8 * 6 * 7)  # some seven vectors a block
+    monkeypatch.setattr(neighbors, "HELD_BLOCKS", 2)
+    x = np.random.default_rng(11).normal(size=(300, 5))
+    x[100:180] = x[0]
+    asked = F.when(F.col("row_id") != 5, F.col("row_id") % 5 == 0)
+    got = {}
+    for r in neighbors.knn_exact(frame(spark, x).repartition(6), 4, metric, queries=asked).collect():
+        got.setdefault(r["id"], {})[r["neighbor_rank"]] = r["neighbor_id"]
+    want = brute(x, 4, metric)
+    assert {i: [v[k] for k in range(1, 5)] for i, v in got.items()} == {i: want[i] for i in range(0, 300, 5) if i != 5}
+
+
+def test_knn_approx_of_some_rows_checks_every_query(spark, monkeypatch):
+    """Recall is that of all queries, and only they search; a table moves the vectors once."""
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 8 * 9 * 40)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 8))[rng.integers(0, 60, 1200)] + rng.normal(size=(1200, 8)) * 0.3
+    x[:300] = x[0]
+    df = frame(spark, x)
+    asked = F.col("row_id") % 3 == 0
+    out = neighbors.knn_approx(df, 5, "cosine", sample=50, queries=asked)
+    exact = neighbors.knn_exact(df, 5, "cosine", queries=asked)
+    assert out.recall >= 0.9 and out.sampled == 301 and neighbors.recall(out.neighbors, exact).first()["recall"] >= 0.85
+    assert {r["id"] for r in out.neighbors.select("id").distinct().collect()} == set(range(0, 1200, 3))
+    space = neighbors._groups(df, "row_id", "cosine", asked)
+    plan = neighbors._table_hits(space, np.ones((1, 8, 9)), np.zeros((1, 8)), 0, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_unit_length_and_simplex(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.2, 0.3, 0.5]), ([0.0, 0.0], [0.1, 0.1, 0.8])], "v array<double>, p array<double>")
     got = df.select(unit_length(F.col("v")).alias("u"), inv_alr(alr(F.col("p"), 1), 1).alias("b"), softmax(F.col("v")).alias("s"), "p").collect()
