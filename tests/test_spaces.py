@@ -266,6 +266,32 @@ def test_context_sets_are_independent_between_targets(spark):
     assert [r[0] for r in sizes] == [64]
 
 
+def test_context_sets_write_no_pairs_and_cross_ranges(spark, monkeypatch):
+    """Places are looked up where a range's rows meet its targets: no shuffle holds a row per pair, ranges change nothing."""
+    df = spark.createDataFrame([(f"r{i}", f"s{i % 2}", i // 300) for i in range(900)], "row_id string, season string, period_ix int")
+    sets = contexts.context_sets(df, budgets=(16,))
+    assert "Join" not in sets._jdf.queryExecution().optimizedPlan().toString()
+    whole = sorted(map(tuple, sets.collect()))
+    period = {f"r{i}": (f"s{i % 2}", i // 300) for i in range(900)}
+    assert len(whole) == 600 * 16 and all(period[r[0]] == (r[1], r[2]) and period[r[3]] == (r[1], r[2] + r[5]) for r in whole)
+    assert all(r[4] == (r[5] == 0) for r in whole)
+    by_range = contexts._by_range
+    range_ = contexts.RANGE
+
+    def cut(target):
+        run = by_range(target)
+
+        def each(batches):
+            contexts.RANGE = 64  # in the worker
+            yield from run(batches)
+            contexts.RANGE = range_
+
+        return each
+
+    monkeypatch.setattr(contexts, "_by_range", cut)
+    assert sorted(map(tuple, contexts.context_sets(df, budgets=(16,)).collect())) == whole
+
+
 def test_arrays_written_and_read_back(spark, tmp_path):
     from fieldshift.sources import arrays
     from fieldshift.sources.tables import read_codebook, write_codebook
