@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,37 +147,64 @@ def encode_tokens(
     ``team_size`` members (padded) if given. Unseen tokens become UNK, unseen
     kinds padding. A roster's cells are one row, like the roster itself.
     """
+    shape = tokens.agg(F.max("pos").alias("pos"), F.max("slot").alias("slot")).first()
     if attr_size is None:
-        attr_size = (tokens.agg(F.max("pos")).first()[0] or 0) + 1
-    rows = (
-        tokens.join(vocab, "token", "left")
-        .join(kinds, "kind", "left")
-        .select(
-            "roster_id",
-            ((F.col("slot") - 1) * attr_size + F.col("pos")).cast("int").alias("at"),
-            F.coalesce("id", F.lit(UNK_ID)).alias("value_id"),
-            F.coalesce("kind_id", F.lit(PAD_ID)).alias("kind_id"),
-            "maskable",
-            "slot",
-        )
-    )
-    grouped = rows.groupBy("roster_id").agg(
-        F.max("slot").alias("_slots"),
-        F.map_from_entries(F.collect_list(F.struct("at", F.struct("value_id", "kind_id", "maskable")))).alias("_m")
-    )
-    slots = F.col("_slots") if team_size is None else F.lit(team_size)
-    last = (slots * attr_size - 1).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), last), lambda i: F.try_element_at("_m", i))
-    filled = grouped.select("roster_id", cells.alias("_c"))
-    return filled.select(
-        "roster_id",
-        F.transform("_c", lambda c: F.coalesce(c["kind_id"], F.lit(PAD_ID))).alias("kind_ids"),
-        F.transform("_c", lambda c: F.coalesce(c["value_id"], F.lit(PAD_ID))).alias("value_ids"),
-        F.transform("_c", lambda c: c.isNotNull()).alias("attr_mask"),
-        F.filter(
-            F.transform("_c", lambda c, i: F.when(c["maskable"], i)), lambda i: i.isNotNull()
-        ).alias("maskable_at"),
-    )
+        attr_size = (shape["pos"] or 0) + 1
+    values, kinds_ = (df.agg(F.max(c)).first()[0] or 0 for df, c in ((vocab, "id"), (kinds, "kind_id")))
+    values, kinds_ = max(values, UNK_ID) + 1, kinds_ + 1
+    rows = tokens.join(vocab, "token", "left").join(kinds, "kind", "left")
+    at = (F.col("slot").cast("long") - 1) * attr_size + F.col("pos")
+    cell = [F.coalesce("id", F.lit(UNK_ID)), F.coalesce("kind_id", F.lit(PAD_ID)), F.coalesce("maskable", F.lit(False)).cast("int")]
+    if (shape["slot"] or 0) * (attr_size + (shape["pos"] or 0)) * values * kinds_ * 2 < 1 << 63:
+        # a cell travels as one number
+        cells = F.collect_list(((at * values + cell[0]) * kinds_ + cell[1]) * 2 + cell[2]).alias("_c")
+    else:
+        cells = F.flatten(F.collect_list(F.array(at, *[c.cast("long") for c in cell]))).alias("_c")
+        values = None
+    grouped = rows.groupBy("roster_id").agg(F.max("slot").cast("long").alias("_slots"), cells)
+    slots = F.col("_slots") if team_size is None else F.lit(team_size).cast("long")
+    key = tokens.schema["roster_id"].dataType.simpleString()
+    schema = f"roster_id {key}, kind_ids array<int>, value_ids array<int>, attr_mask array<boolean>, maskable_at array<int>"
+    return grouped.select("roster_id", (slots * attr_size).alias("_n"), "_c").mapInArrow(_laid_out(values, kinds_), schema)
+
+
+def _laid_out(values: int | None, kinds: int):
+    """Arrow pass over (roster_id, _n, _c): the cells of every roster in its arrays of _n places.
+
+    ``values`` and ``kinds`` are the bases of packed cells; without them a cell is four numbers.
+    """
+
+    def run(batches):
+        for batch in batches:
+            size = batch.column("_n").to_numpy(zero_copy_only=False).astype(np.int64)
+            start = np.cumsum(size) - size
+            row = np.repeat(np.arange(batch.num_rows), batch.column("_c").value_lengths().to_numpy(zero_copy_only=False))
+            flat = batch.column("_c").flatten().to_numpy(zero_copy_only=False)
+            if values is None:
+                row = row[::4]
+                at, value, kind, free = flat.reshape(-1, 4).T
+            else:
+                rest, free = np.divmod(flat, 2)
+                rest, kind = np.divmod(rest, kinds)
+                at, value = np.divmod(rest, values)
+            held = at < size[row]
+            place = (start[row] + at)[held]
+            total = int(size.sum())
+            mask = np.zeros(total, bool)
+            mask[place] = True
+            if np.count_nonzero(mask) != len(place):
+                raise ValueError("two tokens of a roster have the same place")
+            value_ids, kind_ids, maskable = np.full(total, PAD_ID, np.int32), np.full(total, PAD_ID, np.int32), np.zeros(total, bool)
+            value_ids[place], kind_ids[place], maskable[place] = value[held], kind[held], free[held] == 1
+            whose = np.repeat(np.arange(batch.num_rows), size)
+            ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+            some = np.flatnonzero(maskable)
+            found = pa.array(np.r_[0, np.cumsum(np.bincount(whose[some], minlength=batch.num_rows))], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (kind_ids, value_ids, mask)]
+            lists.append(pa.ListArray.from_arrays(found, pa.array((some - start[whose[some]]).astype(np.int32))))
+            yield pa.record_batch([batch.column("roster_id"), *lists], names=["roster_id", "kind_ids", "value_ids", "attr_mask", "maskable_at"])
+
+    return run
 
 
 def masked_examples(encoded: DataFrame, seed: int = 0) -> DataFrame:

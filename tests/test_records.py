@@ -179,6 +179,28 @@ def test_encoding_pads_and_marks_unknown(spark):
         ]
 
 
+def test_cells_travel_as_numbers_and_large_ids_as_four(spark):
+    """One number a cell where bases fit, four where they don't; neither a struct, and both as the tokens say."""
+    rows = [(r, s, p, f"k{p % 2}", f"t{(r + s + p) % 5}", p % 2 == 1 if p else None) for r in range(40) for s in (1, 3) for p in range(3 if r else 1)]
+    toks = spark.createDataFrame(rows, "roster_id long, slot int, pos int, kind string, token string, maskable boolean")
+    kinds = spark.createDataFrame([("k0", 1), ("k1", 70000)], "kind string, kind_id int")
+    for factor in (1, (1 << 31) // 8):
+        vocab = spark.createDataFrame([(f"t{i}", 3 + i * factor) for i in range(4)], "token string, id int")
+        kinds_ = kinds if factor > 1 else kinds.where("kind_id = 1")
+        out = tokens.encode_tokens(toks, vocab, kinds_, attr_size=4)
+        assert "named_struct" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for r in out.collect():
+            held = {(s - 1) * 4 + p: (k, t, m) for i, s, p, k, t, m in rows if i == r["roster_id"]}
+            ids = {f"t{i}": 3 + i * factor for i in range(4)}
+            known = {"k0": 1, **({"k1": 70000} if factor > 1 else {})}
+            assert r["attr_mask"] == [i in held for i in range(12)]
+            assert r["value_ids"] == [ids.get(held[i][1], tokens.UNK_ID) if i in held else 0 for i in range(12)]
+            assert r["kind_ids"] == [known.get(held[i][0], 0) if i in held else 0 for i in range(12)]
+            assert r["maskable_at"] == [i for i in range(12) if i in held and held[i][2]]
+    with pytest.raises(Exception, match="same place"):
+        tokens.encode_tokens(toks.unionByName(toks), vocab, kinds).collect()
+
+
 def test_codebook_fallback(spark, tmp_path):
     stats = spark.createDataFrame([([0.0], [1.0])], "mean array<double>, std array<double>")
     units = spark.createDataFrame([("unit", 0, [1.0])], "kind string, id int, vec array<double>")
