@@ -497,7 +497,7 @@ def member_options_query(spark, sf):
 )
 def exclude_owned_query(spark, sf):
     """Species of the twelve most frequent configurations, offered to every roster that lacks them."""
-    held = roles.members(spark, sf)
+    held = stage(roles.members(spark, sf).drop("level"), "members")
     offered = stage(member_pool(held, 12).select("species_id").distinct(), "offered").agg(F.collect_set("species_id")).scalar()
     candidates = held.select("roster_id").distinct().select("roster_id", F.explode(offered).alias("species_id"))
     return exclude_owned(candidates, held.select("roster_id", "species"))

@@ -87,9 +87,14 @@ def member_options(members: DataFrame, limits: dict[str, int] = OPTION_LIMITS) -
 
 
 def exclude_owned(candidates: DataFrame, members: DataFrame) -> DataFrame:
-    """Candidates (roster_id, species_id, ...) that the roster does not hold already."""
-    owned = members.select("roster_id", bare_id(F.col("species")).alias("species_id"))
-    return candidates.join(owned, ["roster_id", "species_id"], "left_anti")
+    """Candidates (roster_id, species_id, ...) that the roster does not hold already.
+
+    A roster's species come as one set, by roster: candidates that lie by roster already are not moved again.
+    """
+    owned = members.groupBy(F.col("roster_id").alias("_roster")).agg(F.collect_set(bare_id(F.col("species"))).alias("_owned"))
+    both = candidates.join(owned, F.col("roster_id") == F.col("_roster"), "left")
+    lacks = ~F.coalesce(F.array_contains("_owned", F.col("species_id")), F.lit(False))
+    return both.where(lacks).select(*[candidates[c] for c in candidates.columns])
 
 
 @dataclass(frozen=True)

@@ -179,6 +179,23 @@ def test_encoding_pads_and_marks_unknown(spark):
         ]
 
 
+def test_exclude_owned_moves_candidates_by_roster_once(spark):
+    """Candidates keep their place: they are not shuffled after they are offered, and nulls stay candidates."""
+    from fieldshift.operators.recommend import exclude_owned
+
+    held = spark.createDataFrame([(1, "A-1"), (1, "B"), (2, None), (None, "A-1")], "roster_id long, species string")
+    offers = [(r, s, i) for i, (r, s) in enumerate([(1, "a1"), (1, "c"), (1, None), (2, "a1"), (3, "b"), (None, "a1")])]
+    rows = exclude_owned(spark.createDataFrame(offers, "roster_id long, species_id string, n int"), held)
+    assert rows.columns == ["roster_id", "species_id", "n"] and {r["n"] for r in rows.collect()} == {1, 2, 3, 4, 5}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        each = held.select("roster_id").distinct().select("roster_id", F.explode(F.array(F.lit("a1"), F.lit("c"))).alias("species_id"))
+        plan = exclude_owned(each, held)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 2  # the rosters and the members
+
+
 def test_cells_travel_as_numbers_and_large_ids_as_four(spark):
     """One number a cell where bases fit, four where they don't; neither a struct, and both as the tokens say."""
     rows = [(r, s, p, f"k{p % 2}", f"t{(r + s + p) % 5}", p % 2 == 1 if p else None) for r in range(40) for s in (1, 3) for p in range(3 if r else 1)]
