@@ -15,8 +15,9 @@ CENTROID_ARRAYS = (("cluster_centroids", "unit"), ("anchor_centroids", "anchor")
 
 
 def write_rosters(rosters: DataFrame, path: str, fmt: str = "json") -> None:
-    """Weighted rosters, one folder per season."""
-    rosters.write.format(fmt).partitionBy("season").save(path)
+    """Weighted rosters, one folder per season; text formats are written compressed."""
+    writer = rosters.write.format(fmt).partitionBy("season")
+    (writer.option("compression", "gzip") if fmt in ("json", "csv") else writer).save(path)
 
 
 def read_rosters(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:

@@ -218,6 +218,16 @@ def test_cells_travel_as_numbers_and_large_ids_as_four(spark):
         tokens.encode_tokens(toks.unionByName(toks), vocab, kinds).collect()
 
 
+def test_rosters_are_written_compressed(spark, tmp_path):
+    rows = [("1", "y1", "p", 5, 1.0, [("a", "b", "c", ["m"], "n", 3)])]
+    member = "struct<species:string,item:string,ability:string,moves:array<string>,nature:string,level:int>"
+    df = spark.createDataFrame(rows, f"roster_id string, season string, player string, ts long, weight double, members array<{member}>")
+    tables.write_rosters(df, str(tmp_path / "r"))
+    assert [f.name[-3:] for f in (tmp_path / "r").rglob("part-*")] == [".gz"]
+    back = tables.read_rosters(spark, str(tmp_path / "r")).first()
+    assert back["roster_id"] == "1" and back["season"] == "y1" and back["members"][0]["species"] == "a"
+
+
 def test_codebook_fallback(spark, tmp_path):
     stats = spark.createDataFrame([([0.0], [1.0])], "mean array<double>, std array<double>")
     units = spark.createDataFrame([("unit", 0, [1.0])], "kind string, id int, vec array<double>")
