@@ -266,6 +266,18 @@ def test_context_sets_are_independent_between_targets(spark):
     assert [r[0] for r in sizes] == [64]
 
 
+def test_pairing_vectors_join_ids_before_vectors(spark):
+    """The joins below the first join with vectors carry ids alone."""
+    from fieldshift.catalog import roles
+
+    sf = "/root/testdata/sf0.001"
+    rows = roles.pairing_vectors(spark, sf, roles.space(spark, sf))
+    assert rows.columns == ["pairing_id", "roster_a", "roster_b", "label", "a", "b"]
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in lines if "Join" in line]
+    assert "roster_" not in joins[0] + joins[1] and all("roster_" in line for line in joins[2:4])
+
+
 def test_context_sets_write_no_pairs_and_cross_ranges(spark, monkeypatch):
     """Places are looked up where a range's rows meet its targets: no shuffle holds a row per pair, ranges change nothing."""
     df = spark.createDataFrame([(f"r{i}", f"s{i % 2}", i // 300) for i in range(900)], "row_id string, season string, period_ix int")
