@@ -182,14 +182,20 @@ def score_pairs(pairs: DataFrame, rosters: DataFrame, model: PairModel, out: str
 
 
 def train_val_split(pairs: DataFrame, val_frac: float = 0.15, seed: int = 0, key: str = "pairing_id") -> DataFrame:
-    """Exactly floor(n * val_frac) seeded validation pairs.
+    """Exactly floor(n * val_frac) seeded validation pairs; ``key`` is unique.
 
-    Positions in draw order are counted per block of draws, not in one task.
+    Positions in draw order are counted on the keys alone, per block of draws; the last
+    validation pair's draw is the threshold, so whole pairs are not moved.
     """
-    ready = pairs.withColumn("_d", draw(seed, F.col(key)))
-    placed = numbered(ready, [], [F.substring("_d", 1, 4)], [F.col("_d"), F.col(key)], "_pos")
-    cut = pairs.agg(F.floor(F.count(F.lit(1)) * F.lit(float(val_frac)))).scalar()
-    return placed.withColumn("is_val", F.col("_pos") <= cut).drop("_d", "_pos")
+    drawn = draw(seed, F.col(key))
+    ids = stage(pairs.select(key).withColumn("_d", drawn), "draws")
+    cut = math.floor(ids.count() * float(val_frac))
+    placed = numbered(ids, [], [F.substring("_d", 1, 4)], [F.col("_d"), F.col(key)], "_pos")
+    last = placed.where(F.col("_pos") == cut).select("_d", key).first()
+    if last is None:
+        return pairs.withColumn("is_val", F.lit(False))
+    at = F.lit(last[key]).cast(pairs.schema[key].dataType)
+    return pairs.withColumn("is_val", (drawn < last["_d"]) | ((drawn == last["_d"]) & (F.col(key) <= at)))
 
 
 def auc(scored: DataFrame, prob: str = "win_prob", label: str = "label") -> DataFrame:

@@ -219,3 +219,12 @@ def test_first_step_model_is_the_gradient_at_zero(spark):
     assert np.allclose(np.array(model.gain), gain - gain.T)
 
 
+
+
+def test_split_does_not_move_pairs(spark):
+    pairs = spark.range(500).withColumnRenamed("id", "pairing_id").withColumn("a", F.array(F.lit(1.0)))
+    out = pairing.train_val_split(pairs, 0.15)
+    assert out.where("is_val").count() == 75 and out.count() == 500 and out.columns == ["pairing_id", "a", "is_val"]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert pairing.train_val_split(pairs, 0.0).where("is_val").count() == 0
+    assert pairing.train_val_split(pairs, 1.0).where("is_val").count() == 500
