@@ -1,3 +1,4 @@
+import itertools
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -379,3 +380,49 @@ def test_fingerprint_of_a_large_codebook_equals_the_held_one(spark, monkeypatch)
     near = lambda df: sorted((r[0], r[1], r[2], round(r[3], 10), round(r[4], 10)) for r in df.collect())
     table = load_codebook(book, "unit", max_bytes=100)
     assert near(cb.fingerprint(rows, table, top=5)) == near(cb.fingerprint(rows, cb.Centroids.load(book, "unit"), top=5))
+
+
+def test_roster_embedding_learns_from_every_pair(spark, monkeypatch):
+    """Pairs are counted whatever the slices; 300 rosters are enough to part 20 topics."""
+    from fieldshift.operators import word_vectors
+
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 9, 100)
+    ids = rng.integers(0, 7, lengths.sum())
+    want = np.zeros((7, 7))
+    for part in np.split(ids, np.cumsum(lengths)[:-1]):
+        for i, j in itertools.permutations(range(len(part)), 2):
+            want[part[i], part[j]] += 1
+    for pairs, cells in ((1 << 19, 1 << 22), (3, 1 << 22), (50, 1)):
+        monkeypatch.setattr(word_vectors, "PAIRS", pairs)
+        monkeypatch.setattr(word_vectors, "CELLS", cells)
+        got = np.zeros((7, 7))
+        for a, b, n in word_vectors.counted_pairs(ids, lengths, 7):
+            np.add.at(got, (a, b), n)
+        assert (got == want).all()
+    monkeypatch.undo()
+
+    topics = rng.integers(0, 20, 300)
+    rows = [
+        (r, s, 0, f"t{g if rng.random() > 0.3 else rng.integers(0, 20)}_{rng.integers(0, 15)}")
+        for r, g in enumerate(topics.tolist())
+        for s in range(12)
+    ]
+    rosters, words = cb.embed_rosters(spark.createDataFrame(rows, "roster_id long, slot int, pos int, token string"), size=32)
+    held = {r["token"]: np.array(r["vec"]) for r in words.collect()}
+    names = sorted(held)
+    unit = np.array([held[t] / np.linalg.norm(held[t]) for t in names])
+    near = unit @ unit.T
+    np.fill_diagonal(near, -1)
+    topic = np.array([t.split("_")[0] for t in names])
+    assert (topic[near.argmax(axis=1)] == topic).mean() > 0.85
+    mine = {r["roster_id"]: r["embedding"] for r in rosters.collect()}
+    assert all(np.allclose(mine[r], np.mean([held[x[3]] for x in rows if x[0] == r], axis=0)) for r in range(5))
+
+
+def test_roster_embedding_of_one_token_or_none(spark):
+    schema = "roster_id long, slot int, pos int, token string"
+    rosters, words = cb.embed_rosters(spark.createDataFrame([(1, 0, 0, "a"), (2, 0, 0, "a"), (2, 1, 0, "a")], schema), size=4)
+    assert [len(r["embedding"]) for r in rosters.collect()] == [4, 4] and words.count() == 1
+    rosters, words = cb.embed_rosters(spark.createDataFrame([], schema), size=4)
+    assert rosters.count() == words.count() == 0
