@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +52,8 @@ PART = 4096
 #: Bytes of text whose tokens are worked on at once.
 SLICE = 2 << 20
 RATE = 0.25
+#: Rows of a run that are added one by one.
+LONG = 32
 #: Rows of each weight table, and whether they score classes or the tokens of a class.
 SHAPES = {
     "previous": (CONTEXTS, CLASSES),
@@ -68,6 +70,23 @@ def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % TAILS
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of texts (bytes), A-Z lower-cased, one text after the other, and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    flat = split.flatten()
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at a text's ends leaves empty words
+    if not full.all():
+        flat, text = flat.filter(pa.array(full)), text[full]
+    return flat.view(pa.binary()), np.bincount(text, minlength=len(texts))
+
+
+def listed(words: pa.Array) -> list[bytes]:
+    """Words as Python bytes; none holds white space, so they are joined by a line break and split."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"\n")
+    return joined[0].as_py().split(b"\n") if len(words) else []
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, n over all texts, the end token being the empty word. Each task sums before it sends."""
 
@@ -82,9 +101,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
 
         for part in pieces(batches, "t"):
-            for text in part.column(0).to_pylist():
-                total.update(text.lower().split())
-                total[END] += 1
+            held = words_of(part.column(0))[0].value_counts()
+            total.update(dict(zip(listed(held.field(0)), held.field(1).to_pylist())))
+            total[END] += part.num_rows
             if len(total) > REMEMBERED:
                 yield flush()
         yield flush()
@@ -163,6 +182,23 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(known, total["n"] or 0, total["v"], {g: tuple(x) for g, x in tails.items()})
 
 
+def sums_of_rows(values: np.ndarray, order: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Sums of runs of the float32 rows ``values[order]``; a width is even.
+
+    Long runs are added row by row, which is contiguous. Of short ones two columns
+    are added at once, as the parts of a complex number.
+    """
+    out = np.empty((len(start), values.shape[1]), np.float32)
+    long = length > LONG
+    for i in np.flatnonzero(long).tolist():
+        values.take(order[start[i] : start[i] + length[i]], axis=0).sum(axis=0, out=out[i])
+    short = length[~long]
+    if len(short):
+        rows = values.take(order[np.repeat(~long, length)], axis=0).view(np.complex64)
+        out[~long] = np.add.reduceat(rows, np.cumsum(short) - short, axis=0).view(np.float32)
+    return out
+
+
 class Model:
     """Weights, and their use on arrays of tokens."""
 
@@ -201,15 +237,23 @@ class Model:
         }
 
     @staticmethod
-    def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Probabilities and the logarithm of each row's sum, in place of x."""
-        x -= x.max(axis=1, keepdims=True)
-        log_sum = np.empty(len(x), np.float32)
-        np.exp(x, out=x)
-        total = x.sum(axis=1)
-        np.log(total, out=log_sum)
+    def exps(x: np.ndarray):
+        """exp(x - shift), its sum over each row, and the shift: a row's largest value, or zero if all stay within single precision."""
+        ones = np.ones(x.shape[1], np.float32)
+        if x.size and x.max() < 60:
+            out = np.exp(x)
+            total = out.dot(ones)
+            if total.min() > 1e-20:
+                return out, total, np.float32(0)
+        shift = x.max(axis=1, keepdims=True)
+        out = np.exp(x - shift)
+        return out, out.dot(ones), shift[:, 0]
+
+    @classmethod
+    def softmax(cls, x: np.ndarray) -> np.ndarray:
+        x, total, _ = cls.exps(x)
         x /= total[:, None]
-        return x, log_sum
+        return x
 
     def outer(self, rows: dict[str, np.ndarray]) -> np.ndarray:
         x = self.weights[OUTER[0]].take(rows[OUTER[0]], axis=0)
@@ -217,14 +261,14 @@ class Model:
         taken = np.empty_like(x)
         for k in OUTER[1:]:
             x += np.take(self.weights[k], rows[k], axis=0, out=taken, mode="clip")
-        return self.softmax(x)[0]
+        return self.softmax(x)
 
     def inner(self, rows: dict[str, np.ndarray], head: np.ndarray, group: np.ndarray) -> np.ndarray:
         x = self.inner_bias.take(group, axis=0)
         taken = np.empty_like(x)
         for k in INSIDE:
             x += np.take(self.weights[k], rows[k][head], axis=0, out=taken, mode="clip")
-        return self.softmax(x)[0]
+        return self.softmax(x)
 
     def logs(self, tables: tuple[str, ...], rows: dict[str, np.ndarray], bias: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Natural logarithm of the probability of place ``at`` of every row; no other is normalised."""
@@ -233,9 +277,8 @@ class Model:
         taken = np.empty_like(x)
         for k in tables[1:]:
             x += np.take(self.weights[k], rows[k], axis=0, out=taken, mode="clip")
-        x -= x.max(axis=1, keepdims=True)
-        picked = x[np.arange(len(at)), at].astype(np.float64)
-        return picked - np.log(np.exp(x, out=x).sum(axis=1))
+        _, total, shift = self.exps(x)
+        return (x[np.arange(len(at)), at] - shift).astype(np.float64) - np.log(total)
 
     def log10(self, outcome, one, two, three=None) -> np.ndarray:
         """log10 P(class) and, for head tokens, P(token | class), of each token; without ``three`` texts start at ``two``."""
@@ -275,11 +318,16 @@ class Model:
         sorted_ = row[order]
         start = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
         touched = sorted_[start]
-        sums = np.add.reduceat(gradient.take(order, axis=0), start, axis=0)
-        sums /= np.diff(np.r_[start, len(order)]).astype(np.float32)[:, None] ** 0.5
-        square = squares[name][touched] + sums * sums
+        length = np.diff(np.r_[start, len(order)])
+        sums = sums_of_rows(gradient, order, start, length)
+        sums /= np.sqrt(length, dtype=np.float32)[:, None]
+        square = squares[name].take(touched, axis=0)
+        square += sums * sums
         squares[name][touched] = square
-        self.weights[name][touched] -= RATE * sums / np.sqrt(square + 1e-6)
+        square += 1e-6
+        sums *= RATE
+        sums /= np.sqrt(square, out=square)
+        self.weights[name][touched] -= sums
 
     def pack(self) -> np.ndarray:
         return np.concatenate([w.ravel() for w in self.weights.values()])
@@ -330,12 +378,12 @@ def averaged(rows: DataFrame) -> np.ndarray:
 
 
 def _slices(batches, words: Packed, column: int):
-    """(record batch, word lists, packed words, lengths) of slices of bounded size."""
+    """(record batch, words, packed words, lengths) of slices of bounded size; a slice's distinct words are packed once."""
     for part in pieces(batches, "t", SLICE):
-        texts = [t.lower().split() for t in part.column(column).to_pylist()]
-        lengths = np.array([len(t) for t in texts], np.int64)
-        packed = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.int64, int(lengths.sum()))
-        yield part, texts, packed, lengths
+        flat, lengths = words_of(part.column(column))
+        coded = flat.dictionary_encode()
+        distinct = np.fromiter(map(words.__getitem__, listed(coded.dictionary)), np.int64, len(coded.dictionary))
+        yield part, flat, distinct[coded.indices.to_numpy(zero_copy_only=False)], lengths
 
 
 def fit(docs: DataFrame, shared: Broadcast, rounds: int = ROUNDS) -> Model:
@@ -391,7 +439,7 @@ def score(docs: DataFrame, model: Model, shared: Broadcast, counts: DataFrame) -
         log_count = np.log10(vocabulary_.counts + 1.0)
         end = vocabulary_.pack(END)
         at, words = 0, packed_words(shared)
-        for part, texts, packed, lengths in _slices(batches, words, 2):
+        for part, flat, packed, lengths in _slices(batches, words, 2):
             n_docs = len(lengths)
             tokens = model.sequence(packed & 2047, packed >> 11 & 4095, lengths, end & 2047)
             logs = model.log10(*tokens)
@@ -410,14 +458,13 @@ def score(docs: DataFrame, model: Model, shared: Broadcast, counts: DataFrame) -
             marks = [b" %d %d" % (at, i) for i in range(n_docs)]
             at += 1
             rare = np.flatnonzero(known == 0)
-            flat = list(chain.from_iterable(texts))
             who = np.r_[np.arange(n_docs), doc[rare]]
             zeros = np.zeros(len(rare))
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(pa.array(who)),
                     part.column(1).take(pa.array(who)),
-                    pa.array(marks + [flat[i] for i in rare.tolist()], pa.binary()),
+                    pa.concat_arrays([pa.array(marks, pa.binary()), flat.take(pa.array(rare))]),
                     pa.array(np.r_[np.ones(n_docs, np.int32), np.zeros(len(rare), np.int32)]),
                     pa.array(np.r_[lengths + 1, zeros.astype(np.int64)]),
                     pa.array(np.r_[n_known, zeros.astype(np.int64)]),

@@ -330,3 +330,48 @@ def test_keep_first_links_by_fingerprints(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_first(docs, least=0.05).collect()} == {0, 9}
     assert simhash.keep_first(docs).count() == 5  # linked texts of lower similarity stay
+
+
+def test_lm_sums_and_exponentials():
+    """Sums of runs, long and short, and softmaxes of values far out of single precision's reach."""
+    from fieldshift.llm import maxent
+
+    rng = np.random.default_rng(3)
+    for width in (32, 64):
+        row = np.minimum((rng.pareto(0.6, 5000) * 5).astype(int), 999)
+        values = rng.random((5000, width), dtype=np.float32)
+        order = np.argsort(row, kind="stable")
+        touched, start, length = np.unique(row[order], return_index=True, return_counts=True)
+        assert length.min() <= maxent.LONG < length.max()
+        got = maxent.sums_of_rows(values, order, start, length)
+        want = np.stack([values[row == r].astype(float).sum(axis=0) for r in touched])
+        assert np.allclose(got, want, rtol=1e-4)
+    near = rng.normal(size=(8, 32)).astype(np.float32)
+    for move in (0, 200, -200):
+        x = near + np.float32(move)
+        p = maxent.Model.softmax(x.copy())
+        assert np.allclose(p, np.exp(near) / np.exp(near).sum(axis=1, keepdims=True), rtol=1e-3)
+
+
+def test_lm_words_of_slices_are_the_split_bytes():
+    """Words come from Arrow as bytes.split gives them, distinct ones packed once."""
+    import pyarrow as pa
+
+    from fieldshift.llm import maxent
+
+    draw = random.Random(1)
+    signs = [b"a", b"B", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x85", b"\xc2\xa0", b"\xc3\x84", b"\x00", b"Z"]
+    texts = [b"".join(draw.choices(signs, k=draw.randint(0, 12))) for _ in range(3000)] + [b"", b" "]
+    flat, lengths = maxent.words_of(pa.array(texts, pa.binary()).slice(5))
+    want = [t.lower().split() for t in texts[5:]]
+    assert flat.to_pylist() == maxent.listed(flat) == [w for t in want for w in t] and lengths.tolist() == [len(t) for t in want]
+    asked = []
+
+    class Words(dict):
+        def __missing__(self, word):
+            asked.append(word)
+            return len(word)
+
+    batch = pa.record_batch([pa.array(texts, pa.binary())], names=["t"])
+    ((_, flat, packed, _),) = maxent._slices([batch], Words(), 0)
+    assert packed.tolist() == [len(w) for w in flat.to_pylist()] and len(asked) == len(set(asked))
