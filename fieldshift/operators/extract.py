@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldshift.functions.vectors import let
+
 FULL_SIZE = 6
 SOURCE_WEIGHT = 8.0
 DIGITS = "^[0-9]+$"
-LINE_END = r"\r\n|\n|\r"
+BLANKS = " \t\n\x0b\f\r"
 
 # Positions of the fields in a packed member.
 PACKED = {"species": 0, "item": 2, "ability": 3, "moves": 4, "nature": 5, "gender": 7, "level": 10}
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def _lines(text: Column) -> Column:
+    """Lines without white space at their ends, empty ones left out."""
+    ended = F.split(F.replace(text, F.lit("\r"), F.lit("\n")), "\n")
+    return F.filter(F.transform(ended, _strip), lambda s: s != "")
 
 
 def _level(text: Column) -> Column:
@@ -50,7 +58,7 @@ def rosters_of_logs(battles: DataFrame) -> DataFrame:
     The lines of a log stay inside its row: a side's last shown team and last
     player win, and so does the last winner line. No line is shuffled.
     """
-    lines = F.filter(F.transform(F.split("log", LINE_END), _strip), lambda s: s != "")
+    lines = _lines(F.col("log"))
 
     def events(kind: str, least: int) -> Column:
         return F.filter("_parts", lambda p: (F.get(p, F.lit(0)) == kind) & (F.size(p) >= least))
@@ -104,64 +112,69 @@ def parse_export(text: Column) -> Column:
     and unknown ones ignored.
     """
 
-    def value(line: Column) -> Column:
-        return _strip(F.regexp_replace(line, r"^[^:]*:", ""))
+    def begins(line: Column, word: str) -> Column:
+        return F.lower(F.left(line, F.lit(len(word)))) == word
 
-    def last(lines: Column, pattern: str, take) -> Column:
-        hits = F.filter(lines, lambda s: s.rlike(pattern))
-        return F.coalesce(take(_last(hits)), F.lit(""))
+    def after(line: Column, word: str) -> Column:
+        return _strip(F.substring(line, len(word) + 1, 1 << 30))
 
     def in_last(head: Column) -> Column:
         """What the parentheses that end a head hold, else nothing."""
         closed = F.endswith(head, F.lit(")")) & F.contains(head, F.lit("("))
-        held = F.rtrim(F.substring_index(head, "(", -1))
-        held = F.substring(held, F.lit(1), F.char_length(held) - 1)
-        return F.when(closed & ~F.contains(held, F.lit(")")), held).otherwise("")
+        return F.when(closed, let(F.rtrim(F.substring_index(head, "(", -1)), held_in)).otherwise("")
+
+    def held_in(end: Column) -> Column:
+        held = F.substring(end, F.lit(1), F.char_length(end) - 1)
+        return F.when(~F.contains(held, F.lit(")")), held).otherwise("")
 
     def before_last(head: Column) -> Column:
         return _strip(F.substring(head, F.lit(1), F.char_length(head) - F.char_length(F.substring_index(head, "(", -1)) - 1))
 
-    def gender_of(head: Column) -> Column:
-        return F.when(in_last(head).isin("M", "F", "N"), in_last(head)).otherwise("")
+    def without_gender(left: Column) -> Column:
+        """Gender and what stands before it."""
+        return let(
+            in_last(left),
+            lambda held: F.when(held.isin("M", "F", "N"), F.struct(held.alias("gender"), before_last(left).alias("named"))).otherwise(
+                F.struct(F.lit("").alias("gender"), left.alias("named"))
+            ),
+        )
 
-    def parts(lines: Column) -> Column:
-        head = F.get(lines, F.lit(0))
-        rest = F.slice(lines, 2, 1 << 30)
-        left = _strip(F.regexp_extract(head, r"^([^@]*)", 1))
-        return F.struct(
-            head.alias("head"),
-            gender_of(left).alias("gender"),
-            F.when(gender_of(left) == "", left).otherwise(before_last(left)).alias("named"),
-            F.filter(rest, lambda s: s.rlike(r"^-[ \t]")).alias("bullets"),
-            F.filter(rest, lambda s: ~s.rlike(r"^-[ \t]") & (s != "-")).alias("plain"),
+    def member(lines: Column) -> Column:
+        return let(
+            F.struct(
+                F.get(lines, F.lit(0)).alias("head"),
+                let(_strip(F.substring_index(F.get(lines, F.lit(0)), "@", 1)), without_gender).alias("left"),
+                F.slice(lines, 2, 1 << 30).alias("rest"),
+            ),
+            fields,
         )
 
-    def member(p: Column) -> Column:
-        head, named, plain, gender = p["head"], p["named"], p["plain"], p["gender"]
-        inner = in_last(named)
-        level = F.filter(
-            F.transform(F.filter(plain, lambda s: s.rlike(r"(?i)^level:")), value), lambda v: v.rlike(DIGITS)
+    def fields(p: Column) -> Column:
+        bullet = lambda s: F.startswith(s, F.lit("- ")) | F.startswith(s, F.lit("-\t"))
+        ability = _last(F.filter(p["rest"], lambda s: begins(s, "ability:")))
+        digits = F.filter(
+            F.transform(F.filter(p["rest"], lambda s: begins(s, "level:")), lambda s: after(s, "level:")), lambda v: v.rlike(DIGITS)
         )
-        moves = F.transform(p["bullets"], lambda s: _strip(F.substring(s, 2, 1 << 30)))
+        nature = _last(
+            F.filter(
+                p["rest"],
+                lambda s: F.contains(F.lower(s), F.lit("nature"))
+                & ~bullet(s) & ~begins(s, "ability:") & ~begins(s, "level:") & s.rlike(r"(?i)nature$"),
+            )
+        )
+        moves = F.transform(F.filter(p["rest"], bullet), lambda s: after(s, "-"))
         return F.struct(
-            F.when(inner != "", _strip(inner)).otherwise(named).alias("species"),
-            _strip(F.regexp_extract(head, r"^[^@]*@(.*)$", 1)).alias("item"),
-            last(plain, r"(?i)^ability:", value).alias("ability"),
+            let(in_last(p["left"]["named"]), lambda inner: F.when(inner != "", _strip(inner)).otherwise(p["left"]["named"])).alias("species"),
+            _strip(F.regexp_extract(p["head"], r"^[^@]*@(.*)$", 1)).alias("item"),
+            F.coalesce(let(ability, lambda s: after(s, "ability:")), F.lit("")).alias("ability"),
             moves.alias("moves"),
-            last(
-                F.filter(plain, lambda s: ~s.rlike(r"(?i)^(ability|level):")),
-                r"(?i)nature$",
-                lambda s: _strip(F.regexp_replace(s, r"(?i)nature$", "")),
-            ).alias("nature"),
-            _last(level).cast("int").alias("level"),
-            F.nullif(gender, F.lit("")).alias("gender"),
+            F.coalesce(_strip(F.regexp_replace(nature, r"(?i)nature$", "")), F.lit("")).alias("nature"),
+            _last(digits).cast("int").alias("level"),
+            F.nullif(p["left"]["gender"], F.lit("")).alias("gender"),
         )
 
     blocks = F.filter(F.split(_strip(text), r"\n\s*\n"), lambda b: _strip(b) != "")
-    lines = F.transform(
-        blocks, lambda b: F.filter(F.transform(F.split(b, LINE_END), _strip), lambda s: s != "")
-    )
-    return F.filter(F.transform(F.transform(lines, parts), member), lambda m: m["species"] != "")
+    return F.filter(F.transform(F.transform(blocks, _lines), member), lambda m: m["species"] != "")
 
 
 def placement_weight(placing: Column, source_weight: float = SOURCE_WEIGHT) -> Column:

@@ -253,3 +253,15 @@ def test_large_rosters_are_encoded_whole(spark):
     enc = tokens.encode_tokens(toks, vocab, kinds).first()
     assert len(enc["value_ids"]) == 13 * 20 and sum(enc["attr_mask"]) == toks.count()
     assert tokens.token_rows(members, dim, ("hp",), team_size=6, attr_size=15).agg({"slot": "max"}).first()[0] == 6
+
+
+def test_parse_export_takes_no_pattern_per_line(spark):
+    """Lines are told apart by how they begin; only a member's item, nature and level meet a pattern, once each."""
+    text = "\x0b Nick ( Rotom ) (F)  @ Leftovers \r\nABILITY: a\r\n-\tBolt\r- nature\n-\nLevel: x\nlevel: 50\rBold nature\n \t\n\nMew\nAbility: Nature\n"
+    df = spark.createDataFrame([(text,)], "t string").select(extract.parse_export(F.col("t")).alias("m"))
+    assert [tuple(m) for m in one(df)] == [
+        ("Rotom", "Leftovers", "a", ["Bolt", "nature"], "Bold", 50, "F"),
+        ("Mew", "", "Nature", [], "", None, None),
+    ]
+    plan = df._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("regexp_") + plan.count("rlike") <= 6 and "ability:" in plan and "^ability" not in plan
