@@ -61,21 +61,27 @@ def rosters_of_logs(battles: DataFrame) -> DataFrame:
     lines = _lines(F.col("log"))
 
     def events(kind: str, least: int) -> Column:
-        return F.filter("_parts", lambda p: (F.get(p, F.lit(0)) == kind) & (F.size(p) >= least))
-
-    shown = F.transform(
-        F.filter("_lines", lambda s: s.startswith("|showteam|")),
-        lambda s: F.struct(
-            F.regexp_extract(s, r"^\|showteam\|([^|]*)\|", 1).alias("side"),
-            F.regexp_extract(s, r"(?s)^\|showteam\|[^|]*\|(.*)$", 1).alias("packed"),
-        ),
-    )
+        """Fields of the lines of one kind, with or without the bar that opens a line; no other line is cut."""
+        bare = F.transform(
+            F.filter("_lines", lambda s: F.startswith(s, F.lit(f"|{kind}|")) | F.startswith(s, F.lit(f"{kind}|"))),
+            lambda s: F.when(F.startswith(s, F.lit("|")), F.substring(s, 2, 1 << 30)).otherwise(s),
+        )
+        return F.filter(F.transform(bare, lambda s: F.split(s, r"\|", -1)), lambda p: F.size(p) >= least)
+
+    def team(rest: Column) -> Column:
+        """Side and packed team behind the kind of a line; both are empty where no bar parts them."""
+        side = F.substring_index(rest, "|", 1)
+        packed = F.substring(rest, F.char_length(side) + 2, F.lit(1 << 30))
+        parted = F.contains(rest, F.lit("|"))
+        return F.struct(F.when(parted, side).otherwise("").alias("side"), F.when(parted, packed).otherwise("").alias("packed"))
+
+    teams = F.filter("_lines", lambda s: s.startswith("|showteam|"))
+    shown = F.transform(F.transform(teams, lambda s: F.substring(s, len("|showteam|") + 1, 1 << 30)), team)
     players = F.transform(
         events("player", 3),
         lambda p: F.struct(F.get(p, F.lit(1)).alias("side"), F.get(p, F.lit(2)).alias("player")),
     )
     df = battles.select("battle_id", "ts", "season", lines.alias("_lines"))
-    df = df.withColumn("_parts", F.transform("_lines", lambda s: F.split(F.regexp_replace(s, r"^\|", ""), r"\|", -1)))
     df = df.select(
         "battle_id",
         "ts",

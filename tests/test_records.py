@@ -265,3 +265,14 @@ def test_parse_export_takes_no_pattern_per_line(spark):
     ]
     plan = df._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("regexp_") + plan.count("rlike") <= 6 and "ability:" in plan and "^ability" not in plan
+
+
+def test_rosters_of_logs_cut_only_lines_of_their_kind(spark):
+    """Team lines are not cut at every bar, nor taken apart by patterns; a line may lack its opening bar."""
+    log = "player|p1|ann|x\n|player|p2|bob\n|player|p2\n|showteam|p1|A||i|b|m,n\n|showteam|p2\n||player|p2|no\nwin|ann\n|win|"
+    rows = spark.createDataFrame([("1", 5, "s", log), ("2", 6, "s", "|showteam|p9|Z")], "battle_id string, ts long, season string, log string")
+    out = extract.rosters_of_logs(rows)
+    got = {(r["battle_id"], r["side"]): (r["player"], r["won"], [m["species"] for m in r["members"]]) for r in out.collect()}
+    assert got == {("1", "p1"): ("ann", None, ["A"]), ("1", ""): (None, None, []), ("2", "p9"): (None, None, ["Z"])}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "regexp_extract" not in plan and "regexp_replace" not in plan
