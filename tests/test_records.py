@@ -276,3 +276,15 @@ def test_rosters_of_logs_cut_only_lines_of_their_kind(spark):
     assert got == {("1", "p1"): ("ann", None, ["A"]), ("1", ""): (None, None, []), ("2", "p9"): (None, None, ["Z"])}
     plan = out._jdf.queryExecution().analyzed().toString()
     assert "regexp_extract" not in plan and "regexp_replace" not in plan
+
+
+def test_families_move_only_the_fields_of_their_rules(spark):
+    """Item, nature and level are not shuffled for a family, moves travel as one text; the families are those of whole rosters."""
+    from fieldshift.catalog import roles
+
+    sf = "/root/testdata/sf0.001"
+    got = roles.families(spark, sf)
+    whole = roles.member_lists(spark, sf).select("roster_id", tokens.classify_family(F.col("members"), roles.RULES).alias("family"))
+    assert sorted(got.collect()) == sorted(whole.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "p_type" not in plan and "l_linestatus" not in plan
