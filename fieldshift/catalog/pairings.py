@@ -324,8 +324,8 @@ COMPLETED = (
 def recommend(spark, sf):
     """Every roster of fewer than six members, with one item and one ability left out."""
     dim = stage(roles.dimension(spark, sf), "dimension")
-    rows = stage(with_tokens(roles.members(spark, sf), dim, roles.ROLE_STATS), "members")
-    members = rows.drop("tokens")
+    rows = stage(with_tokens(roles.members(spark, sf, "size"), dim, roles.ROLE_STATS), "members")
+    members = rows.drop("tokens", "size")
     vectors = stage(roles.token_vectors(rows), "token-vectors")
     whole = roster_sums(token_sums(rows, vectors, Vocabulary.load(vectors)), 8).select("roster_id", pooled(F.col("s"), F.col("n")).alias("embedding"))
     whole = stage(whole, "pooled")
@@ -338,7 +338,8 @@ def recommend(spark, sf):
     sampled = pairing.unit_samples(roles.roster(spark, sf)).select("roster_id", F.col("unit").alias("family"))
     field = pairing.Field.load(sampled.join(rosters, "roster_id"), "family")
     unfinished = (
-        members.join(members.groupBy("roster_id").count().where(F.col("count") < 6).select("roster_id"), "roster_id")
+        rows.where(F.col("size") < 6)
+        .drop("tokens", "size")
         .withColumn("item", F.when(F.col("slot") != 1, F.col("item")))
         .withColumn("ability", F.when(F.col("slot") != 2, F.col("ability")))
     )
@@ -348,4 +349,6 @@ def recommend(spark, sf):
         *[F.get("per_family", F.lit(i))["family"].alias(f"family_{i + 1}") for i in range(3)],
         *[F.get("per_family", F.lit(i))["rate"].alias(f"rate_{i + 1}") for i in range(3)],
     )
-    return rounded(wide, "winrate_vs_worst", "delta", "rate_1", "rate_2", "rate_3")
+    # millions of win rates: rounded by arithmetic, since F.round goes through decimal text for each
+    shown = {c: F.rint(F.col(c) * 1e6) / 1e6 + 0.0 for c in ("winrate_vs_worst", "delta", "rate_1", "rate_2", "rate_3")}
+    return wide.withColumns(shown)

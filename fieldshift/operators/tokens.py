@@ -78,10 +78,15 @@ def dimension_lookup(members: DataFrame, dimension: DataFrame, stats: Sequence[s
     return joined.withColumns({s: F.coalesce(F.col(s), F.lit(0)) for s in stats})
 
 
-def attribute_tokens(stats: Sequence[str] = STATS) -> Column:
-    """Tokens of one member row (after the lookup): all types, stats, item, ability, nature, all moves."""
+def attribute_tokens(stats: Sequence[str] = STATS, text_only: bool = False) -> Column:
+    """Tokens of one member row (after the lookup): all types, stats, item, ability, nature, all moves.
+
+    Structs of kind, token and maskable, or with ``text_only`` the token alone.
+    """
 
     def token(kind: str, text: Column, maskable: bool) -> Column:
+        if text_only:
+            return text
         return F.struct(F.lit(kind).alias("kind"), text.alias("token"), F.lit(maskable).alias("maskable"))
 
     def named(kind: str, value: Column) -> Column:

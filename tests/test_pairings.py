@@ -228,3 +228,69 @@ def test_split_does_not_move_pairs(spark):
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert pairing.train_val_split(pairs, 0.0).where("is_val").count() == 0
     assert pairing.train_val_split(pairs, 1.0).where("is_val").count() == 500
+
+
+def test_series_rates_stay_within_their_error():
+    from fieldshift.operators.recommend import SCREEN, series_rates
+
+    rng = np.random.default_rng(11)
+    errors = []
+    for scale in (0.05, 1.0, 8.0):
+        mine, gain, constant = scale * rng.normal(size=(50, 6)) * 20, scale * rng.normal(size=(30, 6)) * 4, rng.normal(size=6)
+        count = rng.integers(5, 40, 50).astype(float)
+        got, error = series_rates(mine, count, gain, 7.0, constant)
+        logit = (mine[:, None, :] + gain[None]) / (count[:, None, None] + 7.0) + constant
+        want = (1 / (1 + np.exp(-logit))).mean(axis=2)
+        assert (np.abs(got - want).max(axis=1) <= error).all()
+        errors.append(error.max())
+    assert errors[0] < SCREEN < errors[2]
+
+
+@pytest.mark.parametrize("scale", [0.05, 30.0])
+def test_completion_scores_gaps_without_multiplying_rosters(spark, scale):
+    """Weak models are screened by series, strong ones cell by cell; either way the best members are those of a search of all."""
+    from fieldshift.operators.recommend import recommend_completions
+
+    rng = np.random.default_rng(12)
+    schema = "roster_id long, slot int, species string, item string, ability string, moves array<string>, nature string"
+    # each species has one configuration, so that a candidate is a species
+    kind = {f"s{i}": (f"it{i % 4}", f"ab{i % 3}", [f"m{j}" for j in rng.choice(9, size=2 + i % 3, replace=False)]) for i in range(30)}
+    corpus = [(r, k + 1, s, *kind[s], "n") for r in range(40) for k, s in enumerate(rng.choice(sorted(kind), size=6, replace=False))]
+    mine = [(r, k + 1, s, *kind[s], "n") for r in range(100, 112) for k, s in enumerate(rng.choice(sorted(kind), size=1 + r % 5, replace=False))]
+    dim = spark.createDataFrame([(s, [], 1) for s in kind], "id string, types array<string>, hp int")
+
+    def tokens(s):
+        item, ability, moves = kind[s]
+        return ["base_stat:hp:1", f"item:{item}", f"ability:{ability}", "nature:n"] + [f"move:{m}" for m in moves]
+
+    vec = {t: rng.normal(size=4) for t in sorted({t for s in kind for t in tokens(s)})}
+    vectors = spark.createDataFrame([(t, v.tolist()) for t, v in vec.items()], "token string, vec array<double>")
+    frame = spark.createDataFrame([([0.1] * 4, [0.5] * 4)], "mean array<double>, std array<double>")
+    g = rng.normal(size=(4, 4)) * scale
+    model = pairing.PairModel(tuple((rng.normal(size=4) * scale).tolist()), tuple(map(tuple, (g - g.T).tolist())))
+    opponents = [(f"f{i % 4}", rng.normal(size=4).tolist()) for i in range(24)]
+    field = pairing.Field.load(spark.createDataFrame(opponents, "family string, embedding array<double>"), "family")
+    frames = [spark.createDataFrame(x, schema) for x in (mine, corpus)]
+    out = recommend_completions(frames[0], dim, vectors, frame, model, field, frames[1], ("hp",))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1  # the dimension's
+
+    def rate(species, f):
+        toks = [t for s in species for t in tokens(s)]
+        x = (np.sum([vec[t] for t in toks], axis=0) / len(toks) - 0.1) / 0.5
+        w, gain = np.array(model.weights), np.array(model.gain)
+        return np.mean([1 / (1 + np.exp(-(w @ (x - np.array(y)) + x @ gain @ np.array(y)))) for u, y in opponents if u == f])
+
+    got = {}
+    for r in out.collect():
+        if r["slot"] == "member":
+            got.setdefault(r["roster_id"], {})[r["rank"]] = (r["label"], r["winrate_vs_worst"])
+    assert set(got) == {r[0] for r in mine}
+    seen = {r[2] for r in corpus}
+    for roster, found in got.items():
+        team = [r[2] for r in mine if r[0] == roster]
+        worst = sorted((f"f{i}" for i in range(4)), key=lambda f: (round(rate(team, f), 12), f))[:3]
+        best = sorted((-round(np.mean([rate([*team, s], f) for f in worst]), 12), f"{s} @ {kind[s][0]}") for s in seen - set(team))[:5]
+        assert [found[k][1] for k in range(1, 6)] == pytest.approx([-v for v, _ in best], abs=1e-9)
+        if scale < 1:
+            assert [found[k][0] for k in range(1, 6)] == [label for _, label in best]
