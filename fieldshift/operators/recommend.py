@@ -405,11 +405,11 @@ def _scorer(field: Field, model: PairModel, mean: np.ndarray, std: np.ndarray, p
 
     def won(total: np.ndarray, size: np.ndarray, shift: np.ndarray) -> np.ndarray:
         """Mean win rate for projected sums (..., opponents), which are overwritten."""
-        total /= size[..., None]
-        total += shift
-        np.exp(np.negative(total, out=total), out=total)
+        total *= (-1.0 / size)[..., None]
+        total -= shift
+        np.exp(total, out=total)
         total += 1.0
-        return np.reciprocal(total, out=total).mean(axis=-1)
+        return np.reciprocal(total, out=total) @ np.full(total.shape[-1], 1.0 / total.shape[-1], total.dtype)
 
     def exact(row: np.ndarray, gain: np.ndarray, at: np.ndarray, size: np.ndarray, mine: np.ndarray, worst: np.ndarray) -> np.ndarray:
         """Win rates of candidates (their row, place in ``gain`` and token count) against the row's worst families."""
@@ -421,7 +421,9 @@ def _scorer(field: Field, model: PairModel, mean: np.ndarray, std: np.ndarray, p
                 most = max(1, EXACT_CELLS // near.shape[1])
                 for start in range(0, len(held), most):
                     some = held[start : start + most]
-                    rates[some, k] = won(near[row[some]] + theirs[at[some]], size[some], constant[among])
+                    total = np.take(near, row[some], axis=0)
+                    total += np.take(theirs, at[some], axis=0)
+                    rates[some, k] = won(total, size[some], constant[among])
         return rates
 
     def ordered(gap: np.ndarray, value: np.ndarray, name_rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -502,10 +504,7 @@ def _scorer(field: Field, model: PairModel, mean: np.ndarray, std: np.ndarray, p
 
     def rates_of(mine: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Win rate of every row against every family."""
-        p = mine / count[:, None] + constant
-        np.exp(np.negative(p, out=p), out=p)
-        p += 1.0
-        return np.add.reduceat(np.reciprocal(p, out=p), field.starts, axis=1) / field.counts
+        return np.stack([won(np.array(mine[:, among]), count, constant[among]) for among in blocks], axis=1)
 
     def scored(part: pa.RecordBatch):
         """Record batches with the best of every gap of the rosters."""

@@ -288,3 +288,15 @@ def test_families_move_only_the_fields_of_their_rules(spark):
     assert sorted(got.collect()) == sorted(whole.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "p_type" not in plan and "l_linestatus" not in plan
+
+
+def test_members_are_numbered_without_lists(spark):
+    from fieldshift.catalog import roles
+
+    sf = "/root/testdata/sf0.001"
+    got = roles.members(spark, sf, "size")
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    lists = roles.member_lists(spark, sf).select("roster_id", F.size("members").alias("size"), F.posexplode("members").alias("pos", "m"))
+    want = lists.select("roster_id", (F.col("pos") + 1).alias("slot"), "m.*", "size")
+    assert got.dtypes == want.dtypes and got.count() == want.count() > 0
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
