@@ -426,3 +426,37 @@ def test_roster_embedding_of_one_token_or_none(spark):
     assert [len(r["embedding"]) for r in rosters.collect()] == [4, 4] and words.count() == 1
     rosters, words = cb.embed_rosters(spark.createDataFrame([], schema), size=4)
     assert rosters.count() == words.count() == 0
+
+
+@pytest.mark.parametrize("name", ["knn_exact", "knn_exact_euclidean"])
+def test_every_vector_is_a_query(spark, name):
+    """The registered searches ask for the neighbours of every row, not of some ids."""
+    import __spark_entry__ as entry_point
+
+    sf = "/root/testdata/sf0.001"
+    rows = entry_point.queries()[name](spark, sf)
+    ids = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    if name == "knn_lsh":
+        assert tuple(rows.first()) == (10 * len(ids), len(ids), True, True)
+    elif name == "knn_report":  # only vectors that a roster holds have a text
+        held = {r["o_custkey"] % len(ids) for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().collect()}
+        near = neighbors.knn_exact(spark.read.parquet(f"{sf}/embeddings.parquet"), 5, "euclidean", "vec_id").select("id", "neighbor_id").collect()
+        assert {r["id"] for r in rows.collect()} == {r["id"] for r in near if r["id"] in held and r["neighbor_id"] in held}
+    else:
+        assert sorted(r["id"] for r in rows.collect()) == sorted(i for i in ids for _ in range(10))
+
+
+def test_knn_by_groups_of_blocks_matches_brute_force(spark, monkeypatch):
+    """Many groups, each meeting all others: the same neighbours, and no row holds two blocks."""
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 8 * 5 * 6)
+    monkeypatch.setattr(neighbors, "GROUP_BYTES", 8 * 5 * 60)
+    plans = {}
+    keep = neighbors.stage
+    monkeypatch.setattr(neighbors, "stage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and keep(df, name))
+    x = np.random.default_rng(8).normal(size=(250, 5))
+    x[90:110] = x[3]
+    got = {}
+    for r in neighbors.knn_exact(frame(spark, x).repartition(5), 4, "euclidean").collect():
+        got.setdefault(r["id"], {})[r["neighbor_rank"]] = r["neighbor_id"]
+    assert [[got[i][k] for k in range(1, 5)] for i in range(250)] == brute(x, 4, "euclidean")
+    assert "points_other" not in plans["knn-near"] + plans["knn-rest"]
