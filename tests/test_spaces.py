@@ -428,7 +428,7 @@ def test_roster_embedding_of_one_token_or_none(spark):
     assert rosters.count() == words.count() == 0
 
 
-@pytest.mark.parametrize("name", ["knn_exact", "knn_exact_euclidean", "knn_report"])
+@pytest.mark.parametrize("name", ["knn_exact", "knn_exact_euclidean", "knn_report", "knn_lsh"])
 def test_every_vector_is_a_query(spark, name):
     """The registered searches ask for the neighbours of every row, not of some ids."""
     import __spark_entry__ as entry_point
