@@ -460,3 +460,21 @@ def test_knn_by_groups_of_blocks_matches_brute_force(spark, monkeypatch):
         got.setdefault(r["id"], {})[r["neighbor_rank"]] = r["neighbor_id"]
     assert [[got[i][k] for k in range(1, 5)] for i in range(250)] == brute(x, 4, "euclidean")
     assert "points_other" not in plans["knn-near"] + plans["knn-rest"]
+
+
+def test_fit_units_runs_every_restart_from_all_rows(spark, monkeypatch):
+    """The query moves ten restarts, as the reference does, and what they start from is drawn among all rows."""
+    import __spark_entry__ as entry_point
+
+    scans = []
+    whole = cb.centre_sums
+    monkeypatch.setattr(cb, "centre_sums", lambda rows, centres: scans.append(len(centres)) or whole(rows, centres))
+    assert tuple(entry_point.queries()["fit_units"](spark, "/root/testdata/sf0.001").first())[3:] == (True, True)
+    assert scans[0] == 10
+    # a far cluster of 5 among 4,000 rows, of which hardly any small sample holds one
+    x = np.random.default_rng(9).normal(size=(4000, 3))
+    x[:5] += 500.0
+    rows = frame(spark, x).select(F.col("embedding").cast("array<double>").alias("v")).withColumn("n", F.lit(1).cast("long")).withColumn("h", F.xxhash64("v"))
+    first = cb.first_centres(rows.repartition(3), 2, [7, 8, 9])
+    assert all((centres[:, 0] > 250).sum() == 1 for centres in first)
+    assert np.allclose(first, cb.first_centres(rows.repartition(5), 2, [7, 8, 9]))
