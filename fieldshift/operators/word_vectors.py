@@ -141,7 +141,7 @@ def fit_tokens(
     paths, turns = huffman(np.array([n for _, n in known], np.int64))
     rng = np.random.default_rng(seed)
     now = [((rng.random((len(known), size)) - 0.5) / size).astype(np.float32), np.zeros((max(0, len(known) - 1), size), np.float32)]
-    spread = sentences.select("tokens").repartition(partitions)
+    spread = sentences.select("tokens").coalesce(partitions)  # rosters lie by hash: nothing is gained by moving them
     for _ in range(iterations if len(known) > 1 else 0):
 
         def task(batches):
@@ -164,8 +164,9 @@ def fit_tokens(
     return names, now[0]
 
 
-def mean_of_tokens(sentences: DataFrame, names: pa.Array, vectors: np.ndarray) -> DataFrame:
-    """(roster_id, embedding): sum of the known tokens' vectors by the number of tokens."""
+def mean_of_tokens(sentences: DataFrame, names: pa.Array, vectors: np.ndarray, keep_tokens: bool = False) -> DataFrame:
+    """(roster_id, embedding, tokens if kept): sum of the known tokens' vectors by the number of tokens."""
+    kept = ["roster_id", *(["tokens"] if keep_tokens else [])]
 
     def task(batches):
         for batch in batches:
@@ -176,7 +177,8 @@ def mean_of_tokens(sentences: DataFrame, names: pa.Array, vectors: np.ndarray) -
                 out[some] = np.add.reduceat(vectors[at].astype(np.float64), (np.cumsum(known) - known)[some], axis=0)
                 out[some] /= sizes[some, None]
             ends = pa.array(np.arange(0, out.size + 1, vectors.shape[1]), pa.int32())
-            yield pa.record_batch([batch.column("roster_id"), pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], names=["roster_id", "embedding"])
+            embedding = pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+            yield pa.record_batch([*(batch.column(c) for c in kept), embedding], names=[*kept, "embedding"])
 
-    kind = dict(sentences.dtypes)["roster_id"]
-    return sentences.select("roster_id", "tokens").mapInArrow(task, f"roster_id {kind}, embedding array<double>")
+    fields = ", ".join(f"{c} {sentences.schema[c].dataType.simpleString()}" for c in kept)
+    return sentences.select("roster_id", "tokens").mapInArrow(task, f"{fields}, embedding array<double>")

@@ -478,3 +478,18 @@ def test_fit_units_runs_every_restart_from_all_rows(spark, monkeypatch):
     first = cb.first_centres(rows.repartition(3), 2, [7, 8, 9])
     assert all((centres[:, 0] > 250).sum() == 1 for centres in first)
     assert np.allclose(first, cb.first_centres(rows.repartition(5), 2, [7, 8, 9]))
+
+
+def test_embed_rosters_moves_no_token_rows(spark, monkeypatch):
+    """Tokens are gathered where members were numbered, and neither training nor the check moves them again."""
+    import __spark_entry__ as entry_point
+
+    plans = {}
+    keep = cb.stage
+    monkeypatch.setattr(cb, "stage", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and keep(df, name))
+    rows = entry_point.queries()["embed_rosters"](spark, "/root/testdata/sf0.001")
+    sentences = plans["sentences"].split("== Initial Plan ==")[0]
+    assert sentences[: sentences.index("Window")].count("Exchange hashpartitioning(") == 0
+    moved = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
+    assert len(moved) == 1 and "roster_id" in moved[0]
+    assert all(r["is_mean"] and r["dim"] == 32 for r in rows.collect())
