@@ -493,3 +493,28 @@ def test_embed_rosters_moves_no_token_rows(spark, monkeypatch):
     moved = [line for line in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in line]
     assert len(moved) == 1 and "roster_id" in moved[0]
     assert all(r["is_mean"] and r["dim"] == 32 for r in rows.collect())
+
+
+def test_context_draws_stop_when_enough(monkeypatch):
+    """k of n by the hashes of a key, as if all draws were made; most rows make few more than they need."""
+    from hashlib import md5
+
+    def plain(key, k, n):
+        few = min(k, n - k)
+        if k <= 0 or few <= 0:
+            return set(range(n)) if k > 0 else set()
+        digests = (md5(f"{key}|{j}".encode()).hexdigest() for j in range((2 * few + contexts.SPARE) // 4 + 1))
+        raw = [int(int(d[8 * q : 8 * q + 8], 16) * n / 4294967296.0) for d in digests for q in range(4)]
+        got = list(dict.fromkeys(raw))[:few]
+        got += [i for i in range(min(n, 2 * few)) if i not in got][: few - len(got)]
+        return set(got) if k <= n - k else set(range(n)) - set(got)
+
+    made = []
+    monkeypatch.setattr(contexts, "md5", lambda x: made.append(x) or md5(x))
+    cases = [(k, n) for n in (0, 1, 2, 3, 7, 65, 130, 5000) for k in (0, 1, 2, 3, 40, 64, 100, 128) if k <= n] * 5
+    keys = [f"{i}|0:past" for i in range(len(cases))]
+    row, number = contexts.sample_positions([key.encode() for key in keys], *(np.array(x, np.int64) for x in zip(*cases)))
+    assert [sorted(number[row == i].tolist()) for i in range(len(cases))] == [sorted(plain(key, *case)) for key, case in zip(keys, cases)]
+    made.clear()
+    contexts.sample_positions([key.encode() for key in keys], np.full(len(keys), 128), np.full(len(keys), 100_000))
+    assert len(made) < 40 * len(keys)  # 69 blocks each in all
